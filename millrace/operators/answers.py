@@ -41,7 +41,7 @@ def canonical_json(text: str) -> str:
         return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield batch.map(lambda t: None if t is None else canonical_json(t))

@@ -172,3 +172,16 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     low, high = F.expr("(_total + 1) div 2"), F.expr("_total div 2 + 1")
     covers = lambda place: (F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place)
     return both.filter(covers(low) | covers(high)).groupBy(*keys).agg(F.avg(value).alias(name))
+
+
+def ends(df: DataFrame, keys: list[str], order: list[str], first: dict[str, str], last: dict[str, str]) -> DataFrame:
+    """Add the first / last row's value of a column per key (`first`, `last` over a whole partition).
+
+    One map-side combined aggregation and a join back; Spark splits that join at runtime if a key is hot.
+    """
+    place = F.struct(*order)
+    found = df.groupBy(*(F.col(k).alias(f"_r_{k}") for k in keys)).agg(
+        *(F.min_by(c, place).alias(n) for n, c in first.items()),
+        *(F.max_by(c, place).alias(n) for n, c in last.items()))
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(found[f"_r_{k}"]) for k in keys])
+    return df.join(found, same).drop(*(f"_r_{k}" for k in keys))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 # The shapes each detector accepts, in order of precedence.
 PATTERNS = {
@@ -25,7 +26,10 @@ KINDS = tuple(PATTERNS)
 # Weights of the eleven test.
 BSN_WEIGHTS = (9, 8, 7, 6, 5, 4, 3, 2, -1)
 
-SPANS = "array<struct<kind:string,start:int,stop:int>>"
+SPANS = T.ArrayType(T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
+_REDACTED = T.StructType([
+    T.StructField("redacted", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))])
 
 
 def bsn_ok(candidate: str) -> bool:
@@ -83,7 +87,7 @@ def _spans_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             {"kind": k, "start": a, "stop": b} for k, a, b in spans(t)])
 
 
-@F.pandas_udf("struct<redacted:string,kinds:array<string>>")
+@F.pandas_udf(_REDACTED)
 def _redacted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         redacted, kinds = [], []
