@@ -55,8 +55,7 @@ def dependencies(recipes: DataFrame, recipe_inputs: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, start: DataFrame, source: str, target: str) -> DataFrame:
     """Every node reachable from `start` along source -> target, start included."""
     node = start.columns[0]
-    seen = checkpointed(start.distinct())
-    frontier = seen
+    seen = frontier = checkpointed(start.distinct())
     while True:
         step = (
             frontier.join(edges, frontier[node] == edges[source]).select(edges[target].alias(node)).distinct()
@@ -65,7 +64,7 @@ def reach(edges: DataFrame, start: DataFrame, source: str, target: str) -> DataF
         frontier = checkpointed(step)
         if not frontier.take(1):
             return seen
-        seen = checkpointed(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
 
 
 def upstream(targets: DataFrame, deps: DataFrame) -> DataFrame:
@@ -75,22 +74,24 @@ def upstream(targets: DataFrame, deps: DataFrame) -> DataFrame:
 
 def levels(recipes: DataFrame, deps: DataFrame) -> DataFrame:
     """(recipe, level): 0 without dependencies, else one more than the highest of them. A cycle is an
-    error."""
-    waiting = checkpointed(recipes.select("recipe").distinct())
-    inside = waiting.withColumnRenamed("recipe", "needs")
-    blocking = checkpointed(deps.join(waiting, "recipe", "left_semi").join(inside, "needs", "left_semi"))
-    done, level = None, 0
-    while True:
-        ready = checkpointed(waiting.join(blocking, "recipe", "left_anti").withColumn("level", F.lit(level)))
-        if not ready.take(1):
-            if waiting.take(1):
-                raise InvalidInput("the recipes form a cycle")
-            return done if done is not None else ready
-        done = ready if done is None else done.unionByName(ready)
-        waiting = checkpointed(waiting.join(ready, "recipe", "left_anti"))
-        cleared = ready.select(F.col("recipe").alias("needs"))
-        blocking = checkpointed(blocking.join(cleared, "needs", "left_anti"))
-        level += 1
+    error.
+
+    Round r keeps the recipes with a chain of at least r dependencies. Without a cycle each round loses
+    some, so a round that loses none has found one.
+    """
+    nodes = checkpointed(recipes.select("recipe").distinct())
+    inside = checkpointed(deps.join(nodes, "recipe", "left_semi").join(
+        nodes.withColumnRenamed("recipe", "needs"), "needs", "left_semi"))
+    standing, left, level = nodes, nodes.count(), 0
+    out = nodes.withColumn("level", F.lit(0))
+    while left:
+        below = standing.withColumnRenamed("recipe", "needs")
+        standing = checkpointed(inside.join(below, "needs", "left_semi").select("recipe").distinct())
+        before, left, level = left, standing.count(), level + 1
+        if left == before:
+            raise InvalidInput("the recipes form a cycle")
+        out = out.unionByName(standing.withColumn("level", F.lit(level)))
+    return out.groupBy("recipe").agg(F.max("level").alias("level"))
 
 
 def rebuild_steps(targets: DataFrame, deps: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:

@@ -126,7 +126,7 @@ def label_floors(spark, sf):
     WITH o AS (SELECT o_custkey, o_orderkey, list_filter(['z-care', 'billing', 'audit', 'stats'],
         lambda c: c != CASE o_orderstatus WHEN 'F' THEN 'stats' WHEN 'O' THEN 'billing' ELSE 'none' END) AS codes FROM orders),
     f AS (SELECT o_custkey, arg_min(codes, o_orderkey) AS first, count(*) AS inputs FROM o GROUP BY o_custkey),
-    x AS (SELECT o_custkey, unnest(codes) AS code FROM o), c AS (SELECT o_custkey, code, count(*) AS n FROM x GROUP BY o_custkey, code)
+    x AS (SELECT o_custkey, unnest(codes) AS code FROM o), c AS (SELECT o_custkey, code, count(*) AS n FROM x GROUP BY o_custkey, code),
     p AS (SELECT o_custkey, inputs, unnest(first) AS code, generate_subscripts(first, 1) AS place FROM f),
     k AS (SELECT p.o_custkey, p.code, p.place FROM p JOIN c ON c.o_custkey = p.o_custkey AND c.code = p.code AND c.n = p.inputs)
     SELECT f.o_custkey, coalesce(string_agg(k.code, ',' ORDER BY place), '') AS purposes FROM f LEFT JOIN k USING (o_custkey) GROUP BY f.o_custkey""")
