@@ -127,7 +127,7 @@ def run_rows(df: DataFrame, key: list[str], prompt: Plan, answer: Answer, result
         done = _done(spark, results, key, retry_errors)
         if done is not None:
             todo = todo.join(done, key, "left_anti")
-        # The checkpoint is what makes each call happen once: the look for a fatal row and the save
+        # Storing the answers is what makes each call happen once: the look for a fatal row and the save
         # both read the stored answers.
         answered = checkpointed(ask_rows(todo, key, prompt, answer))
         refusal = answered.filter("fatal IS NOT NULL").select("fatal").take(1)

@@ -1,7 +1,7 @@
 """Ordered computations (running totals, neighbours, ranks, trailing ranges) on any key skew.
 
 A plain window puts a whole key into one task. Here rows are range-partitioned on
-(keys, order) and checkpointed, so a hot key is cut into as many chunks as its share of the
+(keys, order) and written out, so a hot key is cut into as many chunks as its share of the
 rows asks for. Windows then run inside a (keys, chunk) pair, and what flows from chunk to chunk
 is a carry row. Chunks are contiguous in key order, so each chunk continues at most one key of
 the chunk before it: there are never more carry rows than chunks, which is what makes their

@@ -191,10 +191,11 @@ def budget_settlement(spark, sf):
 
 
 @suite.add("""
-    SELECT conv_id, turn, CAST(((length(text) + 3) // 4 * 2300000 + 512::BIGINT * 9200000 + 500000) // 1000000 AS BIGINT) AS estimated_micros FROM conversations""")
+    SELECT conv_id, turn, CAST(((length(text) + 3) // 4 * CASE role WHEN 'user' THEN 2300000 ELSE 138000 END
+      + 512::BIGINT * CASE role WHEN 'user' THEN 9200000 ELSE 552000 END + 500000) // 1000000 AS BIGINT) AS estimated_micros FROM conversations""")
 def budget_worst_case(spark, sf):
     requests = table(spark, sf, "conversations").select(
-        "conv_id", "turn", "text", F.lit("openai").alias("provider"), F.lit("gpt-4o").alias("model"), F.lit(512).alias("max_tokens"))
+        "conv_id", "turn", "text", F.lit("openai").alias("provider"), F.when(F.col("role") == "user", "gpt-4o").otherwise("gpt-4o-mini").alias("model"), F.lit(512).alias("max_tokens"))
     return budgets.worst_case(requests, ledger.price_table(spark)).select("conv_id", "turn", "estimated_micros")
 
 
