@@ -5,9 +5,12 @@ Spend is what the ledger settled plus holds that are still open and younger than
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from millrace.errors import InvalidInput
 from millrace.operators.ledger import with_cost
@@ -20,6 +23,9 @@ SCOPES = ("project", "user", "connection", "agent")
 PERIODS = ("day", "month")
 HOLD_MINUTES = 15
 
+# Calls a single task may walk in order for one window.
+SMALL_WINDOW = 100_000
+
 
 def window_start(period: str, at: Column) -> Column:
     if period not in PERIODS:
@@ -97,16 +103,62 @@ def crossings(calls: DataFrame, scope: str, period: str, limit_micros: int | Non
 
 
 def replay(calls: DataFrame, keys: list[str], order: list[str], cost: str, limit_cost: str | None = None,
-           limit_calls: str | None = None) -> DataFrame:
+           limit_calls: str | None = None, small_window: int = SMALL_WINDOW) -> DataFrame:
     """Which calls a blocking budget admits, in order, per window. Adds `admitted`.
 
-    A refused call holds nothing, so a running sum over all calls is wrong. Each pass settles, for all
-    windows at once, everything up to the point where a window's free room has halved: calls below
-    half the room are sure to fit until then, so their running sum is exact, and the first larger call
-    that fits beside them ends the pass. Calls above the room can never fit again. A window therefore
-    needs at most log2(limit) passes, whatever its number of calls, no task ever holds a whole window,
-    and rows leave as soon as they are settled. `limit_cost` and `limit_calls` name columns that are
-    constant per window; NULL means no limit. `order` ends in a unique column.
+    A refused call holds nothing, so a running sum over all calls is wrong. Windows of up to
+    `small_window` calls are walked one call after the other, many windows per task; larger ones go
+    through `_in_passes`, which no window size can overload. `limit_cost` and `limit_calls` name columns
+    that are constant per window; NULL means no limit. `order` ends in a unique column.
+    """
+    sizes = calls.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > small_window)
+    large = checkpointed(sizes.select(*(F.col(k).alias(f"_k_{k}") for k in keys)))
+    if not large.take(1):
+        return _one_by_one(calls, keys, order, cost, limit_cost, limit_calls)
+    same = reduce(lambda a, b: a & b, [calls[k].eqNullSafe(large[f"_k_{k}"]) for k in keys])
+    return _one_by_one(calls.join(large, same, "left_anti"), keys, order, cost, limit_cost, limit_calls).unionByName(
+        _in_passes(calls.join(large, same, "left_semi"), keys, order, cost, limit_cost, limit_calls))
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches arrive in window and call order; only the running state passes from batch to batch."""
+    window, spent, count = None, 0, 0
+    for batch in batches:
+        helpers = [batch.column(c).to_pylist() for c in ("_window", "_cost", "_limit", "_calls")]
+        admitted = []
+        for here, cost, limit, calls in zip(*helpers):
+            if here != window:
+                window, spent, count = here, 0, 0
+            ok = (limit is None or spent + cost <= limit) and (calls is None or count < calls)
+            admitted.append(ok)
+            if ok:
+                spent, count = spent + cost, count + 1
+        kept = [i for i, name in enumerate(batch.schema.names) if not name.startswith("_")]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(i) for i in kept), pa.array(admitted, pa.bool_())],
+            names=[*(batch.schema.names[i] for i in kept), "admitted"])
+
+
+def _one_by_one(calls, keys, order, cost, limit_cost, limit_calls):
+    number = lambda c: F.col(c).cast("bigint") if c else F.lit(None).cast("bigint")
+    schema = T.StructType([*calls.schema.fields, T.StructField("admitted", T.BooleanType())])
+    return (
+        calls.withColumns({
+            "_window": F.to_json(F.struct(*keys)), "_cost": F.coalesce(number(cost), F.lit(0)),
+            "_limit": number(limit_cost), "_calls": number(limit_calls)})
+        .repartition(*keys).sortWithinPartitions("_window", *order)
+        .mapInArrow(_walk, schema)
+    )
+
+
+def _in_passes(calls, keys, order, cost, limit_cost, limit_calls):
+    """The same verdicts for windows of any size.
+
+    Each pass settles, for all windows at once, everything up to the point where a window's free room
+    has halved: calls below half the room are sure to fit until then, so their running sum is exact, and
+    the first larger call that fits beside them ends the pass. Calls above the room can never fit again.
+    A window therefore needs at most log2(limit) passes, whatever its number of calls, no task ever holds
+    a whole window, and rows leave as soon as they are settled.
     """
     place = F.struct(*order)
     base = chunked(calls, keys, order)

@@ -13,7 +13,7 @@ from millrace.functions.expressions import col
 from millrace.operators.combine import top_values
 
 TOP_VALUES = 5
-DISTINCT_ERROR = 0.02
+DISTINCT_ERROR = 0.05
 
 
 def kind_of(data_type: T.DataType) -> str:

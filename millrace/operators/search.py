@@ -18,13 +18,14 @@ def query_words(query: str) -> list[str]:
 
 
 def _starts_a_word(word: str) -> str:
-    # A word is a run of letters, digits and underscores in any script.
-    return rf"(?U)(?<!\w){word}"
+    # A word is a run of letters, digits and underscores in any script. The word stands first, so that the
+    # scan looks for its letters and only then behind them.
+    return rf"{word}(?<![\p{{L}}\p{{N}}\p{{M}}_]{word})"
 
 
 def matches(text: Column, words: list[str]) -> Column:
     """True where every query word begins some word of the text."""
-    return reduce(lambda a, b: a & b, [text.rlike(_starts_a_word(w)) for w in words])
+    return reduce(lambda a, b: a & b, [text.contains(w) & text.rlike(_starts_a_word(w)) for w in words])
 
 
 def search(refs: DataFrame, query: str, text: list[str], name: str = "name", limit: int = DEFAULT_LIMIT,

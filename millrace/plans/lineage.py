@@ -54,6 +54,10 @@ def dependencies(recipes: DataFrame, recipe_inputs: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, start: DataFrame, source: str, target: str) -> DataFrame:
     """Every node reachable from `start` along source -> target, start included."""
+    return _reach(checkpointed(edges), start, source, target)
+
+
+def _reach(edges: DataFrame, start: DataFrame, source: str, target: str) -> DataFrame:
     node = start.columns[0]
     seen = frontier = checkpointed(start.distinct())
     while True:
@@ -99,13 +103,13 @@ def rebuild_steps(targets: DataFrame, deps: DataFrame, state: DataFrame, force:
 
     Order by level, then recipe.
     """
-    closure = upstream(targets, deps)
-    inner = deps.join(closure, "recipe", "left_semi")
+    deps = checkpointed(deps)
+    closure = _reach(deps, targets, "recipe", "needs")
+    inner = checkpointed(deps.join(closure, "recipe", "left_semi"))
     if force:
-        included = closure
-    else:
-        stale = state.filter(F.col("staleness") != FRESH).select("recipe").join(closure, "recipe", "left_semi")
-        included = reach(inner, stale, "needs", "recipe")
+        return levels(closure, inner)
+    stale = state.filter(F.col("staleness") != FRESH).select("recipe").join(closure, "recipe", "left_semi")
+    included = _reach(inner, stale, "needs", "recipe")
     return levels(closure, inner).join(included, "recipe", "left_semi")
 
 
