@@ -16,7 +16,7 @@ from millrace.errors import InvalidInput
 from millrace.operators.ledger import with_cost
 from millrace.operators.ordered import CHUNK, chunked, running
 from millrace.operators.prompts import estimate_tokens
-from millrace.session import checkpointed
+from millrace.session import stored
 
 # Scopes, periods, and how long a hold may stay open.
 SCOPES = ("project", "user", "connection", "agent")
@@ -112,8 +112,8 @@ def replay(calls: DataFrame, keys: list[str], order: list[str], cost: str, limit
     that are constant per window; NULL means no limit. `order` ends in a unique column.
     """
     sizes = calls.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > small_window)
-    large = checkpointed(sizes.select(*(F.col(k).alias(f"_k_{k}") for k in keys)))
-    if not large.take(1):
+    large, found = stored(sizes.select(*(F.col(k).alias(f"_k_{k}") for k in keys)))
+    if not found:
         return _one_by_one(calls, keys, order, cost, limit_cost, limit_calls)
     same = reduce(lambda a, b: a & b, [calls[k].eqNullSafe(large[f"_k_{k}"]) for k in keys])
     return _one_by_one(calls.join(large, same, "left_anti"), keys, order, cost, limit_cost, limit_calls).unionByName(
@@ -185,7 +185,7 @@ def _in_passes(calls, keys, order, cost, limit_cost, limit_calls):
         same = reduce(lambda a, b: a & b, [marked[k].eqNullSafe(ends[f"_k_{k}"]) for k in keys])
         verdict = F.when(F.col("_at").isNull() | (place < F.col("_at")), F.col("_small")).when(
             place == F.col("_at"), F.lit(True))
-        judged = checkpointed(
+        judged, _ = stored(
             marked.join(ends, same, "left").withColumn("_ok", verdict)
             .drop("_ends", "_after", "_sum", "_small", "_at", *(f"_k_{k}" for k in keys)))
         settled.append(judged.filter("_ok IS NOT NULL").drop("_next"))

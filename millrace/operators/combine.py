@@ -59,9 +59,16 @@ def write_split(df: DataFrame, expression: Expression, path: str) -> None:
        .write.mode("overwrite").partitionBy("branch").parquet(path))
 
 
+# Types whose values a sample can hash.
+_HASHED = frozenset(
+    {"byte", "short", "integer", "long", "float", "double", "decimal", "string", "boolean", "binary",
+     "date", "timestamp", "timestamp_ntz", "array", "struct"}
+)
+
+
 def _fingerprint(df: DataFrame, columns: list[str], seed: int) -> Column:
-    texts = [F.coalesce(col(df, c).cast("string"), F.lit("\x00")) for c in columns]
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *texts))
+    text = lambda c: F.hex(col(df, c)) if df.schema[c].dataType.typeName() == "binary" else col(df, c).cast("string")
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(text(c), F.lit("\x00")) for c in columns)))
 
 
 def sample(
@@ -83,7 +90,7 @@ def sample(
     if method == "random" and fraction is not None:
         if not 0 < fraction <= 1:
             raise InvalidInput("fraction must be in (0, 1]")
-        chosen = columns or [f.name for f in df.schema.fields if f.dataType.typeName() in T_TEXTABLE]
+        chosen = columns or [f.name for f in df.schema.fields if f.dataType.typeName() in _HASHED]
         draw = F.conv(F.substring(_fingerprint(df, chosen, seed), 1, 8), 16, 10).cast("bigint")
         return df.filter(draw < F.lit(int(fraction * 2**32)))
     rows = n or DEFAULT_ROWS
@@ -92,12 +99,6 @@ def sample(
     return df.limit(rows)
 
 
-T_TEXTABLE = frozenset(
-    {"byte", "short", "integer", "long", "float", "double", "decimal", "string", "boolean",
-     "date", "timestamp", "timestamp_ntz", "array", "struct"}
-)
-
-
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """The k most frequent non-NULL values of each column: (column, value, n, position).
 

@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from millrace.session import checkpointed, shuffle_partitions
+from millrace.session import checkpointed, partitions_for
 
 CHUNK = "_chunk"
 
@@ -24,8 +24,7 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], chunks: int | None
 
     `order` must end in a unique column: that lets a single hot value be split too.
     """
-    count = chunks or shuffle_partitions(df.sparkSession)
-    ranged = df.repartitionByRange(count, *keys, *order)
+    ranged = df.repartitionByRange(chunks or partitions_for(df), *keys, *order)
     return checkpointed(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
@@ -35,7 +34,7 @@ def _inside(keys: list[str], order: list[str]):
 
 def _across(keys: list[str]):
     # One row per (key, chunk): a hot key contributes at most one row per chunk.
-    return W.partitionBy(*keys).orderBy(CHUNK) if keys else W.partitionBy(F.lit(0)).orderBy(CHUNK)
+    return W.partitionBy(*keys).orderBy(CHUNK)
 
 
 def with_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
@@ -161,14 +160,10 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     """Exact median per key without holding a key's values in one task: count each distinct
     value, run the counts in order, keep the values standing on the middle positions."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     placed = running(chunked(counts, keys, [value]), keys, [value], {"_upto": F.col("_n")})
-    if keys:
-        renamed = total.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-        condition = reduce(lambda a, b: a & b, [placed[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
-        both = placed.join(renamed, condition).drop(*(f"_r_{k}" for k in keys))
-    else:
-        both = placed.crossJoin(total)  # one row of one total
+    total = placed.groupBy(*(F.col(k).alias(f"_r_{k}") for k in keys)).agg(F.max("_upto").alias("_total"))
+    same = reduce(lambda a, b: a & b, [placed[k].eqNullSafe(total[f"_r_{k}"]) for k in keys])
+    both = placed.join(total, same).drop(*(f"_r_{k}" for k in keys))
     low, high = F.expr("(_total + 1) div 2"), F.expr("_total div 2 + 1")
     covers = lambda place: (F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place)
     return both.filter(covers(low) | covers(high)).groupBy(*keys).agg(F.avg(value).alias(name))

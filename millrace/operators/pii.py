@@ -23,7 +23,9 @@ PATTERNS = {
              r"(?:6[ -]?\d{8}|[1-9]\d[ -]?\d{7}|[1-9]\d{2}[ -]?\d{6}))(?!\d)",
 }
 KINDS = tuple(PATTERNS)
-_HINT = r"(?U)\d{6}|\d{4}[.\- ]\d{2}[.\- ]\d{3}|\d{3}[.\- ]\d{3}[.\- ]\d{3}|[A-Z]{2}\d{2}"
+# Two digits, then what can make them part of a match: more digits, a grouped number, or two capitals before.
+_HINT = (r"\p{Nd}{2}(?:\p{Nd}{4}|\p{Nd}{2}[.\- ]\p{Nd}{2}[.\- ]\p{Nd}{3}|\p{Nd}[.\- ]\p{Nd}{3}[.\- ]\p{Nd}{3}"
+         r"|(?<=[A-Z]{2}\p{Nd}{2}))")
 # Weights of the eleven test.
 BSN_WEIGHTS = (9, 8, 7, 6, 5, 4, 3, 2, -1)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.errors import InvalidInput
 from millrace.operators.combine import latest_per_key
-from millrace.session import checkpointed
+from millrace.session import checkpointed, stored
 
 NEVER_BUILT, STALE, FRESH = "never_built", "stale", "fresh"
 FINISHED = ("succeeded", "failed", "skipped")
@@ -65,8 +65,8 @@ def _reach(edges: DataFrame, start: DataFrame, source: str, target: str) -> Data
             frontier.join(edges, frontier[node] == edges[source]).select(edges[target].alias(node)).distinct()
             .join(seen, node, "left_anti")
         )
-        frontier = checkpointed(step)
-        if not frontier.take(1):
+        frontier, found = stored(step)
+        if not found:
             return seen
         seen = seen.unionByName(frontier)
 
@@ -83,15 +83,15 @@ def levels(recipes: DataFrame, deps: DataFrame) -> DataFrame:
     Round r keeps the recipes with a chain of at least r dependencies. Without a cycle each round loses
     some, so a round that loses none has found one.
     """
-    nodes = checkpointed(recipes.select("recipe").distinct())
+    nodes, left = stored(recipes.select("recipe").distinct())
     inside = checkpointed(deps.join(nodes, "recipe", "left_semi").join(
         nodes.withColumnRenamed("recipe", "needs"), "needs", "left_semi"))
-    standing, left, level = nodes, nodes.count(), 0
+    standing, level = nodes, 0
     out = nodes.withColumn("level", F.lit(0))
     while left:
         below = standing.withColumnRenamed("recipe", "needs")
-        standing = checkpointed(inside.join(below, "needs", "left_semi").select("recipe").distinct())
-        before, left, level = left, standing.count(), level + 1
+        before, level = left, level + 1
+        standing, left = stored(inside.join(below, "needs", "left_semi").select("recipe").distinct())
         if left == before:
             raise InvalidInput("the recipes form a cycle")
         out = out.unionByName(standing.withColumn("level", F.lit(level)))

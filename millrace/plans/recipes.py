@@ -6,7 +6,7 @@ import hashlib
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.errors import InvalidInput
 from millrace.operators import checked_sql, code_step, combine, group, join, prepare
@@ -27,6 +27,11 @@ def config_hash(config: dict[str, Any]) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def config_hashes(text: Column) -> Column:
+    """The same hash for a column of config texts: a parsed object keeps its keys sorted."""
+    return F.sha2(F.to_json(F.parse_json(text)), 256)
+
+
 def _pairs(on: list[Any]) -> list[tuple[str, str]]:
     return [(k["left"], k["right"]) if isinstance(k, dict) else tuple(k) for k in on]
 

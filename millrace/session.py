@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,24 +39,35 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="millrace-")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and go on from there.
+def stored(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write `df` as a table in the shared folder and go on from there; also its number of rows.
 
     Lineage is cut, a lost executor costs a re-read instead of a re-run, and what follows reads only
-    the columns it needs and knows the table's real size when it picks a join.
+    the columns it needs and knows the table's real size when it picks a join. The count comes from the
+    write itself.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, "step")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, seen = scratch_path(spark, "step"), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), int(seen.get["rows"])
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    return stored(df)[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions_for(df: DataFrame, target_bytes: int = 256 << 20) -> int:
+    """Partitions for a shuffle of `df`: what the session asks for, or more where its sources are larger
+    than that many partitions should hold."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(size for size in sizes if size < 1 << 60)  # a source of unknown size says 2^63
+    return max(least, -(-known // target_bytes))
 
 
 def require_columns(df: DataFrame, names) -> None:

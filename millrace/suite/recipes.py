@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import expressions as e
-from millrace.operators import combine, ordered
+from millrace.operators import code_step, combine, ordered
 from millrace.operators.group import group
 from millrace.operators.join import join
 from millrace.operators.prepare import prepare
 from millrace.operators.profile import profile, summary
+from millrace.plans import recipes as plans
 from millrace.session import scratch_path
-from millrace.sources import files, versions
+from millrace.sources import files, jdbc, versions
 from millrace.suite import Suite, table
 
 suite = Suite()
@@ -434,3 +435,31 @@ def versioned_sink(spark, sf):
     read = versions.read_version(spark, root, "p", "orders", 1).select(F.lit(1).cast("bigint").alias("version")).unionByName(
         versions.read_version(spark, root, "p", "orders").select(F.lit(2).cast("bigint").alias("version")))
     return catalog.join(read.groupBy("version").agg(F.count("*").alias("rows_read")), "version")
+
+
+@suite.add("SELECT least(count(*), 100) AS sampled, least(count(*), 500) AS snapshot, least(count(*), 200) AS previewed FROM orders")
+def capped_reads(spark, sf):
+    """A sample, a capped snapshot and a recipe preview hold as many rows as they should."""
+    orders = table(spark, sf, "orders")
+    taken = jdbc.snapshot(orders, scratch_path(spark, "snapshot"), limit=500)
+    shown = plans.preview("prepare", {"steps": [{"op": "filter", "expression": "o_totalprice > 0"}]}, [orders], 200)
+    one = files.sample_rows(orders).select(F.lit("s").alias("kind")).unionByName(shown.select(F.lit("p").alias("kind")))
+    return one.agg(F.count_if(F.col("kind") == "s").alias("sampled"), F.lit(taken).cast("bigint").alias("snapshot"),
+                   F.count_if(F.col("kind") == "p").alias("previewed"))
+
+
+@suite.add("""SELECT event_id, sha256(replace(props, ' ', '')) AS hash FROM events""")
+def recipe_config_hash(spark, sf):
+    """Event properties as configs: the hash of their sorted, compact JSON."""
+    return table(spark, sf, "events").select("event_id", plans.config_hashes(F.col("props")).alias("hash"))
+
+
+def _grade(pdf):
+    return pdf.assign(grade=["high" if b > 5000 else "low" for b in pdf["c_acctbal"]])[["c_custkey", "grade"]]
+
+
+@suite.add("SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'high' ELSE 'low' END AS grade FROM customer")
+def python_step(spark, sf):
+    """User code over a table in batches, with a declared schema and the label gate."""
+    grade = lambda customers: code_step.map_batches(customers, _grade, "c_custkey bigint, grade string")
+    return code_step.code_step({"customers": table(spark, sf, "customer")}, grade, {"customers": ("persoonsgegevens", "bbn1")})

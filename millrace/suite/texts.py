@@ -236,6 +236,12 @@ def answer_rows(spark, sf):
     return again.select("conv_id", "turn", "label", "label_error", "cost_micros")
 
 
+@suite.add("""SELECT event_id, replace(props, ' ', '') AS stored FROM events""")
+def answer_canonical_json(spark, sf):
+    """Extracted answers are stored as sorted, compact JSON."""
+    return table(spark, sf, "events").select("event_id", answers.coerce("extract", F.col("props")).alias("stored"))
+
+
 _WORD = "(?:^|[^\\p{L}\\p{N}_])"
 
 
