@@ -7,9 +7,9 @@ chain verifies on all executors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from millrace.operators.ordered import chunked, neighbours
+from millrace.operators.ordered import CHUNK, chunked, neighbours
 
 # The first row's predecessor, and the columns a row hash covers, sorted.
 GENESIS = "0" * 64
@@ -45,17 +45,15 @@ def verify(log: DataFrame, seq: str = "seq", previous: str = "prev_hash", own: s
         (row_hash(F.col(previous), F.col(body)) == F.col(own)).alias("_fits"), genesis.alias("_genesis"))
     order = ["_seq"]
     linked = neighbours(chunked(slim, keys, order), keys, order, previous={"_before": "_own"})
-    expected = F.coalesce("_before", "_genesis")
-    reason = F.when(~F.col("_prev").eqNullSafe(expected), "prev_hash mismatch").when(
+    inside = W.partitionBy(*keys, CHUNK).orderBy("_seq")
+    reason = F.when(~F.col("_prev").eqNullSafe(F.coalesce("_before", "_genesis")), "prev_hash mismatch").when(
         ~F.coalesce("_fits", F.lit(False)), "row_hash mismatch")
-    judged = linked.withColumn("_reason", reason)
-    bad = F.col("_reason").isNotNull()
-    first = judged.groupBy(*keys).agg(
-        F.min(F.when(bad, F.struct("_seq", "_reason"))).alias("_bad"), F.count("*").alias("_rows"))
-    # Rows before the first bad one: counted only for broken chains.
-    broken = first.filter("_bad IS NOT NULL").select(*keys, F.col("_bad._seq").alias("_stop"))
-    before = judged.join(broken, keys).groupBy(*keys).agg(F.count_if(F.col("_seq") < F.col("_stop")).alias("_good"))
-    out = first.join(before, keys, "left").select(
-        *keys, F.col("_bad").isNull().alias("ok"), F.coalesce("_good", "_rows").alias("checked"),
+    judged = linked.withColumns({"_reason": reason, "_place": F.row_number().over(inside)})
+    first = F.min(F.when(F.col("_reason").isNotNull(), F.struct("_seq", "_reason", "_place")))
+    chunks = judged.groupBy(*keys, CHUNK).agg(first.alias("_bad"), F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bad = F.when(F.col("_bad").isNotNull(), F.struct("_bad._seq", "_bad._reason", (before + F.col("_bad._place") - 1).alias("_good")))
+    out = chunks.withColumn("_bad", bad).groupBy(*keys).agg(F.min("_bad").alias("_bad"), F.sum("_rows").alias("_rows")).select(
+        *keys, F.col("_bad").isNull().alias("ok"), F.coalesce("_bad._good", "_rows").alias("checked"),
         F.col("_bad._seq").alias("first_bad_seq"), F.col("_bad._reason").alias("reason"))
     return out if chain else out.drop("_chain")

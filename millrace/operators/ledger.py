@@ -36,7 +36,10 @@ MAX_RANGE_DAYS = 366
 
 
 def price_table(spark: SparkSession, prices=PRICES) -> DataFrame:
-    return spark.createDataFrame(list(prices), "price_key string, in_per_mtok bigint, out_per_mtok bigint")
+    """The prices as a table whose size Spark knows, so that joining it never shuffles the ledger."""
+    rows = [F.struct(F.lit(key).alias("price_key"), F.lit(low).cast("bigint").alias("in_per_mtok"),
+                     F.lit(high).cast("bigint").alias("out_per_mtok")) for key, low, high in prices]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
 def _half_up_millionths(total: Column) -> Column:
@@ -84,7 +87,7 @@ def usage_report(calls: DataFrame, start: dt.datetime, stop: dt.datetime, group_
     wanted = calls.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(stop)))
     if project is not None:
         wanted = wanted.filter(F.col("project_id") == project)
-    buckets = wanted.groupBy(F.coalesce(GROUPINGS[group_by]().cast("string"), F.lit(UNATTRIBUTED)).alias("key")).agg(
+    buckets = wanted.groupBy(F.coalesce(GROUPINGS[group_by]().cast("string"), F.lit(UNATTRIBUTED)).alias("bucket")).agg(
         F.count("*").alias("calls"),
         F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
         F.sum("cost_micros").alias("cost_micros"),
@@ -92,13 +95,13 @@ def usage_report(calls: DataFrame, start: dt.datetime, stop: dt.datetime, group_
         F.count_if(F.col("status") != "ok").alias("errors"),
         F.count_if("pricing_unknown").alias("unpriced"),
     )
-    total = buckets.agg(*(F.sum(m).alias(m) for m in _MEASURES)).select(F.lit("total").alias("key"), *_MEASURES)
-    both = buckets.withColumn("is_total", F.lit(False)).unionByName(total.withColumn("is_total", F.lit(True)))
-    return both.select(
-        "key", "is_total",
-        *(F.coalesce(F.col(m).cast("bigint"), F.lit(0).cast("bigint")).alias(m) for m in _MEASURES[:-1]),
-        (F.coalesce("unpriced", F.lit(0)) > 0).alias("pricing_incomplete"),
-    )
+    place = lambda key, total: F.struct(key.alias("key"), F.lit(total).alias("is_total"))
+    measures = [F.coalesce(F.col(m).cast("bigint"), F.lit(0).cast("bigint")).alias(m) for m in _MEASURES]
+    twice = buckets.select(F.inline(F.array(place(F.col("bucket"), False), place(F.lit("total"), True))), *measures)
+    nothing = calls.sparkSession.range(0, 1, 1, 1).select(
+        F.lit("total").alias("key"), F.lit(True).alias("is_total"), *(F.lit(0).cast("bigint").alias(m) for m in _MEASURES))
+    return twice.unionByName(nothing).groupBy("key", "is_total").agg(
+        *(F.sum(m).alias(m) for m in _MEASURES[:-1]), (F.sum("unpriced") > 0).alias("pricing_incomplete"))
 
 
 def trace_rollup(spans: DataFrame) -> DataFrame:

@@ -160,8 +160,9 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     """Exact median per key without holding a key's values in one task: count each distinct
     value, run the counts in order, keep the values standing on the middle positions."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    placed = running(chunked(counts, keys, [value]), keys, [value], {"_upto": F.col("_n")})
-    total = placed.groupBy(*(F.col(k).alias(f"_r_{k}") for k in keys)).agg(F.max("_upto").alias("_total"))
+    cut = chunked(counts, keys, [value])
+    placed = running(cut, keys, [value], {"_upto": F.col("_n")})
+    total = cut.groupBy(*(F.col(k).alias(f"_r_{k}") for k in keys)).agg(F.sum("_n").alias("_total"))
     same = reduce(lambda a, b: a & b, [placed[k].eqNullSafe(total[f"_r_{k}"]) for k in keys])
     both = placed.join(total, same).drop(*(f"_r_{k}" for k in keys))
     low, high = F.expr("(_total + 1) div 2"), F.expr("_total div 2 + 1")

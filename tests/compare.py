@@ -29,8 +29,7 @@ def normal(rows, names):
     return sorted(repr(tuple(r[i] for i in order)) for r in rows)
 
 
-def differences(spark, con, sf_dir: str, query, sql: str) -> list[str]:
-    df = query(spark, sf_dir)
+def differences(df, con, sql: str) -> list[str]:
     ours = [tuple(r) for r in df.collect()]
     cursor = con.execute(sql)
     names = [c[0] for c in cursor.description]
@@ -65,7 +64,7 @@ def main() -> int:
         start = time.time()
         try:
             if name in whole.oracles:
-                found = differences(spark, con, sf_dir, query, whole.oracles[name])
+                found = differences(query(spark, sf_dir), con, whole.oracles[name])
             else:
                 found = [] if query(spark, sf_dir).count() else ["no rows"]
         except Exception as error:  # report and go on with the next query

@@ -89,11 +89,11 @@ def sequential(rows, limit, most):
     return admitted
 
 
-@pytest.mark.parametrize("small", [0, 60, 1000])
-@pytest.mark.parametrize("seed, limit, most", [(1, 100, None), (3, 37, 5), (4, None, 3), (5, 0, None)])
+@pytest.mark.parametrize("seed, limit, most, small", [
+    (1, 100, None, 0), (2, 100, None, 60), (3, 37, 5, 0), (3, 37, 5, 1000), (4, None, 3, 0), (4, None, 3, 1000), (5, 0, None, 0), (6, 0, 2, 1000)])
 def test_replay_like_one_by_one(spark, seed, limit, most, small):
     random.seed(seed)
-    rows = [("hot" if i % 3 == 0 else f"k{i % 7}", random.randint(0, 30), i, random.choice([0, 1, 2, 3, 7, 30, 64, 99, 100, 300, None])) for i in range(300)]
+    rows = [("hot" if i % 3 == 0 else f"k{i % 7}", random.randint(0, 30), i, random.choice([0, 1, 2, 3, 7, 30, 64, 99, 100, 300, None])) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, at int, id int, cost bigint").withColumns(
         {"lim": F.lit(limit).cast("bigint"), "most": F.lit(most).cast("int")})
     out = budgets.replay(df, ["k"], ["at", "id"], "cost", "lim", "most", small_window=small)
@@ -103,10 +103,10 @@ def test_replay_like_one_by_one(spark, seed, limit, most, small):
 
 def test_replay_slow_descent(spark):
     """Many small calls between ones that just do not fit: still a few passes."""
-    rows = [("a", i, i, 1 if i % 2 else 400 - i // 2) for i in range(400)]
-    df = spark.createDataFrame(rows, "k string, at int, id int, cost bigint").withColumn("lim", F.lit(420))
+    rows = [("a", i, i, 1 if i % 2 else 200 - i // 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, at int, id int, cost bigint").withColumn("lim", F.lit(210))
     out = budgets.replay(df, ["k"], ["at", "id"], "cost", "lim", small_window=10)
-    assert {r["id"]: r["admitted"] for r in out.collect()} == sequential(rows, 420, None)
+    assert {r["id"]: r["admitted"] for r in out.collect()} == sequential(rows, 210, None)
 
 
 def test_settle(spark):
