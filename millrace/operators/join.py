@@ -55,6 +55,12 @@ def join(
     return joined.select(*(F.col("`" + c.replace("`", "``") + "`") for c in output))
 
 
+def _row_hash(df: DataFrame):
+    """A hash of the row's own values: a task that runs again salts its rows as before. Copies of one row
+    share a salt; runtime skew splitting takes care of a great many of them."""
+    return F.xxhash64(*(col(df, f.name) for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")))
+
+
 def _salted(left, right, pairs, how, hot_rows):
     """Join with the left rows of each hot key spread over several salts.
 
@@ -80,10 +86,7 @@ def _salted(left, right, pairs, how, hot_rows):
     # rows / hot_rows; Spark still measures the checkpointed list before it broadcasts it.
     big = (
         left.join(hot, match(left, lk), "left").drop(*drops)
-        .withColumn("_salt", F.when(F.col("_salts").isNull(), 0)
-                    .otherwise(F.pmod(F.xxhash64(*(col(left, c) for c in left.columns
-                                                   if left.schema[c].dataType.typeName() != "map"),
-                                                 F.monotonically_increasing_id()), F.col("_salts"))))
+        .withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(_row_hash(left), F.col("_salts"))))
         .drop("_salts")
     )
     small = (
