@@ -1,15 +1,15 @@
 """Hash-chained audit log: row hashes and verification.
 
 Hash checks are row-parallel and run before any shuffle, so only keys and hashes are shuffled. The
-linkage of neighbours runs on range-partitioned chunks with one carry row per chunk, so one endless
-chain verifies on all executors.
+linkage of neighbours in a long chain runs on range-partitioned chunks with one carry row per chunk, so
+one endless chain verifies on all executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.operators.ordered import CHUNK, chunked, neighbours
+from millrace.operators.ordered import HOT_ROWS, by_order
 
 # The first row's predecessor, and the columns a row hash covers, sorted.
 GENESIS = "0" * 64
@@ -30,7 +30,7 @@ def row_hash(previous: Column, body: Column) -> Column:
 
 
 def verify(log: DataFrame, seq: str = "seq", previous: str = "prev_hash", own: str = "row_hash",
-           body: str = "canonical", chain: list[str] | None = None, genesis: Column | None = None) -> DataFrame:
+           body: str = "canonical", chain: list[str] | None = None, genesis: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per chain: ok, checked (rows before the first bad one), first_bad_seq, reason.
 
     A row is bad when its prev_hash is not its predecessor's row_hash, or its row_hash does not fit its
@@ -43,17 +43,11 @@ def verify(log: DataFrame, seq: str = "seq", previous: str = "prev_hash", own: s
     slim = source.select(
         *keys, F.col(seq).alias("_seq"), F.col(previous).alias("_prev"), F.col(own).alias("_own"),
         (row_hash(F.col(previous), F.col(body)) == F.col(own)).alias("_fits"), genesis.alias("_genesis"))
-    order = ["_seq"]
-    linked = neighbours(chunked(slim, keys, order), keys, order, previous={"_before": "_own"})
-    inside = W.partitionBy(*keys, CHUNK).orderBy("_seq")
+    linked = by_order(slim, keys, ["_seq"], {"_place": F.lit(1)}, previous={"_before": "_own"}, hot_rows=hot_rows)
     reason = F.when(~F.col("_prev").eqNullSafe(F.coalesce("_before", "_genesis")), "prev_hash mismatch").when(
         ~F.coalesce("_fits", F.lit(False)), "row_hash mismatch")
-    judged = linked.withColumns({"_reason": reason, "_place": F.row_number().over(inside)})
-    first = F.min(F.when(F.col("_reason").isNotNull(), F.struct("_seq", "_reason", "_place")))
-    chunks = judged.groupBy(*keys, CHUNK).agg(first.alias("_bad"), F.count("*").alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bad = F.when(F.col("_bad").isNotNull(), F.struct("_bad._seq", "_bad._reason", (before + F.col("_bad._place") - 1).alias("_good")))
-    out = chunks.withColumn("_bad", bad).groupBy(*keys).agg(F.min("_bad").alias("_bad"), F.sum("_rows").alias("_rows")).select(
-        *keys, F.col("_bad").isNull().alias("ok"), F.coalesce("_bad._good", "_rows").alias("checked"),
+    bad = F.when(F.col("_reason").isNotNull(), F.struct("_seq", "_reason", "_place"))
+    out = linked.withColumn("_reason", reason).groupBy(*keys).agg(F.min(bad).alias("_bad"), F.count("*").alias("_rows")).select(
+        *keys, F.col("_bad").isNull().alias("ok"), F.coalesce(F.col("_bad._place") - 1, F.col("_rows")).alias("checked"),
         F.col("_bad._seq").alias("first_bad_seq"), F.col("_bad._reason").alias("reason"))
     return out if chain else out.drop("_chain")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from millrace.errors import InvalidInput
 from millrace.operators.ledger import with_cost
-from millrace.operators.ordered import CHUNK, chunked, running
+from millrace.operators.ordered import CHUNK, HOT_ROWS, by_order, chunked, running, split_hot
 from millrace.operators.prompts import estimate_tokens
 from millrace.session import stored
 
@@ -85,13 +85,12 @@ def status(quotas: DataFrame, usage: DataFrame, estimate: int = 0, calls: int =
 
 
 def crossings(calls: DataFrame, scope: str, period: str, limit_micros: int | None = None,
-              limit_calls: int | None = None, order: tuple[str, str] = ("ts", "id")) -> DataFrame:
+              limit_calls: int | None = None, order: tuple[str, str] = ("ts", "id"), hot_rows: int = HOT_ROWS) -> DataFrame:
     """The one call per scope and window that takes it over the limit."""
     keyed = calls.filter(F.col(scope).isNotNull()).select(
         scope, window_start(period, F.col(order[0])).alias("window_start"), *order, "cost_micros")
     keys = [scope, "window_start"]
-    summed = running(chunked(keyed, keys, list(order)), keys, list(order),
-                     {"spent_micros": F.col("cost_micros"), "calls": F.lit(1)}).drop(CHUNK)
+    summed = by_order(keyed, keys, list(order), {"spent_micros": F.col("cost_micros"), "calls": F.lit(1)}, hot_rows=hot_rows)
     spent, count = F.col("spent_micros"), F.col("calls")
     over_cost = F.lit(False) if limit_micros is None else spent > limit_micros
     over_calls = F.lit(False) if limit_calls is None else count > limit_calls
@@ -111,13 +110,11 @@ def replay(calls: DataFrame, keys: list[str], order: list[str], cost: str, limit
     through `_in_passes`, which no window size can overload. `limit_cost` and `limit_calls` name columns
     that are constant per window; NULL means no limit. `order` ends in a unique column.
     """
-    sizes = calls.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > small_window)
-    large, found = stored(sizes.select(*(F.col(k).alias(f"_k_{k}") for k in keys)))
-    if not found:
-        return _one_by_one(calls, keys, order, cost, limit_cost, limit_calls)
-    same = reduce(lambda a, b: a & b, [calls[k].eqNullSafe(large[f"_k_{k}"]) for k in keys])
-    return _one_by_one(calls.join(large, same, "left_anti"), keys, order, cost, limit_cost, limit_calls).unionByName(
-        _in_passes(calls.join(large, same, "left_semi"), keys, order, cost, limit_cost, limit_calls))
+    ordinary, large = split_hot(calls, keys, small_window)
+    walked = _one_by_one(ordinary, keys, order, cost, limit_cost, limit_calls)
+    if large is None:
+        return walked
+    return walked.unionByName(_in_passes(large, keys, order, cost, limit_cost, limit_calls))
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,13 @@
-"""Ordered computations (running totals, neighbours, ranks, trailing ranges) on any key skew.
+"""Ordered computations (running totals, neighbours, ranks, trailing ranges, medians) on any key skew.
 
-A plain window puts a whole key into one task. Here rows are range-partitioned on
-(keys, order) and written out, so a hot key is cut into as many chunks as its share of the
-rows asks for. Windows then run inside a (keys, chunk) pair, and what flows from chunk to chunk
-is a carry row. Chunks are contiguous in key order, so each chunk continues at most one key of
-the chunk before it: there are never more carry rows than chunks, which is what makes their
+A plain window puts a whole key into one task. That is right for keys of up to HOT_ROWS rows, and wrong
+for a key that holds a third of a large table. So the sizes of the keys are counted first, map-side
+combined; ordinary keys take the plain window, and hot keys are cut up.
+
+Rows of hot keys are range-partitioned on (keys, order) and written out, so a key is cut into as many
+chunks as its share of the rows asks for. Windows then run inside a (keys, chunk) pair, and what flows
+from chunk to chunk is a carry row. Chunks are contiguous in key order, so each chunk continues at most
+one key of the chunk before it: there are never more carry rows than chunks, which is what makes their
 broadcast safe at any data size.
 """
 
@@ -14,10 +17,57 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from millrace.session import checkpointed, partitions_for
+from millrace.session import checkpointed, partitions_for, stored
 
 CHUNK = "_chunk"
 
+# Rows of one key that a single task may order.
+HOT_ROWS = 1_000_000
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"{prefix}{k}"]) for k in keys])
+
+
+def split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of keys with more than `hot_rows` rows or None)."""
+    sizes = df.groupBy(*(F.col(k).alias(f"_h_{k}") for k in keys)).agg(F.count("*").alias("_n"))
+    hot, found = stored(sizes.filter(F.col("_n") > hot_rows).drop("_n"))
+    if not found:
+        return df, None
+    # Fewer hot keys than rows / hot_rows; Spark measures the stored list before it picks a join.
+    same = _same(df, hot, keys, "_h_")
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+
+
+def by_order(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    totals: dict[str, Column] | None = None,
+    previous: dict[str, str] | None = None,
+    following: dict[str, str] | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add running sums (`totals`: new name -> value, inclusive) and the previous / following row's value of
+    a column (new name -> column), per key in `order`, which ends in a unique column."""
+    plain, hot = split_hot(df, keys, hot_rows)
+    place = W.partitionBy(*keys).orderBy(*order)
+    upto = place.rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = plain.withColumns({
+        **{n: F.coalesce(F.sum(v).over(upto), F.lit(0)) for n, v in (totals or {}).items()},
+        **{n: F.lag(c).over(place) for n, c in (previous or {}).items()},
+        **{n: F.lead(c).over(place) for n, c in (following or {}).items()},
+    })
+    if hot is None:
+        return out
+    cut = chunked(hot, keys, order)
+    if previous or following:
+        cut = neighbours(cut, keys, order, previous, following)
+    if totals:
+        cut = running(cut, keys, order, totals)
+    return out.unionByName(cut.drop(CHUNK))
+
 
 def chunked(df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
     """Add `_chunk`: increasing in (keys, order), and stored, so reruns see the same cut.
@@ -104,70 +154,81 @@ def neighbours(
     return out
 
 
-def ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def ranks(df: DataFrame, keys: list[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add `rank` and `dense_rank` of `value` (ascending) within `keys`.
 
-    Ties are counted first, so the ordered pass sees one row per distinct value.
+    For hot keys ties are counted first, so the ordered pass sees one row per distinct value.
     """
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    plain, hot = split_hot(df, keys, hot_rows)
+    place = W.partitionBy(*keys).orderBy(value)
+    out = plain.withColumns({n: f().over(place).cast("bigint") for n, f in (("rank", F.rank), ("dense_rank", F.dense_rank))})
+    if hot is None:
+        return out
+    counts = hot.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     placed = running(
         chunked(counts, keys, [value]), keys, [value], {"_upto": F.col("_n"), "dense_rank": F.lit(1)}
     ).withColumn("rank", F.col("_upto") - F.col("_n") + 1)
+    both = [*keys, value]
     right = placed.select(
-        *(F.col(c).alias(f"_r_{c}") for c in [*keys, value]), "rank", F.col("dense_rank").cast("bigint").alias("dense_rank")
-    )
-    condition = reduce(
-        lambda a, b: a & b, [df[c].eqNullSafe(right[f"_r_{c}"]) for c in [*keys, value]]
-    )
-    return df.join(right, condition).drop(*(f"_r_{c}" for c in [*keys, value]))
+        *(F.col(c).alias(f"_r_{c}") for c in both), "rank", F.col("dense_rank").cast("bigint").alias("dense_rank"))
+    return out.unionByName(hot.join(right, _same(hot, right, both, "_r_")).drop(*(f"_r_{c}" for c in both)))
 
 
 def trailing(
-    df: DataFrame, keys: list[str], at: str, row_id: str, span: str, totals: dict[str, Column]
+    df: DataFrame, keys: list[str], at: str, row_id: str, span: str, totals: dict[str, Column],
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Per row, sums over the rows of the same key with `at` in [this - span, this].
+    """Per row, sums over the rows of the same key with `at` in [this - span, this]: row_id, keys, totals.
 
-    A range frame as a difference of two running totals: each row also sends a mark to the start
-    and to the end of its frame, and reads the running total there. No frame is ever buffered.
+    A range frame of a hot key is a difference of two running totals: each row also sends a mark to the
+    start and to the end of its frame, and reads the running total there. No frame is ever buffered.
     """
-    zero = {name: F.lit(0).cast(df.select(F.sum(value)).schema[0].dataType)
-            for name, value in totals.items()}
     slim = df.select(*keys, F.col(at).alias("_at"), F.col(row_id).alias("_id"),
                      *(value.alias(name) for name, value in totals.items()))
-    marks = slim.select(
-        *keys,
-        F.inline(F.array(
-            F.struct((F.col("_at") - F.expr(f"INTERVAL {span}")).alias("_at"), F.lit(0).alias("_kind"),
-                     *(zero[n].alias(n) for n in totals)),
-            F.struct(F.col("_at").alias("_at"), F.lit(1).alias("_kind"),
-                     *(F.coalesce(F.col(n).cast(df.select(F.sum(v)).schema[0].dataType), zero[n]).alias(n)
-                       for n, v in totals.items())),
-            F.struct(F.col("_at").alias("_at"), F.lit(2).alias("_kind"),
-                     *(zero[n].alias(n) for n in totals)),
-        )),
-        "_id",
-    )
+    plain, hot = split_hot(slim, keys, hot_rows)
+    back = F.expr(f"INTERVAL {span}")
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    frame = (f"PARTITION BY {', '.join(map(name, keys))} ORDER BY _at "
+             f"RANGE BETWEEN INTERVAL {span} PRECEDING AND CURRENT ROW")
+    out = plain.select(F.col("_id").alias(row_id), *keys,
+                       *(F.expr(f"coalesce(sum({name(n)}) OVER ({frame}), 0)").alias(n) for n in totals))
+    if hot is None:
+        return out
+    kind_of = {n: out.schema[n].dataType for n in totals}
+
+    def mark(moment: Column, kind: int) -> Column:
+        values = [F.coalesce(F.col(n) if kind == 1 else F.lit(0), F.lit(0)).cast(kind_of[n]).alias(n) for n in totals]
+        return F.struct(moment.alias("_at"), F.lit(kind).alias("_kind"), *values)
+
+    marks = hot.select(*keys, F.inline(F.array(
+        mark(F.col("_at") - back, 0), mark(F.col("_at"), 1), mark(F.col("_at"), 2))), "_id")
     order = ["_at", "_kind", "_id"]
     summed = running(chunked(marks, keys, order), keys, order,
                      {f"_s_{n}": F.col(n) for n in totals}).filter("_kind <> 1")
-    return summed.groupBy(F.col("_id").alias(row_id), *keys).agg(
-        *(F.sum(F.when(F.col("_kind") == 2, F.col(f"_s_{n}")).otherwise(-F.col(f"_s_{n}"))).alias(n)
-          for n in totals)
-    )
+    signed = lambda n: F.when(F.col("_kind") == 2, F.col(f"_s_{n}")).otherwise(-F.col(f"_s_{n}"))
+    far = summed.groupBy(F.col("_id").alias(row_id), *keys).agg(
+        *(F.sum(signed(n)).cast(kind_of[n]).alias(n) for n in totals))
+    return out.unionByName(far)
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
-    """Exact median per key without holding a key's values in one task: count each distinct
-    value, run the counts in order, keep the values standing on the middle positions."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    cut = chunked(counts, keys, [value])
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exact median per key.
+
+    The values of a hot key are not held in one task: count each distinct value, run the counts in order,
+    keep the values standing on the middle positions.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    plain, hot = split_hot(known, keys, hot_rows)
+    out = plain.groupBy(*keys).agg(F.median(value).alias(name))
+    if hot is None:
+        return out
+    cut = chunked(hot.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, [value])
     placed = running(cut, keys, [value], {"_upto": F.col("_n")})
     total = cut.groupBy(*(F.col(k).alias(f"_r_{k}") for k in keys)).agg(F.sum("_n").alias("_total"))
-    same = reduce(lambda a, b: a & b, [placed[k].eqNullSafe(total[f"_r_{k}"]) for k in keys])
-    both = placed.join(total, same).drop(*(f"_r_{k}" for k in keys))
+    both = placed.join(total, _same(placed, total, keys, "_r_")).drop(*(f"_r_{k}" for k in keys))
     low, high = F.expr("(_total + 1) div 2"), F.expr("_total div 2 + 1")
     covers = lambda place: (F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place)
-    return both.filter(covers(low) | covers(high)).groupBy(*keys).agg(F.avg(value).alias(name))
+    return out.unionByName(both.filter(covers(low) | covers(high)).groupBy(*keys).agg(F.avg(value).alias(name)))
 
 
 def ends(df: DataFrame, keys: list[str], order: list[str], first: dict[str, str], last: dict[str, str]) -> DataFrame:
@@ -179,5 +240,4 @@ def ends(df: DataFrame, keys: list[str], order: list[str], first: dict[str, str]
     found = df.groupBy(*(F.col(k).alias(f"_r_{k}") for k in keys)).agg(
         *(F.min_by(c, place).alias(n) for n, c in first.items()),
         *(F.max_by(c, place).alias(n) for n, c in last.items()))
-    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(found[f"_r_{k}"]) for k in keys])
-    return df.join(found, same).drop(*(f"_r_{k}" for k in keys))
+    return df.join(found, _same(df, found, keys, "_r_")).drop(*(f"_r_{k}" for k in keys))

@@ -320,12 +320,11 @@ _EVENT_ORDER = ["ts", "event_id"]
       CAST(sum(CAST(value AS DECIMAL(12,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS so_far
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def ordered_position_neighbours(spark, sf):
-    """row_number, lag, lead and a running sum, with hot keys cut into chunks."""
+    """row_number, lag, lead and a running sum per user."""
     events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    cut = ordered.chunked(events, ["user_id"], _EVENT_ORDER)
-    near = ordered.neighbours(cut, ["user_id"], _EVENT_ORDER, {"before": "event_type"}, {"after": "event_type"})
-    summed = ordered.running(near, ["user_id"], _EVENT_ORDER, {
-        "position": F.lit(1), "so_far": F.col("value").cast("decimal(12,2)")})
+    summed = ordered.by_order(
+        events, ["user_id"], _EVENT_ORDER, {"position": F.lit(1), "so_far": F.col("value").cast("decimal(12,2)")},
+        previous={"before": "event_type"}, following={"after": "event_type"})
     return summed.select("event_id", "user_id", F.col("position").cast("bigint").alias("position"), "before", "after",
                          F.col("so_far").cast("double").alias("so_far"))
 
@@ -335,9 +334,23 @@ def ordered_position_neighbours(spark, sf):
       rank() OVER w AS rank, dense_rank() OVER w AS dense_rank FROM lineitem
     WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity)""")
 def ordered_ranks(spark, sf):
-    """Three keys hold all rows; ties are counted before anything is ordered."""
+    """Three keys hold all rows, so they count as hot: ties are counted before anything is ordered."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
-    return ordered.ranks(lines, ["l_returnflag"], "l_quantity")
+    return ordered.ranks(lines, ["l_returnflag"], "l_quantity", hot_rows=10_000)
+
+
+@suite.add("""
+    SELECT event_id, event_type, row_number() OVER w AS position, lag(value) OVER w AS before, lead(user_id) OVER w AS after,
+      CAST(sum(CAST(value AS DECIMAL(12,2))) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS so_far
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
+def ordered_hot_keys(spark, sf):
+    """The same per event type: five keys hold all rows and are cut into chunks."""
+    events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    summed = ordered.by_order(
+        events, ["event_type"], _EVENT_ORDER, {"position": F.lit(1), "so_far": F.col("value").cast("decimal(12,2)")},
+        previous={"before": "value"}, following={"after": "user_id"}, hot_rows=1000)
+    return summed.select("event_id", "event_type", F.col("position").cast("bigint").alias("position"), "before", "after",
+                         F.col("so_far").cast("double").alias("so_far"))
 
 
 @suite.add("""
@@ -349,6 +362,14 @@ def ordered_trailing_day(spark, sf):
     return out.withColumns({"n": F.col("n").cast("bigint"), "total": F.col("total").cast("double")})
 
 
+@suite.add("""
+    SELECT event_id, event_type, count(*) OVER w AS n FROM events
+    WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)""")
+def ordered_trailing_hot_keys(spark, sf):
+    return ordered.trailing(table(spark, sf, "events"), ["event_type"], "ts", "event_id", "6 HOURS", {"n": F.lit(1)},
+                            hot_rows=1000).withColumn("n", F.col("n").cast("bigint"))
+
+
 @suite.add("""
     SELECT event_id, user_id, first_value(event_type) OVER w AS first_type, last_value(value) OVER w AS last_value FROM events
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
@@ -360,7 +381,7 @@ def ordered_first_last(spark, sf):
 
 @suite.add("SELECT l_returnflag, CAST(median(l_extendedprice) AS DOUBLE) AS median FROM lineitem GROUP BY l_returnflag")
 def ordered_median(spark, sf):
-    return ordered.exact_median(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return ordered.exact_median(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", hot_rows=10_000)
 
 
 @suite.add("""

@@ -138,11 +138,12 @@ def chain(n, step=1):
     (lambda r: (r[5].__setitem__(1, "x"), r[9].__setitem__(3, "{}")), (False, 5, 16, "prev_hash mismatch")),
     (lambda r: (r[5].__setitem__(0, r[6][0]), r[6].__setitem__(0, 16)), (False, 5, 16, "prev_hash mismatch")),
 ])
-def test_one_long_chain(spark, break_it, expected):
+@pytest.mark.parametrize("hot_rows", [100, 10_000])
+def test_one_long_chain(spark, break_it, expected, hot_rows):
     rows = chain(2000, step=3)
     break_it(rows)
     df = spark.createDataFrame(rows, "seq bigint, prev_hash string, row_hash string, canonical string").repartition(6)
-    assert tuple(audit.verify(df).first()) == expected
+    assert tuple(audit.verify(df, hot_rows=hot_rows).first()) == expected
 
 
 def test_canonical_row(spark):

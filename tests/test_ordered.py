@@ -40,33 +40,37 @@ def test_chunks_follow_order_and_split_hot_keys(data):
     assert all(keyed(a["hi"]) < keyed(b["lo"]) for a, b in zip(bounds, bounds[1:]))
 
 
-def test_running(data):
+@pytest.mark.parametrize("hot", [0, 30, 10_000])
+def test_running(data, hot):
     df, pdf = data
-    out = by_id(ordered.running(ordered.chunked(df, ["k"], ORDER), ["k"], ORDER, {"n": F.lit(1), "s": F.col("v")}), "n", "s")
+    out = by_id(ordered.by_order(df, ["k"], ORDER, {"n": F.lit(1), "s": F.col("v")}, hot_rows=hot), "n", "s")
     n = pdf.groupby("k").cumcount() + 1
     s = pdf["v"].fillna(0).groupby(pdf["k"]).cumsum()
     assert out == {i: (a, int(b)) for i, a, b in zip(pdf["id"], n, s)}
 
 
-def test_neighbours(data):
+@pytest.mark.parametrize("hot", [0, 30, 10_000])
+def test_neighbours(data, hot):
     df, pdf = data
-    out = by_id(ordered.neighbours(ordered.chunked(df, ["k"], ORDER), ["k"], ORDER, {"before": "v"}, {"after": "id"}), "before", "after")
+    out = by_id(ordered.by_order(df, ["k"], ORDER, previous={"before": "v"}, following={"after": "id"}, hot_rows=hot), "before", "after")
     clean = lambda x: None if pd.isna(x) else int(x)
     expected = {i: (clean(a), clean(b)) for i, a, b in zip(pdf["id"], pdf.groupby("k")["v"].shift(1), pdf.groupby("k")["id"].shift(-1))}
     assert out == expected
 
 
-def test_ranks(data):
+@pytest.mark.parametrize("hot", [0, 30, 10_000])
+def test_ranks(data, hot):
     df, pdf = data
-    out = by_id(ordered.ranks(df, ["k"], "at"), "rank", "dense_rank")
+    out = by_id(ordered.ranks(df, ["k"], "at", hot_rows=hot), "rank", "dense_rank")
     rank, dense = pdf.groupby("k")["at"].rank("min"), pdf.groupby("k")["at"].rank("dense")
     assert out == {i: (int(a), int(b)) for i, a, b in zip(pdf["id"], rank, dense)}
 
 
-def test_trailing(spark, data):
+@pytest.mark.parametrize("hot", [0, 30, 10_000])
+def test_trailing(spark, data, hot):
     df, pdf = data
     timed = df.withColumn("t", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(at)"))
-    out = by_id(ordered.trailing(timed, ["k"], "t", "id", "3 DAYS", {"n": F.lit(1), "s": F.col("v")}), "n", "s")
+    out = by_id(ordered.trailing(timed, ["k"], "t", "id", "3 DAYS", {"n": F.lit(1), "s": F.col("v")}, hot_rows=hot), "n", "s")
     expected = {}
     for _, group in pdf.groupby("k"):
         for i, at in zip(group["id"], group["at"]):
@@ -80,8 +84,9 @@ def test_ends_and_median(data):
     out = by_id(ordered.ends(df, ["k"], ORDER, {"first": "id"}, {"last": "id"}), "first", "last")
     firsts, lasts = pdf.groupby("k")["id"].transform("first"), pdf.groupby("k")["id"].transform("last")
     assert out == {i: (a, b) for i, a, b in zip(pdf["id"], firsts, lasts)}
-    medians = {r["k"] or "~": r["median"] for r in ordered.exact_median(df, ["k"], "v").collect()}
-    assert medians == pdf.dropna().groupby("k")["v"].median().to_dict()
+    for hot in (0, 30, 10_000):
+        medians = {r["k"] or "~": r["median"] for r in ordered.exact_median(df, ["k"], "v", hot_rows=hot).collect()}
+        assert medians == pdf.dropna().groupby("k")["v"].median().to_dict()
 
 
 def test_hot_key_is_spread(spark):
