@@ -18,7 +18,7 @@ from millrace.suite import everything
 
 # One or two queries per operator family.
 HEADLINE = """prepare_join_group rename_cast_fill dedupe_subset join_inner join_hot_keys group_aggregates stack_by_name
-    split_rest sample_fraction top_values latest_per_key ordered_position_neighbours ordered_ranks ordered_trailing_day
+    split_rest sample_fraction top_values latest_per_key ordered_position_neighbours ordered_hot_keys ordered_trailing_day
     profile_summary sql_semi_anti sql_rollup sql_aggregates sql_text lineage_staleness lineage_upstream label_floors
     event_tail_stream pii_redact guard_json_shape prompt_render answer_shared_requests search_documents ledger_cost
     usage_by_day budget_status budget_crossing budget_replay audit_verify retention_kept""".split()
