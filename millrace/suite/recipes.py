@@ -107,7 +107,6 @@ def expression_arithmetic(spark, sf):
       flag != 'A' AS not_a, count(*) AS n FROM x GROUP BY l_quantity, flag""")
 def expression_logic(spark, sf):
     df = table(spark, sf, "lineitem").withColumn("flag", F.nullif("l_returnflag", F.lit("N")))
-    q, flag = e.col(df, "l_quantity"), e.col(df, "flag")
     counted = df.groupBy("l_quantity", "flag").agg(F.count("*").alias("n"))
     q, flag = F.col("l_quantity"), F.col("flag")
     return counted.select(

@@ -2,7 +2,6 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from millrace.errors import InvalidInput
 from millrace.functions import expressions as e

@@ -1,10 +1,8 @@
-import io
 import json
 import os
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from millrace.errors import InvalidInput, PolicyBlocked
 from millrace.operators.code_step import code_step, map_batches
