@@ -52,7 +52,7 @@ def differences(df, con, sql: str) -> list[str]:
 
 def main() -> int:
     from millrace.session import build_session
-    from millrace.suite import everything
+    from __spark_entry__ import everything
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
