@@ -24,8 +24,6 @@ from millrace.session import checkpointed
 BLOCK = 64
 # Blocks of a shard of the output.
 SHARD = 8192
-# Documents that one window orders.
-CHUNK_DOCS = 20_000
 SEED = 11
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,7 +90,7 @@ def shard_counts(dealt: list[int], shard: int, seed: int, size: int = SHARD) ->
 
 def plan(docs: DataFrame, text: str = "text", source: str = "source", order: str = "doc_id", share: float = 1.5,
          most: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), keep: list[str] | None = None,
-         chunk_docs: int = CHUNK_DOCS, seed: int = SEED) -> Mix:
+         seed: int = SEED) -> Mix:
     """Sizes, targets and the place of every document in its source's stream of words.
 
     Sources by code point, null last, take `weights` in turn. Null and empty texts have no words; they stand in
@@ -111,7 +109,8 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", order: str
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, most)
     spark = docs.sparkSession
     numbers = spark.createDataFrame([(i, r["name"]) for i, r in enumerate(rows)], T.StructType([T.StructField("no", T.IntegerType()), T.StructField("name", docs.schema[source].dataType)]))
-    chunks = max(1, -(-sum(r["docs"] for r in rows) // chunk_docs))
+    # A hot source has as many chunks as a chunk has rows of it, so neither window outgrows the root of the rows.
+    chunks = max(1, math.isqrt(sum(r["docs"] for r in rows)))
     placed = sized.join(F.broadcast(numbers) if len(rows) < 10_000 else numbers, sized[source].eqNullSafe(numbers["name"])).drop("name") \
         .withColumnRenamed("no", names["source_no"]).withColumn(names["chunk"], F.pmod(names["mark"], F.lit(chunks)))
     keys = [names["source_no"], names["chunk"]]
@@ -174,7 +173,8 @@ def mixed(mix: Mix, text: str | None = None) -> DataFrame:
     Blocks and slots meet by (source, number); keys are spread evenly, whatever a source's share of the rows.
     An empty table gives no rows.
     """
-    return slots(mix, mix.packed.sparkSession).join(pieces(mix.packed, text), ["_source_no", "block"])
+    # Spark can't see how many slots a shard makes, so it would take them for a small table to broadcast.
+    return slots(mix, mix.packed.sparkSession).hint("shuffle_merge").join(pieces(mix.packed, text), ["_source_no", "block"])
 
 
 def taken(mix: Mix, columns: list[str]) -> DataFrame:
