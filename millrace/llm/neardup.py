@@ -7,9 +7,12 @@ large group of copies is still told by it. Each of BANDS * ROWS consistent sampl
 with the probability of their weighted Jaccard similarity; texts that agree on all samples of a band are
 candidates, and the similarity itself decides.
 
-Exact copies are one node from the start. In a bucket every node is held against two pivots first. Components
-of those links are found, and then nodes of a bucket that are still in different components are held against
-each other, so no link between candidates is lost, and a large group of copies costs a few comparisons a node.
+Exact copies are one node from the start. In a bucket every node is held against two pivots first. Buckets that
+still hold several components are narrowed by a further band, where nodes are closer to one another, and again
+every node meets the pivots of its narrower buckets. At last the nodes of a bucket that are in different
+components are compared by sketches of SKETCH_BITS bits, and by text where the sketches allow THRESHOLD, so no
+link between classes is lost beyond what sampling misses (a few in 10^5 at the threshold itself); a large group
+of copies is one component long before that, and costs a few comparisons a node.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from millrace.session import checkpointed, stored
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 COMMON, RARE_TO_COMMON = 0.01, 0.85
+# Offsets of the further bands that narrow an unsettled bucket, round by round.
+REFINE = [(1, 2, 3, 4), (5, 6, 7, 8, 9, 10)]
 # The sketch of document frequencies: DEPTH rows of WIDTH counters.
 WIDTH, DEPTH, BLOCKS = 1 << 18, 2, 16
 
@@ -36,6 +41,11 @@ _LNC = np.log(_RNG.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
 _BETA = _RNG.random(1 << 16, dtype=np.float32)
 _UNIT = _LNC - _R * (1 - _BETA)  # the score of a shingle of weight 1
 _KEYS = _RNG.integers(1, 1 << 63, _SAMPLES // 4, dtype=np.uint64)
+# More samples, of which one bit each is kept, to tell pairs well below THRESHOLD without their texts.
+_SKETCH_KEYS = _RNG.integers(1, 1 << 63, 512, dtype=np.uint64)
+SKETCH_BITS = 4 * len(_SKETCH_KEYS)
+# A pair at THRESHOLD differs in a tenth of the bits; more than 4.5 standard deviations above that is further off.
+SKETCH_MOST = int(SKETCH_BITS * ((1 - THRESHOLD) / 2 + 4.5 * (0.09 / SKETCH_BITS) ** 0.5))
 _BAND_KEYS = _RNG.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -114,30 +124,40 @@ class Weights:
         return idf * (1 + np.log(tf, dtype=np.float32)) if tf.size and tf.max() > 1 else idf
 
 
-def samples(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Identities of the consistent samples of a weighted set, in the order of their numbers."""
-    best = np.full(_SAMPLES, np.inf, dtype=np.float32)
-    chosen, level = np.zeros(_SAMPLES, dtype=np.uint64), np.zeros(_SAMPLES, dtype=np.float32)
-    for at in range(0, len(h), 8192):
-        part, lnw = h[at : at + 8192], np.log(weight[at : at + 8192])
-        x = (part[:, None] ^ _KEYS[None, :]) * np.uint64(0x9FB21C651E98DF25)
+def samples(h: np.ndarray, weight: np.ndarray, keys: np.ndarray = _KEYS) -> np.ndarray:
+    """Identities of the consistent samples of a weighted set, four for each key."""
+    n = 4 * len(keys)
+    best = np.full(n, np.inf, dtype=np.float32)
+    chosen, level, every = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.float32), np.arange(n)
+    step = max(1, (1 << 20) // n)
+    for at in range(0, len(h), step):
+        part, lnw = h[at : at + step], np.log(weight[at : at + step])
+        x = (part[:, None] ^ keys[None, :]) * np.uint64(0x9FB21C651E98DF25)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC13FA9A902A6328F)
         draw = (x ^ (x >> np.uint64(32))).view(np.uint16)
         score = _UNIT[draw]
+        t = np.zeros((len(part), 1), dtype=np.float32)
         other = np.flatnonzero(lnw)
-        t = np.zeros((0, _SAMPLES), dtype=np.float32)
         if len(other):
             u, ln = draw[other], lnw[other][:, None]
-            t = np.floor(ln / _R[u] + _BETA[u])
-            score[other] = _LNC[u] - _R[u] * (t - _BETA[u] + 1)
+            t = np.zeros(score.shape, dtype=np.float32)
+            t[other] = np.floor(ln / _R[u] + _BETA[u])
+            score[other] = _LNC[u] - _R[u] * (t[other] - _BETA[u] + 1)
         j = score.argmin(axis=0)
-        least = score[j, np.arange(_SAMPLES)]
-        better = least < best
-        place = np.full(len(part), -1)
-        place[other] = np.arange(len(other))
-        steps = np.where(place[j] >= 0, t[place[j], np.arange(_SAMPLES)], 0) if len(other) else np.zeros(_SAMPLES, dtype=np.float32)
-        best, chosen, level = np.where(better, least, best), np.where(better, part[j], chosen), np.where(better, steps, level)
-    return mix(chosen + level.astype(np.int64).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.arange(_SAMPLES, dtype=np.uint64))
+        better = score[j, every] < best
+        best = np.where(better, score[j, every], best)
+        chosen = np.where(better, part[j], chosen)
+        level = np.where(better, t[j, every % t.shape[1]], level)
+    return mix(chosen + level.astype(np.int64).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + every.astype(np.uint64))
+
+
+class _Sketches:
+    def __init__(self, weights):
+        self.weights = weights
+
+    def __call__(self, column):
+        bits = [samples(h, self.weights.value(h, tf), _SKETCH_KEYS) & np.uint64(1) for h, tf in shingles(column)]
+        return [pa.array([np.packbits(b.astype(np.uint8)).view(np.int64) for b in bits], pa.list_(pa.int64()))]
 
 
 class _Signatures:
@@ -196,45 +216,68 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
                       [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("weight", T.DoubleType())], "s", keep=["id", "node"])
     rows = checkpointed(signed.select("id", "node", "s.bands", "s.weight"))
     nodes = rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("weight").alias("weight"))
-    spread = nodes.select("node", "weight", F.posexplode("bands").alias("band", "key"))
-    buckets = spread.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
-    members = checkpointed(spread.join(buckets, ["band", "key"]))
-    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    star = members.select(F.explode(F.array(pair(F.col("node"), F.col("low")), pair(F.col("node"), F.col("high")))).alias("p")) \
-        .select("p.*").filter("a != b").distinct()
+    spread = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = spread.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
+    members = checkpointed(spread.join(shared, ["band", "key"]))
     some = members.select("node").distinct()
     texts = checkpointed(slim.select(node_of(F.col("text")).alias("node"), "text").join(some, "node", "left_semi").dropDuplicates(["node"]))
+    signatures = checkpointed(nodes.join(some, "node", "left_semi"))
+    empty = spark.createDataFrame([], T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]))
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, int]:
         a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         return stored(_similar(pairs.join(a, "a").join(b, "b"), weights))
 
-    links, n = verified(star)
+    def labelled(links: DataFrame, n: int) -> DataFrame:
+        if not n:
+            return members.withColumn("label", F.col("node"))
+        return members.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def unsettled(known: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components."""
+        several = known.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("band", "key")
+        return checkpointed(known.join(several, ["band", "key"]).select("band", "key", "node", "label"))
+
+    links, n = verified(_pairs(members.select("node", F.explode(F.array("low", "high")).alias("pivot"))))
+    for offsets in REFINE:
+        closer = unsettled(labelled(links, n)).join(signatures, "node").select("node", "label", "band", "key", F.explode(F.array(*(
+            F.struct(F.lit(o).alias("offset"), F.element_at("bands", ((F.col("band") + o) % BANDS + 1).cast("int")).alias("more")) for o in offsets))).alias("x")).select("*", "x.*").drop("x")
+        keys = ["band", "key", "offset", "more"]
+        who = F.struct("node", "label")
+        pivots = closer.groupBy(*keys).agg(F.min(who).alias("low"), F.max(who).alias("high")).filter("low.node != high.node")
+        met = closer.join(pivots, keys).select("node", "label", F.explode(F.array("low", "high")).alias("p")).filter("label != p.label")
+        found, m = verified(_pairs(met.select("node", F.col("p.node").alias("pivot"))))
+        links, n = links.unionByName(found), n + m
+    left = unsettled(labelled(links, n))
+    sketched = per_text(texts.join(left.select("node").distinct(), "node", "left_semi"), "text", _Sketches(weights),
+                        [T.StructField("bits", T.ArrayType(T.LongType()))], "s", keep=["node"])
+    held = signatures.join(checkpointed(sketched.select("node", "s.bits")), "node")
+    x = left.join(held, "node").select("band", "key", F.struct("node", "label", "weight", "bands", "bits").alias("x"))
+    y = x.withColumnRenamed("x", "y")
+    differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    first = F.aggregate(F.sequence(F.lit(0), F.lit(BANDS - 1)), F.lit(BANDS), lambda acc, i: F.when((acc == BANDS) & (F.element_at("x.bands", i + 1) == F.element_at("y.bands", i + 1)), i).otherwise(acc))
+    met = x.join(y, ["band", "key"]).filter(
+        (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+        & (F.least("x.weight", "y.weight") >= (THRESHOLD - 1e-6) * F.greatest("x.weight", "y.weight"))
+        & (differ <= SKETCH_MOST) & (first == F.col("band")))
+    found, m = verified(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    links, n = links.unionByName(found), n + m
     if n:
         labels = components(links)
-        known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        links = links.distinct()
     else:
-        labels = spark.createDataFrame([], T.StructType([T.StructField("node", T.BinaryType()), T.StructField("label", T.BinaryType())]))
-        known = members.withColumn("label", F.col("node"))
-    open_ = known.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("band", "key")
-    # The pivots have met everyone in their bucket.
-    rest = checkpointed(known.join(open_, ["band", "key"]).filter("node != low AND node != high").select("band", "key", "node", "label", "weight"))
-    x, y = (rest.withColumnsRenamed({c: f"{c}_{s}" for c in ("node", "label", "weight")}) for s in "xy")
-    met = x.join(y, ["band", "key"]).filter(
-        (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y"))
-        & (F.least("weight_x", "weight_y") >= (THRESHOLD - 1e-6) * F.greatest("weight_x", "weight_y"))
-    ).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    more, m = verified(met)
-    if m:
-        links = links.unionByName(more)
-        labels = components(links)
+        links, labels = empty, empty.select(F.col("a").alias("node"), F.col("b").alias("label"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    of = labels.join(degree, "node", "left") if n + m else labels.withColumn("n_links", F.lit(0).cast("long"))
-    named = checkpointed(rows.select("id", "node").join(of, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    named = checkpointed(rows.select("id", "node").join(labels.join(degree, "node", "left"), "node", "left").withColumn("label", F.coalesce("label", "node")))
     least = named.groupBy("label").agg(F.min("id").alias("class_id"))
     return named.join(least, "label").select(F.col("id").alias(id_col), "node", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "class_id")
 
 
+def _pairs(held: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of a table (node, pivot)."""
+    return held.filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
 def survivors(docs: DataFrame, classes: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs`, one per class: that of the smallest id (nulls last); between rows of one id, that of
     the smallest text identity, once."""
