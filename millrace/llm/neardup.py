@@ -129,25 +129,28 @@ def samples(h: np.ndarray, weight: np.ndarray, keys: np.ndarray = _KEYS) -> np.n
     n = 4 * len(keys)
     best = np.full(n, np.inf, dtype=np.float32)
     chosen, level, every = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.float32), np.arange(n)
-    step = max(1, (1 << 20) // n)
+    step = max(1, (1 << 18) // n)
     for at in range(0, len(h), step):
         part, lnw = h[at : at + step], np.log(weight[at : at + step])
-        x = (part[:, None] ^ keys[None, :]) * np.uint64(0x9FB21C651E98DF25)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC13FA9A902A6328F)
-        draw = (x ^ (x >> np.uint64(32))).view(np.uint16)
-        score = _UNIT[draw]
-        t = np.zeros((len(part), 1), dtype=np.float32)
+        x = (keys[:, None] ^ part[None, :]) * np.uint64(0x9FB21C651E98DF25)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xC13FA9A902A6328F)
+        x ^= x >> np.uint64(32)
+        # One row per sample, so that the least score of a row is found in adjacent memory.
+        draw = np.ascontiguousarray(x.view(np.uint16).reshape(len(keys), len(part), 4).transpose(2, 0, 1)).reshape(n, len(part))
+        score, t = _UNIT[draw], None
         other = np.flatnonzero(lnw)
         if len(other):
-            u, ln = draw[other], lnw[other][:, None]
+            u, ln = draw[:, other], lnw[other]
             t = np.zeros(score.shape, dtype=np.float32)
-            t[other] = np.floor(ln / _R[u] + _BETA[u])
-            score[other] = _LNC[u] - _R[u] * (t[other] - _BETA[u] + 1)
-        j = score.argmin(axis=0)
-        better = score[j, every] < best
-        best = np.where(better, score[j, every], best)
+            t[:, other] = np.floor(ln / _R[u] + _BETA[u])
+            score[:, other] = _LNC[u] - _R[u] * (t[:, other] - _BETA[u] + 1)
+        j = score.argmin(axis=1)
+        least = score[every, j]
+        better = least < best
+        best = np.where(better, least, best)
         chosen = np.where(better, part[j], chosen)
-        level = np.where(better, t[j, every % t.shape[1]], level)
+        level = np.where(better, 0 if t is None else t[every, j], level)
     return mix(chosen + level.astype(np.int64).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + every.astype(np.uint64))
 
 
