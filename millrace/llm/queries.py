@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, mixing, neardup, pseudonyms, quality
+from millrace.llm import decontaminate, languages, mixing, neardup, ngrams, pseudonyms, quality, revisits, substrings, tokencount
 from millrace.suite import Suite, table
 
 suite = Suite()
@@ -27,6 +27,25 @@ def op2_pseudonyms(spark, sf):
     return pseudonyms.pseudonymise(table(spark, sf, "documents"), "found", key_of(spark), keep=["doc_id"]).select("doc_id", "found.*")
 
 
+@suite.add()
+def op3_languages(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = languages.held_out(F.col("doc_id"), 3)
+    trees = languages.train(docs.filter(~out))
+    found = languages.predict(docs.select("doc_id", "text"), trees, "found", keep=["doc_id"])
+    return found.select("doc_id", out.alias("held_out"), "found.*")
+
+
+@suite.add()
+def op4_lm_scores(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = languages.held_out(F.col("doc_id"), 5)
+    model = ngrams.train(docs.filter(~out))
+    scored = ngrams.score(docs, model, "scored", keep=["doc_id"])
+    return scored.select("doc_id", out.alias("held_out"), F.col("scored.n_tokens").alias("n_tokens"), F.col("scored.n_known").alias("n_known"),
+                         F.lit(model.level.tokens).cast("long").alias("train_tokens"), "scored.base_score", "scored.score")
+
+
 @suite.add(rf"""
     WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
     b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -44,6 +63,63 @@ def op5_decontaminate(spark, sf):
     return found.select("doc_id", *decontaminate.verdict("found"))
 
 
+def captures(pages):
+    """Archive records of every page: a full response, for some another one later or a failed one, and a revisit."""
+    html, p = F.coalesce("html", F.lit("")), F.col("page_id")
+    tag, day = F.md5(html), F.concat(F.lit("day "), (p % 5).cast("string"))
+    entry = lambda name, value: F.struct(F.lit(name).alias("key"), value.cast("string").alias("value"))
+    record = lambda n, kind, status, url, at, *headers: F.struct(
+        (p * 4 + n).alias("record_id"), F.lit(kind).alias("kind"), F.lit(status).alias("status"), url.alias("url"), at.alias("at"),
+        F.map_from_entries(F.filter(F.array(*headers), lambda e: e["value"].isNotNull())).alias("headers"))
+    url, length = F.col("url"), F.octet_length(html)
+    first = record(0, "response", 200, url, p * 10, entry("ETag", F.when(p % 7 != 0, tag)), entry("Last-Modified", day), entry("Content-Length", length), entry("Cache-Control", p % 3))
+    second = record(1, "response", 200, F.concat(url, F.lit("#again")), p * 10 + 1000, entry("etag", F.concat(tag, F.lit("b"))), entry("Content-Length", length + 1), entry("X-Crawl", F.lit("2")))
+    failed = record(2, "response", 503, url, p * 10 + 1500, entry("Retry-After", F.lit("9")))
+    asked = record(3, "revisit", 304, F.when(p % 11 != 0, url), p * 10 + F.when(p % 13 == 0, -5).otherwise(F.when(p % 2 == 0, 500).otherwise(2000)),
+                   entry("ETag", F.when(p % 17 != 0, F.concat(F.when(p % 4 == 3, F.lit("W/")).otherwise(F.lit("")), tag, F.when((p % 3 == 0) & (p % 2 == 1), F.lit("b")).otherwise(F.lit(""))))),
+                   entry("Last-Modified", F.when(p % 19 != 0, day)), entry("Content-Length", F.lit("0")), entry("Cache-Control", p % 4))
+    some = F.filter(F.array(first, F.when(p % 3 == 0, second), F.when(p % 5 == 0, failed), asked), lambda r: r.isNotNull())
+    return pages.select(F.explode(some).alias("r")).select("r.*")
+
+
+@suite.add(r"""
+    WITH made AS (SELECT page_id AS p, url, coalesce(html, '') AS html FROM pages),
+    facts AS (SELECT p, url, md5(html) AS tag, 'day ' || (p % 5) AS day, strlen(html) AS n FROM made),
+    r AS (SELECT p * 4 AS id, url, p * 10 AS at, CASE WHEN p % 7 <> 0 THEN tag END AS etag, day AS modified, CAST(n AS VARCHAR) AS length, CAST(p % 3 AS VARCHAR) AS cache, NULL AS crawl FROM facts
+          UNION ALL SELECT p * 4 + 1, url, p * 10 + 1000, tag || 'b', NULL, CAST(n + 1 AS VARCHAR), NULL, '2' FROM facts WHERE p % 3 = 0),
+    v AS (SELECT p * 4 + 3 AS id, CASE WHEN p % 11 <> 0 THEN url END AS url, p * 10 + CASE WHEN p % 13 = 0 THEN -5 WHEN p % 2 = 0 THEN 500 ELSE 2000 END AS at,
+                 CASE WHEN p % 17 <> 0 THEN (CASE WHEN p % 4 = 3 THEN 'W/' ELSE '' END) || tag || (CASE WHEN p % 3 = 0 AND p % 2 = 1 THEN 'b' ELSE '' END) END AS etag,
+                 CASE WHEN p % 19 <> 0 THEN day END AS modified, CAST(p % 4 AS VARCHAR) AS cache FROM facts),
+    urls AS (SELECT DISTINCT url, regexp_replace(trim(url), '#.*$', '') AS u FROM (SELECT url FROM r UNION SELECT url FROM v)),
+    parts AS (SELECT url, u, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z]+://([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^www\.', '') AS host,
+                     regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+                     array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|fbclid|gclid)(=|$)'))), '&') AS query FROM urls),
+    names AS (SELECT url, CASE WHEN regexp_matches(u, '^(?i:https?)://[^/?]') THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS site FROM parts),
+    rs AS (SELECT r.*, site FROM r JOIN names USING (url) WHERE site IS NOT NULL),
+    vs AS (SELECT v.*, site FROM v LEFT JOIN names USING (url)),
+    latest AS (SELECT vs.id AS vid, max(struct_pack(a := rs.at, i := rs.id)) AS ref FROM vs JOIN rs ON vs.site = rs.site AND rs.at < vs.at GROUP BY vs.id),
+    paired AS (SELECT vs.id AS record_id, vs.site AS canonical, vs.at AS at, rs.id AS ref_id, regexp_replace(vs.etag, '^W/', '') AS a, regexp_replace(rs.etag, '^W/', '') AS b,
+                    vs.modified AS c, rs.modified AS d, vs.etag AS ve, vs.cache AS vc, rs.etag AS re, rs.length AS rl, rs.cache AS rc, rs.crawl AS rx
+             FROM vs LEFT JOIN latest ON vs.id = vid LEFT JOIN rs ON rs.id = ref.i),
+    judged AS (SELECT *, CASE WHEN ref_id IS NULL THEN 'orphan' WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN a = b THEN 'resolved' ELSE 'changed' END
+                              WHEN c IS NOT NULL AND d IS NOT NULL THEN CASE WHEN c = d THEN 'resolved' ELSE 'changed' END ELSE 'unverified' END AS verdict FROM paired)
+    SELECT record_id, canonical, "at", ref_id, verdict, CASE WHEN verdict = 'resolved'
+        THEN concat_ws(chr(10), 'cache-control: ' || coalesce(vc, rc), 'content-length: ' || rl, 'etag: ' || coalesce(ve, re), 'last-modified: ' || coalesce(c, d), 'x-crawl: ' || rx)
+        ELSE concat_ws(chr(10), 'cache-control: ' || vc, 'content-length: 0', 'etag: ' || ve, 'last-modified: ' || c) END AS headers
+    FROM judged""")
+def op6_revisits(spark, sf):
+    return revisits.resolve(captures(table(spark, sf, "pages"))).withColumn("headers", revisits.header_text(F.col("headers")))
+
+
+@suite.add()
+def op7_token_counts(spark, sf):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counted = tokencount.count_tokens(table(spark, sf, "documents").select("doc_id", "text"), "counted", path, keep=["doc_id"])
+    return counted.select("doc_id", "counted.*", (F.col("counted.n_tokens") > 4096).alias("over_limit"))
+
+
 @suite.add()
 def op8_quality(spark, sf):
     judged = quality.judge(table(spark, sf, "documents"), "judged", keep=["doc_id"])
@@ -55,6 +131,20 @@ def op9_neardup(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "documents")).drop("node")
 
 
+@suite.add(r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    starts AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+    earliest AS (SELECT x, min(doc_id) AS first FROM starts GROUP BY x HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM starts JOIN earliest USING (x) WHERE first < doc_id),
+    lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+           sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(ps, i)] END, ' ')) AS kept_sha256
+    FROM d LEFT JOIN lists USING (doc_id)""")
+def op10_substrings(spark, sf):
+    left = substrings.remove_repeats(table(spark, sf, "documents"), "left", keep=["doc_id"])
+    return left.select("doc_id", "left.n_words", "left.n_removed", "left.kept_sha256")
+
+
 @suite.add()
 def pipeline(spark, sf):
     import corpus_pipeline
