@@ -50,7 +50,7 @@ class Sequence:
             if self._zeros is None:
                 self._zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
             before = self._zeros
-        word = np.searchsorted(before, k, side="right") - 1
+        word = np.searchsorted(before, k.astype(before.dtype), side="right") - 1
         left = (k - before[word].astype(np.int64)).astype(np.uint64)
         bits = self.high[word] if bit else ~self.high[word]
         place = np.zeros(len(k), dtype=np.uint64)
@@ -85,13 +85,18 @@ class Sequence:
         if begin is not None:
             at, stop = np.maximum(at, begin), np.minimum(stop, end)
         low = x & np.uint64((1 << self.width) - 1)
+        last = stop.copy()
+        # Values of the same high bits stand in the order of their low bits; dense runs make them many.
         todo = np.flatnonzero(at < stop)
         while len(todo):
-            held = self._lows(at[todo])
-            out[todo[held == low[todo]]] = at[todo[held == low[todo]]]
-            todo = todo[held < low[todo]]
-            at[todo] += 1
+            middle = (at[todo] + stop[todo]) >> 1
+            less = self._lows(middle) < low[todo]
+            at[todo[less]] = middle[less] + 1
+            stop[todo[~less]] = middle[~less]
             todo = todo[at[todo] < stop[todo]]
+        some = np.flatnonzero(at < last)
+        same = some[self._lows(at[some]) == low[some]]
+        out[same] = at[same]
         return out
 
 

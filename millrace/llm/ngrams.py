@@ -25,7 +25,9 @@ from millrace.session import checkpointed, scratch_path
 
 HOT = 256
 # Tokens of text per shard; distinct entries are fewer.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 4_000_000
+# Bytes of text whose distinct words and pairs are looked up together.
+SLICE = 6 << 20
 # Log probabilities and weights are held in steps of RANGE / 65535.
 RANGE = 16.0
 
@@ -56,7 +58,7 @@ def _counted(docs: DataFrame, text: str, shards: int, find, shard_of) -> DataFra
     def run(batches):
         keys, n, held = [], [], 0
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 k, c = np.unique(find(Words(*text_arrays(part.column(0)), NOT_SPACE)), return_counts=True)
                 keys.append(k)
                 n.append(c.astype(np.int64))
@@ -369,4 +371,4 @@ def score(docs: DataFrame, model: Model, name: str, text: str = "text", keep: li
     """`docs` with a struct column `name`: n_tokens (the end included), n_known, base_score (of single words) and
     score, log10 probabilities of the whole text. Null and empty texts are an end alone. Only the places of the
     model's files travel with the tasks."""
-    return per_text(docs, text, _Score(docs.sparkSession.sparkContext.broadcast(model)), FIELDS, name, keep=keep)
+    return per_text(docs, text, _Score(docs.sparkSession.sparkContext.broadcast(model)), FIELDS, name, keep=keep, limit=SLICE)

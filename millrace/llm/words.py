@@ -146,7 +146,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
 
 
-def per_text(df: DataFrame, text: str, compute, fields: list[T.StructField], name: str, keep: list[str] | None = None) -> DataFrame:
+def per_text(df: DataFrame, text: str, compute, fields: list[T.StructField], name: str, keep: list[str] | None = None, limit: int = SLICE_BYTES) -> DataFrame:
     """The columns `keep` of `df` (all if None) and one struct column `name` of what `compute` says of each text.
 
     `compute(column)` gets a slice of the text column and returns one array per field. `name` must be new.
@@ -158,7 +158,7 @@ def per_text(df: DataFrame, text: str, compute, fields: list[T.StructField], nam
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, index):
+            for part in slices(batch, index, limit):
                 made = [a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a) for a in compute(part.column(index))]
                 struct = pa.StructArray.from_arrays(made, names=[f.name for f in fields])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), struct], names=[*kept, name])
