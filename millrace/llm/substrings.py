@@ -24,7 +24,7 @@ from millrace.session import checkpointed, stored
 
 WINDOW, GRAM = 50, 8
 # Contents of one minimizer that one shard takes, and contents per shard.
-HOT, SHARD = 1_000, 5_000
+HOT, SHARD = 20_000, 5_000
 
 _PLACE_BITS = np.uint64(24)
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
@@ -158,7 +158,9 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     after all others."""
     all_pieces = _tabled(docs, window, gram)
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"))
-    several = all_pieces.groupBy("mini").agg(F.min(order).alias("l"), F.max(order).alias("h")).filter("l < h").select("mini")
+    # Two ids, or one and a null, which is later. Written, so that the join can split a hot minimizer.
+    several = checkpointed(all_pieces.groupBy("mini").agg(F.min("id").alias("l"), F.max("id").alias("h"), F.count("id").alias("c"), F.count("*").alias("n"))
+                           .filter("l < h OR (c > 0 AND c < n)").select("mini"))
     shared = checkpointed(all_pieces.join(several, "mini", "left_semi"))
     contents = shared.groupBy("mini", "content").agg(F.min(order).alias("first"), F.min_by(F.struct("mark", "at", "n"), F.struct(order, "mark", "at")).alias("rep"))
     per_mini = contents.groupBy("mini").agg(F.count("*").alias("many"))
