@@ -171,15 +171,19 @@ class Counter(dict):
         return left + head, n, tail
 
 
+def _counter(held) -> Counter:
+    """What a Python worker has compiled so far; it serves all its tasks."""
+    if "counter" not in held.value:
+        held.value["counter"] = Counter(held.value["scores"])
+    return held.value["counter"]
+
+
 class _Count:
     def __init__(self, scores):
         self.scores = scores
 
     def __call__(self, column):
-        value = self.scores.value
-        if not isinstance(value.get("counter"), Counter):  # one per Python worker
-            value["counter"] = Counter(value["scores"])
-        counter = value["counter"]
+        counter = _counter(self.scores)
         return [pa.array([counter.text(x or "") for x in column.to_pylist()], pa.int64())]
 
 
@@ -210,7 +214,7 @@ def count_tokens(docs: DataFrame, name: str, model_path: str, text: str = "text"
 
     def scan(table: pa.Table) -> pa.Table:
         rows = sorted(table.select(["no", "head", "n", "tail"]).to_pylist(), key=lambda r: r["no"])
-        counter, total = Counter(held.value["scores"]), ("", 0, None)
+        counter, total = _counter(held), ("", 0, None)
         for r in rows:
             total = counter.compose(total, (r["head"], r["n"], r["tail"]))
         n = counter.inside(total[0]) + total[1] + (counter.inside(total[2]) if total[2] is not None else 0)
@@ -226,8 +230,5 @@ _MAP = [T.StructField("head", T.StringType()), T.StructField("n", T.LongType()),
 
 class _Maps(_Count):
     def __call__(self, column):
-        value = self.scores.value
-        if not isinstance(value.get("counter"), Counter):
-            value["counter"] = Counter(value["scores"])
-        maps = [value["counter"].state_map(x) for x in column.to_pylist()]
+        maps = [_counter(self.scores).state_map(x) for x in column.to_pylist()]
         return [pa.array([m[0] for m in maps], pa.string()), pa.array([m[1] for m in maps], pa.int64()), pa.array([m[2] for m in maps], pa.string())]
