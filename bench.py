@@ -21,7 +21,8 @@ HEADLINE = """prepare_join_group rename_cast_fill dedupe_subset join_inner join_
     split_rest sample_fraction top_values latest_per_key ordered_position_neighbours ordered_hot_keys ordered_trailing_day
     profile_summary sql_semi_anti sql_rollup sql_aggregates sql_text lineage_staleness lineage_upstream label_floors
     event_tail_stream pii_redact guard_json_shape prompt_render answer_shared_requests search_documents ledger_cost
-    usage_by_day budget_status budget_crossing budget_replay audit_verify retention_kept""".split()
+    usage_by_day budget_status budget_crossing budget_replay audit_verify retention_kept
+    ordered_median lineage_levels lineage_rebuild lineage_status versioned_sink pii_iban_checksum answer_rows""".split()
 
 
 def seconds(spark, query, sf_dir: str) -> float:

@@ -69,26 +69,3 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     for body in _FUNCTIONS:
         session.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {body}")
     return session
-
-
-def date_diff(unit: str, start: Column, stop: Column) -> Column:
-    """Boundaries of `unit` crossed between two times, as a Column."""
-    if unit not in _UNITS:
-        raise ValueError(f"unit must be one of {_UNITS}")
-    if unit in ("month", "quarter", "year"):
-        per_year = {"month": 12, "quarter": 4, "year": 1}[unit]
-        part = {"month": F.month, "quarter": F.quarter, "year": lambda c: F.lit(0)}[unit]
-        tick = lambda c: F.year(c) * per_year + part(c)
-        return (tick(stop) - tick(start)).cast("bigint")
-    if unit == "day":
-        return F.datediff(stop, start).cast("bigint")
-    if unit == "week":
-        week = lambda c: F.to_date(F.date_trunc("week", c))
-        return F.floor(F.datediff(week(stop), week(start)) / 7).cast("bigint")
-    size = {"second": 1, "minute": 60, "hour": 3600}[unit]
-    at = lambda c: F.unix_seconds(F.date_trunc(unit, c).cast("timestamp"))
-    return F.floor((at(stop) - at(start)) / size).cast("bigint")
-
-
-def json_text(column: Column, path: str) -> Column:
-    return F.get_json_object(column, path)

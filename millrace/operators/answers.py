@@ -37,7 +37,7 @@ def canonical_json(text: str) -> str:
     """Sorted, compact JSON; text that is not JSON stays as it is."""
     try:
         return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
-    except json.JSONDecodeError:
+    except (ValueError, RecursionError):  # also a number too long, or nesting too deep, to read
         return text
 
 

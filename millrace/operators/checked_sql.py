@@ -62,14 +62,22 @@ def _expressions(node):
 
 
 def _plan_nodes(plan):
-    """Every plan node of a SELECT, subqueries and CTE bodies included; anything else is refused."""
-    stack = [plan]
+    """Every plan node of a SELECT, subqueries and CTE bodies included, with the CTE names it may read; anything
+    else is refused. A CTE's body sees the names before it, not its own."""
+    stack = [(plan, frozenset())]
     while stack:
-        node = stack.pop()
-        if node.getClass().getSimpleName() not in _NODES:
+        node, visible = stack.pop()
+        kind = node.getClass().getSimpleName()
+        if kind not in _NODES:
             raise InvalidInput(f"{node.nodeName()} is not part of a SELECT over the inputs")
-        yield node
-        stack.extend([*_items(node.children()), *_items(node.innerChildren())])
+        yield node, visible
+        if kind == "UnresolvedWith":
+            for cte in _items(node.cteRelations()):
+                stack.append((cte._2(), visible))
+                visible |= {cte._1().lower()}
+        else:
+            stack.extend((inner, visible) for inner in _items(node.innerChildren()))
+        stack.extend((child, visible) for child in _items(node.children()))
 
 
 def _check_functions(node):
@@ -113,19 +121,13 @@ def check_sql(spark: SparkSession, query: str, inputs: list[str]) -> str:
         top = top.child()
     if top.getClass().getSimpleName() in _SET_OPERATIONS:
         raise InvalidInput("a set operation may not be the top-level statement")
-    nodes = list(_plan_nodes(plan))
-    named = {
-        cte._1().lower()
-        for node in nodes if node.getClass().getSimpleName() == "UnresolvedWith"
-        for cte in _items(node.cteRelations())
-    }
-    allowed = {name.lower() for name in inputs} | named
+    allowed = {name.lower() for name in inputs}
     edits: list[tuple[int, int, str]] = []
-    for node in nodes:
+    for node, visible in list(_plan_nodes(plan)):
         if node.getClass().getSimpleName() == "UnresolvedRelation":
             parts = _items(node.multipartIdentifier())
             schema = parts[0].lower() if len(parts) == 2 else ""
-            if len(parts) > 2 or schema not in SCHEMAS or parts[-1].lower() not in allowed:
+            if len(parts) > 2 or schema not in SCHEMAS or parts[-1].lower() not in (allowed if schema else allowed | visible):
                 raise InvalidInput(f"{'.'.join(parts)!r} is not an input of this step")
             if len(parts) == 2:
                 origin = node.origin()
@@ -173,7 +175,7 @@ def checked_expression(df: DataFrame, expression: str) -> Column:
         node = stack.pop()
         kind = node.getClass().getSimpleName()
         if kind in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LambdaFunction",
-                    "UnresolvedExtractValue", "UnresolvedStar"):
+                    "UnresolvedExtractValue", "UnresolvedStar", "WindowExpression", "UnresolvedWindowExpression"):
             raise InvalidInput(f"{kind} is not allowed in an expression")
         if kind == "UnresolvedFunction":
             parts = _items(node.nameParts())

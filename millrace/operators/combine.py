@@ -93,7 +93,7 @@ def sample(
         chosen = columns or [f.name for f in df.schema.fields if f.dataType.typeName() in _HASHED]
         draw = F.conv(F.substring(_fingerprint(df, chosen, seed), 1, 8), 16, 10).cast("bigint")
         return df.filter(draw < F.lit(int(fraction * 2**32)))
-    rows = n or DEFAULT_ROWS
+    rows = DEFAULT_ROWS if n is None else n
     if not 1 <= rows <= MAX_ROWS:
         raise InvalidInput(f"n must be between 1 and {MAX_ROWS}")
     return df.limit(rows)

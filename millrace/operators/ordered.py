@@ -94,7 +94,7 @@ def with_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
         lambda a, b: a & b,
         [df[k].eqNullSafe(renamed[f"_c_{k}"]) for k in [*keys, CHUNK]],
     )
-    return df.join(F.broadcast(renamed), condition, "left").drop(*(f"_c_{k}" for k in [*keys, CHUNK]))
+    return df.join(renamed, condition, "left").drop(*(f"_c_{k}" for k in [*keys, CHUNK]))
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column]) -> DataFrame:

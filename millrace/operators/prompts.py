@@ -32,7 +32,6 @@ SYSTEM = {
 OUTPUT = {"prompt": "llm_output", "classify": "label", "extract": "extracted", "summarize": "summary"}
 MAX_TOKENS = {"prompt": 512, "classify": 16, "extract": 512, "summarize": 256}
 CHARS_PER_TOKEN = 4
-ENCODING = "o200k_base"
 NON_CACHEABLE_PURPOSES = ("guardrail", "eval")
 
 
@@ -91,16 +90,9 @@ def render(df: DataFrame, prompt: Plan) -> Column:
     return F.concat(*parts)
 
 
-def classification_floor(columns: list[str], column_labels: dict[str, str], dataset_label: str) -> str:
-    """Strictest label over the columns a prompt sends; an unlabelled column takes the dataset's, and
-    an unknown label is the strictest of all."""
-    order = {label: i for i, label in enumerate(CLASSIFICATIONS)}
-    labels = [dataset_label, *(column_labels.get(c) or dataset_label for c in columns)]
-    return max(labels, key=lambda label: order.get(label or "none", len(order)))
-
-
 def floors(df: DataFrame, labels: str, dataset_label: str) -> Column:
-    """The same floor for a table of requests: an array column of column labels plus a dataset label."""
+    """Strictest label over the columns each request sends, for a table of requests: an array column of column
+    labels plus a dataset label, which an unlabelled column takes."""
     everyone = F.concat(F.array(F.col(dataset_label)),
                         F.transform(F.col(labels), lambda x: F.coalesce(x, F.col(dataset_label))))
     return strictest(everyone)
@@ -112,31 +104,6 @@ def estimate_tokens(text: Column) -> Column:
     return F.floor((size + CHARS_PER_TOKEN - 1) / CHARS_PER_TOKEN).cast("bigint")
 
 
-def _encoding_ready() -> bool:
-    try:
-        import tiktoken
-
-        tiktoken.get_encoding(ENCODING)
-        return True
-    except Exception:
-        return False
-
-
-def count_tokens(text: Column) -> Column:
-    """Tokens by the byte-pair encoding where its vocabulary is installed, else the estimate."""
-    if not _encoding_ready():
-        return estimate_tokens(text)
-
-    @F.pandas_udf("bigint")
-    def encoded(texts: pd.Series) -> pd.Series:
-        import tiktoken
-
-        encoder = tiktoken.get_encoding(ENCODING)
-        return texts.map(lambda t: len(encoder.encode(t, disallowed_special=())) if t else 0).astype("int64")
-
-    return encoded(text)
-
-
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\S+")).cast("bigint")
 

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.errors import InvalidInput
+
 # Query words used, default and longest result.
 MAX_WORDS = 8
 DEFAULT_LIMIT = 20
@@ -14,7 +16,10 @@ MAX_LIMIT = 50
 
 
 def query_words(query: str) -> list[str]:
-    return [w.lower() for w in re.findall(r"\w+", query)[:MAX_WORDS]]
+    words = [w.lower() for w in re.findall(r"\w+", query)]
+    if len(words) > MAX_WORDS:
+        raise InvalidInput(f"a query has at most {MAX_WORDS} words")
+    return words
 
 
 def _starts_a_word(word: str) -> str:
@@ -36,6 +41,8 @@ def search(refs: DataFrame, query: str, text: list[str], name: str = "name", lim
     see; objects without a project are open to all. Filters run before ranking, and the result is a
     distributed top-k.
     """
+    if not 1 <= limit <= MAX_LIMIT:
+        raise InvalidInput(f"the limit must be between 1 and {MAX_LIMIT}")
     words = query_words(query.strip())
     if not words:
         return refs.withColumn("rank", F.lit(0).cast("bigint")).limit(0)
@@ -50,7 +57,7 @@ def search(refs: DataFrame, query: str, text: list[str], name: str = "name", lim
     rank = reduce(lambda a, b: a + b, [F.regexp_count("_body", F.lit(_starts_a_word(w))) for w in words])
     return (
         found.withColumn("rank", rank.cast("bigint")).drop("_body")
-        .orderBy(F.col("rank").desc(), F.col(name)).limit(max(1, min(limit, MAX_LIMIT)))
+        .orderBy(F.col("rank").desc(), F.col(name)).limit(limit)
     )
 
 

@@ -20,18 +20,29 @@ from millrace.functions.expressions import col
 PREVIEW_ROWS = 50
 SAMPLE_DEFAULT, SAMPLE_MAX = 100, 1000
 
+_A_VALUE = re.compile(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?|\d{4}-\d{1,2}-\d{1,2}([ T].*)?|\d{1,2}[/.-]\d{1,2}[/.-]\d{4}|(?i:true|false)")
 _SMALL_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType)
 
 
+def _allowed(limit: int) -> int:
+    if not 1 <= limit <= SAMPLE_MAX:
+        raise InvalidInput(f"the limit must be between 1 and {SAMPLE_MAX}")
+    return limit
+
+
 def read_csv(spark: SparkSession, path: str, header: bool | None = None, schema: T.StructType | None = None) -> DataFrame:
     """CSV with types inferred from every row, or with a given schema and no inference pass.
 
-    Without `header`, the first line counts as one unless it holds a number. Integers become bigint.
+    Without `header`, the first line counts as one unless it holds a number, date or truth value. Integers
+    become bigint. Quoted fields may hold commas, doubled quotes and line breaks, so one file is one task's
+    work; a line with another number of fields than the first fails the read.
     """
+    quoted = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"')
     if header is None:
-        first = spark.read.csv(path).take(1)
-        header = bool(first) and not any(v and re.fullmatch(r"[-+]?\d+(\.\d+)?", v.strip()) for v in first[0])
-    reader = spark.read.option("header", header).option("enforceSchema", False)
+        first = quoted.csv(path).take(1)
+        header = bool(first) and not any(v and _A_VALUE.fullmatch(v.strip()) for v in first[0])
+    # Without pruning every field is read, so that none can be missing or left over unseen.
+    reader = quoted.option("header", header).option("enforceSchema", False).option("mode", "FAILFAST").option("columnPruning", False)
     if schema is not None:
         return reader.schema(schema).csv(path)
     df = reader.option("inferSchema", True).option("preferDate", True).option(
@@ -80,7 +91,7 @@ def json_value(value: Any) -> Any:
 
 def rows_as_json(df: DataFrame, limit: int) -> list[dict[str, Any]]:
     """At most SAMPLE_MAX rows, for display."""
-    return [{k: json_value(v) for k, v in row.asDict().items()} for row in df.take(min(limit, SAMPLE_MAX))]
+    return [{k: json_value(v) for k, v in row.asDict().items()} for row in df.take(_allowed(limit))]
 
 
 @dataclass(frozen=True)
@@ -128,7 +139,7 @@ def validate(spark: SparkSession, path: str, full: bool = False) -> tuple[T.Stru
 
 def sample_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
     """The first rows, in no order: 1 to 1000, 100 by default."""
-    return df.limit(max(1, min(limit or SAMPLE_DEFAULT, SAMPLE_MAX)))
+    return df.limit(_allowed(SAMPLE_DEFAULT if limit is None else limit))
 
 
 def finite(df: DataFrame) -> DataFrame:

@@ -91,9 +91,23 @@ def test_json_values(spark):
     assert files.finite(df).select("n", "i").first() == (None, None)
 
 
-def test_sample_clamps(spark):
-    assert files.sample_rows(spark.range(5000)).count() == 100
-    assert files.sample_rows(spark.range(5000), 9999).count() == 1000 and files.sample_rows(spark.range(50), -3).count() == 1
+def test_sample_limits(spark):
+    assert files.sample_rows(spark.range(5000)).count() == 100 and files.sample_rows(spark.range(5000), 1000).count() == 1000
+    for limit in (9999, 0, -3):
+        with pytest.raises(InvalidInput):
+            files.sample_rows(spark.range(50), limit)
+
+
+def test_csv_loses_nothing(spark, tmp_path):
+    (tmp_path / "quoted.csv").write_text('id,note\n1,"a, ""b"" \nc"\n2,plain\n')
+    rows = files.read_csv(spark, str(tmp_path / "quoted.csv")).collect()
+    assert [tuple(r) for r in rows] == [(1, 'a, "b" \nc'), (2, "plain")]
+    (tmp_path / "dates.csv").write_text("2024-01-15,x\n2024-01-16,y\n")
+    assert files.read_csv(spark, str(tmp_path / "dates.csv")).count() == 2
+    for ragged in ("a,b\n1,x,3\n2,y\n", "a,b\n1\n2,y\n"):
+        (tmp_path / "ragged.csv").write_text(ragged)
+        with pytest.raises(Exception):
+            files.read_csv(spark, str(tmp_path / "ragged.csv")).collect()
 
 
 def workbook(path, rows, styles=""):

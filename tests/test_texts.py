@@ -173,15 +173,20 @@ def test_plan_modes(spark):
     assert made["summarize"].system.endswith("Use at most 2 sentences.") and "Schema: {'type': 'object'}." in made["extract"].system
 
 
-def test_label_floor():
-    assert prompts.classification_floor(["a"], {"a": "persoonsgegevens"}, "none") == "persoonsgegevens"
-    assert prompts.classification_floor(["a"], {}, "bsn") == "bsn" and prompts.classification_floor(["a"], {"a": "odd"}, "bsn") == "odd"
+def test_label_floor(spark):
+    df = spark.createDataFrame([(["persoonsgegevens"], "none"), ([None], "bsn"), (["odd"], "bsn")], "l array<string>, d string")
+    assert [r[0] for r in df.select(prompts.floors(df, "l", "d")).collect()] == ["persoonsgegevens", "bsn", "odd"]
 
 
 def test_token_counts(spark):
     df = spark.createDataFrame([("",), (None,), ("a",), ("abcd",), ("abcde",)], "t string")
     assert [r[0] for r in df.select(prompts.estimate_tokens(F.col("t"))).collect()] == [0, 0, 1, 1, 2]
-    assert [r[0] for r in df.select(prompts.count_tokens(F.col("t"))).collect()][:2] == [0, 0]
+
+
+@pytest.mark.parametrize("text", ["[" * 100_000, '{"n": ' + "9" * 5000 + "}"])
+def test_unreadable_json_is_a_row_problem(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert len(df.select(governance.json_problems(F.col("t"), SCHEMA)).first()[0]) == 1
 
 
 def test_echo(spark):
