@@ -25,14 +25,14 @@ from millrace.session import checkpointed, scratch_path
 
 HOT = 256
 # Tokens of text per shard; distinct entries are fewer.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 3_000_000
 # Bytes of text whose distinct words and pairs are looked up together.
-SLICE = 6 << 20
+SLICE = 3 << 20
 # Log probabilities and weights are held in steps of RANGE / 65535.
 RANGE = 16.0
 
 _END = np.uint64(0xE4D0F7E870000001)
-_COMPACT = 4_000_000
+_COMPACT = 1_500_000
 
 
 def _planes(sorted_keys: np.ndarray) -> bytes:
