@@ -6,21 +6,49 @@ Names that Spark already uses with another meaning get a name of their own, list
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession, functions as F
+import re
+
+from pyspark.sql import SparkSession
+
+from millrace.errors import InvalidInput
 
 # Written name -> name to call.
 RENAMED = {
-    "log": "step_log10",
+    "log": "log10",
+    "mod": "try_mod",
     "date_diff": "step_date_diff",
     "list": "collect_list",
+    "starts_with": "startswith",
+    "ends_with": "endswith",
+    "json_extract": "get_json_object",
 }
 
 # Strftime letters and the matching Spark pattern letters.
 PATTERN_LETTERS = {
     "%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy",
     "%j": "DDD", "%b": "MMM", "%B": "MMMM", "%p": "a", "%I": "hh", "%f": "SSSSSS",
+    "%a": "EEE", "%A": "EEEE", "%-d": "d", "%-m": "M", "%-H": "H", "%-I": "h", "%-M": "m", "%-S": "s",
 }
 
+_PIECE = re.compile(r"%-?.|[^%]+|%", re.DOTALL)
+
+
+def spark_pattern(written: str) -> str:
+    """A strftime format as a Spark pattern; text that is no letter code is quoted."""
+    pieces, plain = [], ""
+    for piece in [*_PIECE.findall(written), None]:
+        if piece is not None and (piece == "%%" or not piece.startswith("%")):
+            plain += "%" if piece == "%%" else piece
+            continue
+        if plain:
+            pieces.append("'" + plain.replace("'", "''") + "'")
+            plain = ""
+        if piece is not None:
+            if piece not in PATTERN_LETTERS:
+                raise InvalidInput(f"{piece!r} is not a known part of a date format")
+            pieces.append(PATTERN_LETTERS[piece])
+    return "".join(pieces)
+
 
 def _pattern_sql(name: str) -> str:
     sql = name
@@ -50,12 +78,8 @@ _DATE_DIFF = " ".join(
 
 _FUNCTIONS = (
     "strlen(s STRING) RETURNS BIGINT RETURN CAST(octet_length(s) AS BIGINT)",
-    "starts_with(s STRING, p STRING) RETURNS BOOLEAN RETURN startswith(s, p)",
-    "ends_with(s STRING, p STRING) RETURNS BOOLEAN RETURN endswith(s, p)",
-    "step_log10(x DOUBLE) RETURNS DOUBLE RETURN log10(x)",
     f"strftime(t TIMESTAMP, f STRING) RETURNS STRING RETURN date_format(t, {_pattern_sql('f')})",
     f"strptime(s STRING, f STRING) RETURNS TIMESTAMP RETURN to_timestamp(s, {_pattern_sql('f')})",
-    "json_extract(j STRING, p STRING) RETURNS STRING RETURN get_json_object(j, p)",
     "step_date_diff(unit STRING, start TIMESTAMP, stop TIMESTAMP) RETURNS BIGINT "
     f"RETURN CASE lower(unit) {_DATE_DIFF} END",
 )

@@ -16,7 +16,7 @@ from millrace.errors import InvalidInput
 from millrace.operators.ledger import with_cost
 from millrace.operators.ordered import CHUNK, HOT_ROWS, by_order, chunked, running, split_hot
 from millrace.operators.prompts import estimate_tokens
-from millrace.session import stored
+from millrace.session import stored, unused
 
 # Scopes, periods, and how long a hold may stay open.
 SCOPES = ("project", "user", "connection", "agent")
@@ -108,8 +108,16 @@ def replay(calls: DataFrame, keys: list[str], order: list[str], cost: str, limit
     A refused call holds nothing, so a running sum over all calls is wrong. Windows of up to
     `small_window` calls are walked one call after the other, many windows per task; larger ones go
     through `_in_passes`, which no window size can overload. `limit_cost` and `limit_calls` name columns
-    that are constant per window; NULL means no limit. `order` ends in a unique column.
+    that are constant per window; NULL means no limit. `order` ends in a unique column. A cost that is NULL or
+    negative counts as 0; under a negative limit nothing is admitted.
     """
+    lead = [c for c in calls.columns if c.startswith("_")]
+    if lead:  # names the passes use for themselves
+        aside = dict(zip(lead, unused(calls, *(f"user{c}" for c in lead))))
+        put = lambda c: aside.get(c, c)
+        out = replay(calls.withColumnsRenamed(aside), [put(k) for k in keys], [put(o) for o in order], put(cost),
+                     put(limit_cost), put(limit_calls), small_window)
+        return out.withColumnsRenamed({v: k for k, v in aside.items()})
     ordinary, large = split_hot(calls, keys, small_window)
     walked = _one_by_one(ordinary, keys, order, cost, limit_cost, limit_calls)
     if large is None:
@@ -118,10 +126,11 @@ def replay(calls: DataFrame, keys: list[str], order: list[str], cost: str, limit
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches arrive in window and call order; only the running state passes from batch to batch."""
+    """Batches arrive in window and call order; only the running state passes from batch to batch. The last
+    four columns are the window, the cost and the two limits."""
     window, spent, count = None, 0, 0
     for batch in batches:
-        helpers = [batch.column(c).to_pylist() for c in ("_window", "_cost", "_limit", "_calls")]
+        helpers = [batch.column(i).to_pylist() for i in range(batch.num_columns - 4, batch.num_columns)]
         admitted = []
         for here, cost, limit, calls in zip(*helpers):
             if here != window:
@@ -130,20 +139,25 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             admitted.append(ok)
             if ok:
                 spent, count = spent + cost, count + 1
-        kept = [i for i, name in enumerate(batch.schema.names) if not name.startswith("_")]
+        kept = range(batch.num_columns - 4)
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(i) for i in kept), pa.array(admitted, pa.bool_())],
             names=[*(batch.schema.names[i] for i in kept), "admitted"])
 
 
+def _held(cost: str):
+    return F.greatest(F.coalesce(F.col(cost).cast("bigint"), F.lit(0)), F.lit(0))
+
+
 def _one_by_one(calls, keys, order, cost, limit_cost, limit_calls):
     number = lambda c: F.col(c).cast("bigint") if c else F.lit(None).cast("bigint")
     schema = T.StructType([*calls.schema.fields, T.StructField("admitted", T.BooleanType())])
+    exact = {f"timestamp{zone}Format": "yyyy-MM-dd HH:mm:ss.SSSSSS" for zone in ("", "NTZ")}
+    names = unused(calls, "_window", "_cost", "_limit", "_calls")
+    values = (F.to_json(F.struct(*keys), exact), _held(cost), number(limit_cost), number(limit_calls))
     return (
-        calls.withColumns({
-            "_window": F.to_json(F.struct(*keys)), "_cost": F.coalesce(number(cost), F.lit(0)),
-            "_limit": number(limit_cost), "_calls": number(limit_calls)})
-        .repartition(*keys).sortWithinPartitions("_window", *order)
+        calls.select("*", *(v.alias(n) for n, v in zip(names, values)))
+        .repartition(*keys).sortWithinPartitions(names[0], *order)
         .mapInArrow(_walk, schema)
     )
 
@@ -161,8 +175,8 @@ def _in_passes(calls, keys, order, cost, limit_cost, limit_calls):
     base = chunked(calls, keys, order)
     none = F.lit(None).cast("bigint")
     limit = F.col(limit_cost).cast("bigint") if limit_cost else none
-    rows = base.withColumns({"_room": limit, "_cost": F.coalesce(F.col(cost), F.lit(0)).cast("bigint")})
-    free = F.col("_room").isNull() | (F.col("_cost") <= 0)
+    rows = base.withColumns({"_room": limit, "_cost": _held(cost)})
+    free = F.col("_room").isNull() | ((F.col("_cost") == 0) & (F.col("_room") >= 0))
     settled = [rows.filter(free).withColumn("_ok", F.lit(True))]
     pending = rows.filter(~free)
     while True:

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.errors import InvalidInput
-from millrace.functions.dialect import RENAMED, prepare_session
+from millrace.functions.dialect import RENAMED, prepare_session, spark_pattern
 from millrace.functions.expressions import MAX_EXPRESSION
 
 # The functions a SQL step may call, as users write them.
@@ -55,6 +55,8 @@ def _text(option):
 
 def _expressions(node):
     stack = _items(node.expressions())
+    if node.getClass().getSimpleName() == "WithWindowDefinition":
+        stack.extend(_items(node.windowDefinitions().values().toSeq()))
     while stack:
         expression = stack.pop()
         yield expression
@@ -80,19 +82,92 @@ def _plan_nodes(plan):
         stack.extend((child, visible) for child in _items(node.children()))
 
 
-def _check_functions(node):
-    calls = []
+_NON_ZERO = re.compile(r"[0-9.]*[1-9][0-9.]*")
+_HAS_NULL_ORDER = re.compile(r"\bnulls\s+(first|last)\s*$", re.IGNORECASE)
+_OPEN = re.compile(r"\s*\(")
+
+
+class _Edits:
+    """Changes to a text at the positions the parser reports: ranges replaced, ranges wrapped."""
+
+    def __init__(self, text: str):
+        self.text, self.replaced, self.wrapped = text, {}, []
+
+    def span(self, node) -> tuple[int, int] | None:
+        start, stop = _text(node.origin().startIndex()), _text(node.origin().stopIndex())
+        return None if start is None or stop is None else (start, stop + 1)
+
+    def replace(self, start: int, stop: int, by: str) -> None:
+        self.replaced[start] = (stop, by)
+
+    def wrap(self, span: tuple[int, int], before: str, after: str) -> None:
+        if (span, before, after) not in self.wrapped:
+            self.wrapped.append((span, before, after))
+
+    def rename(self, span: tuple[int, int], name: str, by: str) -> None:
+        """Replace the function name a call begins with, and its parenthesis if `by` brings one."""
+        start = span[0]
+        if self.text[start:start + len(name)].lower() == name:
+            end = start + len(name)
+            self.replace(start, _OPEN.match(self.text, end).end() if by.endswith(("(", " ")) else end, by)
+
+    def made(self) -> str:
+        size = lambda w: w[0][1] - w[0][0]
+        opens = sorted(self.wrapped, key=size, reverse=True)
+        closes = opens[::-1]
+        out, at = [], 0
+        while at <= len(self.text):
+            out += [after for span, _, after in closes if span[1] == at]
+            out += [before for span, before, _ in opens if span[0] == at]
+            if at in self.replaced:
+                at, by = self.replaced[at]
+                out.append(by)
+            else:
+                out.append(self.text[at:at + 1])
+                at += 1
+        return "".join(out)
+
+
+def _respell(expression, kind: str, edits: _Edits) -> None:
+    """One dialect for steps and formulas, where Spark's differs: NULL for a zero divisor, NULLs last in any
+    order, and functions under their written names."""
+    span = edits.span(expression)
+    if span is None:
+        return
+    if kind in ("Divide", "Remainder", "IntegralDivide"):
+        divisor = edits.span(expression.right())
+        if divisor and not _NON_ZERO.fullmatch(edits.text[slice(*divisor)]):
+            edits.wrap(divisor, "nullif(", ", 0)")
+    elif kind == "SortOrder":
+        if not _HAS_NULL_ORDER.search(edits.text[slice(*span)]):
+            edits.wrap(span, "", " NULLS LAST")
+    elif kind == "UnresolvedFunction":
+        name, given = _items(expression.nameParts())[-1].lower(), _items(expression.arguments())
+        literal = lambda e: str(e.toString()) if e.getClass().getSimpleName() == "Literal" else None
+        if name == "count_distinct":
+            edits.rename(span, name, "count(DISTINCT ")
+        elif name == "to_json" and len(given) == 1:
+            edits.rename(span, name, "nullif(regexp_replace(to_json(array(")
+            edits.wrap(span, "", "), '^.|.$', ''), 'null')")
+        elif name in ("strftime", "strptime") and len(given) == 2 and literal(given[1]) is not None and edits.span(given[1]):
+            edits.rename(span, name, "date_format" if name == "strftime" else "to_timestamp")
+            edits.replace(*edits.span(given[1]), '"' + spark_pattern(literal(given[1])).replace("\\", "\\\\").replace('"', '\\"') + '"')
+        elif name == "date_part" and len(given) == 2 and (literal(given[0]) or "").lower() in ("dow", "dayofweek"):
+            edits.wrap(span, "(", " - 1)")
+        elif name in RENAMED:
+            edits.rename(span, name, RENAMED[name])
+
+
+def _check_functions(node, edits: _Edits) -> None:
     for expression in _expressions(node):
         kind = expression.getClass().getSimpleName()
         if kind == "UnresolvedFunction":
             parts = _items(expression.nameParts())
-            name = parts[-1].lower()
-            if len(parts) > 1 or name not in ALLOWED_FUNCTIONS:
+            if len(parts) > 1 or parts[-1].lower() not in ALLOWED_FUNCTIONS:
                 raise InvalidInput(f"function {'.'.join(parts)!r} is not allowed in a SQL step")
-            calls.append((name, expression.origin()))
         elif kind in ("CallMethodViaReflection", "TryReflect", "PythonUDF", "ScalaUDF"):
             raise InvalidInput(f"{kind} is not allowed in a SQL step")
-    return calls
+        _respell(expression, kind, edits)
 
 
 def _parser(spark: SparkSession):
@@ -122,7 +197,7 @@ def check_sql(spark: SparkSession, query: str, inputs: list[str]) -> str:
     if top.getClass().getSimpleName() in _SET_OPERATIONS:
         raise InvalidInput("a set operation may not be the top-level statement")
     allowed = {name.lower() for name in inputs}
-    edits: list[tuple[int, int, str]] = []
+    edits = _Edits(text)
     for node, visible in list(_plan_nodes(plan)):
         if node.getClass().getSimpleName() == "UnresolvedRelation":
             parts = _items(node.multipartIdentifier())
@@ -130,16 +205,9 @@ def check_sql(spark: SparkSession, query: str, inputs: list[str]) -> str:
             if len(parts) > 2 or schema not in SCHEMAS or parts[-1].lower() not in (allowed if schema else allowed | visible):
                 raise InvalidInput(f"{'.'.join(parts)!r} is not an input of this step")
             if len(parts) == 2:
-                origin = node.origin()
-                edits.append((_text(origin.startIndex()), _text(origin.stopIndex()) + 1, f"`{parts[-1]}`"))
-        for name, origin in _check_functions(node):
-            if name in RENAMED:
-                start = _text(origin.startIndex())
-                if text[start:start + len(name)].lower() == name:
-                    edits.append((start, start + len(name), RENAMED[name]))
-    for start, stop, replacement in sorted(set(edits), reverse=True):
-        text = text[:start] + replacement + text[stop:]
-    return text
+                edits.replace(*edits.span(node), f"`{parts[-1]}`")
+        _check_functions(node, edits)
+    return edits.made()
 
 
 def sql_step(inputs: list[DataFrame], query: str) -> DataFrame:
@@ -163,14 +231,15 @@ def _view(session: SparkSession, frame: DataFrame, name: str) -> None:
 
 
 def checked_expression(df: DataFrame, expression: str) -> Column:
-    """A SQL expression string over the columns of `df`, with the same function list and no subquery."""
+    """A SQL expression string over the columns of `df`, in the dialect of SQL steps: same scalar functions, a zero
+    divisor gives NULL, no subquery and no window."""
     if not expression or len(expression) > MAX_EXPRESSION:
         raise InvalidInput("the expression is empty or too long")
     try:
         parsed = _parser(df.sparkSession).parseExpression(expression)
     except Exception as error:
         raise InvalidInput("the expression has a syntax error") from error
-    stack = [parsed]
+    stack, edits = [parsed], _Edits(expression)
     while stack:
         node = stack.pop()
         kind = node.getClass().getSimpleName()
@@ -185,5 +254,6 @@ def checked_expression(df: DataFrame, expression: str) -> Column:
             name = ".".join(_items(node.nameParts()))
             if name.lower() not in {c.lower() for c in df.columns}:
                 raise InvalidInput(f"unknown column {name!r}")
+        _respell(node, kind, edits)
         stack.extend(_items(node.children()))
-    return F.expr(expression)
+    return F.expr(edits.made())

@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from millrace.errors import InvalidInput
 from millrace.session import checkpointed, partitions_for, stored
 
 CHUNK = "_chunk"
@@ -180,13 +181,16 @@ def trailing(
 ) -> DataFrame:
     """Per row, sums over the rows of the same key with `at` in [this - span, this]: row_id, keys, totals.
 
-    A range frame of a hot key is a difference of two running totals: each row also sends a mark to the
-    start and to the end of its frame, and reads the running total there. No frame is ever buffered.
+    `span` is an interval of fixed length (weeks to microseconds, not months). Time of a hot key is cut into
+    buckets as long as the span, so a frame is the end of one bucket and the beginning of the next: a running
+    total backwards and one forwards, each read at a mark the row sends there. No frame is ever buffered, and
+    nothing is subtracted, so an infinity or a large value stays inside the frames that hold it.
     """
     slim = df.select(*keys, F.col(at).alias("_at"), F.col(row_id).alias("_id"),
                      *(value.alias(name) for name, value in totals.items()))
+    if not isinstance(df.select(F.expr(f"INTERVAL {span}").alias("s")).schema["s"].dataType, T.DayTimeIntervalType):
+        raise InvalidInput(f"INTERVAL {span} has no fixed length")
     plain, hot = split_hot(slim, keys, hot_rows)
-    back = F.expr(f"INTERVAL {span}")
     name = lambda c: "`" + c.replace("`", "``") + "`"
     frame = (f"PARTITION BY {', '.join(map(name, keys))} ORDER BY _at "
              f"RANGE BETWEEN INTERVAL {span} PRECEDING AND CURRENT ROW")
@@ -195,19 +199,28 @@ def trailing(
     if hot is None:
         return out
     kind_of = {n: out.schema[n].dataType for n in totals}
-
-    def mark(moment: Column, kind: int) -> Column:
-        values = [F.coalesce(F.col(n) if kind == 1 else F.lit(0), F.lit(0)).cast(kind_of[n]).alias(n) for n in totals]
-        return F.struct(moment.alias("_at"), F.lit(kind).alias("_kind"), *values)
-
-    marks = hot.select(*keys, F.inline(F.array(
-        mark(F.col("_at") - back, 0), mark(F.col("_at"), 1), mark(F.col("_at"), 2))), "_id")
-    order = ["_at", "_kind", "_id"]
-    summed = running(chunked(marks, keys, order), keys, order,
-                     {f"_s_{n}": F.col(n) for n in totals}).filter("_kind <> 1")
-    signed = lambda n: F.when(F.col("_kind") == 2, F.col(f"_s_{n}")).otherwise(-F.col(f"_s_{n}"))
-    far = summed.groupBy(F.col("_id").alias(row_id), *keys).agg(
-        *(F.sum(signed(n)).cast(kind_of[n]).alias(n) for n in totals))
+    # Clock time without a zone has no gaps, so it counts microseconds of any date.
+    zoned = isinstance(slim.schema["_at"].dataType, T.TimestampType)
+    micros = F.expr("unix_micros(_at)" if zoned else
+                    "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(_at AS TIMESTAMP_NTZ))")
+    length = F.expr(f"unix_micros(TIMESTAMP'1970-01-01 00:00:00' + INTERVAL {span}) - unix_micros(TIMESTAMP'1970-01-01 00:00:00')")
+    width = F.greatest(length, F.lit(1))
+    timed = hot.withColumns({"_t": micros, "_b": micros - F.pmod(micros, width)})
+
+    def mark(bucket: Column, side: int, place: Column, kind: int) -> Column:
+        values = [F.coalesce(F.col(n) if kind == 0 else F.lit(0), F.lit(0)).cast(kind_of[n]).alias(n) for n in totals]
+        return F.struct(bucket.alias("_bucket"), F.lit(side).alias("_side"), place.alias("_place"), F.lit(kind).alias("_kind"), *values)
+
+    bucket, moment = F.col("_b"), F.col("_t")
+    forwards = [mark(bucket, 0, moment, 0), mark(bucket, 0, moment, 1)]
+    backwards = [mark(bucket, 1, -moment, 0), mark(bucket - width, 1, length - moment, 1)]
+    # Rows without a time see each other, as in a plain window, and have no bucket before theirs.
+    every = F.when(moment.isNull(), F.array(*forwards)).otherwise(F.array(*forwards, *backwards))
+    marks = timed.select(*keys, F.inline(every), "_id")
+    order = ["_place", "_kind", "_id"]
+    series = [*keys, "_side", "_bucket"]
+    summed = running(chunked(marks, series, order), series, order, {f"_s_{n}": F.col(n) for n in totals}).filter("_kind = 1")
+    far = summed.groupBy(F.col("_id").alias(row_id), *keys).agg(*(F.sum(f"_s_{n}").cast(kind_of[n]).alias(n) for n in totals))
     return out.unionByName(far)
 
 

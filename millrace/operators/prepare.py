@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from millrace.errors import InvalidInput
 from millrace.functions.expressions import col, lit, type_name
 from millrace.operators.checked_sql import checked_expression
-from millrace.session import require_columns
+from millrace.session import require_columns, unused
 
 Expression = Column | str | Callable[[DataFrame], Column]
 
@@ -67,7 +67,8 @@ def dedupe(df: DataFrame, subset: list[str] | None = None, order: list[str] | No
             if f.name not in subset and f.name not in lead and f.dataType.typeName() not in ("map", "variant")]
     sort = [col(df, c).asc_nulls_last() for c in [*lead, *rest]] or [F.lit(0)]
     first = W.partitionBy(*(col(df, c) for c in subset)).orderBy(*sort)
-    return df.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+    (place,) = unused(df, "_rn")
+    return df.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(place)
 
 
 def select(df: DataFrame, columns: list[str], drop: bool = False) -> DataFrame:

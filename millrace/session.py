@@ -26,6 +26,17 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, lengthened until no column of `df` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by the cluster in spark.checkpoint.dir."""
     named = spark.conf.get("spark.checkpoint.dir", None)

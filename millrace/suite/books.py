@@ -166,22 +166,35 @@ def budget_crossing(spark, sf):
     return budgets.crossings(_calls(spark, sf), "user_id", "day", limit_micros=2_000_000).select("id", "user_id", "spent_micros")
 
 
-@suite.add(f"""
+_REPLAY_SQL = f"""
     WITH RECURSIVE {_SQL_CALLS}, n AS (SELECT id, user_id, date_trunc('day', ts) AS w, cost_micros AS x, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, id) AS rn
         FROM calls WHERE user_id IS NOT NULL),
     a AS (SELECT id, user_id, w, rn, x <= 1500000 AS ok, CASE WHEN x <= 1500000 THEN x ELSE 0 END AS spent, CASE WHEN x <= 1500000 THEN 1 ELSE 0 END AS c FROM n WHERE rn = 1
       UNION ALL SELECT n.id, n.user_id, n.w, n.rn, a.spent + n.x <= 1500000 AND a.c + 1 <= 3, CASE WHEN a.spent + n.x <= 1500000 AND a.c + 1 <= 3 THEN a.spent + n.x ELSE a.spent END,
         CASE WHEN a.spent + n.x <= 1500000 AND a.c + 1 <= 3 THEN a.c + 1 ELSE a.c END FROM a JOIN n ON n.user_id = a.user_id AND n.w = a.w AND n.rn = a.rn + 1)
-    SELECT id, user_id, ok AS admitted FROM a""")
-def budget_replay(spark, sf):
-    """A daily limit of 1.5 million micros and 3 calls per user; refused calls hold nothing."""
+    SELECT id, user_id, ok AS admitted FROM a"""
+
+
+def _replayed(spark, sf, **how):
     calls = _calls(spark, sf).filter("user_id IS NOT NULL").select(
         "id", "user_id", "ts", F.date_trunc("day", "ts").alias("window_start"), "cost_micros",
         F.lit(1_500_000).alias("limit_cost"), F.lit(3).alias("limit_calls"))
-    return budgets.replay(calls, ["user_id", "window_start"], ["ts", "id"], "cost_micros", "limit_cost", "limit_calls").select(
+    return budgets.replay(calls, ["user_id", "window_start"], ["ts", "id"], "cost_micros", "limit_cost", "limit_calls", **how).select(
         "id", "user_id", "admitted")
 
 
+@suite.add(_REPLAY_SQL)
+def budget_replay(spark, sf):
+    """A daily limit of 1.5 million micros and 3 calls per user; refused calls hold nothing."""
+    return _replayed(spark, sf)
+
+
+@suite.add(_REPLAY_SQL)
+def budget_replay_long(spark, sf):
+    """The same in passes over all windows at once, as for windows of any length."""
+    return _replayed(spark, sf, small_window=0)
+
+
 @suite.add(f"""
     WITH {_SQL_CALLS} SELECT id AS call_id, CASE WHEN cache_hit OR status = 'failed' THEN 0 ELSE cost_micros END::BIGINT AS settled_micros FROM calls""")
 def budget_settlement(spark, sf):

@@ -369,6 +369,18 @@ def ordered_trailing_hot_keys(spark, sf):
                             hot_rows=1000).withColumn("n", F.col("n").cast("bigint"))
 
 
+@suite.add("""
+    WITH made AS (SELECT event_id, event_type, ts, CASE WHEN event_id % 97 = 0 THEN 'Infinity'::DOUBLE ELSE floor(value) END AS v FROM events),
+    r AS (SELECT event_id, event_type, sum(v) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS total FROM made)
+    SELECT event_id, event_type, coalesce(isinf(total), false) AS endless, CASE WHEN NOT isinf(total) THEN total ELSE 0 END AS total FROM r""")
+def ordered_trailing_infinite(spark, sf):
+    """Infinite values in hot keys stay inside the frames that hold them."""
+    value = F.when(F.col("event_id") % 97 == 0, F.lit(float("inf"))).otherwise(F.floor("value").cast("double"))
+    out = ordered.trailing(table(spark, sf, "events"), ["event_type"], "ts", "event_id", "6 HOURS", {"total": value}, hot_rows=1000)
+    endless = F.col("total") == float("inf")
+    return out.select("event_id", "event_type", endless.alias("endless"), F.when(endless, 0.0).otherwise(F.col("total")).alias("total"))
+
+
 @suite.add("""
     SELECT event_id, user_id, first_value(event_type) OVER w AS first_type, last_value(value) OVER w AS last_value FROM events
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")

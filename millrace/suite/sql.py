@@ -179,3 +179,34 @@ def sql_json(spark, sf):
         SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, typeof(1) IS NOT NULL AS typed,
           min(concat('{"event":"', event_type, '"}')) AS doc FROM in_1 GROUP BY 1, 2""")
     return out
+
+
+_DIALECT = """
+    SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) / {divisor} AS quotient, o_custkey % {remainder} AS rest, mod(o_custkey, {remainder}) AS rest_too,
+      CAST(to_json(CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END) AS {text}) AS quoted, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S, %A (%%)') AS shown,
+      CAST(date_part('dow', o_orderdate) AS BIGINT) AS weekday FROM {t}"""
+
+
+@suite.add(_DIALECT.format(t="orders", text="VARCHAR", divisor="nullif(o_custkey % 3, 0)", remainder="nullif(o_orderkey % 4, 0)"))
+def sql_zero_divisors(spark, sf):
+    """Zero divisors, NULLs, literal letters in date formats and Sundays."""
+    return _step(spark, sf, ["orders"], _DIALECT.format(t="in_1", text="STRING", divisor="(o_custkey % 3)", remainder="(o_orderkey % 4)"))
+
+
+_NULL_ORDER = """
+    WITH part_null AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS customer, o_orderstatus FROM {t})
+    SELECT o_orderkey, CAST(row_number() OVER (ORDER BY customer, o_orderkey) AS BIGINT) AS up,
+      CAST(row_number() OVER (ORDER BY customer DESC, o_orderkey) AS BIGINT) AS down FROM part_null"""
+
+
+@suite.add(_NULL_ORDER.format(t="orders"))
+def sql_null_order(spark, sf):
+    return _step(spark, sf, ["orders"], _NULL_ORDER.format(t="in_1"))
+
+
+_DISTINCT = "SELECT o_orderstatus, CAST({customers} AS BIGINT) AS customers, CAST({days} AS BIGINT) AS days FROM {t} GROUP BY o_orderstatus"
+
+
+@suite.add(_DISTINCT.format(t="orders", customers="count(DISTINCT o_custkey)", days="count(DISTINCT o_orderdate)"))
+def sql_count_distinct(spark, sf):
+    return _step(spark, sf, ["orders"], _DISTINCT.format(t="in_1", customers="count_distinct(o_custkey)", days="count_distinct(o_orderdate)"))

@@ -109,6 +109,19 @@ def test_replay_slow_descent(spark):
     assert {r["id"]: r["admitted"] for r in out.collect()} == sequential(rows, 210, None)
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+def test_replay_has_one_rule_at_every_size(spark, small):
+    """Negative costs count as 0, a negative limit admits nothing, windows 100 microseconds apart are two, and
+    a caller's own columns may begin with an underscore."""
+    at = lambda micros: dt.datetime(2024, 1, 1, 0, 0, 0, micros)
+    rows = [(at(0), 1, -5, 5), (at(0), 2, 10, 5), (at(0), 3, 5, 5), (at(100), 4, 5, 5), (at(200), 5, 0, -1), (at(200), 6, None, -1)]
+    df = spark.createDataFrame(rows, "_w timestamp, id int, _cost bigint, _room bigint")
+    out = budgets.replay(df, ["_w"], ["id"], "_cost", "_room", small_window=small)
+    assert out.columns == [*df.columns, "admitted"]
+    assert {r["id"]: (r["admitted"], r["_cost"]) for r in out.collect()} == {
+        1: (True, -5), 2: (False, 10), 3: (True, 5), 4: (True, 5), 5: (False, 0), 6: (False, None)}
+
+
 def test_settle(spark):
     holds = spark.createDataFrame([(1, 50, None), (2, 50, None), (3, 50, None), (4, 50, None)], "call_id int, estimated_micros bigint, settled_micros bigint")
     calls = spark.createDataFrame([call(1, DAY, 30), call(2, DAY, 30, cache_hit=True), call(3, DAY, 30, status="blocked")], CALLS)

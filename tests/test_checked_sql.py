@@ -1,7 +1,7 @@
 import pytest
 
 from millrace.errors import InvalidInput
-from millrace.operators.checked_sql import check_sql, sql_step
+from millrace.operators.checked_sql import check_sql, checked_expression, sql_step
 
 INPUTS = ["in_1", "in_2"]
 
@@ -46,7 +46,8 @@ def test_accepted(inputs, query, rows):
     "SELECT explode(array(1)) FROM in_1", "SELECT * FROM in_1 LATERAL VIEW explode(array(1)) t", "SET x = 1", "SHOW TABLES",
     "DESCRIBE in_1", "SELECT (SELECT max(id) FROM secret) FROM in_1", "SELECT * FROM in_1 WHERE EXISTS (SELECT 1 FROM parquet.`/x`)",
     "SELECT * FROM in_1 WHERE id IN (SELECT reflect('a', 'b'))", "WITH x AS (SELECT * FROM secret) SELECT * FROM x",
-    "CACHE TABLE in_1", "EXPLAIN SELECT 1", "EXECUTE IMMEDIATE 'SELECT 1'", "", "   ",
+    "SELECT sum(id) OVER w FROM in_1 WINDOW w AS (PARTITION BY java_method('java.lang.System', 'exit', '1'))",
+    "SELECT strftime(now(), '%Q') FROM in_1", "CACHE TABLE in_1", "EXPLAIN SELECT 1", "EXECUTE IMMEDIATE 'SELECT 1'", "", "   ",
 ])
 def test_rejected(spark, query):
     with pytest.raises(InvalidInput):
@@ -56,3 +57,21 @@ def test_rejected(spark, query):
 def test_views_stay_private(spark, inputs):
     sql_step(inputs, "SELECT * FROM in_1").collect()
     assert not spark.catalog.tableExists("in_1")
+
+
+@pytest.mark.parametrize("expression, value", [
+    ("7 / zero", None), ("7 % zero", None), ("mod(7, zero)", None), ("7 div zero", None), ("8 / (zero + 2) / two", 2.0), ("7 / two", 3.5), ("7 / zero / zero", None),
+    ("-7 / -two", 3.5), ("count_distinct(two)", 1), ("to_json(word)", '"it\'s"'), ("to_json(nothing)", None), ("to_json(7 / two)", "3.5"), ("log(100)", 2.0),
+    ("strftime(DATE '2024-01-07', '%d of %B, it''s %A %%Y %-m')", "07 of January, it's Sunday %Y 1"), ("date_part('dow', DATE '2024-01-07')", 0),
+    ("7 / date_part('DOW', DATE '2024-01-07')", None), ("year(strptime('on 2024', 'on %Y'))", 2024)])
+def test_dialect(spark, expression, value):
+    df = spark.sql("SELECT 0 AS zero, 2 AS two, 'it''s' AS word, CAST(NULL AS STRING) AS nothing")
+    assert sql_step([df], f"SELECT {expression} AS x FROM in_1" + (" GROUP BY two" if "count" in expression else "")).first()["x"] == value
+    if "count" not in expression:
+        assert df.select(checked_expression(df, expression).alias("x")).first()["x"] == value
+
+
+def test_nulls_come_last(spark):
+    df = spark.createDataFrame([(1, None), (2, 5), (3, 7)], "id int, v int")
+    ids = lambda order: [r["id"] for r in sql_step([df], f"SELECT id FROM in_1 ORDER BY {order}").collect()]
+    assert ids("v") == [2, 3, 1] and ids("v DESC") == [3, 2, 1] and ids("v NULLS FIRST") == [1, 2, 3] and ids("10 / (v - 5), id") == [3, 1, 2]

@@ -1,11 +1,13 @@
 """Ordered computations against plain pandas, on data where one key holds a third of the rows or more."""
 
+import datetime as dt
 import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.errors import InvalidInput
 from millrace.operators import ordered
 
 
@@ -79,6 +81,22 @@ def test_trailing(spark, data, hot):
     assert out == expected
 
 
+@pytest.mark.parametrize("hot", [0, 10_000])
+def test_trailing_keeps_infinities_in_their_frames(spark, hot):
+    values = [1.0, float("inf"), 2.0, 3.0, 1e17, 1.0, float("nan"), 2.0, 5.0]
+    rows = [("a", dt.datetime(2024, 1, 1, i), i, v) for i, v in enumerate(values)] + [("a", None, 20, 4.0), ("a", None, 21, 6.0)]
+    df = spark.createDataFrame(rows, "k string, t timestamp, id int, v double")
+    got = by_id(ordered.trailing(df, ["k"], "t", "id", "30 MINUTES", {"s": F.col("v")}, hot_rows=hot), "s")
+    assert [str(got[i][0]) for i in range(9)] == [str(v) for v in values] and got[20] == got[21] == (10.0,)
+    got = by_id(ordered.trailing(df, ["k"], "t", "id", "1 HOUR", {"s": F.col("v")}, hot_rows=hot), "s")
+    assert [str(got[i][0]) for i in range(9)] == ["1.0", "inf", "inf", "5.0", "1e+17", "1e+17", "nan", "nan", "7.0"]
+
+
+def test_trailing_needs_a_fixed_length(data):
+    with pytest.raises(InvalidInput):
+        ordered.trailing(data[0].withColumn("t", F.current_timestamp()), ["k"], "t", "id", "1 MONTH", {"n": F.lit(1)})
+
+
 def test_ends_and_median(data):
     df, pdf = data
     out = by_id(ordered.ends(df, ["k"], ORDER, {"first": "id"}, {"last": "id"}), "first", "last")
