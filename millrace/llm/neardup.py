@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.llm.components import components
-from millrace.llm.words import NOT_SPACE, Words, mix, per_text, slices, text_arrays
+from millrace.llm.words import NOT_SPACE, Words, fresh, mix, per_text, slices, text_arrays
 from millrace.session import checkpointed, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -287,6 +287,7 @@ def survivors(docs: DataFrame, classes: DataFrame, text: str = "text", id_col: s
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("node").alias("t"))
     # Rows of one class share class_id, but rows without any id don't share one; the node stands in for it.
     chosen = classes.withColumn("c", F.coalesce(F.col("class_id").cast("string"), F.hex("node"))).groupBy("c").agg(F.min(order).alias("k")).select("k.i", "k.t")
-    marked = docs.withColumn("_node", node_of(F.col(text)))
-    kept = marked.join(chosen, marked[id_col].eqNullSafe(chosen["i"]) & (marked["_node"] == chosen["t"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_node"]).drop("_node")
+    node = fresh(docs, "node")
+    marked = docs.withColumn(node, node_of(F.col(text)))
+    kept = marked.join(chosen, marked[id_col].eqNullSafe(chosen["i"]) & (marked[node] == chosen["t"]), "left_semi")
+    return kept.dropDuplicates([id_col, node]).drop(node)
