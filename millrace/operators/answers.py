@@ -117,9 +117,9 @@ def run_rows(df: DataFrame, key: list[str], prompt: Plan, answer: Answer, result
     """Answer every row that `results` does not hold yet, then return the input with its answers.
 
     `key` is unique on the input. The work is cut into `slices` by key hash; each slice is one
-    distributed job whose rows are appended when it is complete, so a stopped run pays again for one
+    distributed job whose rows are appended when it is complete, so a run that dies pays again for one
     slice at most. A failed row counts as done unless `retry_errors`. A fatal refusal raises
-    StepAborted and its slice is not saved.
+    StepAborted once the rows answered before it are saved.
     """
     spark = df.sparkSession
     for part in range(slices):
@@ -131,9 +131,11 @@ def run_rows(df: DataFrame, key: list[str], prompt: Plan, answer: Answer, result
         # both read the stored answers.
         answered = checkpointed(ask_rows(todo, key, prompt, answer))
         refusal = answered.filter("fatal IS NOT NULL").select("fatal").take(1)
+        good = answered.filter("fatal IS NULL").drop("fatal").withColumn("saved_at", F.current_timestamp())
+        if not refusal or not good.isEmpty():
+            good.write.mode("append").parquet(results)
         if refusal:
             raise StepAborted(refusal[0][0])
-        answered.drop("fatal").withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(results)
     return with_answers(df, key, prompt.output, spark.read.parquet(results))
 
 

@@ -72,8 +72,10 @@ def _salted(left, right, pairs, how, hot_rows):
         return _salted(right, left, [(r, l) for l, r in pairs], "left", hot_rows)
     if how == "outer":
         kept = _salted(left, right, pairs, "left", hot_rows)
-        condition = _all(col(left, l) == col(right, r) for l, r in pairs)
-        return kept.unionByName(right.join(left, condition, "left_anti"), allowMissingColumns=True)
+        # Each key once, so a hot key of the left side is one row to look up.
+        known = left.select(*(col(left, l) for l, _ in pairs)).distinct()
+        condition = _all(col(known, l) == col(right, r) for l, r in pairs)
+        return kept.unionByName(right.join(known, condition, "left_anti"), allowMissingColumns=True)
     lk, rk = [l for l, _ in pairs], [r for _, r in pairs]
     hot = checkpointed(
         left.groupBy(*(col(left, l).alias(f"_h{i}") for i, l in enumerate(lk)))

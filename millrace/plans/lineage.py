@@ -17,6 +17,9 @@ from millrace.session import checkpointed, stored
 NEVER_BUILT, STALE, FRESH = "never_built", "stale", "fresh"
 FINISHED = ("succeeded", "failed", "skipped")
 
+# Rounds of a walk after which what it has seen becomes one table again.
+COMPACT_ROUNDS = 8
+
 
 def staleness(datasets: DataFrame, recipes: DataFrame, recipe_inputs: DataFrame, versions: DataFrame) -> DataFrame:
     """(recipe, dataset, staleness) per produced dataset.
@@ -60,6 +63,7 @@ def reach(edges: DataFrame, start: DataFrame, source: str, target: str) -> DataF
 def _reach(edges: DataFrame, start: DataFrame, source: str, target: str) -> DataFrame:
     node = start.columns[0]
     seen = frontier = checkpointed(start.distinct())
+    rounds = 0
     while True:
         step = (
             frontier.join(edges, frontier[node] == edges[source]).select(edges[target].alias(node)).distinct()
@@ -68,7 +72,9 @@ def _reach(edges: DataFrame, start: DataFrame, source: str, target: str) -> Data
         frontier, found = stored(step)
         if not found:
             return seen
-        seen = seen.unionByName(frontier)
+        seen, rounds = seen.unionByName(frontier), rounds + 1
+        if rounds % COMPACT_ROUNDS == 0:
+            seen = checkpointed(seen)
 
 
 def upstream(targets: DataFrame, deps: DataFrame) -> DataFrame:
@@ -78,24 +84,29 @@ def upstream(targets: DataFrame, deps: DataFrame) -> DataFrame:
 
 def levels(recipes: DataFrame, deps: DataFrame) -> DataFrame:
     """(recipe, level): 0 without dependencies, else one more than the highest of them. A cycle is an
-    error.
+    error."""
+    return _ranked(recipes.select("recipe").distinct().withColumn("marked", F.lit(False)), deps).drop("marked")
+
+
+def _ranked(recipes: DataFrame, deps: DataFrame) -> DataFrame:
+    """(recipe, level, marked): `marked` also where anything the recipe needs, over any number of steps, is.
 
-    Round r keeps the recipes with a chain of at least r dependencies. Without a cycle each round loses
-    some, so a round that loses none has found one.
+    Round r keeps the dependencies that end a chain of r, each with the mark of the chain's first recipe, so
+    what a round reads shrinks with the level. Without a cycle each round loses some dependencies, so a
+    round that loses none has found one.
     """
-    nodes, left = stored(recipes.select("recipe").distinct())
-    inside = checkpointed(deps.join(nodes, "recipe", "left_semi").join(
-        nodes.withColumnRenamed("recipe", "needs"), "needs", "left_semi"))
-    standing, level = nodes, 0
-    out = nodes.withColumn("level", F.lit(0))
+    nodes = checkpointed(recipes)
+    below = nodes.withColumnRenamed("recipe", "needs")
+    chains, left = stored(deps.join(nodes, "recipe", "left_semi").join(below, "needs").select("recipe", "needs", "marked"))
+    out, level = nodes.withColumn("level", F.lit(0)), 0
     while left:
-        below = standing.withColumnRenamed("recipe", "needs")
         before, level = left, level + 1
-        standing, left = stored(inside.join(below, "needs", "left_semi").select("recipe").distinct())
+        reached = chains.groupBy("recipe").agg(F.bool_or("marked").alias("marked"))
+        out = out.unionByName(reached.withColumn("level", F.lit(level)))
+        chains, left = stored(chains.drop("marked").join(reached.withColumnRenamed("recipe", "needs"), "needs"))
         if left == before:
             raise InvalidInput("the recipes form a cycle")
-        out = out.unionByName(standing.withColumn("level", F.lit(level)))
-    return out.groupBy("recipe").agg(F.max("level").alias("level"))
+    return out.groupBy("recipe").agg(F.max("level").alias("level"), F.bool_or("marked").alias("marked"))
 
 
 def rebuild_steps(targets: DataFrame, deps: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
@@ -108,9 +119,9 @@ def rebuild_steps(targets: DataFrame, deps: DataFrame, state: DataFrame, force:
     inner = checkpointed(deps.join(closure, "recipe", "left_semi"))
     if force:
         return levels(closure, inner)
-    stale = state.filter(F.col("staleness") != FRESH).select("recipe").join(closure, "recipe", "left_semi")
-    included = _reach(inner, stale, "needs", "recipe")
-    return levels(closure, inner).join(included, "recipe", "left_semi")
+    stale = state.filter(F.col("staleness") != FRESH).select("recipe").distinct().withColumn("marked", F.lit(True))
+    marked = closure.join(stale, "recipe", "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+    return _ranked(marked, inner).filter("marked").drop("marked")
 
 
 def dataset_status(datasets: DataFrame, state: DataFrame, steps: DataFrame) -> DataFrame:

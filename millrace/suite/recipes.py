@@ -155,10 +155,9 @@ def expression_functions(spark, sf):
 
 @suite.add("""
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey, o_orderstatus FROM lineitem
-    JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'""")
+    JOIN orders ON l_orderkey = o_orderkey""")
 def join_inner(spark, sf):
-    orders = table(spark, sf, "orders").filter("o_orderstatus = 'P'")
-    return join(table(spark, sf, "lineitem"), orders, [("l_orderkey", "o_orderkey")]).select(
+    return join(table(spark, sf, "lineitem"), table(spark, sf, "orders"), [("l_orderkey", "o_orderkey")]).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "o_orderstatus")
 
 
@@ -196,6 +195,35 @@ def join_outer_suffix(spark, sf):
     return join(*_sides(spark, sf), [("name", "name")], "outer")
 
 
+_WHOLE = """
+    WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_custkey % 3 = 0 THEN 1 ELSE o_custkey END AS customer FROM orders),
+         c AS (SELECT CASE WHEN c_custkey % 5 > 0 THEN c_custkey END AS customer, c_name FROM customer)
+    SELECT o_orderkey, o.customer, c.customer AS customer_right, c_name FROM o {how} JOIN c ON o.customer = c.customer"""
+
+
+def _whole(spark, sf, how):
+    """All orders with all customers; keys are NULL on both sides, and a third of the orders have one customer."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.expr(
+        "CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_custkey % 3 = 0 THEN 1 ELSE o_custkey END").alias("customer"))
+    customers = table(spark, sf, "customer").select(F.expr("CASE WHEN c_custkey % 5 > 0 THEN c_custkey END").alias("customer"), "c_name")
+    return join(orders, customers, [("customer", "customer")], how, hot_rows=200)
+
+
+@suite.add(_WHOLE.format(how="LEFT"))
+def join_left_whole(spark, sf):
+    return _whole(spark, sf, "left")
+
+
+@suite.add(_WHOLE.format(how="RIGHT"))
+def join_right_whole(spark, sf):
+    return _whole(spark, sf, "right")
+
+
+@suite.add(_WHOLE.format(how="FULL"))
+def join_outer_whole(spark, sf):
+    return _whole(spark, sf, "outer")
+
+
 @suite.add("""
     WITH s AS (SELECT l_returnflag AS flag, max(l_quantity) AS top FROM lineitem GROUP BY l_returnflag)
     SELECT l_suppkey, count(*) AS n, sum(CAST(top - l_quantity AS BIGINT))::BIGINT AS below_top

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.errors import StepAborted
 from millrace.operators import answers, governance, pii, prompts, search
 from millrace.operators.answers import AnswerFailed
 from millrace.session import scratch_path
@@ -236,6 +237,27 @@ def answer_rows(spark, sf):
     return again.select("conv_id", "turn", "label", "label_error", "cost_micros")
 
 
+def _limited(system: str, user: str) -> dict:
+    """The same model under a quota that the assistant's turns have used up."""
+    if "\nassistant\n" in user:
+        raise AnswerFailed("over the quota", "quota-exceeded")
+    return {"content": "124", "cost_micros": 3}
+
+
+@suite.add("SELECT conv_id, turn, '124' AS label, 1::BIGINT AS times FROM conversations")
+def answer_resumed(spark, sf):
+    """A run that a quota stops, then one that goes on: no turn is answered, or paid for, twice."""
+    turns, saved = table(spark, sf, "conversations"), scratch_path(spark, "answers")
+    plan = prompts.plan(turns, "classify", "{role}", labels=["a", "b"])
+    try:
+        answers.run_rows(turns, ["conv_id", "turn"], plan, _limited, saved)
+    except StepAborted:
+        pass
+    done = answers.run_rows(turns, ["conv_id", "turn"], plan, lambda system, user: {"content": "124"}, saved)
+    times = spark.read.parquet(saved).groupBy("conv_id", "turn").agg(F.count("*").alias("times"))
+    return done.select("conv_id", "turn", "label").join(times, ["conv_id", "turn"])
+
+
 @suite.add("""SELECT event_id, replace(props, ' ', '') AS stored FROM events""")
 def answer_canonical_json(spark, sf):
     """Extracted answers are stored as sorted, compact JSON."""
