@@ -6,12 +6,13 @@ group does not matter.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from millrace.errors import InvalidInput
+from millrace.functions.expressions import col
 
 # The three ladders, laxest first (None: not set).
 LADDERS: dict[str, tuple[str | None, ...]] = {
@@ -111,30 +112,48 @@ def label_columns(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     wrong = set(labels.values()) - set(LADDERS["classification"])
     if unknown or wrong:
         raise InvalidInput(f"unknown column(s) {sorted(unknown)} or label(s) {sorted(wrong)}")
-    return reduce(
-        lambda frame, item: frame.withMetadata(
-            item[0], {**frame.schema[item[0]].metadata, "classification": item[1]}),
-        labels.items(), df)
+    marked = lambda f: col(df, f.name).alias(f.name, metadata={**f.metadata, "classification": labels[f.name]})
+    return df.select(*(marked(f) if f.name in labels else col(df, f.name) for f in df.schema.fields))
 
 
 def column_labels(schema: T.StructType) -> dict[str, str]:
     return {f.name: f.metadata.get("classification", "none") for f in schema.fields}
 
 
-def carry_labels(out: DataFrame, *inputs: DataFrame) -> DataFrame:
-    """Label an output's columns: a column of an input's name and type keeps its strictest label, a new
-    column takes the strictest label on any input column."""
-    order = LADDERS["classification"].index
-    by_name: dict[tuple[str, str], str] = {}
-    highest = "none"
-    for frame in inputs:
-        for field in frame.schema.fields:
-            mine = field.metadata.get("classification", "none")
-            highest = max(highest, mine, key=order)
-            key = (field.name.lower(), field.dataType.simpleString())
-            by_name[key] = max(by_name.get(key, "none"), mine, key=order)
-    return label_columns(out, {f.name: by_name.get((f.name.lower(), f.dataType.simpleString()), highest)
-                               for f in out.schema.fields})
+def explicit_labels(df: DataFrame) -> DataFrame:
+    """Every column with its label, `none` included, so that what is derived from it can be told from it."""
+    return label_columns(df, column_labels(df.schema))
+
+
+# Set operations show the metadata of their first side alone.
+_MERGES = re.compile(r"^[\s:+|-]*(Union|Intersect|Except)\b", re.M)
+
+
+def carry_labels(out: DataFrame, *inputs: DataFrame, by_name: bool = False) -> DataFrame:
+    """Label the columns of `out`, which was made from `inputs`, each of them through `explicit_labels`.
+
+    Spark carries a column's metadata through selections, joins and renames, not through expressions. So a
+    column that is an input's column, whatever its name now, keeps its label, and any other takes the
+    strictest label on the inputs; so does every column where a set operation merged some. `by_name`, for
+    stacked inputs: the strictest label on the columns of that name.
+    """
+    strict = lambda found: max(found, key=LADDERS["classification"].index, default="none")
+    held = [column_labels(frame.schema) for frame in inputs]
+    highest = strict(label for labels in held for label in labels.values())
+    if by_name:
+        own = {f.name: strict(label for labels in held for name, label in labels.items() if name.lower() == f.name.lower())
+               for f in out.schema.fields}
+    elif _MERGES.search(out._jdf.queryExecution().analyzed().toString()):
+        own = dict.fromkeys(out.columns, highest)
+    else:
+        own = {f.name: f.metadata.get("classification", highest) for f in out.schema.fields}
+    return label_columns(out, own)
+
+
+def stricter(*found: dict[str, str | None]) -> dict[str, str | None]:
+    """The strictest label per ladder of a few label sets; a missing one is the laxest."""
+    return {ladder: max((f.get(ladder) or steps[0] for f in found), key=steps.index, default=steps[0])
+            for ladder, steps in LADDERS.items()}
 
 
 def blocking_labels(classification: str | None, bbn: str | None) -> list[str]:

@@ -35,9 +35,14 @@ def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.select(*(col(df, c).alias(n) for c, n in zip(df.columns, names)))
 
 
+def _same(df: DataFrame, name: str, value: Column) -> Column:
+    """`value` under the name and with the metadata, labels among it, of the column it stands for."""
+    return value.alias(name, metadata=df.schema[name].metadata)
+
+
 def cast(df: DataFrame, casts: dict[str, str]) -> DataFrame:
     require_columns(df, casts)
-    return df.withColumns({c: col(df, c).cast(type_name(t)) for c, t in casts.items()})
+    return df.withColumns({c: _same(df, c, col(df, c).cast(type_name(t))) for c, t in casts.items()})
 
 
 def filter_rows(df: DataFrame, expression: Expression) -> DataFrame:
@@ -50,7 +55,7 @@ def formula(df: DataFrame, column: str, expression: Expression) -> DataFrame:
 
 def fill_nulls(df: DataFrame, values: dict[str, Any]) -> DataFrame:
     require_columns(df, values)
-    return df.withColumns({c: F.coalesce(col(df, c), lit(v)) for c, v in values.items()})
+    return df.withColumns({c: _same(df, c, F.coalesce(col(df, c), lit(v))) for c, v in values.items()})
 
 
 def dedupe(df: DataFrame, subset: list[str] | None = None, order: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.errors import InvalidInput
-from millrace.operators.labels import carry_labels
+from millrace.operators.labels import LADDERS, carry_labels, explicit_labels, stricter
 from millrace.plans.lineage import dependencies, rebuild_steps, staleness
 from millrace.plans.recipes import config_hash, run
 from millrace.sources.versions import read_version, versions, write_version
@@ -53,21 +53,31 @@ def steps_for(spark: SparkSession, root: str, project: str, flow: list[dict[str,
 def build(spark: SparkSession, root: str, project: str, flow: list[dict[str, Any]], targets: list[str],
           force: bool = False, labels: dict[str, tuple[str | None, str | None]] | None = None) -> dict[str, int]:
     """Run the steps and commit a version for each output: {dataset: version}. A split also commits its
-    second output, as `<output>_rest`."""
+    second output, as `<output>_rest`.
+
+    An output is at least as strictly labelled, per ladder, as each of its inputs, and never less than its
+    own last version. A code step is judged by the labels of its inputs' versions, and by those that `labels`
+    adds as (classification, bbn).
+    """
     by_name = {r["recipe"]: r for r in flow}
     made: dict[str, int] = {}
     for name in steps_for(spark, root, project, flow, targets, force):
         recipe = by_name[name]
-        current = {
-            row["dataset"]: row["v"]
-            for row in versions(spark, root)
-            .filter((F.col("project") == project) & F.col("dataset").isin(recipe["inputs"]))
-            .groupBy("dataset").agg(F.max("version").alias("v")).collect()
-        }
-        inputs = [read_version(spark, root, project, i, current.get(i)) for i in recipe["inputs"]]
-        known = {i: v for i, v in (labels or {}).items() if i in recipe["inputs"]}
-        outputs = run(recipe["kind"], recipe["config"], inputs, names=recipe["inputs"], labels=known)
+        made_here = (recipe["output"], recipe["output"] + "_rest")
+        newest = F.max_by(F.struct("version", *LADDERS), "version").alias("newest")
+        rows = versions(spark, root).filter(
+            (F.col("project") == project) & F.col("dataset").isin([*recipe["inputs"], *made_here])
+        ).groupBy("dataset").agg(newest).collect()
+        known = {r["dataset"]: r["newest"].asDict() for r in rows}
+        current = {i: known[i]["version"] for i in recipe["inputs"] if i in known}
+        inputs = [explicit_labels(read_version(spark, root, project, i, current.get(i))) for i in recipe["inputs"]]
+        told = {i: dict(zip(LADDERS, v)) for i, v in (labels or {}).items()}
+        judged = {i: stricter(known.get(i, {}), told.get(i, {})) for i in recipe["inputs"]}
+        gate = {i: (v["classification"], v["bbn"]) for i, v in judged.items()}
+        outputs = run(recipe["kind"], recipe["config"], inputs, names=recipe["inputs"], labels=gate)
         plain = _plain(recipe["config"])
-        for dataset, df in zip((recipe["output"], recipe["output"] + "_rest"), outputs):
-            made[dataset] = write_version(carry_labels(df, *inputs), root, project, dataset, config_hash(plain), current, plain)
+        for dataset, df in zip(made_here, outputs):
+            made[dataset] = write_version(
+                carry_labels(df, *inputs, by_name=recipe["kind"] == "stack"), root, project, dataset, config_hash(plain),
+                current, plain, labels=stricter(known.get(dataset, {}), *judged.values()))
     return made

@@ -8,20 +8,27 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.errors import InvalidInput
-from millrace.operators.labels import column_labels
+from millrace.operators.labels import LADDERS, column_labels
 from millrace.operators.profile import profile
 from millrace.sources.files import write_counted
 
 SCHEMA = (
     "project string, dataset string, version bigint, location string, format string, schema string, "
     "row_count bigint, row_count_kind string, profile string, recipe_config_hash string, "
-    "input_versions map<string,bigint>, config_snapshot string, created_at timestamp"
+    "input_versions map<string,bigint>, config_snapshot string, created_at timestamp, "
+    "classification string, bbn string, confidentiality string"
 )
+# Hours after which a claim or a folder without a catalog row is taken for a dead build's.
+STALE_HOURS = 24.0
 
 
 def version_path(root: str, project: str, dataset: str, version: int) -> str:
@@ -60,15 +67,48 @@ def read_version(spark: SparkSession, root: str, project: str, dataset: str, ver
 
 def write_version(df: DataFrame, root: str, project: str, dataset: str, recipe_hash: str | None = None,
                   input_versions: dict[str, int] | None = None, config: dict[str, Any] | None = None,
-                  with_profile: bool = True) -> int:
+                  with_profile: bool = True, labels: dict[str, str | None] | None = None) -> int:
     """Write the next version, check and profile it, then commit it. Returns the version.
 
-    The folder is overwritten, so a retry replaces what a dead attempt left. The written files, not the
-    input, are what is counted and profiled.
+    One build at a time writes a version: it holds a claim, and another one fails. The folder is
+    overwritten, so a retry replaces what a dead attempt left. The written files, not the input, are what
+    is counted and profiled. `labels` are the dataset's, by ladder.
     """
     spark = df.sparkSession
     version = current_version(spark, root, project, dataset) + 1
     path = version_path(root, project, dataset, version)
+    with _claimed(spark, path):
+        if current_version(spark, root, project, dataset) >= version:
+            raise InvalidInput(f"{path} was committed by another build meanwhile")
+        return _commit(df, root, project, dataset, version, path, recipe_hash, input_versions, config, with_profile, labels or {})
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def _claimed(spark: SparkSession, path: str) -> Iterator[None]:
+    """Hold the file `<path>.claim`, which only one build can create. A claim older than STALE_HOURS is a dead
+    build's and is taken over. The store must create files atomically, as HDFS and local disks do."""
+    at, fs = _file_system(spark, f"{path}.claim")
+    if fs.exists(at) and time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > STALE_HOURS * 3600:
+        fs.delete(at, False)
+    try:
+        mine = fs.createNewFile(at)
+    except Py4JJavaError as error:
+        raise InvalidInput(f"{path} can't be claimed") from error
+    if not mine:
+        raise InvalidInput(f"{path} is being written by another build")
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
+
+
+def _commit(df, root, project, dataset, version, path, recipe_hash, input_versions, config, with_profile, own) -> int:
+    spark = df.sparkSession
     rows = write_counted(df, path)
     written = spark.read.parquet(path)
     if written.count() != rows:
@@ -79,7 +119,8 @@ def write_version(df: DataFrame, root: str, project: str, dataset: str, recipe_h
                "classification": labels[f.name]} for f in written.schema.fields]
     row = (project, dataset, version, path, "parquet", json.dumps(schema), rows, "exact",
            json.dumps({"row_count": rows, "columns": shown}), recipe_hash, input_versions or {},
-           json.dumps(config or {}, ensure_ascii=False, default=str), dt.datetime.now(dt.timezone.utc))
+           json.dumps(config or {}, ensure_ascii=False, default=str), dt.datetime.now(dt.timezone.utc),
+           *(own.get(ladder) or steps[0] for ladder, steps in LADDERS.items()))
     spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(_catalog_path(root))
     return version
 
@@ -111,9 +152,13 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         "pathGlobFilter", "*.parquet").load(root).select("path", "modificationTime")
 
 
-def prune_orphans(spark: SparkSession, root: str) -> int:
-    """Delete the orphan folders and return how many there were."""
-    found = orphans(list_files(spark, f"{root.rstrip('/')}/projects"), versions(spark, root)).select("folder")
+def prune_orphans(spark: SparkSession, root: str, older_than_hours: float = STALE_HOURS) -> int:
+    """Delete the orphan folders in which nothing was written for some hours, and return how many there were.
+    A younger one may be a running build's, whose catalog row comes last."""
+    files = list_files(spark, f"{root.rstrip('/')}/projects")
+    before = F.current_timestamp() - F.make_dt_interval(hours=F.lit(0), secs=F.lit(older_than_hours * 3600))
+    live = version_folders(files.filter(F.col("modificationTime") > before)).select("folder")
+    found = orphans(files, versions(spark, root)).join(live, "folder", "left_anti").select("folder")
     removed = 0
     for row in found.toLocalIterator():
         path = spark._jvm.org.apache.hadoop.fs.Path(row["folder"])

@@ -1,7 +1,7 @@
 import pytest
 
 from millrace.errors import InvalidInput
-from millrace.operators import labels
+from millrace.operators import combine, group, join, labels, prepare
 from millrace.plans import lineage
 
 
@@ -78,8 +78,17 @@ def test_purposes_and_basis(spark):
 def test_column_labels(spark):
     df = labels.label_columns(spark.createDataFrame([(1, "x")], "id int, bsn string"), {"bsn": "bsn"})
     assert labels.column_labels(df.schema) == {"id": "none", "bsn": "bsn"}
-    out = labels.carry_labels(df.selectExpr("id", "bsn", "concat(bsn, id) AS mixed"), df)
-    assert labels.column_labels(out.schema) == {"id": "none", "bsn": "bsn", "mixed": "bsn"}
+    df = labels.explicit_labels(df)
+    carried = lambda out, *inputs, **how: labels.column_labels(labels.carry_labels(out, *inputs, **how).schema)
+    assert carried(df.selectExpr("id", "bsn", "concat(bsn, id) AS mixed"), df) == {"id": "none", "bsn": "bsn", "mixed": "bsn"}
+    assert carried(df.selectExpr("bsn AS id", "id AS bsn"), df) == {"id": "bsn", "bsn": "none"}  # labels follow values, not names
+    assert carried(prepare.formula(df, "id", "bsn"), df) == {"id": "bsn", "bsn": "bsn"}
+    assert carried(prepare.prepare(df, [{"op": "cast", "casts": {"id": "string"}}, {"op": "fill_nulls", "values": {"id": "0"}}]), df) == {"id": "none", "bsn": "bsn"}
+    plain = labels.explicit_labels(df.sparkSession.createDataFrame([(1, "y")], "id int, bsn string"))
+    assert carried(join.join(plain, df, [("id", "id")], "left"), plain, df) == {"id": "none", "bsn": "none", "id_right": "none", "bsn_right": "bsn"}
+    assert carried(plain.union(df), plain, df) == {"id": "bsn", "bsn": "bsn"}
+    assert carried(combine.stack(plain, df), plain, df, by_name=True) == {"id": "none", "bsn": "bsn"}
+    assert carried(group.group(df, ["id"], [{"column": "bsn", "func": "max", "as": "top"}]), df) == {"id": "none", "top": "bsn"}
     for bad in ({"nope": "bsn"}, {"id": "secret"}):
         with pytest.raises(InvalidInput):
             labels.label_columns(df, bad)

@@ -3,8 +3,10 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.errors import InvalidInput, PolicyBlocked
+from millrace.operators import labels
 from millrace.operators.code_step import code_step, map_batches
 from millrace.operators.profile import profile
 from millrace.plans import build as builds
@@ -162,11 +164,53 @@ def test_versions_and_orphans(spark, folder):
     assert versions.write_version(spark.range(5), root, "p", "d", "h2") == 2  # the retry replaces it
     assert versions.read_version(spark, root, "p", "d").count() == 5 and versions.read_version(spark, root, "p", "d", 1).count() == 3
     spark.range(9).write.parquet(versions.version_path(root, "p", "d", 3))
-    assert versions.prune_orphans(spark, root) == 1 and not os.path.exists(versions.version_path(root, "p", "d", 3))
+    assert versions.prune_orphans(spark, root) == 0  # it may be a running build's
+    assert versions.prune_orphans(spark, root, older_than_hours=0) == 1 and not os.path.exists(versions.version_path(root, "p", "d", 3))
     row = versions.versions(spark, root).filter("version = 2").first()
     assert row["row_count"] == 5 and json.loads(row["profile"])["row_count"] == 5 and row["recipe_config_hash"] == "h2"
 
 
+def test_one_build_writes_a_version(spark, folder):
+    root = f"{folder}/claims"
+    claim = versions.version_path(root, "p", "d", 1) + ".claim"
+    os.makedirs(os.path.dirname(claim))
+    open(claim, "w").close()
+    with pytest.raises(InvalidInput):
+        versions.write_version(spark.range(3), root, "p", "d")
+    os.utime(claim, (0, 0))  # the other build died long ago
+    assert versions.write_version(spark.range(3), root, "p", "d") == 1 and not os.path.exists(claim)
+    with pytest.raises(Exception, match="broken"):
+        versions.write_version(spark.range(3).select(F.raise_error(F.lit("broken"))), root, "p", "d")
+    assert versions.write_version(spark.range(4), root, "p", "d") == 2  # a failed write lets go of its claim
+
+
+def test_builds_keep_label_floors(spark, folder):
+    root = f"{folder}/floors"
+    versions.write_version(labels.label_columns(spark.createDataFrame([(1, "111222333")], "id int, number string"), {"number": "bsn"}),
+                           root, "p", "people", labels={"classification": "bsn", "confidentiality": "intern"})
+    versions.write_version(spark.range(3), root, "p", "ids", labels={"bbn": "bbn2"})
+    seen = []
+    flow = [
+        {"recipe": "r1", "kind": "join", "inputs": ["ids", "people"], "output": "both", "config": {"on": [{"left": "id", "right": "id"}]}},
+        {"recipe": "r2", "kind": "prepare", "inputs": ["both"], "output": "slim", "config": {"steps": [{"op": "select", "columns": ["id"]}]}},
+        {"recipe": "r3", "kind": "python", "inputs": ["slim"], "output": "out", "config": {"function": lambda slim: seen.append(1) or slim}},
+        {"recipe": "r4", "kind": "python", "inputs": ["ids"], "output": "free", "config": {"function": lambda ids: ids}},
+    ]
+    with pytest.raises(PolicyBlocked):
+        builds.build(spark, root, "p", flow, ["out"])
+    assert not seen and builds.build(spark, root, "p", flow, ["free"]) == {"free": 1}
+    rows = {r["dataset"]: (r["classification"], r["bbn"], r["confidentiality"]) for r in versions.versions(spark, root).collect()}
+    assert rows["both"] == rows["slim"] == ("bsn", "bbn2", "intern") and rows["free"] == ("none", "bbn2", None)
+    assert labels.column_labels(versions.read_version(spark, root, "p", "both").schema) == {"id": "none", "number": "bsn"}
+    versions.write_version(spark.range(3), root, "p", "free", labels={"bbn": "bbn3", "classification": "bijzonder"})  # raised by hand
+    versions.write_version(spark.range(9), root, "p", "ids", labels={"bbn": "bbn1"})
+    assert builds.build(spark, root, "p", flow, ["free"]) == {"free": 3}
+    last = versions.versions(spark, root).filter("dataset = 'free' AND version = 3").first()
+    assert (last["classification"], last["bbn"]) == ("bijzonder", "bbn3")
+    with pytest.raises(PolicyBlocked):
+        builds.build(spark, root, "p", flow, ["free"], force=True, labels={"ids": ("none", "bbn3")})
+
+
 def test_config_hash_is_canonical():
     assert recipes.config_hash({"b": 1, "a": "é"}) == recipes.config_hash({"a": "é", "b": 1}) != recipes.config_hash({"a": "e", "b": 1})
     assert recipes.config_hash({}) == "44136fa355b3678a1146ad16f7e8649e94fb4fc21fe77e8310c060f61caaff8a"
