@@ -7,19 +7,20 @@ text, so rendering runs inside code generation.
 from __future__ import annotations
 
 import re
+import string
 from dataclasses import dataclass
+from itertools import zip_longest
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.errors import InvalidInput
 from millrace.functions.expressions import col
-from millrace.operators.governance import CLASSIFICATIONS, untrusted_block
+from millrace.operators.governance import untrusted_block
 from millrace.operators.labels import strictest
 from millrace.session import require_columns
 
-# Placeholders, system texts, default output names and answer caps per mode.
+# Placeholders, system texts, default output names and answer caps per mode; names of cells.
 PLACEHOLDER = r"\{([A-Za-z_][A-Za-z0-9_ .-]*)\}"
 SYSTEM = {
     "prompt": "Answer using only the data provided. Reply with the answer alone.",
@@ -32,6 +33,8 @@ SYSTEM = {
 OUTPUT = {"prompt": "llm_output", "classify": "label", "extract": "extracted", "summarize": "summary"}
 MAX_TOKENS = {"prompt": 512, "classify": 16, "extract": 512, "summarize": 256}
 CHARS_PER_TOKEN = 4
+LABEL_CHARS = 40
+LABEL_ALPHABET = string.ascii_letters + string.digits + "_-"
 NON_CACHEABLE_PURPOSES = ("guardrail", "eval")
 
 
@@ -47,47 +50,46 @@ class Plan:
     max_tokens: int
 
 
+def cut(template: str) -> list[tuple[str, str | None]]:
+    """A template as pairs of a text and the column that follows it; the last has none."""
+    parts = re.split(PLACEHOLDER, template)
+    return list(zip_longest(parts[::2], parts[1::2]))
+
+
 def plan(df: DataFrame, mode: str, template: str, output: str | None = None, labels: list[str] | None = None,
          schema: dict[str, Any] | None = None, max_sentences: int | None = None,
          max_tokens: int | None = None) -> Plan:
-    if mode not in SYSTEM:
-        raise InvalidInput(f"mode must be one of {tuple(SYSTEM)}")
-    if not template or not template.strip():
-        raise InvalidInput("the template is empty")
-    columns = tuple(dict.fromkeys(re.findall(PLACEHOLDER, template)))
-    if not columns:
-        raise InvalidInput("the template names no column; write {column}")
+    """A checked prompt plan. All that is wrong with it is said in one error."""
+    columns = tuple(dict.fromkeys(c for _, c in cut(template or "") if c))
+    chosen = tuple(map(str, labels or ())) if mode == "classify" else ()
+    name = output or OUTPUT.get(mode, "")
+    faults = {
+        f"mode must be one of {tuple(SYSTEM)}": mode not in SYSTEM,
+        "the template names no column; write {column}": not columns,
+        f"output column {name!r} is empty or already on the input": not name.strip() or name in df.columns,
+        "classify needs at least two different labels": mode == "classify" and not 1 < len(set(chosen)) == len(chosen),
+        "extract needs a schema": mode == "extract" and not (schema and isinstance(schema, dict)),
+    }
+    if any(faults.values()):
+        raise InvalidInput("; ".join(fault for fault, holds in faults.items() if holds))
     require_columns(df, columns)
-    name = output or OUTPUT[mode]
-    if not name.strip() or name in df.columns:
-        raise InvalidInput(f"output column {name!r} is empty or already on the input")
-    system, shape, chosen = SYSTEM[mode], None, ()
-    if mode == "classify":
-        chosen = tuple(str(x) for x in labels or ())
-        if len(chosen) < 2 or len(set(chosen)) != len(chosen):
-            raise InvalidInput("classify needs at least two different labels")
-        system += f"\nLabels: {', '.join(chosen)}."
-        shape = {"type": "string", "enum": list(chosen)}
-    if mode == "extract":
-        if not isinstance(schema, dict) or not schema:
-            raise InvalidInput("extract needs a schema")
-        system += f"\nSchema: {schema}."
-        shape = schema
-    if mode == "summarize" and max_sentences is not None:
-        system += f" Use at most {int(max_sentences)} sentences."
-    return Plan(mode, system, template, name, columns, shape, chosen, max_tokens or MAX_TOKENS[mode])
+    added = {"classify": f"\nLabels: {', '.join(chosen)}.", "extract": f"\nSchema: {schema}.",
+             "summarize": "" if max_sentences is None else f" Use at most {int(max_sentences)} sentences."}
+    shape = {"classify": {"type": "string", "enum": list(chosen)}, "extract": schema}
+    return Plan(mode, SYSTEM[mode] + added.get(mode, ""), template, name, columns, shape.get(mode), chosen,
+                max_tokens or MAX_TOKENS[mode])
+
+
+def cell_label(column: str) -> str:
+    """What a cell's block is called: the column's name in characters that can't end the delimiter."""
+    return "".join(c if c in LABEL_ALPHABET else "_" for c in column[:LABEL_CHARS]) or "cell"
 
 
 def render(df: DataFrame, prompt: Plan) -> Column:
     """The user message: the template with each cell in an untrusted block; NULL is an empty cell."""
-    parts: list[Column] = []
-    for i, piece in enumerate(re.split(PLACEHOLDER, prompt.template)):
-        if i % 2:
-            label = re.sub(r"[^A-Za-z0-9_-]", "_", piece)[:40] or "cell"
-            parts.append(untrusted_block(F.coalesce(col(df, piece).cast("string"), F.lit("")), label))
-        elif piece:
-            parts.append(F.lit(piece))
-    return F.concat(*parts)
+    shown = lambda c: untrusted_block(F.coalesce(col(df, c).cast("string"), F.lit("")), cell_label(c))
+    return F.concat(*(part for text, column in cut(prompt.template)
+                      for part in ([F.lit(text)] if text else []) + ([shown(column)] if column else [])))
 
 
 def floors(df: DataFrame, labels: str, dataset_label: str) -> Column:

@@ -8,9 +8,11 @@ from millrace.functions import expressions as e
 from millrace.operators import code_step, combine, ordered
 from millrace.operators.group import group
 from millrace.operators.join import join
+from millrace.operators.labels import label_columns
 from millrace.operators.prepare import prepare
 from millrace.operators.profile import profile, summary
 from millrace.plans import recipes as plans
+from millrace.plans.build import build
 from millrace.session import scratch_path
 from millrace.sources import files, jdbc, versions
 from millrace.suite import Suite, table
@@ -469,6 +471,50 @@ def csv_round_trip(spark, sf):
     return files.read_csv(spark, path, header=True)
 
 
+_SPOKEN = """'He said "' || coalesce(text, '') || '", then:' || chr(10) || '""' || chr(10) || ',x'"""
+
+
+@suite.add(f"""
+    SELECT 'd' || doc_id AS id, {_SPOKEN} AS said, lang FROM documents
+    UNION ALL SELECT 'c' || conv_id || '/' || turn, {_SPOKEN}, role FROM conversations""")
+def csv_texts(spark, sf):
+    """Texts with quotes, commas and line breaks, written as CSV and read back whole."""
+    path = scratch_path(spark, "texts") + ".csv"
+    said = F.expr(_SPOKEN).alias("said")
+    both = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), said, "lang").unionByName(
+        table(spark, sf, "conversations").select(F.concat_ws("/", F.concat(F.lit("c"), "conv_id"), "turn").alias("id"), said, F.col("role").alias("lang")))
+    both.write.option("header", True).option("escape", '"').csv(path)
+    return files.read_csv(spark, path, header=True)
+
+
+@suite.add("""
+    SELECT 'customers' AS dataset, 1::BIGINT AS version, 'persoonsgegevens' AS classification, NULL AS bbn, 'intern' AS confidentiality, 'persoonsgegevens' AS names, count(*) AS row_count FROM customer
+    UNION ALL SELECT 'nations', 1, 'none', 'bbn2', NULL, 'none', count(*) FROM nation
+    UNION ALL SELECT 'placed', 1, 'persoonsgegevens', 'bbn2', 'intern', 'persoonsgegevens', count(*) FROM customer
+    UNION ALL SELECT 'shown', 1, 'persoonsgegevens', 'bbn2', 'intern', 'persoonsgegevens', count(*) FROM customer
+    UNION ALL SELECT 'totals', 1, 'persoonsgegevens', 'bbn2', 'intern', 'none,persoonsgegevens', count(DISTINCT c_nationkey) FROM customer""")
+def build_labels(spark, sf):
+    """A build of three steps: every output is labelled as its strictest input, and columns as what they hold."""
+    root = scratch_path(spark, "labelled")
+    customers = label_columns(table(spark, sf, "customer"), {"c_name": "persoonsgegevens"})
+    versions.write_version(customers, root, "p", "customers", labels={"classification": "persoonsgegevens", "confidentiality": "intern"})
+    versions.write_version(table(spark, sf, "nation"), root, "p", "nations", labels={"bbn": "bbn2"})
+    build(spark, root, "p", [
+        {"recipe": "r1", "kind": "join", "inputs": ["customers", "nations"], "output": "placed", "config": {"on": [("c_nationkey", "n_nationkey")]}},
+        {"recipe": "r2", "kind": "prepare", "inputs": ["placed"], "output": "shown", "config": {"steps": [
+            {"op": "rename", "mapping": {"c_name": "n_name", "n_name": "c_name"}}]}},
+        {"recipe": "r3", "kind": "group", "inputs": ["shown"], "output": "totals", "config": {"by": ["c_name"], "aggregations": [
+            {"column": "n_name", "func": "count", "as": "customers"}]}},
+    ], ["totals"])
+    fields = F.from_json("schema", "array<struct<name string, classification string>>")
+    named = F.filter(fields, lambda f: f["name"].isin("n_name", "customers", "c_name"))
+    found = F.when(F.col("dataset") == "totals", F.array_join(F.transform(named, lambda f: f["classification"]), ",")).when(
+        F.col("dataset").isin("customers", "placed"), F.filter(fields, lambda f: f["name"] == "c_name")[0]["classification"]).otherwise(
+        F.filter(fields, lambda f: f["name"] == "n_name")[0]["classification"])
+    return versions.versions(spark, root).select(
+        "dataset", "version", "classification", "bbn", "confidentiality", found.alias("names"), "row_count")
+
+
 @suite.add("""
     SELECT 'c_acctbal' AS name, 'double' AS type, count(*) AS row_count FROM customer UNION ALL SELECT 'c_custkey', 'bigint', count(*) FROM customer
     UNION ALL SELECT 'c_mktsegment', 'string', count(*) FROM customer UNION ALL SELECT 'c_name', 'string', count(*) FROM customer
