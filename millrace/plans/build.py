@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.errors import InvalidInput
@@ -18,10 +19,13 @@ from millrace.sources.versions import read_version, versions, write_version
 
 
 def _tables(spark: SparkSession, root: str, project: str, flow: list[dict[str, Any]]) -> dict[str, DataFrame]:
-    recipes = spark.createDataFrame(
-        [(r["recipe"], r["output"], config_hash(_plain(r["config"]))) for r in flow],
-        "recipe string, output string, config_hash string")
-    inputs = spark.createDataFrame([(r["recipe"], i) for r in flow for i in r["inputs"]], "recipe string, input string")
+    # Arrow tables become local relations, whose size Spark knows when it plans the joins.
+    recipes = spark.createDataFrame(pa.table({
+        "recipe": pa.array([r["recipe"] for r in flow], pa.string()), "output": pa.array([r["output"] for r in flow], pa.string()),
+        "config_hash": pa.array([config_hash(_plain(r["config"])) for r in flow], pa.string())}))
+    reads = [(r["recipe"], i) for r in flow for i in r["inputs"]]
+    inputs = spark.createDataFrame(pa.table({
+        "recipe": pa.array([r for r, _ in reads], pa.string()), "input": pa.array([i for _, i in reads], pa.string())}))
     built = versions(spark, root).filter(F.col("project") == project)
     names = inputs.select(F.col("input").alias("dataset")).unionByName(recipes.select(F.col("output").alias("dataset"))).distinct()
     current = built.groupBy("dataset").agg(F.max("version").alias("v"))
