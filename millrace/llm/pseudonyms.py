@@ -3,7 +3,9 @@
 A value is found by its form, validated (checksum, calendar, ranges), ranked within the numbers or strings of
 its format, sent through a keyed Feistel permutation of those ranks, and written back in the form it had. The
 same value, in any spelling of its format, gets the same pseudonym in every document; different values never
-meet. What fails validation stays as it is. Whoever holds the key can invert the permutation.
+meet. Forms may take in neighbouring numbers: at each place the shorter readings of a form and the other kinds are
+tried too, and a reading gives way to one of better evidence that begins inside it. What fails validation stays as
+it is. Whoever holds the key can invert the permutation.
 """
 
 from __future__ import annotations
@@ -21,20 +23,30 @@ from millrace.llm.words import per_text
 KINDS = ["email", "secret", "iban", "card", "ip", "phone", "ssn", "date"]
 
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-# The order of the alternatives decides between kinds that begin at the same place.
-_PATTERN = re.compile(
-    r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))
-    |(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)(?P<value>[A-Za-z0-9_+/=-]{16,}))
-    |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-    |(?P<card>(?<![0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[.-][0-9]))
-    |(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
-    |(?P<phone>(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])
-        |(?<![0-9A-Za-z+])\+(?:[ .-]?\(?[0-9]\)?){8,15}(?![0-9]))
-    |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9]))
-    |(?P<date>(?<![0-9./-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{1,2}(?P=s)[0-9]{1,2}|[0-9]{1,2}(?P<t>[-/.])[0-9]{1,2}(?P=t)[0-9]{4})(?![0-9]|[./-][0-9])
-        |(?i:(?<![0-9A-Za-z])[0-9]{1,2}[ ](?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}[ ,]{1,2}[0-9]{4}(?![0-9])))""",
-    re.X,
-)
+# What stands before, in and behind the values that may take in neighbours. A card may begin or end at a dash
+# between digits, as its own groups do.
+_IBAN = r"(?<![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?", r"(?![A-Za-z0-9])"
+_CARD = r"(?<![0-9.+])(?<!(?<![0-9])-)", r"[0-9](?:[ -]?[0-9]){12,18}", r"(?![0-9]|\.[0-9])"
+_PHONE = r"(?<![0-9A-Za-z+])", r"\+(?:[ .-]?\(?[0-9]\)?){8,15}", r"(?![0-9])"
+_FORMS = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "secret": r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)(?P<value>[A-Za-z0-9_+/=-]{16,})""",
+    "iban": "".join(_IBAN),
+    "card": "".join(_CARD),
+    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])|" + "".join(_PHONE),
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{1,2}(?P=s)[0-9]{1,2}|[0-9]{1,2}(?P<t>[-/.])[0-9]{1,2}(?P=t)[0-9]{4})(?![0-9]|[./-][0-9])"
+            r"|(?i:(?<![0-9A-Za-z])[0-9]{1,2}[ ](?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}[ ,]{1,2}[0-9]{4}(?![0-9]))",
+}
+_PATTERN = re.compile("|".join(f"(?P<{k}>{_FORMS[k]})" for k in KINDS))
+_FORM = {k: re.compile(_FORMS[k]) for k in KINDS}
+_SHORTER = {k: (re.compile(body), re.compile(tail)) for k, (_, body, tail) in {"iban": _IBAN, "card": _CARD, "phone": _PHONE}.items()}
+# Characters behind a value within which one that begins inside it is looked for at first.
+_MARGIN = 400
+# How cards are grouped, and what their numbers begin with by length.
+_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 4, 4, 4, 3), (6, 13)}
+_NETWORK = re.compile("3[47][0-9]{13}|3[068][0-9]{12}|[4-6][0-9]{15}|2[2-7][0-9]{14}|[46][0-9]{18}|4[0-9]{12}")
 # A text without any of these holds nothing that the pattern above could find.
 _HINT = re.compile(r"@|[0-9][ .()/-]{0,2}[0-9]|[0-9] [A-Za-z]{3}|(?i:token|secret|passw|key)")
 _DIGITS = re.compile(r"[^0-9]")
@@ -55,6 +67,17 @@ def iban_checks(country: str, rest: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
+def _rank(kind: str, value: str) -> int:
+    """How little a valid value proves, from 0: checksums in a usual form, other strict forms, loose ones."""
+    if kind != "card":
+        return 0 if kind in ("email", "secret", "iban") else 2 if kind == "phone" else 1
+    marks = set(value) & set(" -")
+    if len(marks) > 1:
+        return 3
+    groups = tuple(map(len, re.split("[ -]", value)))
+    return 2 if len(groups) > 1 and groups not in _GROUPS else 0 if _NETWORK.fullmatch(_DIGITS.sub("", value)) else 1
+
+
 class Pseudonyms:
     """`replace(text)` -> (text, number of values replaced per kind)."""
 
@@ -67,20 +90,56 @@ class Pseudonyms:
         if not _HINT.search(text):
             return text, found
 
-        def put(m: re.Match) -> str:
-            kind, value = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k]), m[0]
-            at = (kind, value)
-            if at not in self.seen:
-                if len(self.seen) > 200_000:  # only saves work; a value always maps to the same pseudonym
-                    self.seen.clear()
-                self.seen[at] = self._secret(value, m["value"]) if kind == "secret" else getattr(self, f"_{kind}")(value)
-            out = self.seen[at]
-            if out is None:
-                return value
+        parts, at, start = [], 0, 0
+        while m := _PATTERN.search(text, start):
+            best = self._best(text, m.start())
+            if best is None:
+                start = m.start() + 1
+                continue
+            kind, end, new = best
             found[kind] = found.get(kind, 0) + 1
-            return out
-
-        return _PATTERN.sub(put, text), found
+            parts += [text[at : m.start()], new]
+            at = start = end
+        return "".join([*parts, text[at:]]), found
+
+    def _best(self, text: str, start: int) -> tuple[str, int, str] | None:
+        """(kind, end, pseudonym) of the value that begins at `start`, if any: that of best evidence, then of the
+        first kind, then the longest, unless one of better evidence begins inside it."""
+        found = sorted(self._values(text, start), key=lambda x: (x[0], KINDS.index(x[1]), -x[2]))
+        for rank, kind, end, new in found:
+            if not rank or not self._better_inside(text, start, end, rank):
+                return kind, end, new
+        return None
+
+    def _better_inside(self, text: str, start: int, end: int, rank: int) -> bool:
+        at = start + 1
+        while at < end and (m := _PATTERN.search(text, at, end + _MARGIN)) and m.start() < end:
+            if any(x[0] < rank for x in self._values(text, m.start())):
+                return True
+            at = m.start() + 1
+        return False
+
+    def _values(self, text: str, start: int):
+        """(rank of the evidence, kind, end, pseudonym) of all valid values that begin at `start`."""
+        for kind in KINDS:
+            if not (m := _FORM[kind].match(text, start)):
+                continue
+            ends = [m.end()]
+            if kind in _SHORTER and (kind != "phone" or m[0][0] == "+"):
+                body, tail = _SHORTER[kind]
+                ends += [e for e in range(m.end() - 1, start + 8, -1) if tail.match(text, e) and body.fullmatch(text, start, e)]
+            for end in ends:
+                value = text[start:end]
+                if (new := self._pseudonym(kind, value, m)) is not None:
+                    yield _rank(kind, value), kind, end, new
+
+    def _pseudonym(self, kind: str, value: str, m: re.Match) -> str | None:
+        at = (kind, value)
+        if at not in self.seen:
+            if len(self.seen) > 200_000:  # only saves work; a value always maps to the same pseudonym
+                self.seen.clear()
+            self.seen[at] = self._secret(value, m["value"]) if kind == "secret" else getattr(self, f"_{kind}")(value)
+        return self.seen[at]
 
     def _string(self, kind: str, value: str) -> str:
         """Permute letters and digits, each within its own class, among all strings of this form. Sixteen or

@@ -148,6 +148,31 @@ def test_pseudonyms(spark, docs, rows):
     assert len(got) == len(rows) and all(r.q.text == r.text and r.q.n_replaced == 0 for r in got)
 
 
+def test_pseudonyms_beside_numbers():
+    values = {"card": ["4539 1488 0343 6467", "4539-1488-0343-6467", "4539148803436467", "3782 822463 10005", "45 39 14 88 03 43 64 67"], "date": ["1990-02-28", "28/02/1990", "28 Feb 1990"],
+              "iban": ["NL91 ABNA 0417 1643 00", "AT61 1904 3002 3457 3201", "AT611904300234573201"], "email": ["a.b@mail.example.org"],
+              "ip": ["10.1.2.3"], "phone": ["212 555 0147", "(212) 555-0147"], "ssn": ["123-45-6789"], "secret": ["token = abcdefgh12345678"]}
+    p = pseudonyms.Pseudonyms("k")
+    for kind, spelled in values.items():
+        for value in spelled:
+            new, found = p.replace(value)
+            assert found == {kind: 1} and new != value
+            for beside in ("2", "12", "124", "7 8", "2024", "12 boxes", "room 2", "AB12", "ID12", "2023-02-30", "999.1.2.3", "4539 1488 0343 6468", "NL91ABNA0417164301"):
+                # Groups of two digits beside others may be read in several ways: all must hide the value.
+                for text, want in ((f"{beside} {value}", f"{beside} {new}"), (f"{value} {beside}", f"{new} {beside}"), (f"{beside} {value} {beside}", f"{beside} {new} {beside}")):
+                    out, found = p.replace(text)
+                    assert value not in out
+                    if value[:3] != "45 " and not (kind == "phone" and beside[-1].isdigit()):
+                        assert (out, found) == (want, {kind: 1}), text
+    for a, b in (("+31612345678", "4539 1488 0343 6467"), ("+31612345678", "1990-02-28"), ("+31612345678", "10.1.2.3"), ("1990-02-28", "4539 1488 0343 6467"), ("212 555 0147", "4539 1488 0343 6467"),
+                 ("4539148803436467", "12 March 1990"), ("123-45-6789", "4539148803436467"), ("AT611904300234573201", "4539 1488 0343 6467"), ("password=", "john-smith-from-here@mail.example.org")):
+        for x, y in ((a, b), (b, a))[: 1 if a == "password=" else 2]:
+            blank = "" if a == "password=" else " "
+            assert p.replace(x + blank + y)[0] == p.replace(x)[0] + blank + p.replace(y)[0]
+    assert p.replace("qty 12-4539148803436467-12")[0] == f"qty 12-{p.replace('4539148803436467')[0]}-12"
+    assert p.replace("ID12 4539 1488 0343 6467 4539148803436467.50")[1] == {"card": 1}
+
+
 def test_near_duplicates(docs, rows, none):
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == len(rows)
