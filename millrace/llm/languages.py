@@ -2,10 +2,10 @@
 
 Each language has a context tree of up to ORDER bytes: how often each byte followed each context in its
 training texts. A byte is coded in the longest known context; if it never followed there, an escape is coded
-and the next shorter context tried, down to equal chances. With the counts frozen, a byte's code length depends
-on it and the ORDER bytes before it, so trees become tables: known contexts have a row of code lengths for
-every language, others share the row of their longest known suffix. The language that codes a text in the
-fewest bits is predicted.
+and the next shorter context tried, down to equal chances of all bytes. With the counts frozen, a byte's code
+length depends on it and the ORDER bytes before it, so trees become sorted lists: of each order's runs with their
+code lengths, and of its contexts with their escapes. A run that isn't listed walks down its suffixes. The
+language that codes a text in the fewest bits is predicted.
 """
 
 from __future__ import annotations
@@ -21,26 +21,31 @@ ORDER = 3
 TRAIN_BYTES = 600_000
 UNKNOWN = "und"
 
-# Symbols: 0 for the start of a text, one for each of the commonest bytes, and one for all other bytes.
-_SYMBOLS = 64
-_OTHER = _SYMBOLS - 1
-_BITS = 6
+# Symbols: 0 for the start of a text, and one for each byte.
+_BITS = 9
 _LETTER = byte_table(lambda b: chr(b).isalpha() and b < 0x80)
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 
 def _padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes with ORDER zeros before each text, the place of every byte in it)."""
+    """(symbols of bytes with ORDER starts before each text, the place of every byte in it)."""
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     at = np.arange(len(data)) + ORDER * (doc + 1)
-    out = np.zeros(len(data) + ORDER * (len(offsets) - 1), dtype=np.uint8)
+    out = np.zeros(len(data) + ORDER * (len(offsets) - 1), dtype=np.int64)
     out[at] = data
+    out[at] += 1
     return out, at
 
 
+def _runs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The run of ORDER + 1 symbols that ends with each byte, its last one lowest."""
+    held, at = _padded(LOWER[data], offsets)
+    return sum(held[at - k] << (_BITS * k) for k in range(ORDER + 1)) if len(at) else np.zeros(0, dtype=np.int64)
+
+
 def grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """lang, code, n: how often each run of ORDER + 1 bytes (lower-cased A-Z; zeros before a text) occurs."""
+    """lang, code, n: how often each run of ORDER + 1 symbols (A-Z lower-cased; starts before a text) occurs."""
     source = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
     def run(batches):
@@ -50,90 +55,67 @@ def grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 code = np.asarray(names.indices)
                 for i, name in enumerate(names.dictionary.to_pylist()):
                     data, offsets = text_arrays(part.column(1).filter(pa.array(code == i)))
-                    held, at = _padded(LOWER[data], offsets)
-                    found = sum(held[at - k].astype(np.int64) << (8 * k) for k in range(ORDER + 1)) if len(at) else np.zeros(0, dtype=np.int64)
-                    keys, n = np.unique(found, return_counts=True)
+                    keys, n = np.unique(_runs(data, offsets), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
 
     return source.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+class _Level:
+    """One order of a language's tree: known runs and their code lengths, known contexts and their escapes."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, order: int):
+        self.mask = (1 << _BITS * (order + 1)) - 1
+        self.runs, inverse = np.unique(codes & self.mask, return_inverse=True)
+        count = np.bincount(inverse, weights=n, minlength=len(self.runs))
+        self.contexts, row = np.unique(self.runs >> _BITS, return_inverse=True)
+        total, kinds = np.bincount(row, weights=count), np.bincount(row)
+        self.lengths = np.log2((total + kinds)[row] / count)
+        self.escapes = np.log2((total + kinds) / kinds)
+
+
+def _find(listed: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of keys in a sorted list."""
+    at = np.minimum(np.searchsorted(listed, keys), len(listed) - 1)
+    return at, listed[at] == keys
+
+
 class Trees:
-    """Context trees of all languages; their tables are made where they are used."""
+    """Context trees of all languages; their lists are made where they are used."""
 
     def __init__(self, counted: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.names = sorted(counted)
-        total = np.zeros(256, dtype=np.int64)
-        for codes, n in counted.values():
-            np.add.at(total, codes & 255, n)
-        common = [int(b) for b in np.argsort(-total, kind="stable")[: _SYMBOLS - 2] if total[b]]
-        self.symbol = np.full(256, _OTHER, dtype=np.uint8)
-        self.symbol[common] = np.arange(1, len(common) + 1)
-        self.counts = [self._symbols(*counted[n]) for n in self.names]
-        self.table = None
-
-    def _symbols(self, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.zeros(len(codes), dtype=np.int64)
-        for k in range(ORDER, -1, -1):
-            byte = codes >> (8 * k) & 255
-            # A zero before the last byte is the start of a text.
-            out = out << _BITS | np.where((byte == 0) & (k > 0), 0, self.symbol[byte])
-        keys, inverse = np.unique(out, return_inverse=True)
-        return keys, np.bincount(inverse, weights=n, minlength=len(keys)).astype(np.int64)
+        self.counts = [counted[n] for n in self.names]
+        self.levels = None
+
+    def lists(self) -> list[list[_Level]]:
+        """The levels of every language, the longest contexts first."""
+        if self.levels is None:
+            self.levels = [[_Level(*c, order) for order in range(ORDER, -1, -1)] for c in self.counts]
+        return self.levels
 
     @staticmethod
-    def _lengths(contexts: np.ndarray, symbols: np.ndarray, n: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(known contexts, code lengths of every symbol in them). `shorter`: the same one byte shorter, a row
-        for each of `contexts`' entries."""
-        known, first, row = np.unique(contexts, return_index=True, return_inverse=True)
-        total = np.bincount(row, weights=n)
-        kinds = np.bincount(row)
-        out = np.log2((total + kinds) / kinds)[:, None] + shorter[first]
-        out[row, symbols] = np.log2((total + kinds)[row] / n)
-        return known, out
-
-    def _tree(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(dense lengths in contexts of ORDER - 1 bytes, known contexts of ORDER bytes, lengths in them)."""
-        dense = np.full((1, _SYMBOLS), float(_BITS))
-        for order in range(ORDER + 1):
-            mask = (1 << _BITS * (order + 1)) - 1
-            short, inverse = np.unique(keys & mask, return_inverse=True)
-            count = np.bincount(inverse, weights=n)
-            contexts, symbols = short >> _BITS, short & (_SYMBOLS - 1)
-            shorter = dense[contexts & ((1 << _BITS * max(order - 1, 0)) - 1)]
-            known, lengths = self._lengths(contexts, symbols, count, shorter)
-            if order == ORDER:
-                return dense, known, lengths
-            wider = dense[np.arange(1 << _BITS * order) & ((1 << _BITS * max(order - 1, 0)) - 1)].copy()
-            wider[known] = lengths
-            dense = wider
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row of every context of ORDER symbols, code lengths of (row, symbol) in each language)."""
-        if self.table is None:
-            trees = [self._tree(*c) for c in self.counts]
-            known = np.unique(np.concatenate([t[1] for t in trees]))
-            shared = 1 << _BITS * (ORDER - 1)
-            row = np.arange(1 << _BITS * ORDER) & (shared - 1)
-            row[known] = shared + np.arange(len(known))
-            out = np.empty(((shared + len(known)) * _SYMBOLS, len(trees)), dtype=np.float32)
-            for i, (dense, mine, lengths) in enumerate(trees):
-                of = np.concatenate([dense, dense[known & (shared - 1)]])
-                of[shared + np.searchsorted(known, mine)] = lengths
-                out[:, i] = of.reshape(-1)
-            self.table = row.astype(np.int32), out
-        return self.table
+    def _lengths(levels: list[_Level], codes: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each run, by its longest known suffix."""
+        out, todo = np.zeros(len(codes)), np.arange(len(codes))
+        for level in levels:
+            keys = codes[todo] & level.mask
+            at, known = _find(level.runs, keys)
+            out[todo[known]] += level.lengths[at[known]]
+            todo, keys = todo[~known], keys[~known]
+            at, known = _find(level.contexts, keys >> _BITS)
+            out[todo[known]] += level.escapes[at[known]]
+        out[todo] += 8  # bits of a byte by equal chances
+        return out
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Code length of each text in each language; the choice among other bytes costs all languages alike
-        and is left out."""
-        row, lengths = self.tables()
+        """Code length of each text in each language."""
         out = np.zeros((len(offsets) - 1, len(self.names)))
         some = np.flatnonzero(np.diff(offsets))
         if len(some):
-            held, at = _padded(self.symbol[LOWER[data]], offsets)
-            context = sum(held[at - k].astype(np.int32) << (_BITS * (k - 1)) for k in range(1, ORDER + 1))
-            out[some] = np.add.reduceat(lengths[row[context] * _SYMBOLS + held[at]], offsets[some], axis=0, dtype=np.float64)
+            codes, inverse = np.unique(_runs(data, offsets), return_inverse=True)
+            for i, levels in enumerate(self.lists()):
+                out[some, i] = np.add.reduceat(self._lengths(levels, codes)[inverse], offsets[some])
         return out
 
 

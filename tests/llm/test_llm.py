@@ -224,6 +224,26 @@ def test_languages(spark, none):
     assert {x.p.lang_pred for x in languages.predict(df, languages.train(none), "p").collect()} == {"und"}
 
 
+def test_languages_of_one_script(spark):
+    """Languages that differ in the rarer letters of one script, beside others that take the commonest bytes."""
+    r = random.Random(2)
+    common, rare = "оаеинтсрвл", {"ru": "ыэъё", "uk": "іїєґ", "bg": "ѝщжч", "zh": "的一是不了人我在", "ja": "のにはをたがでて", "hi": "कखगघङचछज", "mr": "टठडढणतथद"}
+    letters = {k: (common if k in ("ru", "uk", "bg") else "") + v * 2 for k, v in rare.items()}
+    latin = "abcdefghijklmnopqrstuvwxyz0123456789.,;:!?()-'\"/&%$#@*+=<>[]{}~^_|"
+    names = [*letters, "en"]
+    line = lambda k, n: "".join(r.choice(letters[k] if k in letters else latin) + " " * (r.random() < 0.2) for _ in range(n))
+    rows = [(i, line(names[i % 8], 2000 if i % 8 == 7 else 60), names[i % 8]) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = languages.train(df.filter("doc_id < 120"))
+    got = {x.doc_id: x.p.lang_pred for x in languages.predict(df, trees, "p", keep=["doc_id"]).collect()}
+    assert all(got[i] == names[i % 8] for i in range(240))
+    # Every byte has a code: the chances of all 256 after any context add up to one or less (escapes exclude nothing).
+    codes = lambda context: np.array([(sum((c + 1) << (9 * (k + 1)) for k, c in enumerate(reversed(context)))) | (b + 1) for b in range(256)])
+    for levels in trees.lists():
+        for context in (b" th", "ые".encode()[1:], "的一".encode()[2:5]):
+            assert 0.2 < np.exp2(-trees._lengths(levels, codes(context))).sum() <= 1 + 1e-9
+
+
 def test_elias_fano(tmp_path):
     r = np.random.default_rng(1)
     for n, universe in ((0, 10), (1, 1), (500, 501), (1000, 1 << 40), (300, 1 << 64)):
