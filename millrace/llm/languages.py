@@ -21,6 +21,8 @@ ORDER = 3
 TRAIN_BYTES = 600_000
 UNKNOWN = "und"
 
+# A row's draw has three digits of so many bits.
+_DIGIT_BITS = 10
 # Symbols: 0 for the start of a text, and one for each byte.
 _BITS = 9
 _LETTER = byte_table(lambda b: chr(b).isalpha() and b < 0x80)
@@ -139,22 +141,57 @@ class _Predict:
         return [pa.array([trees.names[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist())], pa.string()), pa.array(np.where(has, score, 0.0))]
 
 
+def _by_name(values: dict[str, int], name: Column) -> Column:
+    return F.create_map(*(F.lit(x) for item in values.items() for x in item))[name]
+
+
+def _last_draws(rows: DataFrame, name: Column, draw: Column, size: Column, upto: int) -> dict[str, int]:
+    """The draw of each name up to which its rows hold `upto` bytes, that of the row which reaches it included.
+
+    Bytes are summed by the first digit of the draw; where the limit lies inside a digit of several rows, these
+    are summed by the next one. Only sums reach the driver.
+    """
+    last, within = {}, {}
+    for digit in (2, 1, 0):
+        bits = _DIGIT_BITS * digit
+        part = F.shiftright(draw, bits)
+        if digit < 2:
+            rows = rows.filter(F.shiftright(draw, bits + _DIGIT_BITS) == _by_name({l: p for l, (p, _) in within.items()}, name))
+        sums = rows.groupBy(name.alias("l"), part.alias("part")).agg(F.sum(size).alias("n"), F.count("*").alias("rows")).collect()
+        running, within = {l: before for l, (_, before) in within.items()}, {}
+        reached = set()
+        for r in sorted(sums, key=lambda r: (r["l"], r["part"])):
+            l = r["l"]
+            if l in reached:
+                continue
+            before = running.get(l, 0)
+            running[l] = before + r["n"]
+            last[l] = (r["part"] + 1 << bits) - 1
+            if running[l] >= upto:
+                reached.add(l)
+                if digit and r["rows"] > 1:
+                    within[l] = r["part"], before
+        if not within:
+            break
+    return last
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_bytes: int = TRAIN_BYTES) -> Trees:
     """Context trees of the languages of `docs`, whose rows all count as labelled (null languages are left out).
 
-    A language with more than `train_bytes` of text gives the share of its rows, by hash, that holds about that
-    much. Repeated rows count each. What reaches the driver is bounded by `train_bytes` and the languages.
+    Each language gives its rows in the order of a hash until they hold `train_bytes`, the first one whatever its
+    size, so that none with text is left without a tree. Repeated rows count each. What reaches the driver is
+    bounded by `train_bytes`, the languages and their longest rows.
     """
-    named = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    held = {r["l"]: r["n"] for r in named.groupBy(F.col(lang).cast("string").alias("l")).agg(F.sum(F.octet_length(text)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
-    shares = F.create_map(*(F.lit(x) for l, n in held.items() for x in (l, min(1.0, train_bytes / max(n, 1))))) if held else None
-    if shares is None:
+    named = docs.filter(F.col(lang).isNotNull() & (F.octet_length(text) > 0))
+    name, draw = F.col(lang).cast("string"), F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 3 * _DIGIT_BITS))
+    last = _last_draws(named, name, draw, F.octet_length(text), train_bytes)
+    if not last:
         return Trees({})
-    rows = grams(named.filter(draw <= shares[F.col(lang).cast("string")]), text, lang).toArrow()
+    rows = grams(named.filter(draw <= _by_name(last, name)), text, lang).toArrow()
     names = np.array(rows.column("lang").to_pylist(), dtype=object)
     codes, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
-    return Trees({l: (codes[names == l], n[names == l]) for l in held if (names == l).any()})
+    return Trees({l: (codes[names == l], n[names == l]) for l in last})
 
 
 def predict(docs: DataFrame, trees: Trees, name: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

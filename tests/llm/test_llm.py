@@ -244,6 +244,21 @@ def test_languages_of_one_script(spark):
             assert 0.2 < np.exp2(-trees._lengths(levels, codes(context))).sum() <= 1 + 1e-9
 
 
+def test_languages_of_few_rows(spark):
+    """Every language with text has a tree, however few and long its rows; a sample ends with the row that fills it."""
+    r = random.Random(3)
+    line = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    few = [(i, line("abcde ", 20_000 if i < 12 else 0), f"l{i % 20}") for i in range(40)]
+    many = [(1000 + i, line("uvwxyz", 50), "many") for i in range(4000)]
+    df = spark.createDataFrame([*few, *many, (9000, "only", "one"), (9001, None, "none"), (9002, "text", None)], "doc_id long, text string, lang string")
+    trees = languages.train(df, train_bytes=2_000)
+    assert trees.names == sorted([*(f"l{i}" for i in range(12)), "many", "one"])
+    size = {n: int(c[1].sum()) for n, c in zip(trees.names, trees.counts)}
+    assert size == {**{f"l{i}": 20_000 for i in range(12)}, "many": 2_000, "one": 4}
+    whole = languages.train(df, train_bytes=10**9)
+    assert {n: int(c[1].sum()) for n, c in zip(whole.names, whole.counts)}["many"] == 200_000
+
+
 def test_elias_fano(tmp_path):
     r = np.random.default_rng(1)
     for n, universe in ((0, 10), (1, 1), (500, 501), (1000, 1 << 40), (300, 1 << 64)):
