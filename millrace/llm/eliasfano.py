@@ -36,6 +36,12 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     return {"low": _pack(values, width), "high": bits, "ones": ones.astype(np.uint32 if n < 1 << 32 else np.uint64), "shape": np.array([n, width], dtype=np.int64)}
 
 
+_M1, _M2, _M4 = (np.uint64(int(x * 8, 16)) for x in ("55", "33", "0F"))
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+# The place of the k-th one of a byte, at byte * 8 + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [7] * 8)[k] for b in range(256) for k in range(8)], dtype=np.uint64)
+
+
 class Sequence:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.low, self.high, self.ones = arrays["low"], arrays["high"], arrays["ones"]
@@ -51,15 +57,27 @@ class Sequence:
                 self._zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
             before = self._zeros
         word = np.searchsorted(before, k.astype(before.dtype), side="right") - 1
-        left = (k - before[word].astype(np.int64)).astype(np.uint64)
+        left = np.minimum((k - before[word].astype(np.int64)).astype(np.uint64), np.uint64(63))
         bits = self.high[word] if bit else ~self.high[word]
-        place = np.zeros(len(k), dtype=np.uint64)
-        for half in (32, 16, 8, 4, 2, 1):
-            below = np.bitwise_count((bits >> place) & np.uint64((1 << half) - 1)).astype(np.uint64)
-            up = left >= below
-            left = np.where(up, left - below, left)
-            place = np.where(up, place + np.uint64(half), place)
-        return word * 64 + place.astype(np.int64)
+        # Ones of each byte and those before it, then the byte, then the place in it.
+        ones = bits - (bits >> np.uint64(1) & _M1)
+        ones = (ones & _M2) + (ones >> np.uint64(2) & _M2)
+        ones = (ones + (ones >> np.uint64(4)) & _M4) * _EACH
+        byte = np.bitwise_count((left * _EACH | _TOP) - ones & _TOP).astype(np.uint64) << np.uint64(3)
+        byte = np.minimum(byte, np.uint64(56))
+        left -= ones << np.uint64(8) >> byte & np.uint64(255)
+        return word * 64 + (byte + _IN_BYTE[(bits >> byte & np.uint64(255)) << np.uint64(3) | left & np.uint64(7)]).astype(np.int64)
+
+    def _next(self, bit: int, place: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th one or zero, where that before it is at `place`."""
+        word, within = place >> 6, (place & 63).astype(np.uint64)
+        bits = self.high[word] if bit else ~self.high[word]
+        bits = bits >> within >> np.uint64(1) << np.uint64(1) << within
+        out = (word << 6) + np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1))
+        far = np.flatnonzero(bits == 0)
+        if len(far):
+            out[far] = self._select(bit, k[far])
+        return out
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -72,6 +90,12 @@ class Sequence:
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(1, i) - i).astype(np.uint64) << np.uint64(self.width)) | self._lows(i)
 
+    def pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1."""
+        place = self._select(1, i)
+        value = lambda at, k: ((at - k).astype(np.uint64) << np.uint64(self.width)) | self._lows(k)
+        return value(place, i), value(self._next(1, place, i + 1), i + 1)
+
     def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Place of each value, within [begin, end) if given; -1 where it isn't there. The first value not below
         it is looked for among those with the same high bits."""
@@ -80,8 +104,9 @@ class Sequence:
             return out
         x = x.astype(np.uint64)
         high = (x >> np.uint64(self.width)).astype(np.int64)
-        at = np.where(high > 0, self._select(0, np.maximum(high - 1, 0)) - np.maximum(high - 1, 0), 0)
-        stop = self._select(0, high) - high
+        zero = self._select(0, np.maximum(high - 1, 0))
+        at = np.where(high > 0, zero - (high - 1), 0)
+        stop = np.where(high > 0, self._next(0, zero, high), zero) - high
         if begin is not None:
             at, stop = np.maximum(at, begin), np.minimum(stop, end)
         low = x & np.uint64((1 << self.width) - 1)
@@ -123,6 +148,11 @@ def save(path: str, arrays: dict[str, np.ndarray]) -> int:
     return at
 
 
+def drop(path: str) -> None:
+    fs, name = _place(path)
+    fs.delete_file(name)
+
+
 def load(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file as views of its mapped pages. A file of a remote store is first copied to an unnamed
     file that goes with the process."""

@@ -300,6 +300,42 @@ def test_ngram_scores(docs, rows, none):
     assert ngrams.score(docs, ngrams.train(none), "s").count() == len(rows)
 
 
+def test_ngram_orders(docs, rows):
+    """Whole scores by brute force: every n-gram is held, those seen once too, in a level for each order."""
+    import math
+
+    lower = lambda t: tuple(words((t or "").translate({i: i + 32 for i in range(65, 91)})))
+    texts = [("start", *lower(r[1]), None) for r in rows]
+    for order in (1, 2, 3, 4):
+        counts = [collections.Counter(t[i : i + k] for t in texts for i in range(len(t) - k + 1)) for k in range(1, order + 1)]
+        counts[0].pop(("start",))
+        follow = [collections.defaultdict(collections.Counter) for _ in counts]
+        for k, c in enumerate(counts):
+            for g, n in c.items():
+                follow[k][g[:-1]][g[-1]] = n
+        discounts = [ngrams._discounts(*(sum(n == m for n in c.values()) for m in (1, 2, 3, 4))) for c in counts]
+        total, kinds = sum(counts[0].values()), len(counts[0])
+        assert order == 1 or 0 < discounts[1][0] < 1
+
+        def p(context, w):
+            if not context:
+                return (counts[0][w,] + 0.5) / (total + 0.5 * (kinds + 1))
+            lower_p, seen = p(context[1:], w), follow[len(context)].get(context)
+            if not seen:
+                return lower_p
+            less = lambda n: discounts[len(context)][min(n, 3) - 1]
+            n = seen.get(w, 0)
+            return (max(n - less(n), 0) if n else 0) / seen.total() + min(sum(map(less, seen.values())) / seen.total(), 1) * lower_p
+
+        more = docs.unionByName(docs.selectExpr("doc_id", "reverse(text) AS text", "lang", "source", "n_words", "_source_no")).limit(len(rows) + 12)
+        model = ngrams.train(docs, order=order, shard_tokens=2_000)
+        assert len(model.grams) == order - 1 and all(int(g.base[-1]) == len(c) for g, c in zip(model.grams, counts[1:]))
+        for r in ngrams.score(more, model, "s", keep=["text"]).collect():
+            t = ("start", *lower(r.text), None)
+            want = sum(math.log10(p(t[max(0, i - order + 1) : i], t[i])) for i in range(1, len(t)))
+            assert abs(r.s.score - want) < 5e-4 * len(t)
+
+
 def test_substrings(docs, rows, none):
     window = 50
     starts = {}
