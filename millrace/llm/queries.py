@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, languages, mixing, neardup, ngrams, pseudonyms, quality, revisits, substrings, tokencount
+from millrace.llm import collocations, decontaminate, languages, mixing, neardup, ngrams, pseudonyms, quality, revisits, substrings, tokencount
 from millrace.suite import Suite, table
 
 suite = Suite()
@@ -145,6 +145,25 @@ def op10_substrings(spark, sf):
     return left.select("doc_id", "left.n_words", "left.n_removed", "left.kept_sha256")
 
 
+@suite.add(rf"""
+    WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+    words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+    grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 4) AS t(k) WHERE len(w) >= k)),
+    f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL),
+    total AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+    cuts AS MATERIALIZED (SELECT *, array_to_string(w[1:cut], ' ') AS x1, array_to_string(w[cut + 1:], ' ') AS x2 FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+    sides AS (SELECT cuts.*, x.n AS l, y.n AS r, CAST(a AS HUGEINT) * a * 1000000 // (CAST(x.n AS HUGEINT) * y.n) AS score
+              FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = x1 JOIN f y ON y.lang = cuts.lang AND y.phrase = x2),
+    best AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    inside AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3),
+    kept AS (SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = best.lang AND i.phrase = best.phrase AND 100 * i.a >= 50 * best.a)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT p.lang, rank, phrase, a, l, r, CAST(total.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM placed p JOIN total ON total.lang = p.lang WHERE rank <= 2000""")
+def op11_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 @suite.add()
 def pipeline(spark, sf):
     import corpus_pipeline
