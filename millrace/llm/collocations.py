@@ -1,39 +1,110 @@
 """Phrases of a corpus that stick together, per language, with exact counts.
 
 Only the longest windows are counted: at every word of a piece the window of `max_words` words that begins there,
-made by lead columns and shorter where the piece ends. How often any shorter phrase occurs is then a sum over the
+made by lead columns and padded where the piece ends. How often any shorter phrase occurs is then a sum over the
 windows it begins, which a ROLLUP over the leading words of the counted windows gives for every length at once, down
 to the words of a language. No text is read again and no n-grams of other lengths are made.
 
-A window travels once per task that met it, as one string. Phrases under the least count can't be candidates or parts
-of one, so all that follows the counts is small and is read from a written table.
+A task counts the windows of FLUSH words at a time before they travel, dealt by all words but the last. So the
+windows with the same beginning meet in one task, and what the ROLLUP shuffles is about a row per distinct phrase. However
+common a beginning is, it has a row per next word and flush, not one per place.
+Phrases under the least count can't be candidates or parts of one, so all that follows the counts is small and is read
+from a written table.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millrace.errors import InvalidInput
+from millrace.llm.words import Words, byte_table, slices, text_arrays
 from millrace.session import checkpointed
 
-# What ends a piece, what parts its words, and the letters that are folded.
-PIECE_END, BLANK = r"[.,;:!?\x0A-\x0D]", r"[ \t]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# The bytes that end a piece, and those that part its words.
+PIECE_END, BLANK = b".,;:!?\x0A\x0B\x0C\x0D", b" \t"
 
 MAX_WORDS, LEAST, TOP = 3, 10, 2000
 INSIDE_PERCENT = 50
 UNKNOWN = "und"
-
-
-def windows(docs: DataFrame, text: str, lang: str, max_words: int) -> DataFrame:
-    """lang, phrase, n: how often each window of `max_words` words occurs, shorter ones at the ends of pieces."""
-    folded = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER)
-    pieces = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.explode(F.split(folded, PIECE_END)).alias("piece"))
-    words = pieces.select("lang", F.filter(F.split("piece", BLANK), lambda w: w != "").alias("w"))
-    # The k-th column is the word k places on; null behind the end of the piece, where concat_ws leaves it out.
-    lead = [F.slice("w", k + 1, F.greatest(F.size("w"), F.lit(1))).alias(f"w{k}") for k in range(max_words)]
-    at = words.select("lang", F.explode(F.arrays_zip(*lead)).alias("at"))
-    return at.groupBy("lang", F.concat_ws(" ", *(f"at.w{k}" for k in range(max_words))).alias("phrase")).agg(F.count("*").alias("n"))
+# Words whose windows a task counts at once.
+FLUSH = 3_000_000
+
+_IN_WORD = byte_table(lambda b: b not in PIECE_END + BLANK)
+_ENDS = byte_table(lambda b: b in PIECE_END)
+
+
+def words_and_pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(folded words, number of the piece of each, text of each): pieces have growing numbers."""
+    w = Words(*text_arrays(column), _IN_WORD, lower=True)
+    ends = np.cumsum(_ENDS[w.data], dtype=np.int64)
+    size = w.stop - w.start
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    data = w.data[w._word]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    # Both parts only grow, so their sum is the same for two words only where both are.
+    return words, (ends[w.start] if len(w) else np.zeros(0, dtype=np.int64)) + w.doc, w.doc
+
+
+def count_windows(words: pa.Array, piece: np.ndarray, group: np.ndarray, max_words: int) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """(group, all words but the last, the last or null, count) of the distinct windows that begin at each word.
+    A window is shorter where its piece ends; its words but the last are joined by a space, the rest is null."""
+    coded = words.dictionary_encode()
+    code = np.asarray(coded.indices).astype(np.int64) + 1
+    wide = len(coded.dictionary) + 1
+    # Number the beginnings of 0, 1, 2 ... words; two windows have one number where they agree so far.
+    sames, number = np.unique(group, return_inverse=True)
+    lead = []
+    for k in range(max_words):
+        word = np.zeros(len(code), dtype=np.int64)
+        if k < len(code):
+            word[: len(code) - k] = np.where(piece[k:] == piece[: len(code) - k], code[k:], 0)
+        lead.append(word)
+        if k < max_words - 1:
+            _, at, number = np.unique(number * wide + word, return_index=True, return_inverse=True)
+    key, index, count = np.unique(number * wide + lead[-1], return_index=True, return_counts=True)
+    dictionary = coded.dictionary.cast(pa.large_string())
+    said = lambda codes: dictionary.take(pa.array(codes - 1, mask=codes == 0))
+    # The beginnings are fewer than the windows: write each once.
+    begins = pc.binary_join_element_wise(*(said(lead[k][at]) for k in range(max_words - 1)), pa.scalar(" ", pa.large_string()), null_handling="skip")
+    return group[index], begins.take(pa.array(key // wide)), said(lead[-1][index]), count
+
+
+def windows(docs: DataFrame, text: str, lang: str, max_words: int, flush: int = FLUSH) -> DataFrame:
+    """lang, begin, last, n: how often each window of `max_words` words occurs, shorter ones at the ends of pieces."""
+    schema = "lang string, begin string, last string, n long"
+
+    def run(batches):
+        held: list[tuple] = []
+        names: dict[str, int] = {}
+
+        def counted():
+            words = pa.concat_arrays([w for w, _, _ in held])
+            starts = np.cumsum([0, *(int(p[-1]) + 1 for _, p, _ in held)])
+            piece = np.concatenate([p + s for (_, p, _), s in zip(held, starts)])
+            group, begin, last, n = count_windows(words, piece, np.concatenate([g for _, _, g in held]), max_words)
+            langs = pa.array(list(names), pa.string()).take(pa.array(group))
+            for at in range(0, len(n), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([langs[part], begin[part].cast(pa.string()), last[part].cast(pa.string()), pa.array(n[part], pa.int64())], names=["lang", "begin", "last", "n"])
+
+        for batch in batches:
+            for part in slices(batch, 1):
+                words, piece, doc = words_and_pieces(part.column(1))
+                if not len(words):
+                    continue
+                of_text = np.array([names.setdefault(x, len(names)) for x in part.column(0).to_pylist()])
+                held.append((words, piece, of_text[doc]))
+                if sum(len(w) for w, _, _ in held) >= flush:
+                    yield from counted()
+                    held.clear()
+        if held:
+            yield from counted()
+
+    met = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return met.repartition("lang", "begin").groupBy("lang", "begin", "last").agg(F.sum("n").alias("n"))
 
 
 def _length(phrase: str) -> Column:
@@ -46,17 +117,17 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_w
     longest = windows(docs, text, lang, max_words)
     first = [f"w{k}" for k in range(1, max_words)]
     # A window of fewer words has no prefix of k words; its rows count for the shorter prefixes only.
-    prefixes = longest.select("lang", "n", *(F.when(_length("phrase") >= k, F.substring_index("phrase", " ", k)).alias(c) for k, c in enumerate(first, 1)))
-    dimensions = ["lang", *first]
-    summed = prefixes.rollup(*dimensions).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
-    # left_out has a bit per column that was summed over: 2^j - 1 where the last j columns were.
+    prefixes = longest.select("lang", "n", *(F.when(_length("begin") >= k, F.substring_index("begin", " ", k)).alias(c) for k, c in enumerate(first, 1)))
+    summed = prefixes.rollup("lang", *first).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
+    # left_out has a bit per column that was summed over; the one row over all languages gets -1 words.
     words = F.lit(len(first)) - F.bit_count("left_out")
-    shorter = summed.select("lang", F.coalesce(*reversed(first), F.lit("")).alias("phrase"), words.alias("words"), "n", "left_out")
-    kept = (F.col("words") >= 0) & (F.col("words") == F.when(F.col("phrase") == "", 0).otherwise(_length("phrase"))) & ((F.col("n") >= least) | (F.col("words") == 0))
+    shorter = summed.select("lang", F.coalesce(*reversed(first), F.lit("")).alias("phrase"), words.alias("words"), "n")
+    # Left are the rows whose prefix is as long as their level says.
+    kept = shorter.filter((F.col("words") == F.when(F.col("phrase") == "", 0).otherwise(_length("phrase"))) & ((F.col("n") >= least) | (F.col("words") == 0)) & F.col("lang").isNotNull())
     # One condition on key and count together: on the key alone it would be moved below the count, which then would be made twice.
-    full = longest.filter(F.when(_length("phrase") == max_words, F.col("n")).otherwise(0) >= least)
-    return shorter.filter(kept).select("lang", "phrase", F.col("words").cast("int"), "n").unionByName(
-        full.select("lang", "phrase", F.lit(max_words).cast("int").alias("words"), "n"))
+    full = longest.filter(F.when(F.col("last").isNotNull(), F.col("n")).otherwise(0) >= least)
+    return kept.select("lang", "phrase", F.col("words").cast("int"), "n").unionByName(
+        full.select("lang", F.concat_ws(" ", "begin", "last").alias("phrase"), F.lit(max_words).cast("int").alias("words"), "n"))
 
 
 def _cut(phrase: str, k: int) -> tuple[Column, Column]:
