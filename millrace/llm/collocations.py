@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from millrace.errors import InvalidInput
 from millrace.llm.words import Words, byte_table, slices, text_arrays
@@ -30,7 +30,7 @@ MAX_WORDS, LEAST, TOP = 3, 10, 2000
 INSIDE_PERCENT = 50
 UNKNOWN = "und"
 # Words whose windows a task counts at once.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 
 _IN_WORD = byte_table(lambda b: b not in PIECE_END + BLANK)
 _ENDS = byte_table(lambda b: b in PIECE_END)
@@ -48,47 +48,58 @@ def words_and_pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray
     return words, (ends[w.start] if len(w) else np.zeros(0, dtype=np.int64)) + w.doc, w.doc
 
 
-def count_windows(words: pa.Array, piece: np.ndarray, group: np.ndarray, max_words: int) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
-    """(group, all words but the last, the last or null, count) of the distinct windows that begin at each word.
-    A window is shorter where its piece ends; its words but the last are joined by a space, the rest is null."""
-    coded = words.dictionary_encode()
-    code = np.asarray(coded.indices).astype(np.int64) + 1
-    wide = len(coded.dictionary) + 1
-    # Number the beginnings of 0, 1, 2 ... words; two windows have one number where they agree so far.
-    sames, number = np.unique(group, return_inverse=True)
-    lead = []
-    for k in range(max_words):
-        word = np.zeros(len(code), dtype=np.int64)
+def count_windows(words: pa.Array, piece: np.ndarray, group: np.ndarray, max_words: int) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """(group, begin, lasts, counts) of the distinct windows that start at the words, a row per group and beginning: all
+    words of a window but the last, joined by spaces; the words that follow it, joined likewise, an empty one where the
+    piece ends; how often each does, joined likewise, or null where each does once."""
+    dictionary, code = words.dictionary, np.asarray(words.indices)
+    wide = np.int64(len(dictionary) + 1)
+
+    def lead(k: int) -> np.ndarray:
+        word = np.zeros(len(code), dtype=np.int64)  # 0: no word of this piece stands there
         if k < len(code):
-            word[: len(code) - k] = np.where(piece[k:] == piece[: len(code) - k], code[k:], 0)
-        lead.append(word)
-        if k < max_words - 1:
-            _, at, number = np.unique(number * wide + word, return_index=True, return_inverse=True)
-    key, index, count = np.unique(number * wide + lead[-1], return_index=True, return_counts=True)
-    dictionary = coded.dictionary.cast(pa.large_string())
+            np.copyto(word[: len(code) - k], code[k:] + np.int64(1), where=piece[k:] == piece[: len(code) - k])
+        return word
+
+    # Number the beginnings of 0, 1, 2 ... words: places have one number where they agree so far.
+    number = np.unique(group, return_inverse=True)[1]
+    for k in range(max_words - 1):
+        _, at, number = np.unique(number * wide + lead(k), return_index=True, return_inverse=True)
+    key, count = np.unique(number * wide + lead(max_words - 1), return_counts=True)
+    leads = [lead(k)[at] for k in range(max_words - 1)]
     said = lambda codes: dictionary.take(pa.array(codes - 1, mask=codes == 0))
-    # The beginnings are fewer than the windows: write each once.
-    begins = pc.binary_join_element_wise(*(said(lead[k][at]) for k in range(max_words - 1)), pa.scalar(" ", pa.large_string()), null_handling="skip")
-    return group[index], begins.take(pa.array(key // wide)), said(lead[-1][index]), count
+    begin = pc.binary_join_element_wise(*(said(c) for c in leads), pa.scalar(" ", pa.large_string()), null_handling="skip")
+    own = np.searchsorted(key // wide, np.arange(len(at) + 1))
+    offsets = pa.array(own, pa.int64())
+    joined = lambda values: pc.binary_join(pa.LargeListArray.from_arrays(offsets, values), pa.scalar(" ", pa.large_string()))
+    lasts = joined(pc.fill_null(said(key % wide), ""))
+    single = np.add.reduceat(count, own[:-1]) == np.diff(own)
+    counts = joined(pa.array(count).cast(pa.large_string()))
+    return group[at], begin, lasts, pc.if_else(pa.array(single), pa.scalar(None, pa.large_string()), counts)
 
 
 def windows(docs: DataFrame, text: str, lang: str, max_words: int, flush: int = FLUSH) -> DataFrame:
-    """lang, begin, last, n: how often each window of `max_words` words occurs, shorter ones at the ends of pieces."""
-    schema = "lang string, begin string, last string, n long"
+    """lang, begin, last, n: how often each window of `max_words` words occurs. `last` is empty, and `begin` may be
+    shorter, where a piece ends."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("lang", "begin", "lasts", "counts")])
 
     def run(batches):
-        held: list[tuple] = []
         names: dict[str, int] = {}
+        held: list[tuple] = []
+        size = 0
 
         def counted():
-            words = pa.concat_arrays([w for w, _, _ in held])
+            words = pa.chunked_array([w for w, _, _ in held]).dictionary_encode().unify_dictionaries().combine_chunks()
+            words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+            words = pa.DictionaryArray.from_arrays(words.indices, words.dictionary.cast(pa.large_string()))
             starts = np.cumsum([0, *(int(p[-1]) + 1 for _, p, _ in held)])
             piece = np.concatenate([p + s for (_, p, _), s in zip(held, starts)])
-            group, begin, last, n = count_windows(words, piece, np.concatenate([g for _, _, g in held]), max_words)
-            langs = pa.array(list(names), pa.string()).take(pa.array(group))
-            for at in range(0, len(n), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([langs[part], begin[part].cast(pa.string()), last[part].cast(pa.string()), pa.array(n[part], pa.int64())], names=["lang", "begin", "last", "n"])
+            group = np.concatenate([g for _, _, g in held])
+            held.clear()
+            group, *columns = count_windows(words, piece, group, max_words)
+            columns.insert(0, pa.array(list(names), pa.string()).take(pa.array(group)))
+            for at in range(0, len(group), 1 << 16):
+                yield pa.RecordBatch.from_arrays([c[at : at + (1 << 16)].cast(pa.string()) for c in columns], names=schema.names)
 
         for batch in batches:
             for part in slices(batch, 1):
@@ -97,14 +108,18 @@ def windows(docs: DataFrame, text: str, lang: str, max_words: int, flush: int =
                     continue
                 of_text = np.array([names.setdefault(x, len(names)) for x in part.column(0).to_pylist()])
                 held.append((words, piece, of_text[doc]))
-                if sum(len(w) for w, _, _ in held) >= flush:
+                size += len(words)
+                if size >= flush:
                     yield from counted()
-                    held.clear()
+                    size = 0
         if held:
             yield from counted()
 
     met = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text")).mapInArrow(run, schema)
-    return met.repartition("lang", "begin").groupBy("lang", "begin", "last").agg(F.sum("n").alias("n"))
+    dealt = met.repartition("lang", "begin")
+    numbers = F.coalesce(F.split("counts", " "), F.array().cast("array<string>"))
+    each = dealt.select("lang", "begin", F.explode(F.arrays_zip(F.split("lasts", " ").alias("last"), numbers.alias("n"))).alias("x"))
+    return each.groupBy("lang", "begin", F.col("x.last").alias("last")).agg(F.sum(F.coalesce(F.col("x.n").cast("long"), F.lit(1))).alias("n"))
 
 
 def _length(phrase: str) -> Column:
@@ -125,7 +140,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_w
     # Left are the rows whose prefix is as long as their level says.
     kept = shorter.filter((F.col("words") == F.when(F.col("phrase") == "", 0).otherwise(_length("phrase"))) & ((F.col("n") >= least) | (F.col("words") == 0)) & F.col("lang").isNotNull())
     # One condition on key and count together: on the key alone it would be moved below the count, which then would be made twice.
-    full = longest.filter(F.when(F.col("last").isNotNull(), F.col("n")).otherwise(0) >= least)
+    full = longest.filter(F.when(F.col("last") != "", F.col("n")).otherwise(0) >= least)
     return kept.select("lang", "phrase", F.col("words").cast("int"), "n").unionByName(
         full.select("lang", F.concat_ws(" ", "begin", "last").alias("phrase"), F.lit(max_words).cast("int").alias("words"), "n"))
 
