@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import collocations, decontaminate, languages, mixing, neardup, ngrams, pseudonyms, quality, revisits, substrings, tokencount
+from millrace.llm import collocations, decontaminate, languages, licenses, mixing, neardup, ngrams, pseudonyms, quality, revisits, substrings, tokencount
 from millrace.suite import Suite, table
 
 suite = Suite()
@@ -164,6 +164,34 @@ def op11_collocations(spark, sf):
     return collocations.collocations(table(spark, sf, "documents"))
 
 
+def license_sql() -> str:
+    """The scan in SQL: its templates as values, votes on diagonals, spans of near diagonals."""
+    texts = [*((*p, "true") for p in licenses.PHRASES), *((*n, "false") for n in licenses.NOTICES)]
+    values = ", ".join(f"({i}, '{label}', string_split('{text}', ' '), {base})" for i, (label, text, base) in enumerate(texts))
+    return rf"""
+    WITH t AS (SELECT * FROM (VALUES {values}) AS v(t, label, w, base)),
+    t_runs AS (SELECT t, label, base, len(w) AS size, len(w) - 2 AS runs, p - 1 AS place, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS run FROM (SELECT *, unnest(range(1, len(w) - 1)) AS p FROM t)),
+    d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    d_runs AS (SELECT row, p - 1 AS p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS run FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) > 2)),
+    hits AS (SELECT row, t, label, base, size, runs, place, p, p - place AS diagonal FROM d_runs JOIN t_runs USING (run)),
+    near AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, t ORDER BY diagonal, place) <= 4 THEN 0 ELSE 1 END AS starts FROM hits),
+    spanned AS (SELECT *, sum(starts) OVER (PARTITION BY row, t ORDER BY diagonal, place) AS span FROM near),
+    spans AS (SELECT row, label, (max(p) + 2 - min(p) + 1) AS words, any_value(size) AS size, count(DISTINCT place) / any_value(runs) AS part FROM spanned GROUP BY row, t, label, span),
+    exact AS (SELECT row, label, diagonal FROM hits WHERE base GROUP BY row, t, label, diagonal HAVING count(*) = any_value(runs)),
+    b AS (SELECT row, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM exact GROUP BY row),
+    named AS (SELECT row, label FROM exact UNION SELECT row, label FROM spans WHERE part >= 0.85 AND words <= size * 1.25 + 4),
+    l AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM named GROUP BY row),
+    s AS (SELECT row, max(part) AS score FROM spans GROUP BY row)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+    FROM d LEFT JOIN b USING (row) LEFT JOIN l USING (row) LEFT JOIN s USING (row)"""
+
+
+@suite.add(license_sql())
+def op13_licenses(spark, sf):
+    found = licenses.scan(table(spark, sf, "documents").select("doc_id", "text"), "found", keep=["doc_id"])
+    return found.select("doc_id", *(f"found.{c}" for c in licenses.FIELDS if c != "spans"))
+
+
 @suite.add()
 def pipeline(spark, sf):
     import corpus_pipeline
