@@ -5,9 +5,9 @@ made by lead columns and padded where the piece ends. How often any shorter phra
 windows it begins, which a ROLLUP over the leading words of the counted windows gives for every length at once, down
 to the words of a language. No text is read again and no n-grams of other lengths are made.
 
-A task counts the windows of FLUSH words at a time before they travel, dealt by all words but the last. So the
-windows with the same beginning meet in one task, and what the ROLLUP shuffles is about a row per distinct phrase. However
-common a beginning is, it has a row per next word and flush, not one per place.
+A task counts the windows of FLUSH words at a time before they travel, dealt by all words but the last. So windows with
+the same beginning meet in one task, where they and their beginnings are summed without another shuffle; the ROLLUP takes
+the prefixes shorter than that. However common a beginning is, it has a row per flush, not one per place.
 Phrases under the least count can't be candidates or parts of one, so all that follows the counts is small and is read
 from a written table.
 """
@@ -30,7 +30,7 @@ MAX_WORDS, LEAST, TOP = 3, 10, 2000
 INSIDE_PERCENT = 50
 UNKNOWN = "und"
 # Words whose windows a task counts at once.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 _IN_WORD = byte_table(lambda b: b not in PIECE_END + BLANK)
 _ENDS = byte_table(lambda b: b in PIECE_END)
@@ -48,10 +48,10 @@ def words_and_pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray
     return words, (ends[w.start] if len(w) else np.zeros(0, dtype=np.int64)) + w.doc, w.doc
 
 
-def count_windows(words: pa.Array, piece: np.ndarray, group: np.ndarray, max_words: int) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
-    """(group, begin, lasts, counts) of the distinct windows that start at the words, a row per group and beginning: all
-    words of a window but the last, joined by spaces; the words that follow it, joined likewise, an empty one where the
-    piece ends; how often each does, joined likewise, or null where each does once."""
+def count_windows(words: pa.Array, piece: np.ndarray, group: np.ndarray, max_words: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(group, begin, tail) of the distinct windows that start at the words, a row per group and beginning. begin: all
+    words of a window but the last, joined by spaces. tail: three lines. The first has the words that follow, an empty one
+    where the piece ends; the second how often each does, or nothing where each does once; the third the sum."""
     dictionary, code = words.dictionary, np.asarray(words.indices)
     wide = np.int64(len(dictionary) + 1)
 
@@ -73,15 +73,15 @@ def count_windows(words: pa.Array, piece: np.ndarray, group: np.ndarray, max_wor
     offsets = pa.array(own, pa.int64())
     joined = lambda values: pc.binary_join(pa.LargeListArray.from_arrays(offsets, values), pa.scalar(" ", pa.large_string()))
     lasts = joined(pc.fill_null(said(key % wide), ""))
-    single = np.add.reduceat(count, own[:-1]) == np.diff(own)
-    counts = joined(pa.array(count).cast(pa.large_string()))
-    return group[at], begin, lasts, pc.if_else(pa.array(single), pa.scalar(None, pa.large_string()), counts)
+    total = np.add.reduceat(count, own[:-1]) if len(count) else count
+    counts = pc.if_else(pa.array(total == np.diff(own)), pa.scalar("", pa.large_string()), joined(pa.array(count).cast(pa.large_string())))
+    tail = pc.binary_join_element_wise(lasts, counts, pa.array(total).cast(pa.large_string()), pa.scalar("\n", pa.large_string()))
+    return group[at], begin, tail
 
 
 def windows(docs: DataFrame, text: str, lang: str, max_words: int, flush: int = FLUSH) -> DataFrame:
-    """lang, begin, last, n: how often each window of `max_words` words occurs. `last` is empty, and `begin` may be
-    shorter, where a piece ends."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("lang", "begin", "lasts", "counts")])
+    """lang, begin, tail: the windows of `max_words` words, counted by tasks and dealt by their beginning (`count_windows`)."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("lang", "begin", "tail")])
 
     def run(batches):
         names: dict[str, int] = {}
@@ -116,10 +116,7 @@ def windows(docs: DataFrame, text: str, lang: str, max_words: int, flush: int =
             yield from counted()
 
     met = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text")).mapInArrow(run, schema)
-    dealt = met.repartition("lang", "begin")
-    numbers = F.coalesce(F.split("counts", " "), F.array().cast("array<string>"))
-    each = dealt.select("lang", "begin", F.explode(F.arrays_zip(F.split("lasts", " ").alias("last"), numbers.alias("n"))).alias("x"))
-    return each.groupBy("lang", "begin", F.col("x.last").alias("last")).agg(F.sum(F.coalesce(F.col("x.n").cast("long"), F.lit(1))).alias("n"))
+    return met.repartition("lang", "begin")
 
 
 def _length(phrase: str) -> Column:
@@ -129,20 +126,31 @@ def _length(phrase: str) -> Column:
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
     """lang, phrase, words, n: every phrase of 1 to `max_words` words found `least` times or more, and per language the
     empty phrase with `words` 0 and the number of all words."""
-    longest = windows(docs, text, lang, max_words)
-    first = [f"w{k}" for k in range(1, max_words)]
+    # All three read every column of the dealt windows, so their plans agree up to the shuffle and it is made once.
+    dealt = windows(docs, text, lang, max_words)
+    line = lambda k: F.split("tail", "\n")[k]
+    each = dealt.select("lang", "begin", F.explode(F.arrays_zip(F.split(line(0), " ").alias("last"), F.split(line(1), " ").alias("n"))).alias("x"))
+    number = F.coalesce(F.nullif("x.n", F.lit("")).cast("long"), F.lit(1))
+    full = each.groupBy("lang", "begin", F.col("x.last").alias("last")).agg(F.sum(number).alias("n"))
+    # One condition on key and count together: on the key alone it would be moved below the shuffle.
+    full = full.filter(F.when(F.col("last") != "", F.col("n")).otherwise(0) >= least)
+    full = full.select("lang", F.concat_ws(" ", "begin", "last").alias("phrase"), F.lit(max_words).alias("words"), "n")
+
+    summed = dealt.select("lang", "begin", line(2).cast("long").alias("n"))
+    begins = summed.groupBy("lang", "begin").agg(F.sum("n").alias("n"))
+    begins = begins.filter(F.when(_length("begin") == max_words - 1, F.col("n")).otherwise(0) >= least)
+    begins = begins.select("lang", F.col("begin").alias("phrase"), F.lit(max_words - 1).alias("words"), "n")
+
+    first = [f"w{k}" for k in range(1, max_words - 1)]
     # A window of fewer words has no prefix of k words; its rows count for the shorter prefixes only.
-    prefixes = longest.select("lang", "n", *(F.when(_length("begin") >= k, F.substring_index("begin", " ", k)).alias(c) for k, c in enumerate(first, 1)))
-    summed = prefixes.rollup("lang", *first).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
+    prefixes = summed.select("lang", "n", *(F.when(_length("begin") >= k, F.substring_index("begin", " ", k)).alias(c) for k, c in enumerate(first, 1)))
+    rolled = prefixes.rollup("lang", *first).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
     # left_out has a bit per column that was summed over; the one row over all languages gets -1 words.
     words = F.lit(len(first)) - F.bit_count("left_out")
-    shorter = summed.select("lang", F.coalesce(*reversed(first), F.lit("")).alias("phrase"), words.alias("words"), "n")
+    shorter = rolled.select("lang", F.coalesce(*reversed(first), F.lit("")).alias("phrase"), words.alias("words"), "n")
     # Left are the rows whose prefix is as long as their level says.
-    kept = shorter.filter((F.col("words") == F.when(F.col("phrase") == "", 0).otherwise(_length("phrase"))) & ((F.col("n") >= least) | (F.col("words") == 0)) & F.col("lang").isNotNull())
-    # One condition on key and count together: on the key alone it would be moved below the count, which then would be made twice.
-    full = longest.filter(F.when(F.col("last") != "", F.col("n")).otherwise(0) >= least)
-    return kept.select("lang", "phrase", F.col("words").cast("int"), "n").unionByName(
-        full.select("lang", F.concat_ws(" ", "begin", "last").alias("phrase"), F.lit(max_words).cast("int").alias("words"), "n"))
+    shorter = shorter.filter((F.col("words") == F.when(F.col("phrase") == "", 0).otherwise(_length("phrase"))) & ((F.col("n") >= least) | (F.col("words") == 0)) & F.col("lang").isNotNull())
+    return full.unionByName(begins).unionByName(shorter)
 
 
 def _cut(phrase: str, k: int) -> tuple[Column, Column]:
