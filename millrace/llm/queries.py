@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import collocations, decontaminate, languages, licenses, mixing, neardup, ngrams, pseudonyms, quality, revisits, substrings, tokencount
+from millrace.llm import collocations, conversations, decontaminate, languages, licenses, mixing, neardup, ngrams, pseudonyms, quality, revisits, substrings, tokencount
 from millrace.suite import Suite, table
 
 suite = Suite()
@@ -164,6 +164,68 @@ def op11_collocations(spark, sf):
     return collocations.collocations(table(spark, sf, "documents"))
 
 
+def damage(turns):
+    """Rows dropped, emptied, cut, repeated or given to the user by a check sum of conversation and turn."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", said("conv_id"), said("turn"))) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(said("text"), ".!?", "")).otherwise(said("text"))
+    role = F.when(kind == 4, conversations.USER).otherwise(said("role"))
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("times"))
+    return rows.select("*", F.explode(F.array_repeat(F.lit(1), F.col("times")))).drop("times", "col")
+
+
+def repair_sql() -> str:
+    """The repair in SQL: a recursion over the rows of each conversation, which holds the cheapest (cost, audit, turns)
+    that end in each of four states."""
+    add = lambda x, cost, letter, turn: f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 'o': list_append({x}.o, {turn})}}" if turn else f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 'o': {x}.o}}"
+    least = lambda *xs: f"least({', '.join(xs)})"
+    put = lambda x, role: add(x, 3, "I", f"'{role}:'")
+    kept = lambda x, kind: f"CASE WHEN kind = '{kind}' AND NOT gone THEN {add(x, 'cut', 'K', 'role || chr(58) || text')} END"
+    new = lambda x, role: f"CASE WHEN NOT gone THEN {add(x, '3 + cut', 'R', f'{chr(39)}{role}:{chr(39)} || text')} END"
+    none = "{'c': 1000000000::BIGINT, 'a': '', 'o': CAST([] AS VARCHAR[])}"
+    start = "{'c': 0::BIGINT, 'a': '', 'o': CAST([] AS VARCHAR[])}"
+    n = [add(f"s{k}", 4, "D", "") for k in range(4)]
+    n1 = least(n[1], kept("s0", "s"))
+    n2 = least(n[2], *(f(x, k) for x in ("s0", "s1", "s3") for f, k in ((kept, "u"), (new, "user"))))
+    n3 = least(n[3], kept("s2", "a"), new("s2", "assistant"))
+    return rf"""
+    WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(256) t(i))),
+    given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+    summed AS (SELECT g.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda x, b: xor(x >> 8, tab[(xor(x, b) & 255) + 1])), 4294967295) % 20 AS d FROM given g, crc),
+    damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                       unnest(range(CASE WHEN d = 0 THEN 0 WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM summed),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_replace(text, '[ 	-]+$', '') AS bare FROM damaged),
+    judged AS (SELECT *, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(bare, 1) NOT IN ('.', '!', '?') AS broken,
+                      left(role, 1) AS kind, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS next FROM placed),
+    coded AS (SELECT conv_id, i, role, text, kind, blank OR again AS gone, CASE WHEN broken THEN 3 ELSE 0 END AS cut FROM judged),
+    walk(conv_id, i, s0, s1, s2, s3) AS (
+        SELECT conv_id, 0::BIGINT, {start}, {none}, {put(start, "user")}, {put(put(start, "user"), "assistant")} FROM (SELECT DISTINCT conv_id FROM coded)
+        UNION ALL
+        SELECT conv_id, i, s0, s1, t2, least(s3, {put("t2", "assistant")}) FROM (
+            SELECT conv_id, i, s0, s1, {least("s2", put("s0", "user"), put("s1", "user"), put("s3", "user"))} AS t2, s3 FROM (
+                SELECT w.conv_id, c.i, {n[0]} AS s0, {n1} AS s1, {n2} AS s2, {n3} AS s3 FROM walk w JOIN coded c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.i = w.i + 1))),
+    ended AS (SELECT conv_id, least(s0, s3) AS r FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+    facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+                     count(*) FILTER (broken AND NOT blank AND NOT again) AS truncated, count(*) FILTER (next IS NOT NULL AND kind || next NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           coalesce(r.c, 0) AS cost, coalesce(r.a, '') AS audit, sha256(coalesce(array_to_string(r.o, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@suite.add(repair_sql())
+def op12_conversations(spark, sf):
+    turns = table(spark, sf, "conversations")
+    audit, left = conversations.repair(damage(turns))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    hashes = conversations.digests(left)
+    found = audit.join(hashes, audit["conv"].eqNullSafe(hashes["conv"])).select(audit["conv"], *counts, "audit", "sha256")
+    known = turns.select("conv_id").distinct()
+    nothing = {**{c: F.lit(0).cast("long") for c in counts}, "audit": F.lit(""), "sha256": F.sha2(F.lit(""), 256)}
+    whole = known.join(found, known["conv_id"].eqNullSafe(found["conv"]), "left")
+    return whole.select("conv_id", *(F.coalesce(c, v).alias("repaired_sha256" if c == "sha256" else c) for c, v in nothing.items()))
+
+
 def license_sql() -> str:
     """The scan in SQL: its templates as values, votes on diagonals, spans of near diagonals."""
     texts = [*((*p, "true") for p in licenses.PHRASES), *((*n, "false") for n in licenses.NOTICES)]
