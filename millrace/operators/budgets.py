@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 from millrace.errors import InvalidInput
@@ -211,6 +211,96 @@ def _in_passes(calls, keys, order, cost, limit_cost, limit_calls):
     return every.withColumnRenamed("_ok", "admitted").drop(CHUNK)
 
 
+def _pairs(calls: DataFrame, budgets: DataFrame, key: str, order: list[str], cost: str) -> DataFrame:
+    """One row per call and budget it meets: the budget's window, its limits, and the call's cost."""
+    scopes = [F.struct(F.lit(s).alias("scope_type"), F.col(f"{s}_id").cast("string").alias("scope_id"), F.lit(n).alias("place"))
+              for n, s in enumerate(SCOPES) if f"{s}_id" in calls.columns]
+    if not scopes:
+        raise InvalidInput(f"calls need one of {[f'{s}_id' for s in SCOPES]}")
+    held = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)))
+    met = calls.select(F.col(key).alias("call"), held.alias("at"), "ts", _held(cost).alias("cost"), F.inline(F.array(*scopes))).filter("scope_id IS NOT NULL")
+    limits = budgets.select("scope_type", F.col("scope_id").cast("string").alias("scope_id"), "period", F.col("limit_cost_micros").cast("bigint").alias("limit_cost"),
+                            F.col("limit_calls").cast("bigint").alias("limit_calls"), (F.col("action") == "block").alias("blocks"))
+    start = F.when(F.col("period") == "day", window_start("day", F.col("ts"))).otherwise(window_start("month", F.col("ts")))
+    joined = met.join(limits, ["scope_type", "scope_id"])
+    return joined.select("call", *(F.col(f"at.o{i}").alias(f"o{i}") for i in range(len(order))), "cost", "place", "scope_type", "scope_id", "period",
+                         start.alias("window"), "limit_cost", "limit_calls", "blocks")
+
+
+_WINDOW = ["scope_type", "scope_id", "period", "window", "limit_cost", "limit_calls"]
+
+
+def _over(spent: Column, count: Column) -> Column:
+    """Whether one more call passes a limit; NULL limits are never passed."""
+    return F.coalesce(spent + F.col("cost") > F.col("limit_cost"), F.lit(False)) | F.coalesce(count + 1 > F.col("limit_calls"), F.lit(False))
+
+
+def _before(pairs: DataFrame, order: list[str], totals: dict[str, Column], rows: int, hot_rows: int) -> DataFrame:
+    """Sums over the calls of the same window that come before. No window has more than `rows` calls."""
+    place = [*order, "call"]
+    if rows <= hot_rows:
+        before = W.partitionBy(*_WINDOW).orderBy(*place).rowsBetween(W.unboundedPreceding, -1)
+        return pairs.withColumns({n: F.coalesce(F.sum(v).over(before), F.lit(0)) for n, v in totals.items()})
+    summed = by_order(pairs, _WINDOW, place, totals, hot_rows=hot_rows)
+    return summed.withColumns({n: F.col(n) - F.coalesce(v, F.lit(0)) for n, v in totals.items()})
+
+
+def replay_together(calls: DataFrame, budgets: DataFrame, key: str = "id", order: tuple[str, ...] = ("ts",), cost: str = "cost_micros",
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Which calls are admitted where one call meets several budgets: day and month, of several scopes.
+
+    Adds to `calls`: admitted; refused_by, the first blocking budget passed, as `scope_type:scope_id:period`, in the order of
+    the scopes, or NULL; warnings, the passed budgets that only warn, for admitted calls. `calls` have a unique `key` and
+    scope columns (`project_id`, ...) that may be null; they come in the order of `order`, then of `key`. `budgets`: scope_type,
+    scope_id, period, limit_cost_micros, limit_calls (NULL: no limit), action (`block` or `warn`). A call that one
+    budget refuses holds nothing in any. A call without a budget is admitted.
+
+    Verdicts of different windows hang on each other through the calls they share. They are settled in passes over all
+    windows at once. What is held before a call lies between the sum of the calls admitted for sure and that sum with all
+    undecided calls. A call over a limit with the lower sum is refused, one within all its limits with the upper sum
+    admitted; the others wait. Each pass decides at least the first undecided call of every window whose other
+    calls aren't held up elsewhere, usually long runs of calls up to where a window fills. Decided calls leave the table,
+    so it shrinks from pass to pass. Running sums take windows of any size (`ordered`), so a hot scope is many tasks' work;
+    the budgets of one call, at most two for each kind of scope, meet in a row.
+    """
+    places = [f"o{i}" for i in range(len(order))]
+    pairs, met = stored(_pairs(calls, budgets, key, list(order), cost))
+    zero = F.lit(0).cast("bigint")
+    pending = pairs.filter("blocks").drop("blocks", "place").withColumns({"sure": F.lit(False), "spent": zero, "count": zero})
+    decided: list[DataFrame] = []
+    left = met > 0
+    while left:
+        value = lambda c: F.when(F.col("sure"), c).otherwise(0)
+        summed = _before(pending, places, {"_in": value(F.col("cost")), "_n": value(F.lit(1)), "_most": F.col("cost"), "_calls": F.lit(1)}, met, hot_rows)
+        open_ = summed.filter(~F.col("sure")).withColumns({
+            "_least": F.col("spent") + F.col("_in"), "_first": F.col("count") + F.col("_n"), "_up": F.col("spent") + F.col("_most"), "_upn": F.col("count") + F.col("_calls")})
+        rows = open_.select("call", *places, "cost", *_WINDOW, F.col("_least").alias("spent"), F.col("_first").alias("count"),
+                            _over(F.col("_least"), F.col("_first")).alias("_no"), _over(F.col("_up"), F.col("_upn")).alias("_maybe"))
+        window = [c for c in rows.columns if c not in ("call", *places, "cost", "_no", "_maybe")]
+        one = rows.groupBy("call", *places, "cost").agg(F.bool_or("_no").alias("_no"), F.bool_or("_maybe").alias("_maybe"), F.collect_list(F.struct(*window)).alias("_met"))
+        verdict = F.when(F.col("_no"), "refused").when(~F.col("_maybe"), "admitted").otherwise("open")
+        judged, _ = stored(one.withColumn("verdict", verdict).drop("_no", "_maybe"))
+        decided.append(judged.filter("verdict <> 'open'").select("call", (F.col("verdict") == "admitted").alias("admitted")))
+        kept = judged.filter("verdict <> 'refused'").select("call", *places, "cost", (F.col("verdict") == "admitted").alias("sure"), F.inline("_met"))
+        pending = kept.select(*pending.columns)
+        left = not judged.filter("verdict = 'open'").isEmpty()
+    names = unused(calls, "_call", "admitted", "refused_by", "warnings")
+    said = F.concat_ws(":", "scope_type", "scope_id", "period")
+    if decided:
+        verdicts = reduce(lambda a, b: a.unionByName(b), decided)
+        # With every verdict known, what was held before each call is one running sum.
+        known = pairs.join(verdicts, "call", "left").withColumn("admitted", F.coalesce("admitted", F.lit(True)))
+        held = lambda c: F.when(F.col("admitted"), c).otherwise(0)
+        final = _before(known, places, {"_in": held(F.col("cost")), "_n": held(F.lit(1))}, met, hot_rows)
+        passed = final.withColumn("_over", _over(F.col("_in"), F.col("_n"))).groupBy("call").agg(
+            F.first("admitted").alias(names[1]), F.min(F.when(F.col("_over") & F.col("blocks"), F.struct("place", "scope_id", "period", said.alias("said")))).getField("said").alias(names[2]),
+            F.sort_array(F.collect_set(F.when(F.col("_over") & ~F.col("blocks") & F.col("admitted"), said))).alias(names[3])).withColumnRenamed("call", names[0])
+    else:
+        passed = pairs.select(F.col("call").alias(names[0]), F.lit(True).alias(names[1]), F.lit(None).cast("string").alias(names[2]), F.array().cast("array<string>").alias(names[3]))
+    joined = calls.join(passed, calls[key] == passed[names[0]], "left").drop(names[0])
+    return joined.withColumns({names[1]: F.coalesce(F.col(names[1]), F.lit(True)), names[3]: F.coalesce(F.col(names[3]), F.array().cast("array<string>"))})
+
+
 def settle(holds: DataFrame, calls: DataFrame) -> DataFrame:
     """Close each hold with its call's cost: 0 for a cache hit, 0 for a hold whose call failed. A hold
     without an outcome stays open."""

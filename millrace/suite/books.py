@@ -7,6 +7,7 @@ price from the price table or from its value.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -195,6 +196,49 @@ def budget_replay_long(spark, sf):
     return _replayed(spark, sf, small_window=0)
 
 
+# A limit for each kind of budget, so that every one of them refuses some calls.
+_LIMITS = {("project", "day"): (20_000_000, 60), ("project", "month"): (500_000_000, None), ("user", "day"): (1_200_000, 3), ("user", "month"): (15_000_000, 55)}
+
+
+def _together_sql():
+    held = lambda measure, who, since: f"coalesce(list_sum([{measure} FOR h IN s.held IF h.{who} = n.{who}{' AND h.day = n.day' if since == 'day' else ''}]), 0)"
+    who = {"project": "project_id", "user": "user_id"}
+    over = {}
+    for (scope, period), (micros, calls) in _LIMITS.items():
+        tests = [f"{held('h.x', who[scope], period)} + n.x > {micros}"] + ([f"{held('1', who[scope], period)} + 1 > {calls}"] if calls else [])
+        over[scope, period] = f"coalesce(n.{who[scope]} IS NOT NULL AND ({' OR '.join(tests)}), false)"
+    # A user's month only warns where the user's number is a multiple of 4.
+    warns = "n.user_id % 4 = 0"
+    month = over["user", "month"]
+    first = " ".join(f"WHEN {test}{f' AND NOT ({warns})' if key == ('user', 'month') else ''} THEN '{key[0]}:' || n.{who[key[0]]} || ':{key[1]}'" for key, test in over.items())
+    return f"""
+    WITH RECURSIVE {_SQL_CALLS}, n AS (SELECT id, user_id, project_id, date_trunc('day', ts) AS day, cost_micros AS x, row_number() OVER (PARTITION BY project_id ORDER BY ts, id) AS rn FROM calls),
+    s(project_id, rn, id, refused_by, warned, held) AS (
+      SELECT DISTINCT project_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, CAST([] AS STRUCT(user_id BIGINT, project_id BIGINT, "day" TIMESTAMP, x BIGINT)[]) FROM n
+      UNION ALL SELECT project_id, rn, id, refused_by, warned, CASE WHEN refused_by IS NULL THEN list_append(held, {{'user_id': user_id, 'project_id': project_id, 'day': day, 'x': x}}) ELSE held END
+      FROM (SELECT n.project_id, n.rn, n.id, n.user_id, n.day, n.x, s.held, CASE {first} END AS refused_by, CASE WHEN {warns} AND {month} THEN 'user:' || n.user_id || ':month' ELSE '' END AS warned
+            FROM s JOIN n ON n.project_id IS NOT DISTINCT FROM s.project_id AND n.rn = s.rn + 1))
+    SELECT id, refused_by IS NULL AS admitted, refused_by, CASE WHEN refused_by IS NULL THEN warned ELSE '' END AS warnings FROM s WHERE rn > 0"""
+
+
+def _together(spark, sf, **how):
+    calls = _calls(spark, sf).select("id", "ts", "user_id", "project_id", "cost_micros")
+    quotas = []
+    for (scope, period), (micros, most) in _LIMITS.items():
+        who = F.col(f"{scope}_id")
+        action = F.when((who % 4 == 0), "warn").otherwise("block") if (scope, period) == ("user", "month") else F.lit("block")
+        quotas.append(calls.filter(who.isNotNull()).select(F.lit(scope).alias("scope_type"), who.alias("scope_id"), F.lit(period).alias("period"), F.lit(micros).alias("limit_cost_micros"),
+                                                           F.lit(most).cast("bigint").alias("limit_calls"), action.alias("action")).distinct())
+    out = budgets.replay_together(calls, reduce(lambda a, b: a.unionByName(b), quotas), **how)
+    return out.select("id", "admitted", "refused_by", F.array_join("warnings", ",").alias("warnings"))
+
+
+@suite.add(_together_sql())
+def budget_replay_together(spark, sf):
+    """Daily and monthly budgets of projects and users at once: a call refused by one holds nothing in any."""
+    return _together(spark, sf)
+
+
 @suite.add(f"""
     WITH {_SQL_CALLS} SELECT id AS call_id, CASE WHEN cache_hit OR status = 'failed' THEN 0 ELSE cost_micros END::BIGINT AS settled_micros FROM calls""")
 def budget_settlement(spark, sf):

@@ -203,3 +203,45 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(r["seq"] for r in log.visible(everything, 5, admin=True).collect()) == [1, 2, 4, 5, 6, 7, 8]
     assert [r["seq"] for r in log.page(everything, 3, 2).collect()] == [4, 5]
     assert tuple(log.cursor_reset(everything, 0).first()) == (False, 0) and tuple(log.cursor_reset(everything.filter("seq > 4"), 1).first()) == (True, 8)
+
+
+def _together_by_hand(calls, quotas):
+    held, out = [], {}
+    start = {"day": lambda t: t.date(), "month": lambda t: (t.year, t.month)}
+    for c in sorted(calls, key=lambda c: (c[1], c[0])):
+        refused, warned = None, set()
+        for scope, who in (("project", c[2]), ("user", c[3])):
+            for s, i, period, micros, most, action in sorted((q for q in quotas if q[0] == scope and who is not None and q[1] == str(who)), key=lambda q: q[2]):
+                same = [h for h in held if h[2 if scope == "project" else 3] == who and start[period](h[1]) == start[period](c[1])]
+                spent = sum(max(h[4] or 0, 0) for h in same) + max(c[4] or 0, 0)
+                if (micros is not None and spent > micros) or (most is not None and len(same) + 1 > most):
+                    if action == "block":
+                        refused = refused or f"{scope}:{i}:{period}"
+                    else:
+                        warned.add(f"{scope}:{i}:{period}")
+        if refused is None:
+            held.append(c)
+        out[c[0]] = (refused is None, refused, sorted(warned) if refused is None else [])
+    return out
+
+
+@pytest.mark.parametrize("seed, hot", [(1, 10**6), (2, 20), (3, 10**6)])
+def test_replay_together_like_one_by_one(spark, seed, hot):
+    r = random.Random(seed)
+    base = dt.datetime(2024, 1, 30)
+    calls = [(i, base + dt.timedelta(minutes=r.randrange(0, 4000, 7)), r.choice([1, 1, 1, 2, None]), r.choice([5, 6, 7, 8, None]), r.choice([None, -3, 0, 1, 5, 10, 40, 90])) for i in range(300)]
+    quotas = [("project", "1", "day", 400, None, "block"), ("project", "1", "month", 900, 60, "block"), ("project", "2", "month", None, 9, "block"), ("user", "5", "day", 90, 7, "block"),
+              ("user", "6", "month", 300, None, "warn"), ("user", "6", "day", None, 5, "warn"), ("user", "7", "day", 60, None, "block"), ("user", "8", "day", -1, None, "block"), ("user", "99", "day", 0, 0, "block")]
+    df = spark.createDataFrame([(*c, "mine") for c in calls], "id int, ts timestamp_ntz, project_id int, user_id int, cost_micros long, window string")
+    limits = spark.createDataFrame(quotas, "scope_type string, scope_id string, period string, limit_cost_micros long, limit_calls long, action string")
+    got = budgets.replay_together(df, limits, hot_rows=hot)
+    assert got.columns == [*df.columns, "admitted", "refused_by", "warnings"]
+    rows = got.collect()
+    assert {x.id: (x.admitted, x.refused_by, x.warnings) for x in rows} == _together_by_hand(calls, quotas) and len(rows) == 300
+    assert {x.admitted for x in budgets.replay_together(df, limits.limit(0)).collect()} == {True}
+    assert budgets.replay_together(df.limit(0), limits).count() == 0
+
+
+def test_replay_together_needs_a_scope(spark):
+    with pytest.raises(InvalidInput):
+        budgets.replay_together(spark.range(1), spark.createDataFrame([], "scope_type string, scope_id string, period string, limit_cost_micros long, limit_calls long, action string"))
