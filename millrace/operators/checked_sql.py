@@ -41,6 +41,25 @@ _NODES = frozenset(
     WithWindowDefinition UnresolvedRelation UnresolvedInlineTable OneRowRelation LocalRelation
     Union Intersect Except LateralJoin""".split()
 )
+# Expressions a SELECT's text may parse to: names, literals, operators, predicates, casts, CASE, calls (whose names are checked),
+# windows, grouping and subqueries. A kind that isn't listed is refused, so a call can't hide in one that is new or rare.
+_EXPRESSIONS = frozenset(
+    """UnresolvedAttribute AttributeReference UnresolvedStar UnresolvedStarExceptOrReplace UnresolvedAlias Alias
+    UnresolvedOrdinal Literal UnresolvedExtractValue CreateNamedStruct
+    Add Subtract Multiply Divide Remainder IntegralDivide UnaryMinus UnaryPositive BitwiseAnd BitwiseOr BitwiseXor BitwiseNot
+    And Or Not EqualTo EqualNullSafe LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual
+    In InSubquery ListQuery ScalarSubquery Exists IsNull IsNotNull Like ILike LikeAll LikeAny NotLikeAll NotLikeAny RLike
+    CaseWhen Cast Concat UnresolvedFunction StringTrim StringTrimLeft StringTrimRight StringTrimBoth StringLocate Substring
+    TimestampAdd TimestampDiff SortOrder UnresolvedWindowExpression WindowExpression WindowSpecDefinition
+    SpecifiedWindowFrame UnspecifiedFrame$ CurrentRow$ UnboundedPreceding$ UnboundedFollowing$ RowFrame$ RangeFrame$
+    Rollup Cube GroupingSets""".split()
+)
+# Those that a formula over one row can't have.
+_NOT_IN_FORMULAS = frozenset("""ScalarSubquery Exists ListQuery InSubquery UnresolvedExtractValue UnresolvedStar UnresolvedStarExceptOrReplace
+    WindowExpression UnresolvedWindowExpression WindowSpecDefinition SpecifiedWindowFrame UnspecifiedFrame$ CurrentRow$ UnboundedPreceding$
+    UnboundedFollowing$ RowFrame$ RangeFrame$ Rollup Cube GroupingSets SortOrder""".split())
+# What runs code of its own, wherever analysis may have put it.
+_FOREIGN = frozenset("CallMethodViaReflection TryReflect PythonUDF ScalaUDF HiveSimpleUDF HiveGenericUDF".split())
 _SET_OPERATIONS = frozenset({"Union", "Intersect", "Except"})
 _WRAPPERS = frozenset({"UnresolvedWith", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct"})
 
@@ -82,6 +101,8 @@ def _plan_nodes(plan):
         stack.extend((child, visible) for child in _items(node.children()))
 
 
+_WHOLE_TYPES = frozenset({"tinyint", "smallint", "int", "bigint"})
+_A_NUMBER = re.compile(r"\s*-?[0-9]+\s*")
 _NON_ZERO = re.compile(r"[0-9.]*[1-9][0-9.]*")
 _HAS_NULL_ORDER = re.compile(r"\bnulls\s+(first|last)\s*$", re.IGNORECASE)
 _OPEN = re.compile(r"\s*\(")
@@ -130,10 +151,20 @@ class _Edits:
 
 def _respell(expression, kind: str, edits: _Edits) -> None:
     """One dialect for steps and formulas, where Spark's differs: NULL for a zero divisor, NULLs last in any
-    order, and functions under their written names."""
+    order, casts to whole numbers that round, lists that keep NULLs, texts cut from place 0, and functions under their
+    written names."""
     span = edits.span(expression)
     if span is None:
         return
+
+    def from_place(start, size) -> None:
+        """Place 0 lies before the first character, so one character less is left."""
+        start, size = edits.span(start), edits.span(size)
+        if start and size:
+            place = edits.text[slice(*start)]
+            if not (_A_NUMBER.fullmatch(place) and int(place)):
+                edits.wrap(size, "(", f") - CAST(({place}) = 0 AS INT)")
+
     if kind in ("Divide", "Remainder", "IntegralDivide"):
         divisor = edits.span(expression.right())
         if divisor and not _NON_ZERO.fullmatch(edits.text[slice(*divisor)]):
@@ -141,11 +172,24 @@ def _respell(expression, kind: str, edits: _Edits) -> None:
     elif kind == "SortOrder":
         if not _HAS_NULL_ORDER.search(edits.text[slice(*span)]):
             edits.wrap(span, "", " NULLS LAST")
+    elif kind == "Cast":
+        inner = edits.span(expression.child())
+        if inner and str(expression.dataType().simpleString()) in _WHOLE_TYPES and not _A_NUMBER.fullmatch(edits.text[slice(*inner)]):
+            cast = "TRY_CAST" if str(expression.evalMode()) == "TRY" else "CAST"
+            edits.wrap(inner, f"round({cast}(", " AS DECIMAL(38, 18)))")
+    elif kind == "Substring":
+        from_place(expression.pos(), expression.len())
     elif kind == "UnresolvedFunction":
         name, given = _items(expression.nameParts())[-1].lower(), _items(expression.arguments())
         literal = lambda e: str(e.toString()) if e.getClass().getSimpleName() == "Literal" else None
         if name == "count_distinct":
             edits.rename(span, name, "count(DISTINCT ")
+        elif name in ("substring", "substr") and len(given) == 3:
+            from_place(given[1], given[2])
+        elif name == "list" and len(given) == 1 and edits.span(given[0]):
+            edits.rename(span, name, "collect_list")
+            edits.wrap(edits.span(given[0]), "named_struct('v', ", ")")
+            edits.wrap(span, "(", ").v")
         elif name == "to_json" and len(given) == 1:
             edits.rename(span, name, "nullif(regexp_replace(to_json(array(")
             edits.wrap(span, "", "), '^.|.$', ''), 'null')")
@@ -165,7 +209,7 @@ def _check_functions(node, edits: _Edits) -> None:
             parts = _items(expression.nameParts())
             if len(parts) > 1 or parts[-1].lower() not in ALLOWED_FUNCTIONS:
                 raise InvalidInput(f"function {'.'.join(parts)!r} is not allowed in a SQL step")
-        elif kind in ("CallMethodViaReflection", "TryReflect", "PythonUDF", "ScalaUDF"):
+        elif kind not in _EXPRESSIONS:
             raise InvalidInput(f"{kind} is not allowed in a SQL step")
         _respell(expression, kind, edits)
 
@@ -220,7 +264,28 @@ def sql_step(inputs: list[DataFrame], query: str) -> DataFrame:
     session = prepare_session(spark)
     for name, frame in zip(names, inputs):
         _view(session, frame, name)
-    return session.sql(text)
+    out = session.sql(text)
+    # The inputs may hold any code their makers ran; what the query adds above them may not.
+    _refuse_foreign(out, {frame._jdf.queryExecution().analyzed().hashCode() for frame in inputs})
+    return out
+
+
+def _refuse_foreign(df: DataFrame, inputs: set[int]) -> None:
+    stack = [df._jdf.queryExecution().analyzed()]
+    while stack:
+        node = stack.pop()
+        if node.hashCode() in inputs:
+            continue
+        waiting = _items(node.expressions())
+        while waiting:
+            expression = waiting.pop()
+            kind = expression.getClass().getSimpleName()
+            if kind in _FOREIGN:
+                raise InvalidInput(f"{kind} is not allowed in a SQL step")
+            if hasattr(expression, "plan") and kind in ("ScalarSubquery", "ListQuery", "Exists"):
+                stack.append(expression.plan())
+            waiting.extend(_items(expression.children()))
+        stack.extend(_items(node.children()))
 
 
 def _view(session: SparkSession, frame: DataFrame, name: str) -> None:
@@ -243,8 +308,7 @@ def checked_expression(df: DataFrame, expression: str) -> Column:
     while stack:
         node = stack.pop()
         kind = node.getClass().getSimpleName()
-        if kind in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LambdaFunction",
-                    "UnresolvedExtractValue", "UnresolvedStar", "WindowExpression", "UnresolvedWindowExpression"):
+        if kind not in _EXPRESSIONS or kind in _NOT_IN_FORMULAS:
             raise InvalidInput(f"{kind} is not allowed in an expression")
         if kind == "UnresolvedFunction":
             parts = _items(node.nameParts())

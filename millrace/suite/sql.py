@@ -210,3 +210,24 @@ _DISTINCT = "SELECT o_orderstatus, CAST({customers} AS BIGINT) AS customers, CAS
 @suite.add(_DISTINCT.format(t="orders", customers="count(DISTINCT o_custkey)", days="count(DISTINCT o_orderdate)"))
 def sql_count_distinct(spark, sf):
     return _step(spark, sf, ["orders"], _DISTINCT.format(t="in_1", customers="count_distinct(o_custkey)", days="count_distinct(o_orderdate)"))
+
+
+_WHOLE = """
+    SELECT p_partkey, CAST({q} AS BIGINT) AS halves, CAST(-{q} AS INTEGER) AS below, TRY_CAST(p_brand AS INTEGER) AS no_number,
+      substring(p_name, p_size - 3, 2) AS from_place, substring(p_name, 0, p_size) AS from_zero FROM {t}"""
+
+
+@suite.add(_WHOLE.format(t="part", q="(p_size + CAST(0.5 AS DECIMAL(2,1)))"))
+def sql_whole_numbers(spark, sf):
+    """Casts to whole numbers round, halves away from zero; a text cut from place 0 is a character shorter."""
+    return _step(spark, sf, ["part"], _WHOLE.format(t="in_1", q="(p_size + CAST(0.5 AS DECIMAL(2,1)))"))
+
+
+_LISTED = "SELECT c_nationkey, {size}(list(CASE WHEN c_acctbal < 2000 THEN NULL ELSE c_mktsegment END)) AS listed, {size}(list(DISTINCT nullif(c_mktsegment, 'BUILDING'))) AS kinds FROM {t} GROUP BY c_nationkey"
+
+
+@suite.add(_LISTED.format(t="customer", size="len"))
+def sql_list_keeps_nulls(spark, sf):
+    """A list has an element per row, NULL ones too."""
+    out = _step(spark, sf, ["customer"], _LISTED.format(t="in_1", size=""))
+    return out.withColumns({c: F.size(c).cast("bigint") for c in ("listed", "kinds")})
