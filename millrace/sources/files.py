@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from millrace.errors import InvalidInput
 from millrace.functions.expressions import col
+from millrace.sources.delimited import records
 
 # Preview and sample sizes.
 PREVIEW_ROWS = 50
@@ -30,26 +31,57 @@ def _allowed(limit: int) -> int:
     return limit
 
 
+def _parsed(spark: SparkSession, texts: DataFrame, schema: T.StructType | None = None, **options: Any) -> DataFrame:
+    """Records as Spark's own CSV parser reads them."""
+    reader = spark.read.options(quote='"', escape='"', multiLine=True, mode="FAILFAST", **options)
+    if schema is not None:
+        reader = reader.schema(schema)
+    held = getattr(texts.select("text")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader._jreader.csv(held), spark)
+
+
+def _field_names(written: list[str | None]) -> list[str]:
+    """Names of a header line: a place for an empty one, and its place behind one that occurs again."""
+    known = [n.lower() for n in written if n]
+    return [f"_c{i}" if not n else f"{n}{i}" if known.count(n.lower()) > 1 else n for i, n in enumerate(written)]
+
+
 def read_csv(spark: SparkSession, path: str, header: bool | None = None, schema: T.StructType | None = None) -> DataFrame:
     """CSV with types inferred from every row, or with a given schema and no inference pass.
 
     Without `header`, the first line counts as one unless it holds a number, date or truth value. Integers
-    become bigint. Quoted fields may hold commas, doubled quotes and line breaks, so one file is one task's
-    work; a line with another number of fields than the first fails the read.
+    become bigint. Quoted fields may hold commas, doubled quotes and line breaks; a file is read by many tasks all the
+    same (`delimited`). A record with another number of fields than the first fails the read, and so does a file with
+    another header than the others.
     """
-    quoted = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"')
+    texts = records(spark, path)
+    # One row per file: its first record, parsed to know names and whether there is a header at all.
+    firsts = texts.filter("first AND trim(text) <> ''").select("text").distinct().limit(2).collect()
+    if not firsts:
+        return spark.createDataFrame([], schema or T.StructType())
+    head = list(_parsed(spark, spark.createDataFrame(firsts[:1], "text string")).first())
     if header is None:
-        first = quoted.csv(path).take(1)
-        header = bool(first) and not any(v and _A_VALUE.fullmatch(v.strip()) for v in first[0])
-    # Without pruning every field is read, so that none can be missing or left over unseen.
-    reader = quoted.option("header", header).option("enforceSchema", False).option("mode", "FAILFAST").option("columnPruning", False)
+        header = not any(v and _A_VALUE.fullmatch(v.strip()) for v in head)
+    names = _field_names(head) if header else [f"_c{i}" for i in range(len(head))]
+    if header and len(firsts) > 1:
+        raise InvalidInput(f"the files at {path} have different header lines")
+    if schema is not None and (len(schema) != len(names) or (header and [n.lower() for n in names] != [n.lower() for n in schema.names])):
+        raise InvalidInput(f"the file has the columns {names}, not {schema.names}")
+    rows = texts.filter("NOT first" if header else "trim(text) <> ''")
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    df = reader.option("inferSchema", True).option("preferDate", True).option(
-        "timestampType", "TIMESTAMP_NTZ").csv(path)
-    return df.select(*(
-        col(df, f.name).cast("bigint").alias(f.name) if isinstance(f.dataType, _SMALL_INTEGERS) else col(df, f.name)
-        for f in df.schema.fields))
+        return _parsed(spark, rows, schema)
+    df = _parsed(spark, rows, inferSchema=True, preferDate=True, timestampType="TIMESTAMP_NTZ")
+    if not df.columns:
+        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    if len(df.columns) != len(names):
+        raise InvalidInput(f"a record has {len(df.columns)} fields, the header {len(names)}")
+    return df.toDF(*names).select(*(
+        F.col(_quoted(n)).cast("bigint").alias(n) if isinstance(f.dataType, _SMALL_INTEGERS) else F.col(_quoted(n))
+        for n, f in zip(names, df.schema.fields)))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
