@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.errors import StepAborted
-from millrace.operators import answers, governance, pii, prompts, search
+from millrace.operators import answers, governance, pii, prompts, search, search_index
 from millrace.operators.answers import AnswerFailed
 from millrace.session import scratch_path
 from millrace.suite import Suite, table
@@ -275,6 +275,33 @@ def search_documents(spark, sf):
     return search.search(table(spark, sf, "documents"), "The er", ["text"], name="doc_id", limit=50).select("doc_id", "rank")
 
 
+@suite.add(rf"""
+    SELECT doc_id, (len(regexp_extract_all(lower(text), '{_WORD}the')) + len(regexp_extract_all(lower(text), '{_WORD}er')))::BIGINT AS rank
+    FROM documents WHERE regexp_matches(lower(text), '{_WORD}the') AND regexp_matches(lower(text), '{_WORD}er')
+    ORDER BY rank DESC, doc_id LIMIT 50""")
+def search_indexed(spark, sf):
+    """The same search on a stored index: reads the postings of its prefixes and no text."""
+    path = scratch_path(spark, "index")
+    search_index.write(table(spark, sf, "documents"), path, ["text"], "doc_id", ["doc_id"])
+    return search_index.search(spark, path, "The er", "doc_id", limit=50)
+
+
+_CHANGED = "doc_id % 5 = 1"
+
+
+@suite.add(rf"""
+    WITH d AS (SELECT doc_id, lang, lower(CASE WHEN {_CHANGED} THEN 'Theme erased. the' ELSE coalesce(text, '') END) AS body FROM documents WHERE doc_id % 7 <> 2 OR {_CHANGED})
+    SELECT doc_id, lang, (len(regexp_extract_all(body, '{_WORD}the')) + len(regexp_extract_all(body, '{_WORD}er')))::BIGINT AS rank
+    FROM d WHERE regexp_matches(body, '{_WORD}the') AND regexp_matches(body, '{_WORD}er') AND lang = 'en'""")
+def search_index_changed(spark, sf):
+    """Documents replaced and removed in a second generation, then merged: all that the words find."""
+    path, docs, columns = scratch_path(spark, "index"), table(spark, sf, "documents"), ["doc_id", "lang"]
+    search_index.write(docs, path, ["text"], "doc_id", columns)
+    search_index.write(docs.filter(_CHANGED).withColumn("text", F.lit("Theme erased. the")), path, ["text"], "doc_id", columns, removed=docs.filter("doc_id % 7 = 2"))
+    search_index.merge(spark, path)
+    return search_index.found(spark, path, ["the", "er"], F.col("lang") == "en")
+
+
 @suite.add(r"""
     WITH r AS (SELECT p_partkey, p_name, p_partkey % 9 AS project FROM part)
     SELECT p_name, project, p_partkey FROM r WHERE regexp_matches(lower(p_name), '(^|\W)r') AND regexp_matches(lower(p_name), '(^|\W)w')
