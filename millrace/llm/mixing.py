@@ -28,6 +28,9 @@ SEED = 11
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Names of the mix's own columns. A document column of such a name gets underscores behind it until it is free.
+OWN = frozenset("shard slot epoch block from_word n_words words size source_size target taken _source_no _offset _size _words _cut no name n".split())
+
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -50,11 +53,11 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
 
 
 class Mix:
-    """What `plan` found out: `packed` (document columns, source_no, offset, size), and per source its name,
-    size, target, number of blocks and how many of them are dealt."""
+    """What `plan` found out: `packed` (document columns, source_no, offset, size), per source its name,
+    size, target, number of blocks and how many of them are dealt, and which columns were renamed."""
 
-    def __init__(self, packed: DataFrame, names: list, sizes: list[int], goal: list[float], seed: int):
-        self.packed, self.names, self.sizes, self.goal, self.seed = packed, names, sizes, goal, seed
+    def __init__(self, packed: DataFrame, names: list, sizes: list[int], goal: list[float], seed: int, renamed: dict[str, str]):
+        self.packed, self.names, self.sizes, self.goal, self.seed, self.renamed = packed, names, sizes, goal, seed, renamed
         self.blocks = [-(-s // BLOCK) for s in sizes]
         self.dealt = [round(t * b / s) if s else 0 for t, b, s in zip(goal, self.blocks, sizes)]
 
@@ -96,8 +99,20 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", order: str
     Sources by code point, null last, take `weights` in turn. Null and empty texts have no words; they stand in
     no block. Repeated rows are packed each; ties in `order` are broken by size and text, so reruns agree. A
     table of one row per source and chunk is all that the driver or one task sees at once of a hot source.
+    Kept columns named like one of the mix's own (`OWN`) get underscores behind their names.
     """
     kept = [c for c in (docs.columns if keep is None else keep)]
+    renamed, used = {}, {c.lower() for c in docs.columns} | OWN
+    for c in docs.columns:
+        if c.lower() in OWN:
+            new = f"{c}_"
+            while new.lower() in used:
+                new += "_"
+            used.add(new.lower())
+            renamed[c] = new
+    docs = docs.withColumnsRenamed(renamed)
+    kept = [renamed.get(c, c) for c in kept]
+    text, source, order = (renamed.get(c, c) for c in (text, source, order))
     names = {n: fresh(docs, n) for n in ("size", "chunk", "upto", "source_no", "offset", "before", "mark")}
     sized = docs.select(*dict.fromkeys([*kept, source, order]), n_words(F.col(text)).alias(names["size"]),
                         F.xxhash64(F.col(order), F.col(text)).alias(names["mark"]))
@@ -120,7 +135,7 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", order: str
     at = placed.withColumn(names["upto"], inside).join(totals, keys) \
         .withColumn(names["offset"], F.col(names["upto"]) + F.col(names["before"]))
     packed = at.select(*kept, F.col(names["source_no"]).alias("_source_no"), F.col(names["offset"]).alias("_offset"), size.alias("_size"))
-    return Mix(checkpointed(packed), [r["name"] for r in rows], sizes, goal, seed)
+    return Mix(checkpointed(packed), [r["name"] for r in rows], sizes, goal, seed, renamed)
 
 
 def slots(mix: Mix, spark, shard: int = SHARD) -> DataFrame:
@@ -174,12 +189,14 @@ def mixed(mix: Mix, text: str | None = None) -> DataFrame:
     An empty table gives no rows.
     """
     # Spark can't see how many slots a shard makes, so it would take them for a small table to broadcast.
-    return slots(mix, mix.packed.sparkSession).hint("shuffle_merge").join(pieces(mix.packed, text), ["_source_no", "block"])
+    found = pieces(mix.packed, mix.renamed.get(text, text))
+    return slots(mix, mix.packed.sparkSession).hint("shuffle_merge").join(found, ["_source_no", "block"])
 
 
 def taken(mix: Mix, columns: list[str]) -> DataFrame:
     """One row per document row: `columns`, size, source_size, target, taken (its words in the output, each
     time counted)."""
+    columns = [mix.renamed.get(c, c) for c in columns]
     keys = [*columns, "_source_no", "_offset", "_size"]
     every = mix.packed.select(*keys, F.lit(0).cast("long").alias("n"))
     drawn = mixed(mix).select(*keys, F.col("n_words").alias("n"))

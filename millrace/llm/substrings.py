@@ -222,11 +222,11 @@ def remove_repeats(docs: DataFrame, name: str, text: str = "text", id_col: str =
     comes last. Null texts and texts of fewer than `window` words lose nothing.
     """
     kept = docs.columns if keep is None else keep
-    mark, ranges, both = (fresh(docs, n) for n in ("mark", "ranges", "both"))
+    mark, ranges, both, of_id, of_mark = (fresh(docs, n) for n in ("mark", "ranges", "both", "of_id", "of_mark"))
     value = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(value).alias("mark"), value.alias("text"))
-    found = repeated(slim, window, gram, hot, shard).select(F.col("id").alias("_i"), F.col("mark").alias("_m"), F.col("ranges").alias(ranges))
+    found = repeated(slim, window, gram, hot, shard).select(F.col("id").alias(of_id), F.col("mark").alias(of_mark), F.col("ranges").alias(ranges))
     marked = docs.withColumn(mark, F.xxhash64(value))
-    joined = marked.join(found, marked[id_col].eqNullSafe(found["_i"]) & (marked[mark] == found["_m"]), "left")
+    joined = marked.join(found, marked[id_col].eqNullSafe(found[of_id]) & (marked[mark] == found[of_mark]), "left")
     pair = F.struct(value.alias("text"), F.col(ranges).alias("ranges"))
     return per_text(joined.select(*kept, pair.alias(both)), both, _Remove(), FIELDS, name, keep=kept)

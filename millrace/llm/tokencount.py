@@ -221,8 +221,9 @@ def count_tokens(docs: DataFrame, name: str, model_path: str, text: str = "text"
         return pa.table({"node": table.column("node").slice(0, 1), "n_tokens": pa.array([n], pa.int64())})
 
     totals = maps.groupBy("node").applyInArrow(scan, T.StructType([maps.schema["node"], T.StructField("n_tokens", T.LongType())]))
-    joined = whole.select(*kept, size, node).join(totals.withColumnsRenamed({"node": "_n", "n_tokens": "_t"}), F.col(node) == F.col("_n"))
-    return short.unionByName(joined.select(*kept, F.struct(F.col(size).alias("n_bytes"), F.col("_t").alias("n_tokens")).alias(name)))
+    of, found = fresh(whole, "of_node"), fresh(whole, "found_tokens")
+    joined = whole.select(*dict.fromkeys([*kept, size, node])).join(totals.withColumnsRenamed({"node": of, "n_tokens": found}), F.col(node) == F.col(of))
+    return short.unionByName(joined.select(*kept, F.struct(F.col(size).alias("n_bytes"), F.col(found).alias("n_tokens")).alias(name)))
 
 
 _MAP = [T.StructField("head", T.StringType()), T.StructField("n", T.LongType()), T.StructField("tail", T.StringType())]

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.errors import InvalidInput
-from millrace.llm import collocations, conversations, licenses
+from millrace.llm import collocations, conversations, licenses, mixing, quality, substrings, tokencount
 
 FOLD = {i: i + 32 for i in range(65, 91)}
 
@@ -197,3 +197,40 @@ def test_licenses_without_rows_or_words(spark, notices):
         licenses.scan(docs, "TEXT")
     with pytest.raises(InvalidInput):
         licenses.scan(docs, "found", phrases=[("x", "two words")])
+
+
+CLASHES = ["block", "_i", "_m", "_n", "_t", "_size", "_offset", "_source_no", "_cut", "_words", "n", "no", "name", "size", "words", "mark", "node", "shard", "taken", "Slot"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    r = random.Random(6)
+    prose = lambda n: " ".join(r.choice(["ab", "cd", "efg", "h", "ij"]) for _ in range(n))
+    shared = prose(60)
+    rows = [(i, [prose(70), shared + " " + prose(9), "", None, prose(3000) * 12][i % 5], "ab"[i % 2]) for i in range(12)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2).cache()
+    return plain, plain.select("*", *((F.col("doc_id") * (k + 3) % 4).alias(c) for k, c in enumerate(CLASHES)))
+
+
+def test_clashing_names_change_no_mix(clashing):
+    plain, wide = clashing
+    key = lambda df: sorted(map(tuple, df.collect()))
+    few, all_ = mixing.plan(plain, keep=["doc_id", "text"]), mixing.plan(wide)
+    assert key(mixing.taken(few, ["doc_id"])) == key(mixing.taken(all_, ["doc_id"]))
+    columns = ["shard", "slot", "epoch", "block", "doc_id", "from_word", "n_words", "words"]
+    whole = mixing.mixed(all_, "text")
+    assert key(mixing.mixed(few, "text").select(columns)) == key(whole.select(columns))
+    assert "block_" in whole.columns and whole.filter(F.col("block_") != F.col("doc_id") * 3 % 4).count() == 0
+
+
+def test_clashing_names_change_no_counts(clashing):
+    import public_tokenizers
+
+    plain, wide = clashing
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    key = lambda df, *c: sorted(map(tuple, df.select("doc_id", *c).collect()))
+    assert key(tokencount.count_tokens(plain, "k", path), "k.n_tokens") == key(tokencount.count_tokens(wide, "k", path), "k.n_tokens")
+    assert key(substrings.remove_repeats(plain, "k"), "k.n_removed", "k.kept") == key(substrings.remove_repeats(wide, "k"), "k.n_removed", "k.kept")
+    assert substrings.remove_repeats(wide, "k").columns == [*wide.columns, "k"]
+    with pytest.raises(InvalidInput):
+        quality.judge(wide.withColumn("lang", F.lit("en")), "NAME")
