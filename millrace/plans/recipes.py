@@ -6,6 +6,7 @@ import hashlib
 import json
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.errors import InvalidInput
@@ -27,9 +28,21 @@ def config_hash(config: dict[str, Any]) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+@F.pandas_udf("string")
+def _canonical(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+# A number with a fraction or an exponent, or one too long for 64 bits, perhaps inside a text.
+_SPELLED_OTHERWISE = r"[0-9](\.|[eE])|[0-9]{19}|NaN|Infinity|-0"
+
+
 def config_hashes(text: Column) -> Column:
-    """The same hash for a column of config texts: a parsed object keeps its keys sorted."""
-    return F.sha2(F.to_json(F.parse_json(text)), 256)
+    """The same hash for a column of config texts: a parsed object keeps its keys sorted. Numbers that Spark would write
+    another way than `config_hash` (1.0, 1e20) take their texts through the same writer."""
+    other = text.rlike(_SPELLED_OTHERWISE)
+    plain = F.to_json(F.parse_json(F.when(~other, text)))
+    return F.sha2(F.when(other, _canonical(F.when(other, text))).otherwise(plain), 256)
 
 
 def _pairs(on: list[Any]) -> list[tuple[str, str]]:
@@ -71,6 +84,8 @@ def preview(kind: str, config: dict[str, Any], inputs: list[DataFrame], limit: i
     """
     if kind == "python":
         raise InvalidInput("a code step has no preview")
-    rows = max(1, min(limit, PREVIEW_MAX))
+    if not 1 <= limit <= PREVIEW_MAX:
+        raise InvalidInput(f"the limit must be between 1 and {PREVIEW_MAX}")
+    rows = limit
     cut = [df.limit(rows) if i in external else df for i, df in enumerate(inputs)]
     return finite(run(kind, config, cut)[0].limit(rows))

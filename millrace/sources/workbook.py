@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.errors import InvalidInput
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 # Number formats that show a date or time, and the day number 0 stands for.
 _DATE_FORMATS = frozenset([*range(14, 23), *range(45, 48)])
 _EPOCH = dt.datetime(1899, 12, 30)
@@ -50,13 +52,25 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
     return {i for i, f in enumerate(formats) if f in _DATE_FORMATS or f in custom}
 
 
+def _first_sheet(book: zipfile.ZipFile) -> str:
+    """The file of the sheet that the workbook lists first, whatever its number; by number in a book without a list."""
+    names = book.namelist()
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(names):
+        files = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")) if r.get("Type", "").endswith("/worksheet")}
+        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+            target = files.get(sheet.get(f"{_LINK}id"))
+            if target:
+                return target[1:] if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+    sheets = [n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+    if not sheets:
+        raise InvalidInput("the workbook has no sheet")
+    return min(sheets, key=lambda n: int(re.search(r"\d+", n).group()))
+
+
 def _cells(content: bytes) -> Iterator[list]:
     """Rows of the first sheet as Python values."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        sheets = sorted(n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
-        if not sheets:
-            raise InvalidInput("the workbook has no sheet")
-        first = min(sheets, key=lambda n: int(re.search(r"\d+", n).group()))
+        first = _first_sheet(book)
         texts, dates = _texts(book), _date_styles(book)
         for row in ElementTree.fromstring(book.read(first)).iter(f"{_MAIN}row"):
             values: list = []

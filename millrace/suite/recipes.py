@@ -560,6 +560,43 @@ def recipe_config_hash(spark, sf):
     return table(spark, sf, "events").select("event_id", plans.config_hashes(F.col("props")).alias("hash"))
 
 
+@suite.add("""SELECT o_orderkey, sha256('{"big":1e+20,"name":"1.0e5","price":' || o_totalprice || ',"scale":1.0,"small":1e-07,"tiny":-0.0}') AS hash FROM orders""")
+def recipe_config_hash_floats(spark, sf):
+    """Configs with fractions and exponents hash as a single config does."""
+    text = F.concat(F.lit('{"scale": 1.0, "price": '), F.col("o_totalprice").cast("string"), F.lit(', "tiny": -0.0, "big": 1e20, "small": 0.0000001, "name": "1.0e5"}'))
+    return table(spark, sf, "orders").select("o_orderkey", plans.config_hashes(text).alias("hash"))
+
+
+@suite.add("SELECT o_orderkey, o_custkey FROM orders")
+def sample_random_without_fraction(spark, sf):
+    """Random without a fraction is the first n rows: all of them if there are no more."""
+    return combine.sample(table(spark, sf, "orders"), "random", n=10_000_000).select("o_orderkey", "o_custkey")
+
+
+@suite.add("""
+    WITH c AS (SELECT 'p' || o_custkey % 3 AS project, 'd' || o_custkey AS dataset, o_orderkey % 9 AS version, o_orderstatus FROM orders),
+    known AS (SELECT DISTINCT project, dataset, version FROM c WHERE o_orderstatus = 'F'), top AS (SELECT project, dataset, max(version) AS current FROM known GROUP BY ALL)
+    SELECT DISTINCT project, dataset, version, 's3a://b/projects/' || project || '/datasets/' || dataset || '/v' || version AS folder
+    FROM c ANTI JOIN known USING (project, dataset, version) LEFT JOIN top USING (project, dataset) WHERE version > coalesce(current, 0)""")
+def version_orphans(spark, sf):
+    """Folders above the current version that no catalog row knows."""
+    rows = table(spark, sf, "orders").select(F.concat(F.lit("p"), F.col("o_custkey") % 3).alias("project"), F.concat(F.lit("d"), F.col("o_custkey")).alias("dataset"),
+                                             (F.col("o_orderkey") % 9).alias("version"), "o_orderstatus")
+    path = F.concat_ws("/", F.lit("s3a://b/projects"), "project", F.lit("datasets"), "dataset", F.concat(F.lit("v"), "version"), F.lit("part-0.parquet"))
+    return versions.orphans(rows.select(path.alias("path")), rows.filter("o_orderstatus = 'F'")).select("project", "dataset", "version", "folder")
+
+
+@suite.add("""
+    SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS name, unnest(['bigint', 'string', 'string', 'string', 'bigint', 'double']) AS type,
+      least(count(*), 50) AS shown, 'csv' AS format FROM part""")
+def upload_inferred(spark, sf):
+    """Types from every row of an upload, and a preview of 50."""
+    upload = scratch_path(spark, "upload") + ".csv"
+    table(spark, sf, "part").write.option("header", True).csv(upload)
+    got = files.infer(spark, upload)
+    return spark.createDataFrame([(f.name, f.dataType.simpleString(), len(got.preview), got.format) for f in got.schema.fields], "name string, type string, shown bigint, format string")
+
+
 def _grade(pdf):
     return pdf.assign(grade=["high" if b > 5000 else "low" for b in pdf["c_acctbal"]])[["c_custkey", "grade"]]
 

@@ -153,6 +153,34 @@ def prompt_render(spark, sf):
     return turns.select("conv_id", "turn", F.md5(prompts.render(turns, plan)).alias("digest"))
 
 
+def _block_sql(label, value):
+    mark = f"substr(sha256('{label}' || chr(0) || {value}), 1, 8)"
+    return f"'{_NOTICE}' || chr(10) || '<untrusted label={label} id=' || {mark} || '>' || chr(10) || {value} || chr(10) || '</untrusted id=' || {mark} || '>'"
+
+
+_FIELDS = {"type": "object", "properties": {"name": {"type": "string"}, "age": {"type": "integer"}}, "required": ["name"]}
+_EXTRACT = prompts.SYSTEM["extract"].replace("'", "''") + "' || chr(10) || 'Schema: " + str(_FIELDS).replace("'", "''") + "."
+
+
+@suite.add(f"""SELECT conv_id, turn, md5('{_EXTRACT}' || chr(0) || 'Fields of ' || {_block_sql('text', 'text')}) AS digest, 'extracted' AS output, 512 AS max_tokens FROM conversations""")
+def prompt_extract(spark, sf):
+    """System and user text of an extraction: the schema stands in the system text."""
+    return _prompted(table(spark, sf, "conversations"), ["conv_id", "turn"], "extract", "Fields of {text}", schema=_FIELDS)
+
+
+@suite.add(f"""SELECT doc_id, md5('{prompts.SYSTEM["summarize"]} Use at most 3 sentences.' || chr(0) || {_block_sql('text', "coalesce(text, '')")} || chr(10) || {_block_sql('lang', "coalesce(lang, '')")}) AS digest,
+    'summary' AS output, 256 AS max_tokens FROM documents""")
+def prompt_summarize(spark, sf):
+    """System and user text of a summary, over whole documents."""
+    return _prompted(table(spark, sf, "documents"), ["doc_id"], "summarize", "{text}\n{lang}", max_sentences=3)
+
+
+def _prompted(df, keys, mode, template, **how):
+    plan = prompts.plan(df, mode, template, **how)
+    whole = F.concat(F.lit(plan.system), F.lit("\0"), prompts.render(df, plan))
+    return df.select(*keys, F.md5(whole).alias("digest"), F.lit(plan.output).alias("output"), F.lit(plan.max_tokens).alias("max_tokens"))
+
+
 @suite.add("""
     SELECT role, sum((length(text) + 3) // 4)::BIGINT AS tokens, count(*) AS n FROM conversations GROUP BY role""")
 def prompt_token_estimate(spark, sf):

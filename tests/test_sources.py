@@ -139,6 +139,31 @@ def test_workbook(spark, folder):
         ("1", "NL", "2024-01-15", "1.5", "True"), ("2", "BE", "2024-01-16", "2.0", "None")]
 
 
+def test_first_sheet_is_the_one_listed_first(spark, folder):
+    path, ns = f"{folder}/two.xlsx", 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as book:
+        for n in (1, 2):
+            book.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet {ns}><sheetData><row><c t="inlineStr"><is><t>from_{n}</t></is></c></row><row><c><v>{n}</v></c></row></sheetData></worksheet>')
+        book.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Chart" sheetId="9" r:id="rId9"/><sheet name="Moved" sheetId="2" r:id="rId7"/><sheet name="Old" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                      f'<Relationship Id="rId1" Type="{kind}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId9" Type="{kind}/chartsheet" Target="chartsheets/sheet1.xml"/>'
+                      f'<Relationship Id="rId7" Type="{kind}/worksheet" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+    assert files.read_file(spark, path).columns == ["from_2"]
+
+
+@pytest.mark.parametrize("config", ['{"a": 1.0}', '{"b": 1e20, "a": 1e-7}', '{"a": 123456789012345678901234567890}', '{"x": "1.5é", "y": [0.1, -0.0, 2]}', '{"b": 2, "a": {"d": null, "c": true}}', '{"a": 1E5, "t": "NaN"}', "[]"])
+def test_hashes_of_a_column_and_of_one_config_agree(spark, config):
+    row = spark.createDataFrame([(config,), (None,)], "c string").select(recipes.config_hashes(F.col("c")).alias("h")).collect()
+    assert [r.h for r in row] == [recipes.config_hash(json.loads(config)), None]
+
+
+@pytest.mark.parametrize("limit", [0, 1001, 5000])
+def test_preview_limits_raise(spark, limit):
+    with pytest.raises(InvalidInput):
+        recipes.preview("sample", {"method": "head"}, [spark.range(3)], limit)
+
+
 def test_jdbc_names():
     assert jdbc.quoted("public", 'a"b') == '"public"."a""b"'
     with pytest.raises(InvalidInput):
