@@ -7,7 +7,7 @@ import json
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.errors import InvalidInput
 from millrace.operators import checked_sql, code_step, combine, group, join, prepare
@@ -28,7 +28,6 @@ def config_hash(config: dict[str, Any]) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@F.pandas_udf("string")
 def _canonical(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
@@ -42,7 +41,8 @@ def config_hashes(text: Column) -> Column:
     another way than `config_hash` (1.0, 1e20) take their texts through the same writer."""
     other = text.rlike(_SPELLED_OTHERWISE)
     plain = F.to_json(F.parse_json(F.when(~other, text)))
-    return F.sha2(F.when(other, _canonical(F.when(other, text))).otherwise(plain), 256)
+    written = F.pandas_udf(_canonical, T.StringType())
+    return F.sha2(F.when(other, written(F.when(other, text))).otherwise(plain), 256)
 
 
 def _pairs(on: list[Any]) -> list[tuple[str, str]]:
