@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.errors import StepAborted
-from millrace.operators import answers, governance, pii, prompts, search, search_index
+from millrace.operators import answers, governance, pii, prompts, retrieval, search, search_index
 from millrace.operators.answers import AnswerFailed
 from millrace.session import scratch_path
 from millrace.suite import Suite, table
@@ -354,3 +354,52 @@ def search_upsert(spark, sf):
         F.col("l_linestatus").alias("kind"), F.nullif(F.col("l_suppkey") % 50, F.lit(0)).alias("project_id"), F.lit("1-URGENT").alias("name"),
         (-F.col("l_partkey")).alias("description"), (1000000000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("updated_at"))
     return search.upsert(refs, changes).select("kind", "project_id", "name", "updated_at")
+
+
+@suite.add("""
+    SELECT vec_id AS query, 10::BIGINT AS found, true AS recalled FROM embeddings WHERE vec_id % 100 = 0""")
+def vector_recall(spark, sf):
+    """Every hundredth vector asks all: of ten neighbours from the inverted file, nine or more are among the ten that comparing
+    all vectors gives."""
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.filter("vec_id % 100 = 0")
+    index = retrieval.build(vectors, "vec_id", "embedding", scratch_path(spark, "vectors"))
+    near = retrieval.search(asked, index, "vec_id", "embedding", k=10, probe=max(8, len(index.centers) // 2))
+    whole = retrieval.exact(asked, vectors, "vec_id", "embedding", "vec_id", "embedding", 10)
+    both = near.join(whole.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    return both.groupBy("query").agg(F.count("*").alias("found"), (F.count("hit") >= 9).alias("recalled"))
+
+
+_WORDS = r"list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_]+'))"
+_ALL_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_]+')"
+_BM25 = f"""
+    a AS (SELECT item_id AS query, unnest({_WORDS}) AS word FROM benchmark), d AS (SELECT doc_id AS id, {_ALL_WORDS} AS w FROM documents),
+    t AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d), c AS (SELECT id, length, word, count(*) AS tf FROM (SELECT id, len(w) AS length, unnest(w) AS word FROM d) WHERE word IN (SELECT word FROM a) GROUP BY ALL),
+    i AS (SELECT word, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM c, t GROUP BY word, docs),
+    s AS (SELECT query, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM a JOIN i USING (word) JOIN c USING (word), t GROUP BY query, id),
+    words AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s)"""
+
+
+def _by_words(spark, sf, k):
+    return retrieval.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", k)
+
+
+@suite.add(f"WITH {_BM25} SELECT query, id, round(score, 6) AS score, rank::INTEGER AS rank FROM words WHERE rank <= 5")
+def word_ranking(spark, sf):
+    """The five documents that share most with each benchmark text, whole texts on both sides."""
+    return _by_words(spark, sf, 5).withColumn("score", F.round("score", 6))
+
+
+@suite.add(f"""
+    WITH {_BM25}, n AS (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN benchmark ON vec_id = item_id, embeddings e),
+    near AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM n),
+    both_ AS (SELECT query, id, rank FROM words WHERE rank <= 20 UNION ALL SELECT query, id, rank FROM near WHERE rank <= 20),
+    f AS (SELECT query, id, sum(1 / (60 + rank)) AS score FROM both_ GROUP BY query, id)
+    SELECT query, id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10""")
+def hybrid_ranking(spark, sf):
+    """Words and vectors of equal numbers, fused: the vectors' side looks into every list."""
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.join(table(spark, sf, "benchmark").select("item_id"), F.col("vec_id") == F.col("item_id"))
+    index = retrieval.build(vectors, "vec_id", "embedding", scratch_path(spark, "vectors"))
+    near = retrieval.search(asked, index, "vec_id", "embedding", k=20, probe=len(index.centers), refine=100)
+    return retrieval.fused([_by_words(spark, sf, 20), near], 10).select("query", "id", "rank")
