@@ -71,7 +71,7 @@ def _counted(docs: DataFrame, text: str, shards: int, find, shard_of) -> DataFra
         keys, n, held = [], [], 0
         for batch in batches:
             for part in slices(batch, 0, SLICE):
-                k, c = np.unique(find(Words(*text_arrays(part.column(0)), NOT_SPACE)), return_counts=True)
+                k, c = np.unique(find(Words(*text_arrays(part.column(0)), NOT_SPACE, lower=True)), return_counts=True)
                 keys.append(k)
                 n.append(c.astype(np.int64))
                 held += len(k)
@@ -346,7 +346,7 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS,
     """
     spark: SparkSession = docs.sparkSession
     path = scratch_path(spark, "trie")
-    source = docs.select(_lower(text).alias("text"))
+    source = docs.select(F.col(text).alias("text"))
     about = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count("*").alias("n")).first()
     shards = max(1, ((about["b"] or 0) // 5 + about["n"]) // shard_tokens)
 
@@ -448,10 +448,6 @@ def _finish(spark: SparkSession, todo: list[tuple], grams: list[Grams]) -> None:
         ef.drop(f"{name}-counts-{s}")
 
 
-def _lower(text: str):
-    return F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
           T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
 
