@@ -30,7 +30,7 @@ HOT = 256
 # Tokens of text per shard; distinct entries are fewer.
 SHARD_TOKENS = 3_000_000
 # Bytes of text whose distinct words and n-grams are looked up together.
-SLICE = 3 << 20
+SLICE = 5 << 20
 # Log probabilities and weights are held in steps of RANGE / 65535.
 RANGE = 16.0
 
