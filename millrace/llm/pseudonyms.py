@@ -235,10 +235,15 @@ class Pseudonyms:
             return None
         if not _FIRST_DAY <= ordinal <= _LAST_DAY:
             return None
-        new = dt.date.fromordinal(_FIRST_DAY + self._number("date", ordinal - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1))
+        # Days over 12 are permuted among themselves: only they may stand behind the month, so what is written
+        # month first is read so again, and no other date is written like it.
+        late = day > 12
+        new = dt.date.fromordinal(_FIRST_DAY + self._number(
+            "date", ordinal - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, lambda x: (dt.date.fromordinal(_FIRST_DAY + x).day > 12) == late))
         month, day = (new.day, new.month) if swapped else (new.month, new.day)
         order = [new.year, month, day] if year_first else [day, month, new.year]
-        put = iter(_month_like(word, n) if p.isalpha() else f"{n:0{2 if len(p) < 4 else 4}d}" for p, n in zip(parts, order))
+        short = 1 if any(len(p) == 1 for p in parts) else 2  # 1/2/2000 is written without zeros
+        put = iter(_month_like(word, n) if p.isalpha() else f"{n:0{short if len(p) < 4 else 4}d}" for p, n in zip(parts, order))
         return re.sub(r"[0-9]+|[A-Za-z]+", lambda _: next(put), value)
 
 
@@ -271,7 +276,8 @@ class _Replace:
 def pseudonymise(docs: DataFrame, name: str, key: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`docs` with a struct column `name`: the new `text` (null for null), n_replaced, and a count per kind.
 
-    Row by row, so repeated rows get the same text. Values are linked across documents by the key alone; nothing
-    is gathered. Empty texts stay empty; other columns, whatever their names, are left alone.
+    Row by row, so repeated rows get the same text, and an empty table an empty one. Values are linked across
+    documents by the key alone; nothing is gathered. Empty texts stay empty; other columns, whatever their names,
+    are left alone.
     """
     return per_text(docs, text, _Replace(key), FIELDS, name, keep=keep)

@@ -1,9 +1,11 @@
 """Quality rules: base counts of a text, and the Jensen-Shannon distance of its histograms to its language.
 
 References are measured on all documents of a language: the histogram of character classes, and the shares of
-its common words (at least COMMON_SHARE of its words). A text is rejected where a histogram is further from
-the reference than a limit plus what a sample of its length strays by chance; texts under a minimum length
-aren't judged by that histogram.
+its common words (at least COMMON_SHARE of its words). A text is held to what its language's reference is without
+that text, and rejected where a histogram is further from it than a limit plus what a sample of its length strays
+by chance; texts under a minimum length aren't judged by that histogram. A language with too few texts, or too few
+words beside its longest text, is no reference: its texts are held to the nearest reference by characters alone,
+as the words of another language say nothing of them.
 """
 
 from __future__ import annotations
@@ -12,10 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from millrace.session import checkpointed
 from millrace.llm.words import ALNUM, NOT_SPACE, Words, byte_table, covered, fresh, mix, per_text, text_arrays
 
 COMMON_SHARE = 1 / 200
 MIN_CHARS, MIN_WORDS = 200, 50
+# What a language must hold to be a reference; words without those of its longest text.
+REFERENCE_TEXTS, REFERENCE_WORDS = 10, 1000
 # Distances run from 0 to 1.
 CHAR_LIMIT, WORD_LIMIT = 0.25, 0.35
 
@@ -115,9 +120,9 @@ def _language_counts(docs: DataFrame, text: str, lang: str, count, fields: str)
                 code = np.asarray(names.indices)
                 for i, name in enumerate(names.dictionary.to_pylist()):
                     keys, counts = count(name, *text_arrays(part.column(1).filter(pa.array(code == i))))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=["lang", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=["lang", "key", "n"])
 
-    return source.mapInArrow(run, fields).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return source.mapInArrow(run, fields).groupBy("lang", "key").agg(F.when(F.col("key") == "most", F.max("n")).otherwise(F.sum("n")).alias("n"))
 
 
 def _unique_words(data, offsets):
@@ -126,8 +131,9 @@ def _unique_words(data, offsets):
     return words, at, n
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, dict[str, int], int]]:
-    """Per language (null: ""): character class counts, exact counts of common words, and number of words.
+def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, dict[str, int], int, int, int]]:
+    """Per language (null: ""): character class counts, exact counts of common words, numbers of words, of texts
+    that have words, and of the longest text's words.
 
     A word with at least COMMON_SHARE of a language's words has at least half that share in enough slices that
     the counts of slices where it does add up to half its share. So at most 2 / COMMON_SHARE words a language
@@ -140,9 +146,9 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
         often = n >= least * len(words)
         keys = [f"w{words.bytes(i).decode('utf-8', 'replace')}" for i in at[often]]
         classes = char_histogram(data, offsets).sum(axis=0)
-        return [*keys, "n", *(f"c{i}" for i in range(len(classes)))], [*n[often].tolist(), len(words), *classes.tolist()]
+        return [*keys, "n", "t", "most", *(f"c{i}" for i in range(len(classes)))], [*n[often].tolist(), len(words), np.count_nonzero(words.count), words.count.max(initial=0), *classes.tolist()]
 
-    counted = _language_counts(docs, text, lang, first, "lang string, key string, n long")
+    counted = checkpointed(_language_counts(docs, text, lang, first, "lang string, key string, n long"))
     total = counted.filter("key = 'n'").select(F.col("lang").alias("of"), F.col("n").alias("total"))
     near = counted.join(total, counted.lang == total.of).filter((F.substring("key", 1, 1) != "w") | (F.col("n") >= least * F.col("total")))
     rows = near.select("lang", "key", "n").collect()
@@ -163,7 +169,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
         of = {r.key: r.n for r in rows if r.lang == name}
         classes = np.array([of.get(f"c{i}", 0) for i in range(len(CLASSES))], dtype=np.float64)
         common = {r.key: r.n for r in exact if r.lang == name and r.n >= COMMON_SHARE * of["n"]}
-        out[name] = (classes, dict(sorted(common.items())), of["n"])
+        out[name] = (classes, dict(sorted(common.items())), of["n"], of["t"], of["most"])
     return out
 
 
@@ -201,16 +207,21 @@ class _Judge:
         char_over, word_over = np.full(words.docs, np.inf), np.full(words.docs, np.inf)
         char_far, word_far = np.full(words.docs, np.nan), np.full(words.docs, np.nan)
         langs = column.field("lang").to_pylist()
-        own = np.array([self.names.index(x) if x in self.names else -1 for x in langs], dtype=np.int64)
+        place = {n: i for i, n in enumerate(self.names)}
+        named = np.array([bool(x) for x in langs], dtype=bool)
+        own = np.array([place.get(x or "", -1) for x in langs], dtype=np.int64)
         for i, _ in enumerate(self.names):
-            mine = np.flatnonzero((own == i) | (own == -1))  # a text without language is held to the nearest
+            mine = np.flatnonzero((own == i) | (own == -1))  # a text without a reference of its own is held to the nearest
+            inside = own[mine] == i
             mask = self.common[i]
             of = np.concatenate([counts[mine][:, :-1][:, mask], (n_words[mine] - counts[mine][:, :-1][:, mask].sum(axis=1))[:, None]], axis=1)
             reference = np.concatenate([self.words[i, :-1][mask], self.words[i, -1:]])
-            a, b = js_distance(chars[mine], self.chars[i]), js_distance(of, reference)
-            for far, over, d, limit, n, bins in ((char_far, char_over, a, CHAR_LIMIT, n_chars, len(CLASSES)), (word_far, word_over, b, WORD_LIMIT, n_words, len(reference))):
+            a = js_distance(chars[mine], self.chars[i] - inside[:, None] * chars[mine])
+            b = js_distance(of, reference - inside[:, None] * of)
+            for far, over, d, limit, n, bins, told in ((char_far, char_over, a, CHAR_LIMIT, n_chars, len(CLASSES), True),
+                                                       (word_far, word_over, b, WORD_LIMIT, n_words, len(reference), inside | ~named[mine])):
                 beyond = d**2 - limit**2 - 3 * strays(bins, n[mine])
-                nearer = beyond < over[mine]
+                nearer = (beyond < over[mine]) & told
                 far[mine[nearer]], over[mine[nearer]] = d[nearer], beyond[nearer]
         rejected = ((n_chars >= MIN_CHARS) & (char_over > 0) & np.isfinite(char_over)) | ((n_words >= MIN_WORDS) & (word_over > 0) & np.isfinite(word_over))
         distance = lambda far: pa.array(far, mask=np.isnan(far))
@@ -221,10 +232,12 @@ def judge(docs: DataFrame, name: str, text: str = "text", lang: str = "lang", ke
     """`docs` with a struct column `name`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, char_distance, word_distance (null without a reference), kept.
 
-    Null and empty texts have no words, so base_failed. A null language is held to the nearest reference. Base
-    counts compare texts with themselves only, so repeated rows change nothing but the references' counts.
+    Null and empty texts have no words, so base_failed. A null or empty language is held to the nearest reference.
+    Base counts compare texts with themselves only, so repeated rows change nothing but the references' counts: a
+    row is left out of its reference, its copies aren't. Without any reference the base alone decides; an empty
+    table gives an empty one.
     """
-    known = references(docs, text, lang)
+    known = {k: v for k, v in references(docs, text, lang).items() if v[2] - v[4] >= REFERENCE_WORDS and v[3] >= REFERENCE_TEXTS}
     own = {k: v for k, v in known.items() if k} or known
     kept = docs.columns if keep is None else keep
     both = fresh(docs, "judged")

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import differences, duck
+from millrace.llm.words import text_arrays
 from millrace.llm import decontaminate, eliasfano, languages, mixing, neardup, ngrams, permute, pseudonyms, quality, queries, revisits, substrings, tokencount
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,6 +99,29 @@ def test_quality_distance():
     assert same[0] < 1e-6 and abs(far[0] - 1) < 1e-9
 
 
+def test_quality_references(spark):
+    odd_text = lambda n: " ".join(f"{i}#{i * 7}$%" for i in range(n))
+    junk = odd_text(100)
+    plain = [(i, prose(150, 500 + i), "en") for i in range(12)]
+    rare = [(200 + i, prose(150, 700 + i), "fi") for i in range(quality.REFERENCE_TEXTS - 2)]
+    # Texts and words enough, but all from one text.
+    thin = [(300 + i, "a b c", "nl") for i in range(quality.REFERENCE_TEXTS)]
+    odd = [(100, junk, "xx"), (101, junk, None), (102, junk, "en"), (103, junk, ""), (104, junk, "fi"), (105, odd_text(700), "nl")]
+    table = spark.createDataFrame([*plain, *rare, *thin, *odd], "doc_id long, text string, lang string")
+    judged = {r.doc_id: r for r in quality.judge(table, "q", keep=["doc_id"]).select("doc_id", "q.*").collect()}
+    assert {i for i, r in judged.items() if r.kept} == {i for i, _, _ in plain + rare}
+    assert judged[100].word_distance is None and judged[200].word_distance is None and judged[0].word_distance is not None
+    for i in (100, 101, 102, 103, 104, 105):
+        assert judged[i].char_distance > 0.5 and not judged[i].base_failed
+    # A language is measured without the text that is held to it.
+    chars = lambda rows: quality.char_histogram(*(text_arrays(pa.array([t for _, t, _ in rows])))).astype(float)
+    rest = chars([*plain[1:], odd[2]]).sum(axis=0)
+    assert abs(judged[0].char_distance - quality.js_distance(chars(plain[:1]), rest)[0]) < 1e-12
+    # Without any reference the base decides.
+    few = spark.createDataFrame([(1, junk, "en"), (2, prose(60, 1), None)], "doc_id long, text string, lang string")
+    assert [(r.q.kept, r.q.char_distance) for r in quality.judge(few.filter("doc_id = 2"), "q").collect()] == [(True, None)]
+
+
 def test_mixing(docs, rows, none):
     mix = mixing.plan(docs, keep=["doc_id"])
     got = mixing.taken(mix, ["doc_id"]).collect()
@@ -148,6 +172,26 @@ def test_pseudonyms(spark, docs, rows):
     assert len(got) == len(rows) and all(r.q.text == r.text and r.q.n_replaced == 0 for r in got)
 
 
+def test_dates_of_two_centuries():
+    p = pseudonyms.Pseudonyms("k")
+    first, last = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+    written = {}
+    for n in range(first, last + 1):
+        d = dt.date.fromordinal(n)
+        day_first = p._date(d.strftime("%d/%m/%Y"))
+        new = dt.datetime.strptime(day_first, "%d/%m/%Y").date()
+        assert written.setdefault(day_first, d) == d
+        if d.day > 12:
+            month_first = p._date(d.strftime("%m/%d/%Y"))
+            assert month_first == new.strftime("%m/%d/%Y") and new.day > 12
+            assert written.setdefault(month_first, d) == d
+        if d.day == 1:
+            assert p._date(d.isoformat()) == new.isoformat()
+    assert len(written) > last - first + 1
+    short = p._date("1/2/2000")
+    assert re.fullmatch("([1-9][0-9]?/){2}[0-9]{4}", short) and [int(x) for x in short.split("/")] == [int(x) for x in p._date("01/02/2000").split("/")]
+
+
 def test_pseudonyms_beside_numbers():
     values = {"card": ["4539 1488 0343 6467", "4539-1488-0343-6467", "4539148803436467", "3782 822463 10005", "45 39 14 88 03 43 64 67"], "date": ["1990-02-28", "28/02/1990", "28 Feb 1990"],
               "iban": ["NL91 ABNA 0417 1643 00", "AT61 1904 3002 3457 3201", "AT611904300234573201"], "email": ["a.b@mail.example.org"],

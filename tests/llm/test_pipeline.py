@@ -93,12 +93,16 @@ def kind(c):
 
 
 def test_quality_stage(steps):
-    chars, words = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    chars, words, texts, longest = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter), collections.Counter(), collections.Counter()
     parts = lambda t: (collections.Counter(map(kind, t or "")), collections.Counter(ALNUM.findall((t or "").translate(LOWER))))
     for r in steps[0]:
         c, w = parts(r.text)
         chars[r.lang or ""].update(c)
         words[r.lang or ""].update(w)
+        texts[r.lang or ""] += bool(w)
+        longest[r.lang or ""] = max(longest[r.lang or ""], sum(w.values()))
+    usable = [x for x in chars if x and texts[x] >= quality.REFERENCE_TEXTS and sum(words[x].values()) - longest[x] >= quality.REFERENCE_WORDS]
+    assert sorted(usable) == ["en", "fr"]
 
     def good(r):
         w = WORD.findall(r.text or "")
@@ -110,13 +114,14 @@ def test_quality_stage(steps):
             return False
         c, mine = parts(r.text)
         over_c, over_w = [], []
-        for lang in [r.lang] if r.lang else [x for x in chars if x]:
+        for lang in [r.lang] if r.lang else usable:
             total = sum(words[lang].values())
+            other = lambda x, own: x - own if r.lang else x  # Counter subtraction: the language without the text
             common = {x: n for x, n in words[lang].items() if n >= quality.COMMON_SHARE * total}
             fold = lambda x: collections.Counter({**{k: x[k] for k in common}, None: sum(x.values()) - sum(x[k] for k in common)})
             noise = lambda bins, n: 3 * (bins - 1) / (8 * math.log(2) * max(n, 1))
-            over_c.append(distance(c, chars[lang]) ** 2 - quality.CHAR_LIMIT**2 - noise(8, sum(c.values())))
-            over_w.append(distance(fold(mine), fold(words[lang])) ** 2 - quality.WORD_LIMIT**2 - noise(len(common) + 1, sum(mine.values())))
+            over_c.append(distance(c, other(chars[lang], c)) ** 2 - quality.CHAR_LIMIT**2 - noise(8, sum(c.values())))
+            over_w.append(distance(fold(mine), fold(other(words[lang], mine))) ** 2 - quality.WORD_LIMIT**2 - noise(len(common) + 1, sum(mine.values())))
         return not (sum(c.values()) >= quality.MIN_CHARS and min(over_c) > 0 or sum(mine.values()) >= quality.MIN_WORDS and min(over_w) > 0)
 
     same(steps[1], [r for r in steps[0] if good(r)])
