@@ -142,9 +142,15 @@ def infer(spark: SparkSession, path: str, preview_rows: int = PREVIEW_ROWS) -> I
 
 def write_counted(df: DataFrame, path: str, **options: str) -> int:
     """Overwrite `path` with parquet; the row count comes from the same job."""
+    return write_measured(df, path, [], **options)[0]
+
+
+def write_measured(df: DataFrame, path: str, measures: list[Column], **options: str) -> tuple[int, list[Any]]:
+    """`write_counted`, and the values of further aggregates over the written rows, from the same job too."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").options(**options).parquet(path)
-    return int(seen.get["rows"])
+    named = [m.alias(f"m{i}") for i, m in enumerate(measures)]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *named).write.mode("overwrite").options(**options).parquet(path)
+    return int(seen.get["rows"]), [seen.get[f"m{i}"] for i in range(len(measures))]
 
 
 def convert(spark: SparkSession, path: str, target: str) -> tuple[T.StructType, int]:

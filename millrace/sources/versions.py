@@ -16,10 +16,11 @@ from typing import Any
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.errors import InvalidInput
+from millrace.errors import ChecksFailed, InvalidInput
+from millrace.operators.checks import FAIL, Check, judge, measures
 from millrace.operators.labels import LADDERS, column_labels
 from millrace.operators.profile import profile
-from millrace.sources.files import write_counted
+from millrace.sources.files import write_measured
 
 SCHEMA = (
     "project string, dataset string, version bigint, location string, format string, schema string, "
@@ -67,12 +68,16 @@ def read_version(spark: SparkSession, root: str, project: str, dataset: str, ver
 
 def write_version(df: DataFrame, root: str, project: str, dataset: str, recipe_hash: str | None = None,
                   input_versions: dict[str, int] | None = None, config: dict[str, Any] | None = None,
-                  with_profile: bool = True, labels: dict[str, str | None] | None = None) -> int:
+                  with_profile: bool = True, labels: dict[str, str | None] | None = None,
+                  checks: list[Check] | None = None) -> int:
     """Write the next version, check and profile it, then commit it. Returns the version.
 
     One build at a time writes a version: it holds a claim, and another one fails. The folder is
     overwritten, so a retry replaces what a dead attempt left. The written files, not the input, are what
     is counted and profiled. `labels` are the dataset's, by ladder.
+
+    `checks` are measured in the write itself. One that fails ends the build with ChecksFailed, and neither
+    folder nor catalog row is left; results of the others stand in the version's profile.
     """
     spark = df.sparkSession
     version = current_version(spark, root, project, dataset) + 1
@@ -80,7 +85,7 @@ def write_version(df: DataFrame, root: str, project: str, dataset: str, recipe_h
     with _claimed(spark, path):
         if current_version(spark, root, project, dataset) >= version:
             raise InvalidInput(f"{path} was committed by another build meanwhile")
-        return _commit(df, root, project, dataset, version, path, recipe_hash, input_versions, config, with_profile, labels or {})
+        return _commit(df, root, project, dataset, version, path, recipe_hash, input_versions, config, with_profile, labels or {}, checks or [])
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -107,9 +112,14 @@ def _claimed(spark: SparkSession, path: str) -> Iterator[None]:
         fs.delete(at, False)
 
 
-def _commit(df, root, project, dataset, version, path, recipe_hash, input_versions, config, with_profile, own) -> int:
+def _commit(df, root, project, dataset, version, path, recipe_hash, input_versions, config, with_profile, own, checks) -> int:
     spark = df.sparkSession
-    rows = write_counted(df, path)
+    rows, values = write_measured(df, path, measures(df, checks))
+    results = judge(checks, values)
+    if any(r["status"] == FAIL for r in results):
+        at, fs = _file_system(spark, path)
+        fs.delete(at, True)
+        raise ChecksFailed(results)
     written = spark.read.parquet(path)
     if written.count() != rows:
         raise InvalidInput(f"{path} does not hold the {rows} rows that were written")
@@ -118,7 +128,7 @@ def _commit(df, root, project, dataset, version, path, recipe_hash, input_versio
     schema = [{"name": f.name, "type": f.dataType.simpleString(), "nullable": True,
                "classification": labels[f.name]} for f in written.schema.fields]
     row = (project, dataset, version, path, "parquet", json.dumps(schema), rows, "exact",
-           json.dumps({"row_count": rows, "columns": shown}), recipe_hash, input_versions or {},
+           json.dumps({"row_count": rows, "columns": shown, **({"checks": results} if checks else {})}), recipe_hash, input_versions or {},
            json.dumps(config or {}, ensure_ascii=False, default=str), dt.datetime.now(dt.timezone.utc),
            *(own.get(ladder) or steps[0] for ladder, steps in LADDERS.items()))
     spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(_catalog_path(root))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import expressions as e
-from millrace.operators import code_step, combine, ordered
+from millrace.errors import ChecksFailed
+from millrace.operators import code_step, combine, metrics, ordered
+from millrace.operators.checks import Check
 from millrace.operators.group import group
 from millrace.operators.join import join
 from millrace.operators.labels import label_columns
@@ -606,3 +608,82 @@ def python_step(spark, sf):
     """User code over a table in batches, with a declared schema and the label gate."""
     grade = lambda customers: code_step.map_batches(customers, _grade, "c_custkey bigint, grade string")
     return code_step.code_step({"customers": table(spark, sf, "customer")}, grade, {"customers": ("persoonsgegevens", "bbn1")})
+
+
+_LINKS = [metrics.Link("line order", "lineitem", "orders", (("l_orderkey", "o_orderkey"),)),
+          metrics.Link("line part", "lineitem", "part", (("l_partkey", "p_partkey"),)),
+          metrics.Link("line supplier", "lineitem", "supplier", (("l_suppkey", "s_suppkey"),)),
+          metrics.Link("order customer", "orders", "customer", (("o_custkey", "c_custkey"),)),
+          metrics.Link("customer nation", "customer", "nation", (("c_nationkey", "n_nationkey"),)),
+          metrics.Link("supplier nation", "supplier", "nation", (("s_nationkey", "n_nationkey"),)),
+          metrics.Link("nation region", "nation", "region", (("n_regionkey", "r_regionkey"),))]
+_REVENUE = metrics.Metric("lineitem", "sum", "CAST(l_extendedprice AS DECIMAL(12,2))")
+
+
+def _entities(spark, sf):
+    return {n: table(spark, sf, n) for n in {x for link in _LINKS for x in (link.many, link.one)}}
+
+
+@suite.add("""
+    WITH place AS (SELECT c_custkey, c_mktsegment AS segment, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey),
+    c AS (SELECT region, segment, count(*) AS customers FROM place GROUP BY ALL),
+    o AS (SELECT region, segment, count(*) AS orders, count(DISTINCT o_custkey) AS buyers, max(o_totalprice) AS largest FROM orders LEFT JOIN place ON o_custkey = c_custkey GROUP BY ALL),
+    l AS (SELECT region, segment, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS revenue FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN place ON o_custkey = c_custkey GROUP BY ALL),
+    keys AS (SELECT region, segment FROM c UNION SELECT region, segment FROM o UNION SELECT region, segment FROM l)
+    SELECT k.region, k.segment, revenue, coalesce(orders, 0) AS orders, coalesce(buyers, 0) AS buyers, largest, coalesce(customers, 0) AS customers FROM keys k
+    LEFT JOIN c ON c.region IS NOT DISTINCT FROM k.region AND c.segment IS NOT DISTINCT FROM k.segment
+    LEFT JOIN o ON o.region IS NOT DISTINCT FROM k.region AND o.segment IS NOT DISTINCT FROM k.segment
+    LEFT JOIN l ON l.region IS NOT DISTINCT FROM k.region AND l.segment IS NOT DISTINCT FROM k.segment""")
+def metrics_of_three_entities(spark, sf):
+    """Lines, orders and customers by place: aggregated apart, so that none multiplies another."""
+    got = metrics.measure(
+        _entities(spark, sf), _LINKS,
+        {"revenue": _REVENUE, "orders": metrics.Metric("orders", "count"), "buyers": metrics.Metric("orders", "count_distinct", "o_custkey"),
+         "largest": metrics.Metric("orders", "max", "o_totalprice"), "customers": metrics.Metric("customer", "count")},
+        {"region": "region.r_name", "segment": "customer.c_mktsegment"}, without=["supplier nation"])
+    return got.withColumn("revenue", F.col("revenue").cast("double"))
+
+
+@suite.add("""
+    SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, p_brand AS brand, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS revenue,
+           count(*) AS lines, max(l_quantity) AS most, min(l_discount) AS least
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    LEFT JOIN part ON l_partkey = p_partkey WHERE r_name = 'EUROPE' AND l_returnflag <> 'R' GROUP BY ALL""")
+def metrics_by_month(spark, sf):
+    """Filters two and four links away, a grain and a dimension; lines are aggregated by order and part before they are joined."""
+    got = metrics.measure(
+        _entities(spark, sf), _LINKS,
+        {"revenue": _REVENUE, "lines": metrics.Metric("lineitem", "count"), "most": metrics.Metric("lineitem", "max", "l_quantity"), "least": metrics.Metric("lineitem", "min", "l_discount")},
+        {"brand": "part.p_brand"}, {"month": ("orders.o_orderdate", "month")}, [("region", "r_name = 'EUROPE'"), ("lineitem", "l_returnflag <> 'R'")],
+        without=["supplier nation"], aggregate_first=True)
+    return got.withColumn("revenue", F.col("revenue").cast("double")).withColumn("month", F.col("month").cast("date"))
+
+
+@suite.add("""
+    SELECT 'lines of a part' AS link, count(*) AS keys FROM (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'order customer', count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)""")
+def metrics_repeated_keys(spark, sf):
+    """A link the wrong way round is found by the keys that its one side repeats."""
+    wrong = metrics.Link("lines of a part", "part", "lineitem", (("p_partkey", "l_partkey"),))
+    return metrics.repeated_keys(_entities(spark, sf), [wrong, _LINKS[3]])
+
+
+@suite.add("""
+    SELECT unnest(['rows', 'no customer', 'paid', 'price', 'open']) AS name,
+      unnest([CAST(count(*) AS DOUBLE), count(*) FILTER (o_custkey IS NULL) / count(*), count(*) FILTER (o_totalprice > 0) / count(*), max(o_totalprice), count(*) FILTER (o_orderstatus = 'O') / count(*)]) AS value,
+      unnest(['pass', 'pass', 'pass', CASE WHEN max(o_totalprice) > 1000 THEN 'warn' ELSE 'pass' END, 'fail']) AS status, 1::BIGINT AS versions, 0::BIGINT AS orphans FROM orders""")
+def version_checks(spark, sf):
+    """Checks measured in the write: a build whose check fails leaves neither version nor folder."""
+    root, orders = scratch_path(spark, "store"), table(spark, sf, "orders")
+    kept = [Check("rows", "rows", fail=(1, None)), Check("no customer", "null_share", "o_custkey", fail=(0, 0)),
+            Check("paid", "matching_share", "o_totalprice > 0", warn=(0.9, 1)), Check("price", "max", "o_totalprice", warn=(None, 1000))]
+    versions.write_version(orders, root, "p", "orders", checks=kept, with_profile=False)
+    try:
+        versions.write_version(orders, root, "p", "orders", checks=[*kept, Check("open", "matching_share", "o_orderstatus = 'O'", fail=(2, None))])
+        results = []
+    except ChecksFailed as error:
+        results = error.results
+    left = versions.versions(spark, root).count()
+    orphans = versions.orphans(versions.list_files(spark, f"{root}/projects"), versions.versions(spark, root)).count()
+    shown = spark.createDataFrame([(r["name"], r["value"], r["status"], orphans) for r in results], "name string, value double, status string, orphans bigint")
+    return shown.withColumn("versions", F.lit(left).cast("bigint"))
