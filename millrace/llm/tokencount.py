@@ -7,26 +7,34 @@ come can begin before the longest suffix s of x that begins some token. So what
 for each place in s, the last token and the number of tokens up to there, relative to x: finitely many states.
 Reading a character moves to the next state and emits the change in the number of tokens.
 
-A blank after a non-blank, and a character outside the vocabulary, lead to a fixed state from every state.
-So a piece of a text maps states to states in a short form: what stands before its first such place, the
-count between, and what stands after the last. These maps compose; long texts are cut into pieces, which are
-read in parallel and scanned together in order.
+Long texts are cut into pieces. A piece maps the state at its start to the state at its end and a count; the map is
+tabulated at the states that are reached. All pieces are read in parallel from the state that the characters
+before them lead to: nearly always the right one, for a blank after a non-blank or a character outside the vocabulary leads
+to one state from all states, and tokens soon forget where they began. Then each piece is read again, in parallel, from every
+state that its predecessor ends in and its table lacks, until none is missing. So nothing is guessed in the result. The tables are
+composed by a parallel scan: neighbours first, then neighbours of those.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.errors import InvalidInput
 from millrace.llm.neardup import node_of
 from millrace.llm.words import fresh, per_text
+from millrace.session import stored
 
 BLANK = "▁"
 # Characters of a piece of a long text.
 PIECE = 32_768
+# Pieces that are cut out of one stretch of a long text, and neighbours that are composed at once.
+STRETCH, FAN = 32, 64
+# Characters before a piece that its first reading begins with.
+WARM = 128
 # What a task remembers; beyond, it forgets and goes on, with the same results.
 WORDS_KEPT, STATES_KEPT = 300_000, 300_000
 
@@ -114,6 +122,27 @@ class Transducer:
         self.moves[state][c] = made
         return made
 
+    def read(self, entry: str, text: str) -> tuple[str, int]:
+        """The state that `text` leads to from the state `entry`, and the tokens emitted. States are named by their content,
+        which is the same in all tasks."""
+        if len(self.states) > STATES_KEPT:
+            self._reset()
+        state, n, moves = self._numbered(entry), 0, self.moves
+        for c in text:
+            move = moves[state].get(c) or self._extend(state, c)
+            state = move[0]
+            n += move[1]
+        return json.dumps(self.states[state], ensure_ascii=False), n
+
+    def _numbered(self, entry: str) -> int:
+        s, last, upto = json.loads(entry)
+        known = (s, tuple(last), tuple(upto))
+        if known not in self.number:
+            self.number[known] = len(self.states)
+            self.states.append(known)
+            self.moves.append({})
+        return self.number[known]
+
     def count(self, segment: str) -> int:
         """Tokens of a text in which no blank follows a non-blank."""
         if len(self.states) > STATES_KEPT:
@@ -126,6 +155,10 @@ class Transducer:
         return n
 
 
+# The state before any text.
+START = json.dumps(["", [None], [0]])
+
+
 class Counter(dict):
     """Counts of blank-led words, remembered while there is room."""
 
@@ -149,26 +182,17 @@ class Counter(dict):
     def text(self, text: str) -> int:
         return self.inside(BLANK + text.replace(" ", BLANK)) if text else 0
 
-    def state_map(self, piece: str) -> tuple[str, int, str | None]:
-        """(what stands before the first border, tokens between, what stands from the last border on)."""
+    def read(self, entry: str, piece: str) -> tuple[str, int]:
+        """Transducer.read, by whole words between the first border of the piece and the last."""
         first = _BORDER.search(piece)
         if not first:
-            return piece, 0, None
-        last = max(m.start() for m in _BORDER.finditer(piece))
-        return piece[: first.start()], self.inside(piece[first.start() : last]) if last > first.start() else 0, piece[last:]
-
-    def compose(self, a: tuple[str, int, str | None], b: tuple[str, int, str | None]) -> tuple[str, int, str | None]:
-        if a[2] is None:
-            return self._rejoin(a[0], b)
-        head, n, tail = self._rejoin(a[2], b)
-        # What was open at the end of a may now hold a border of its own, between its last character and b.
-        return (a[0], a[1], head) if tail is None else (a[0], a[1] + self.inside(head) + n, tail)
-
-    def _rejoin(self, left: str, b: tuple[str, int, str | None]) -> tuple[str, int, str | None]:
-        head, n, tail = b
-        if left and head.startswith(BLANK) and not left.endswith(BLANK):
-            return (left, self.inside(head) + n, tail) if tail is not None else (left, 0, head)
-        return left + head, n, tail
+            return self.transducer.read(entry, piece)
+        last = piece.rindex(BLANK)
+        while last > first.start() and piece[last - 1] == BLANK:
+            last = piece.rindex(BLANK, 0, last)
+        n = self.transducer.read(entry, piece[: first.start()])[1] + self.inside(piece[first.start() : last])
+        end, more = self.transducer.read(START, piece[last:])
+        return end, n + more
 
 
 def _counter(held) -> Counter:
@@ -206,30 +230,78 @@ def count_tokens(docs: DataFrame, name: str, model_path: str, text: str = "text"
 
     node = fresh(source, "node")
     whole = source.filter(long_).withColumn(node, node_of(F.col(text)))
-    blanked = F.concat(F.lit(BLANK), F.translate(value, " ", BLANK))
-    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / piece).cast("int")),
-                      lambda i: F.struct(i.alias("no"), F.substr(blanked, i * piece + 1, F.lit(piece)).alias("piece")))
-    pieces = whole.select(F.col(node).alias("node"), cut.alias("cut")).select("node", F.explode("cut").alias("cut")).select("node", "cut.*")
-    maps = per_text(pieces.dropDuplicates(["node", "no"]), "piece", _Maps(held), _MAP, "map", keep=["node", "no"]).select("node", "no", "map.*")
-
-    def scan(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["no", "head", "n", "tail"]).to_pylist(), key=lambda r: r["no"])
-        counter, total = _counter(held), ("", 0, None)
-        for r in rows:
-            total = counter.compose(total, (r["head"], r["n"], r["tail"]))
-        n = counter.inside(total[0]) + total[1] + (counter.inside(total[2]) if total[2] is not None else 0)
-        return pa.table({"node": table.column("node").slice(0, 1), "n_tokens": pa.array([n], pa.int64())})
-
-    totals = maps.groupBy("node").applyInArrow(scan, T.StructType([maps.schema["node"], T.StructField("n_tokens", T.LongType())]))
+    totals = _long_counts(whole.select(F.col(node).alias("node"), F.concat(F.lit(BLANK), F.translate(value, " ", BLANK)).alias("text")), held, piece)
     of, found = fresh(whole, "of_node"), fresh(whole, "found_tokens")
     joined = whole.select(*dict.fromkeys([*kept, size, node])).join(totals.withColumnsRenamed({"node": of, "n_tokens": found}), F.col(node) == F.col(of))
     return short.unionByName(joined.select(*kept, F.struct(F.col(size).alias("n_bytes"), F.col(found).alias("n_tokens")).alias(name)))
 
 
-_MAP = [T.StructField("head", T.StringType()), T.StructField("n", T.LongType()), T.StructField("tail", T.StringType())]
-
-
-class _Maps(_Count):
-    def __call__(self, column):
-        maps = [_counter(self.scores).state_map(x) for x in column.to_pylist()]
-        return [pa.array([m[0] for m in maps], pa.string()), pa.array([m[1] for m in maps], pa.int64()), pa.array([m[2] for m in maps], pa.string())]
+def _cut(texts: DataFrame, piece: int) -> DataFrame:
+    """node, no, piece, lead (the characters before it, none for piece 0) of the distinct texts, in two steps, as a place in a
+    text is found by walking to it."""
+    warm = min(WARM, piece)
+
+    def parts(of: str, size: int, skip: Column) -> Column:
+        # `of` begins with `skip` characters that belong to the part before.
+        last = F.greatest(F.ceil((F.length(of) - skip) / size).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+            i.alias("i"), F.substr(F.col(of), F.greatest(skip + i * size + 1 - warm, F.lit(1)), size + F.least(skip + i * size, F.lit(warm))).alias("part")))
+
+    stretches = texts.select("node", F.explode(parts("text", piece * STRETCH, F.lit(0))).alias("s")).select("node", F.col("s.i").alias("s"), F.col("s.part").alias("part"))
+    skip = F.when(F.col("s") > 0, warm).otherwise(0)
+    pieces = stretches.select("node", "s", skip.alias("skip"), F.explode(parts("part", piece, skip)).alias("p"))
+    lead = F.least(F.col("skip") + F.col("p.i") * piece, F.lit(warm))
+    return pieces.select("node", (F.col("s").cast("long") * STRETCH + F.col("p.i")).alias("no"), F.substr("p.part", lead + 1).alias("piece"),
+                         F.substr("p.part", F.lit(1), lead).alias("lead")).dropDuplicates(["node", "no"])
+
+
+def _long_counts(texts: DataFrame, held, piece: int) -> DataFrame:
+    """node, n_tokens of the distinct texts, whose blanks are BLANK already."""
+    pieces, at = _cut(texts, piece), ["node", "no"]
+
+    def table_of(entries: DataFrame, column: str) -> DataFrame:
+        """A row of the pieces' tables for each row: read from `entry`, or from where `lead` takes the start."""
+        source = entries.select(*at, F.struct(column, F.col("piece").alias("text")).alias("reading"))
+        return per_text(source, "reading", _Read(held, column), _MAP, "map", keep=at).select(*at, "map.*")
+
+    tables, _ = stored(table_of(pieces, "lead"))
+    while True:
+        reached = tables.select("node", (F.col("no") + 1).alias("no"), F.col("exit").alias("entry")).distinct()
+        missing, n = stored(reached.join(tables.select(*at).distinct(), at, "left_semi").join(tables, [*at, "entry"], "left_anti"))
+        if not n:
+            break
+        tables, _ = stored(tables.unionByName(table_of(pieces.join(missing, at), "entry")))
+
+    def compose(table: pa.Table) -> pa.Table:
+        steps: dict[int, dict[str, tuple[str, int]]] = {}
+        for r in table.to_pylist():
+            steps.setdefault(r["no"], {})[r["entry"]] = r["exit"], r["n"]
+        first, *others = (steps[k] for k in sorted(steps))
+        made = []
+        for entry, (end, n) in first.items():
+            for step in others:
+                end, more = step[end]
+                n += more
+            made.append({"node": table["node"][0].as_py(), "no": min(steps) // FAN, "entry": entry, "exit": end, "n": n})
+        return pa.Table.from_pylist(made, schema=pa.schema([("node", pa.binary()), ("no", pa.int64()), ("entry", pa.string()), ("exit", pa.string()), ("n", pa.int64())]))
+
+    last = tables.agg(F.max("no")).first()[0] or 0
+    while last:
+        tables, last = tables.groupBy("node", F.floor(F.col("no") / FAN)).applyInArrow(compose, tables.schema), last // FAN
+    return tables.filter(F.col("entry") == START).select("node", F.col("n").alias("n_tokens"))
+
+
+_MAP = [T.StructField("entry", T.StringType()), T.StructField("exit", T.StringType()), T.StructField("n", T.LongType())]
+
+
+class _Read:
+    def __init__(self, scores, column: str):
+        self.scores, self.column = scores, column
+
+    def __call__(self, readings):
+        counter, entries, ends = _counter(self.scores), [], []
+        for r in readings.to_pylist():
+            entry = r["entry"] if self.column == "entry" else counter.read(START, r["lead"])[0]
+            entries.append(entry)
+            ends.append(counter.read(entry, r["text"]))
+        return [pa.array(entries, pa.string()), pa.array([e for e, _ in ends], pa.string()), pa.array([n for _, n in ends], pa.int64())]

@@ -234,3 +234,20 @@ def test_clashing_names_change_no_counts(clashing):
     assert substrings.remove_repeats(wide, "k").columns == [*wide.columns, "k"]
     with pytest.raises(InvalidInput):
         quality.judge(wide.withColumn("lang", F.lit("en")), "NAME")
+
+
+def test_long_texts_without_blanks(spark):
+    """Pieces of any size give the library's counts, where tokens never meet a blank and where they never forget their beginning."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(8)
+    made = ["a" * 5000, "ab" * 2500, "=" * 4001, " " * 3000, "\n" * 999, "".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(6000)),
+            "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(3000)), "the" * 700 + " " + "the" * 700, "_-" * 800 + "字" + "er" * 900, "x " * 2000, "h" * 64]
+    docs = spark.createDataFrame([(t,) for t in [*made, made[0]]], "text string")
+    for piece in (1, 37, 1000):
+        few = docs if piece > 1 else docs.filter("length(text) < 100")
+        got = tokencount.count_tokens(few, "c", path, piece=piece).collect()
+        assert len(got) == few.count() and all(g.c.n_tokens == len(library.encode(g.text)) for g in got), piece
