@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import expressions as e
 from millrace.errors import ChecksFailed
-from millrace.operators import code_step, combine, metrics, ordered
+from millrace.operators import code_step, combine, drift, metrics, ordered, sketches
 from millrace.operators.checks import Check
 from millrace.operators.group import group
 from millrace.operators.join import join
@@ -465,6 +465,70 @@ def profile_distinct_close(spark, sf):
     return both.agg(F.count_if(F.abs(F.col("distinct_approx") - F.col("exact")) <= 0.15 * F.col("exact")).alias("columns_close"))
 
 
+_MEASURES = ["l_quantity", "l_extendedprice", "l_discount"]
+_BEFORE = "l_shipdate < TIMESTAMP '1995-06-17'"
+_DISTANCES = f"""
+    WITH v AS (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount']) AS name,
+        unnest([l_quantity::DOUBLE, l_extendedprice::DOUBLE, l_discount::DOUBLE]) AS value, coalesce({_BEFORE}, false) AS base FROM lineitem),
+    c AS (SELECT name, value, count(*) FILTER (WHERE base) AS b, count(*) FILTER (WHERE NOT base) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL),
+    u AS (SELECT name, sum(b) OVER w AS b, sum(n) OVER w AS n, sum(b) OVER (PARTITION BY name) AS bs, sum(n) OVER (PARTITION BY name) AS ns
+      FROM c WINDOW w AS (PARTITION BY name ORDER BY value))
+    SELECT name, bs::BIGINT AS n_base, ns::BIGINT AS n_now, round(max(abs(b / bs - n / ns)), 9) AS ks FROM u GROUP BY ALL"""
+
+
+def _lines_by_half(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    before = F.coalesce(F.expr(_BEFORE), F.lit(False))
+    return lines.filter(before), lines.filter(~before)
+
+
+@suite.add(_DISTANCES)
+def drift_distances(spark, sf):
+    """Kolmogorov-Smirnov distances between the lines of two halves of the years."""
+    return drift.distances(*_lines_by_half(spark, sf), _MEASURES).withColumn("ks", F.round("ks", 9))
+
+
+@suite.add(f"""
+    WITH v AS (SELECT unnest(['o_orderstatus', 'o_orderpriority']) AS name, unnest([o_orderstatus, o_orderpriority]) AS value, o_custkey % 3 = 0 AS base FROM orders),
+    c AS (SELECT name, value, count(*) FILTER (WHERE base) AS b, count(*) FILTER (WHERE NOT base) AS n FROM v GROUP BY ALL),
+    s AS (SELECT name, sum(b) OVER (PARTITION BY name) AS bs, sum(n) OVER (PARTITION BY name) AS ns, greatest(b / bs, {drift.FLOOR}) AS p, greatest(n / ns, {drift.FLOOR}) AS q FROM c)
+    SELECT name, bs::BIGINT AS n_base, ns::BIGINT AS n_now, round(sum((q - p) * ln(q / p)), 9) AS psi FROM s GROUP BY ALL""")
+def drift_stability(spark, sf):
+    """Population stability of two columns between the orders of a third of the customers and of the others."""
+    orders = table(spark, sf, "orders")
+    return drift.stability(orders.filter("o_custkey % 3 = 0"), orders.filter("o_custkey % 3 <> 0"), ["o_orderstatus", "o_orderpriority"]).withColumn("psi", F.round("psi", 9))
+
+
+@suite.add(f"""WITH d AS ({_DISTANCES}) SELECT name, true AS close FROM d""")
+def drift_sketched_close(spark, sf):
+    """Whether the distances read from sketches lie within their bound of the exact ones."""
+    halves = _lines_by_half(spark, sf)
+    read = drift.sketched(*(sketches.sketch(h.select(*_MEASURES)) for h in halves)).select("name", F.col("ks").alias("read"))
+    gap = F.abs(F.col("read") - F.col("ks"))
+    return drift.distances(*halves, _MEASURES).join(read, "name").select("name", (gap <= 2 * sketches.RANK_ERROR + 2 / drift.GRID).alias("close"))
+
+
+@suite.add("""
+    WITH v AS (SELECT unnest(['l_orderkey', 'l_quantity', 'l_extendedprice']) AS name, unnest([l_orderkey::DOUBLE, l_quantity::DOUBLE, l_extendedprice::DOUBLE]) AS value FROM lineitem)
+    SELECT name, count(*) AS row_count, count(*) - count(value) AS null_count, min(value) AS low, max(value) AS high, round(avg(value), 4) AS mean,
+      true AS distinct_close, true AS median_close FROM v GROUP BY name""")
+def profile_of_versions(spark, sf):
+    """Lines that arrive in four appended versions: sketches kept, merged and shown, beside the exact numbers of all rows."""
+    lines, path = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice"), scratch_path(spark, "sketches")
+    for version in range(4):
+        sketches.sketch(lines.filter(F.col("l_orderkey") % 4 == version)).write.mode("append").parquet(path)
+    got = sketches.shown(sketches.merged(spark.read.parquet(path)), (0.5,))
+    middle = got.select("name", F.col("quantiles")[0].alias("middle"))
+    at = {r.name: r.middle for r in middle.collect()}  # a row per column
+    exact = lines.agg(*(F.struct(F.count_distinct(c).alias("distinct"), F.avg((F.col(c) < at[c]).cast("int")).alias("below"), F.avg((F.col(c) <= at[c]).cast("int")).alias("upto")).alias(c)
+                        for c in lines.columns)).select(F.inline(F.array(*(F.struct(F.lit(c).alias("of"), f"{c}.*") for c in lines.columns))))
+    error = sketches.RANK_ERROR
+    return got.join(exact, got["name"] == exact["of"]).select(
+        "name", "row_count", "null_count", "low", "high", F.round("mean", 4).alias("mean"),
+        (F.abs(F.col("distinct_approx") - F.col("distinct")) <= 0.08 * F.col("distinct")).alias("distinct_close"),
+        ((F.col("below") <= 0.5 + error) & (F.col("upto") >= 0.5 - error)).alias("median_close"))
+
+
 @suite.add("""SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def csv_round_trip(spark, sf):
     """Write a table as CSV, read it back with inferred types: whole numbers are bigint."""
