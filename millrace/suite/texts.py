@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.errors import StepAborted
-from millrace.operators import answers, governance, pii, prompts, retrieval, search, search_index
+from millrace.operators import answers, governance, pii, prompts, retrieval, search, search_index, terms
 from millrace.operators.answers import AnswerFailed
 from millrace.session import scratch_path
 from millrace.suite import Suite, table
@@ -356,6 +356,23 @@ def search_upsert(spark, sf):
     return search.upsert(refs, changes).select("kind", "project_id", "name", "updated_at")
 
 
+@suite.add("""
+    WITH v AS (SELECT attribute, value, count(*) AS rows FROM (SELECT unnest(['p_name', 'p_brand', 'p_type']) AS attribute, unnest([p_name, p_brand, p_type]) AS value FROM part)
+      WHERE value IS NOT NULL GROUP BY ALL),
+    t AS (SELECT DISTINCT substr(p_name, 1, (p_partkey % length(p_name))::INT) || substr(p_name, (p_partkey % length(p_name))::INT + 2) AS term FROM part
+      UNION SELECT substr(p_type, 1, (p_partkey % length(p_type))::INT) || 'x' || substr(p_type, (p_partkey % length(p_type))::INT + 2) FROM part UNION SELECT upper(p_brand) FROM part),
+    d AS (SELECT term, attribute, value, levenshtein(trim(lower(term)), trim(lower(value))) AS edits, rows FROM t, v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY edits, rows DESC, attribute, value) AS place FROM d WHERE edits <= 2)
+    SELECT term, place::INT AS place, attribute, value, edits::INT AS edits, rows FROM r WHERE place <= 5""")
+def terms_resolved(spark, sf):
+    """Names without a letter, types with a wrong one and brands in capitals, each resolved to its five nearest values."""
+    parts = table(spark, sf, "part")
+    without = "substr(p_name, 1, cast(p_partkey % length(p_name) as int)) || substr(p_name, cast(p_partkey % length(p_name) as int) + 2)"
+    wrong = "substr(p_type, 1, cast(p_partkey % length(p_type) as int)) || 'x' || substr(p_type, cast(p_partkey % length(p_type) as int) + 2)"
+    asked = parts.select(F.explode(F.array(F.expr(without), F.expr(wrong), F.upper("p_brand"))).alias("term"))
+    return terms.resolve(asked, "term", terms.index(parts, ["p_name", "p_brand", "p_type"]))
+
+
 @suite.add("""
     SELECT count(*) AS queries, 10 * count(*) AS found, true AS recalled FROM embeddings WHERE vec_id % 100 = 0""")
 def vector_recall(spark, sf):
