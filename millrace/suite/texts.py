@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.errors import StepAborted
-from millrace.operators import answers, governance, pii, prompts, retrieval, search, search_index, terms
+from millrace.operators import answers, chunks, governance, pii, prompts, retrieval, search, search_index, terms
 from millrace.operators.answers import AnswerFailed
 from millrace.session import scratch_path
 from millrace.suite import Suite, table
@@ -373,6 +373,30 @@ def terms_resolved(spark, sf):
     return terms.resolve(asked, "term", terms.index(parts, ["p_name", "p_brand", "p_type"]))
 
 
+@suite.add(rf"""
+    WITH l AS (SELECT page_id, regexp_extract_all(html, '{chunks.UNIT}') AS units FROM pages),
+    e AS (SELECT page_id, unnest(units) AS unit, generate_subscripts(units, 1) AS i FROM l),
+    s AS (SELECT *, sum(length(unit)) OVER w - length(unit) AS place, sum(regexp_matches(unit, '{chunks.OPENING}')::INT) OVER w AS section FROM e WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+    u AS (SELECT *, row_number() OVER (PARTITION BY page_id, section ORDER BY i) - 1 AS n, count(*) OVER (PARTITION BY page_id, section) AS size FROM s),
+    c AS (SELECT *, CASE WHEN n < 40 THEN 0 ELSE 1 + (n - 40) // 32 END AS part FROM u),
+    b AS (SELECT page_id, section, part, i, unit, place, true AS own FROM c
+      UNION ALL SELECT page_id, section, part + 1, i, unit, place, false FROM c WHERE n >= 40 + part * 32 - 8 AND size > 40 + part * 32),
+    g AS (SELECT page_id, section, part, min(place) FILTER (WHERE own) AS start, min(place) AS whole_start, count(*) AS units, string_agg(unit, '' ORDER BY i) AS text FROM b GROUP BY ALL)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY section, part) - 1)::INT AS no, start::BIGINT AS start, (start - whole_start)::BIGINT AS lead, units::INT AS units, md5(text) AS digest FROM g""")
+def page_chunks(spark, sf):
+    """Whole pages in chunks of 40 words and tags, 8 of them repeated, none over a heading."""
+    cut = chunks.chunks(table(spark, sf, "pages"), "html", ["page_id"], budget=40, overlap=8)
+    return cut.select("page_id", "chunk.no", "chunk.start", "chunk.lead", "chunk.units", F.md5("chunk.text").alias("digest"))
+
+
+@suite.add(r"""SELECT doc_id, md5(text) AS digest FROM documents WHERE length(text) > 0""")
+def chunks_rebuilt(spark, sf):
+    """Documents put together again from their chunks."""
+    cut = chunks.chunks(table(spark, sf, "documents"), "text", ["doc_id"])
+    own = F.struct("chunk.no", F.substr("chunk.text", F.col("chunk.lead").cast("int") + 1).alias("own"))
+    return cut.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda c: c["own"]), "")).alias("digest"))
+
+
 @suite.add("""
     SELECT count(*) AS queries, 10 * count(*) AS found, true AS recalled FROM embeddings WHERE vec_id % 100 = 0""")
 def vector_recall(spark, sf):
