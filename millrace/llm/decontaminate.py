@@ -17,8 +17,9 @@ from millrace.errors import InvalidInput
 from millrace.llm.words import ALNUM, Words, fresh, mix, per_text, text_arrays
 
 WINDOW = 13
-# Benchmark text that one search carries to the executors; more text is searched in several rounds.
-ROUND_BYTES = 32 << 20
+# Benchmark text that one search carries to the executors; more text is searched in several rounds. The tables
+# are arrays, some 35 times the text in memory.
+ROUND_BYTES = 8 << 20
 # Window starts that one cursor walks.
 LANE = 512
 
@@ -27,26 +28,25 @@ FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("at", T.ArrayTyp
 
 
 class Search:
-    """Shift and bucket tables for patterns of one length. `rows`: a row of word hashes per distinct pattern."""
-
-    def __init__(self, rows: np.ndarray):
-        self.size = rows.shape[1]
-        self.block = min(2, self.size)
-        bits = max(12, int(np.ceil(np.log2(16 * max(1, rows.size)))))
+    """Shift and bucket tables for patterns of one length: the runs of `size` words of `source` that begin at `at`, all different."""
+
+    def __init__(self, source: Words, at: np.ndarray, size: int):
+        self.size, self.hash = size, source.hash
+        self.block = min(2, size)
+        most = size - self.block + 1
+        blocks = mix(self.hash[: len(self.hash) - self.block + 1] * np.uint64(3) + self.hash[self.block - 1 :])
+        # Neighbouring patterns share their blocks, so there are about as many blocks as patterns.
+        bits = max(12, int(np.ceil(np.log2(16 * max(1, len(at))))))
         self.mask = np.uint64((1 << bits) - 1)
-        most = self.size - self.block + 1
-        self.shift = np.full(1 << bits, most, dtype=np.int32)
+        self.shift = np.full(1 << bits, most, dtype=np.int16 if most < 1 << 15 else np.int64)
         for place in range(most):
-            np.minimum.at(self.shift, self._blocks(rows, place) & self.mask, most - 1 - place)
-        ends = self._blocks(rows, most - 1)
-        order = np.argsort(ends, kind="stable")
-        self.order, self.rows = order, rows[order]
-        self.suffix, self.low = np.unique(ends[order], return_index=True)
-        self.high = np.append(self.low[1:], len(order))
-
-    def _blocks(self, rows: np.ndarray, place: int) -> np.ndarray:
-        first, last = rows[..., place], rows[..., place + self.block - 1]
-        return mix(first * np.uint64(3) + last)
+            # Later places shift less, so the last write to a slot is the least.
+            self.shift[blocks[at + place] & self.mask] = most - 1 - place
+        ends = blocks[at + most - 1]
+        self.order = np.argsort(ends, kind="stable")
+        self.at = at[self.order]
+        self.suffix, self.low = np.unique(ends[self.order], return_index=True)
+        self.high = np.append(self.low[1:], len(at))
 
     def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(first word, pattern) of every occurrence."""
@@ -78,7 +78,7 @@ class Search:
         place = np.repeat(at, width)
         pattern = np.repeat(self.low[bucket] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
         for k in range(n - 1, -1, -1):
-            same = self.rows[pattern, k] == h[place + k]
+            same = self.hash[self.at[pattern] + k] == h[place + k]
             place, pattern = place[same], pattern[same]
         return place, self.order[pattern]
 
@@ -87,33 +87,41 @@ class Patterns:
     """Windows of `window` words of every item; an item of fewer words, but not none, is one window."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        found: dict[bytes, set[str]] = {}
-        hashes: dict[bytes, np.ndarray] = {}
-        for item, text in items:
-            words = Words(*text_arrays(pa.array([text])), ALNUM, lower=True)
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                run = words.run(i, size)
-                found.setdefault(run, set()).add(item)
-                hashes.setdefault(run, words.hash[i : i + size])
+        self.names = sorted({item for item, _ in items})
+        number = {name: i for i, name in enumerate(self.names)}
+        self.words = source = Words(*text_arrays(pa.array([text for _, text in items], pa.string())), ALNUM, lower=True)
+        item_of = np.array([number[item] for item, _ in items], dtype=np.int64)
+        sizes = np.minimum(source.count, window)
         self.by_size = []
-        for size in sorted({len(h) for h in hashes.values()}):
-            runs = [r for r, h in hashes.items() if len(h) == size]
-            self.by_size.append((Search(np.stack([hashes[r] for r in runs])), runs, [sorted(found[r]) for r in runs]))
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            at, key = source.windows(size)
+            mine = sizes[source.doc[at]] == size
+            at, key = at[mine], key[mine]
+            # Equal runs become one pattern. Runs that only share a hash stay patterns of their own.
+            _, first, pattern = np.unique(key, return_index=True, return_inverse=True)
+            other = np.zeros(len(at), dtype=bool)
+            for k in range(size):
+                other |= source.hash[at + k] != source.hash[at[first][pattern] + k]
+            alone = np.flatnonzero(other)
+            pattern[alone] = len(first) + np.arange(len(alone))
+            of = np.unique(np.stack([pattern, item_of[source.doc[at]]]), axis=1)
+            heads = at[np.concatenate([first, alone])]
+            # The items of pattern i are those from bounds[i] to bounds[i + 1].
+            self.by_size.append((Search(source, heads, size), heads, np.searchsorted(of[0], np.arange(len(heads) + 1)), of[1]))
 
     def __call__(self, column):
         words = Words(*text_arrays(column), ALNUM, lower=True)
-        hits: list[dict[tuple[int, int], set[str]]] = [{} for _ in range(words.docs)]
-        for search, runs, items in self.by_size:
+        hits: list[dict[tuple[int, int], set[int]]] = [{} for _ in range(words.docs)]
+        for search, heads, bounds, items in self.by_size:
             for at, pattern in zip(*(x.tolist() for x in search.find(words))):
-                if words.run(at, search.size) == runs[pattern]:
+                if words.run(at, search.size) == self.words.run(heads[pattern], search.size):
                     doc = int(words.doc[at])
-                    hits[doc].setdefault((at - int(words.first[doc]), search.size), set()).update(items[pattern])
+                    hits[doc].setdefault((at - int(words.first[doc]), search.size), set()).update(items[bounds[pattern] : bounds[pattern + 1]].tolist())
         kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
         merged = [_merge(sorted(h)) for h in hits]
         return [pa.array(words.count, pa.int64()), pa.array([[a for a, _ in m] for m in merged], kinds[0]),
                 pa.array([[b - a for a, b in m] for m in merged], kinds[1]),
-                pa.array([sorted(set().union(*h.values())) for h in hits], kinds[2])]
+                pa.array([[self.names[i] for i in sorted(set().union(*h.values()))] for h in hits], kinds[2])]
 
 
 def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
