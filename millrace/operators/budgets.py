@@ -16,7 +16,7 @@ from millrace.errors import InvalidInput
 from millrace.operators.ledger import with_cost
 from millrace.operators.ordered import CHUNK, HOT_ROWS, by_order, chunked, running, split_hot
 from millrace.operators.prompts import estimate_tokens
-from millrace.session import stored, unused
+from millrace.session import checkpointed, stored, unused
 
 # Scopes, periods, and how long a hold may stay open.
 SCOPES = ("project", "user", "connection", "agent")
@@ -221,10 +221,14 @@ def _pairs(calls: DataFrame, budgets: DataFrame, key: str, order: list[str], cos
     met = calls.select(F.col(key).alias("call"), held.alias("at"), "ts", _held(cost).alias("cost"), F.inline(F.array(*scopes))).filter("scope_id IS NOT NULL")
     limits = budgets.select("scope_type", F.col("scope_id").cast("string").alias("scope_id"), "period", F.col("limit_cost_micros").cast("bigint").alias("limit_cost"),
                             F.col("limit_calls").cast("bigint").alias("limit_calls"), (F.col("action") == "block").alias("blocks"))
-    start = F.when(F.col("period") == "day", window_start("day", F.col("ts"))).otherwise(window_start("month", F.col("ts")))
+    # What a scope's blocking days let through bounds what its month can hold.
+    daily = lambda c: F.when(F.col("period") != "day", F.min(F.when((F.col("period") == "day") & F.col("blocks"), F.col(c))).over(W.partitionBy("scope_type", "scope_id")))
+    limits = limits.withColumns({"day_cost": daily("limit_cost"), "day_calls": daily("limit_calls")})
+    day = window_start("day", F.col("ts"))
+    start = F.when(F.col("period") == "day", day).otherwise(window_start("month", F.col("ts")))
     joined = met.join(limits, ["scope_type", "scope_id"])
     return joined.select("call", *(F.col(f"at.o{i}").alias(f"o{i}") for i in range(len(order))), "cost", "place", "scope_type", "scope_id", "period",
-                         start.alias("window"), "limit_cost", "limit_calls", "blocks")
+                         start.alias("window"), "limit_cost", "limit_calls", "blocks", day.alias("day"), "day_cost", "day_calls")
 
 
 _WINDOW = ["scope_type", "scope_id", "period", "window", "limit_cost", "limit_calls"]
@@ -235,16 +239,44 @@ def _over(spent: Column, count: Column) -> Column:
     return F.coalesce(spent + F.col("cost") > F.col("limit_cost"), F.lit(False)) | F.coalesce(count + 1 > F.col("limit_calls"), F.lit(False))
 
 
-def _before(pairs: DataFrame, order: list[str], totals: dict[str, Column], rows: int, hot_rows: int) -> DataFrame:
-    """Sums over the calls of the same window that come before. No window has more than `rows` calls."""
+def _before(pairs: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column], rows: int, hot_rows: int, previous: dict[str, str] | None = None) -> DataFrame:
+    """Sums over the calls with the same `keys` that come before, and columns of the last of them. No window has more than `rows` calls."""
     place = [*order, "call"]
     if rows <= hot_rows:
-        before = W.partitionBy(*_WINDOW).orderBy(*place).rowsBetween(W.unboundedPreceding, -1)
-        return pairs.withColumns({n: F.coalesce(F.sum(v).over(before), F.lit(0)) for n, v in totals.items()})
-    summed = by_order(pairs, _WINDOW, place, totals, hot_rows=hot_rows)
+        at = W.partitionBy(*keys).orderBy(*place)
+        before = at.rowsBetween(W.unboundedPreceding, -1)
+        return pairs.withColumns({**{n: F.coalesce(F.sum(v).over(before), F.lit(0)) for n, v in totals.items()}, **{n: F.lag(c).over(at) for n, c in (previous or {}).items()}})
+    summed = by_order(pairs, keys, place, totals, previous, hot_rows=hot_rows)
     return summed.withColumns({n: F.col(n) - F.coalesce(v, F.lit(0)) for n, v in totals.items()})
 
 
+def _room(limit: str, held: str) -> Column:
+    """What a day still lets through; NULL without a limit."""
+    left = F.col(limit) - F.coalesce(F.col(held), F.lit(0))
+    return F.when(left < 0, 0).otherwise(left)
+
+
+def _bounds(pending: DataFrame, places: list[str], rows: int, hot_rows: int) -> DataFrame:
+    """Per undecided call and window: `_least` and `_first`, held before it for sure, and `_up` and `_upn`, at most held.
+
+    In a month every day counts with its undecided calls or with what the scope's day still lets through, if that is less:
+    a call adds to its month by how much it moves that minimum. `day_spent` and `day_count` are the same for sure within the day.
+    """
+    value = lambda c: F.when(F.col("sure"), c).otherwise(0)
+    cost, one = F.col("cost"), F.lit(1)
+    if rows <= hot_rows:
+        pending = pending.repartition(*_WINDOW)  # both windows are happy with this one
+    daily = _before(pending, [*_WINDOW, "day"], places, {"_d": cost, "_dn": one, "_ds": value(cost), "_dsn": value(one)}, rows, hot_rows, {"_was": "day_spent", "_wasn": "day_count"})
+    adds = lambda upto, own, cap, now, was: F.least(upto + own, _room(cap, now)) - F.least(upto, _room(cap, was))
+    daily = daily.withColumns({"_add": adds(F.col("_d"), cost, "day_cost", "day_spent", "_was"), "_addn": adds(F.col("_dn"), one, "day_calls", "day_count", "_wasn")})
+    if rows > hot_rows:
+        daily = checkpointed(daily)
+    summed = _before(daily, _WINDOW, places, {"_in": value(cost), "_n": value(one), "_most": F.col("_add"), "_calls": F.col("_addn")}, rows, hot_rows)
+    return summed.filter(~F.col("sure")).withColumns({
+        "_least": F.col("spent") + F.col("_in"), "_first": F.col("count") + F.col("_n"), "_up": F.col("spent") + F.col("_most"), "_upn": F.col("count") + F.col("_calls"),
+        "day_spent": F.col("day_spent") + F.col("_ds"), "day_count": F.col("day_count") + F.col("_dsn")})
+
+
 def replay_together(calls: DataFrame, budgets: DataFrame, key: str = "id", order: tuple[str, ...] = ("ts",), cost: str = "cost_micros",
                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """Which calls are admitted where one call meets several budgets: day and month, of several scopes.
@@ -257,24 +289,23 @@ def replay_together(calls: DataFrame, budgets: DataFrame, key: str = "id", order
 
     Verdicts of different windows hang on each other through the calls they share. They are settled in passes over all
     windows at once. What is held before a call lies between the sum of the calls admitted for sure and that sum with all
-    undecided calls. A call over a limit with the lower sum is refused, one within all its limits with the upper sum
-    admitted; the others wait. Each pass decides at least the first undecided call of every window whose other
+    undecided calls, of each day no more than the scope's daily budget lets through. A call over a limit with the lower sum is
+    refused, one within all its limits with the upper sum admitted; the others wait. So the days of a month settle side by side
+    until its own limit is near, whatever their number of calls. Each pass decides at least the first undecided call of every window whose other
     calls aren't held up elsewhere, usually long runs of calls up to where a window fills. Decided calls leave the table,
     so it shrinks from pass to pass. Running sums take windows of any size (`ordered`), so a hot scope is many tasks' work;
     the budgets of one call, at most two for each kind of scope, meet in a row.
     """
     places = [f"o{i}" for i in range(len(order))]
     pairs, met = stored(_pairs(calls, budgets, key, list(order), cost))
+    most = pairs.groupBy(*_WINDOW).count().agg(F.max("count")).first()[0] or 0
     zero = F.lit(0).cast("bigint")
-    pending = pairs.filter("blocks").drop("blocks", "place").withColumns({"sure": F.lit(False), "spent": zero, "count": zero})
+    pending = pairs.filter("blocks").drop("blocks", "place").withColumns({"sure": F.lit(False), "spent": zero, "count": zero, "day_spent": zero, "day_count": zero})
     decided: list[DataFrame] = []
     left = met > 0
     while left:
-        value = lambda c: F.when(F.col("sure"), c).otherwise(0)
-        summed = _before(pending, places, {"_in": value(F.col("cost")), "_n": value(F.lit(1)), "_most": F.col("cost"), "_calls": F.lit(1)}, met, hot_rows)
-        open_ = summed.filter(~F.col("sure")).withColumns({
-            "_least": F.col("spent") + F.col("_in"), "_first": F.col("count") + F.col("_n"), "_up": F.col("spent") + F.col("_most"), "_upn": F.col("count") + F.col("_calls")})
-        rows = open_.select("call", *places, "cost", *_WINDOW, F.col("_least").alias("spent"), F.col("_first").alias("count"),
+        open_ = _bounds(pending, places, most, hot_rows)
+        rows = open_.select("call", *places, "cost", *_WINDOW, "day", "day_cost", "day_calls", F.col("_least").alias("spent"), F.col("_first").alias("count"), "day_spent", "day_count",
                             _over(F.col("_least"), F.col("_first")).alias("_no"), _over(F.col("_up"), F.col("_upn")).alias("_maybe"))
         window = [c for c in rows.columns if c not in ("call", *places, "cost", "_no", "_maybe")]
         one = rows.groupBy("call", *places, "cost").agg(F.bool_or("_no").alias("_no"), F.bool_or("_maybe").alias("_maybe"), F.collect_list(F.struct(*window)).alias("_met"))
@@ -291,7 +322,7 @@ def replay_together(calls: DataFrame, budgets: DataFrame, key: str = "id", order
         # With every verdict known, what was held before each call is one running sum.
         known = pairs.join(verdicts, "call", "left").withColumn("admitted", F.coalesce("admitted", F.lit(True)))
         held = lambda c: F.when(F.col("admitted"), c).otherwise(0)
-        final = _before(known, places, {"_in": held(F.col("cost")), "_n": held(F.lit(1))}, met, hot_rows)
+        final = _before(known, _WINDOW, places, {"_in": held(F.col("cost")), "_n": held(F.lit(1))}, most, hot_rows)
         passed = final.withColumn("_over", _over(F.col("_in"), F.col("_n"))).groupBy("call").agg(
             F.first("admitted").alias(names[1]), F.min(F.when(F.col("_over") & F.col("blocks"), F.struct("place", "scope_id", "period", said.alias("said")))).getField("said").alias(names[2]),
             F.sort_array(F.collect_set(F.when(F.col("_over") & ~F.col("blocks") & F.col("admitted"), said))).alias(names[3])).withColumnRenamed("call", names[0])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.errors import InvalidInput
 from millrace.operators import audit, budgets, ledger, retention
+from millrace.session import stored
 from millrace.streaming import events as log
 
 
@@ -245,3 +246,17 @@ def test_replay_together_like_one_by_one(spark, seed, hot):
 def test_replay_together_needs_a_scope(spark):
     with pytest.raises(InvalidInput):
         budgets.replay_together(spark.range(1), spark.createDataFrame([], "scope_type string, scope_id string, period string, limit_cost_micros long, limit_calls long, action string"))
+
+
+def test_days_of_a_month_settle_side_by_side(spark, monkeypatch):
+    """The days let through fewer calls than the month, so no day waits for the ones before it."""
+    calls = [(d * 20 + n, dt.datetime(2024, 1, 1 + d, n), 1, 10) for d in range(28) for n in range(20)]
+    df = spark.createDataFrame(calls, "id long, ts timestamp_ntz, project_id long, cost_micros long")
+    limits = spark.createDataFrame([("project", "1", "day", 1000, 2, "block"), ("project", "1", "month", 590, 58, "block")],
+                                   "scope_type string, scope_id string, period string, limit_cost_micros long, limit_calls long, action string")
+    written = []
+    monkeypatch.setattr(budgets, "stored", lambda df: written.append(1) or stored(df))
+    rows = budgets.replay_together(df, limits).collect()
+    assert {r.id for r in rows if r.admitted} == {d * 20 + n for d in range(28) for n in range(2)} and len(rows) == len(calls)
+    assert {r.refused_by for r in rows if not r.admitted} == {"project:1:day"}
+    assert len(written) <= 5
