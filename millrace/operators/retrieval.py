@@ -16,15 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from millrace.errors import InvalidInput
-from millrace.session import checkpointed, partitions_for
+from millrace.session import checkpointed, partitions_for, stored as written
 
 SAMPLE, ROUNDS, PART = 20_000, 12, 4096
 MAX_LISTS = 4096
 K1, B = 1.2, 0.75
 FUSION = 60
+# Queries, and words of them, that meet a part of the documents at once.
+QUERIES, ASKED_WORDS = 512, 1 << 14
 MAX_QUERIES = 10_000
 
 
@@ -192,23 +195,65 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text: str, query_id:
     """query, id, score, rank: the `k` documents that answer each query text best, by the words they share.
 
     Words are runs of letters, marks, digits and underscores, in lower case; a word that a query repeats counts once. The
-    documents' words are counted before they meet the queries' words, which are joined as Spark sizes them, and a common
-    word is split over tasks where it makes a partition too large. Scores are rounded to nine digits, so that copies tie
-    and ids decide. Documents that share no word with a query aren't ranked for it.
+    documents' words are counted before they meet the queries' words. Then parts of about PART documents meet blocks of queries, so
+    a document's score for a query is a sum within one task, however common its words are, and only what may be among the
+    first `k` of a part goes on. Scores are rounded to nine digits, so that copies tie and ids decide. Documents that share
+    no word with a query aren't ranked for it.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}\p{M}_]+"), F.lit(0))
+    lower, pattern = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}\p{M}_]+")
+    words = lambda c: F.regexp_extract_all(lower(c), pattern, F.lit(0))
     asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(words(query_text))).alias("word"))
     held = docs.select(F.col(id_col).alias("id"), words(text).alias("w"))
-    totals = held.agg(F.count("*").alias("docs"), F.avg(F.size("w")).alias("mean")).first()
+    totals = docs.agg(F.count("*").alias("docs"), F.avg(F.regexp_count(lower(text), pattern)).alias("mean")).first()
     number, mean = totals["docs"], totals["mean"] or 1.0
-    wanted = asked.select("word").distinct()
+    # Written, so that Spark knows its size and doesn't shuffle all words to meet it.
+    wanted = checkpointed(asked.select("word").distinct())
     counts = held.select("id", F.size("w").alias("length"), F.explode("w").alias("word")).join(wanted, "word").groupBy("id", "length", "word").agg(F.count("*").alias("tf"))
     counts = checkpointed(counts)
     weight = F.log(1 + (number - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rarity = counts.groupBy("word").agg(F.count("*").alias("df")).select("word", weight.alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    met = asked.join(rarity, "word").join(counts, "word").groupBy("query", "id").agg(F.round(F.sum(part), 9).alias("score"))
-    return ranked(met, k)
+    weights, pairs = written(asked.join(rarity, "word").groupBy("query", "word").agg(F.sum("idf").alias("idf")))
+    parts = -(-number // PART) or 1
+    blocks = max(-(-pairs // ASKED_WORDS), -(-weights.select("query").distinct().count() // QUERIES), 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = weights.select("query", "word", "idf", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"))
+    right = counts.select("id", "length", "word", "tf", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"))
+    found = T.StructType([left.schema["query"], right.schema["id"], T.StructField("score", T.DoubleType())])
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        coded = lambda t, c: t.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+        numbers = lambda t, c: np.asarray(t.column(c).combine_chunks())
+        none = pa.table({"query": a.column("query").slice(0, 0), "id": b.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+        if not a.num_rows or not b.num_rows:
+            return none
+        query, doc, word = coded(a, "query"), coded(b, "id"), coded(b, "word")
+        which = np.asarray(pc.fill_null(pc.index_in(a.column("word").combine_chunks(), value_set=word.dictionary), -1))
+        asks, idf = np.asarray(query.indices), numbers(a, "idf")
+        tf, length, says = numbers(b, "tf"), numbers(b, "length").astype(np.int64), np.asarray(word.indices)
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+        # Texts with one id may differ in length; a word stands once in a text.
+        texts, text_of = np.unique(np.asarray(doc.indices).astype(np.int64) * (length.max() + 1) + length, return_inverse=True)
+        score = np.zeros((len(texts), len(query.dictionary)))
+        by_word, by_ask = np.argsort(says, kind="stable"), np.argsort(which, kind="stable")
+        rows = np.searchsorted(says[by_word], np.arange(len(word.dictionary) + 1))
+        for some in np.split(by_ask, np.flatnonzero(np.diff(which[by_ask])) + 1):
+            w = which[some[0]]
+            if w >= 0:
+                of = by_word[rows[w] : rows[w + 1]]
+                score[np.ix_(text_of[of], asks[some])] += part[of, None] * idf[some]
+        ids = texts // (length.max() + 1)
+        if len(texts) > len(doc.dictionary):
+            one = np.zeros((len(doc.dictionary), score.shape[1]))
+            np.add.at(one, ids, score)
+            score, ids = one, np.arange(len(one))
+        # Rounding decides below, so what is near the last place stays.
+        last = np.partition(score, -k, axis=0)[-k] - 1e-8 if k < len(score) else 0
+        at, of = np.nonzero((score > 0) & (score >= last))
+        return pa.table({"query": query.dictionary.take(pa.array(of)), "id": doc.dictionary.take(pa.array(ids[at])), "score": pa.array(score[at, of], pa.float64())})
+
+    keys = ["part", "block"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, found)
+    return ranked(met.withColumn("score", F.round("score", 9)), k)
 
 
 def fused(rankings: list[DataFrame], k: int = 10, constant: int = FUSION) -> DataFrame:

@@ -97,3 +97,18 @@ def test_fusion(spark):
     assert got == [(1, 1, 8, 1 / 61 + 1 / 62), (1, 2, 7, 1 / 61), (2, 1, 9, 1 / 61)]
     with pytest.raises(InvalidInput):
         retrieval.fused([])
+
+
+def test_words_meet_in_parts(spark, monkeypatch):
+    """Only a part's first places are shuffled, and repeated ids count as before, whatever the parts and blocks."""
+    docs = spark.createDataFrame([(i % 150 if i else None, "the cat " * (i % 7) + "on a mat" * (i % 3)) for i in range(300)], "id long, t string")
+    asked = spark.createDataFrame([(q, "the cat on mat") for q in (*range(6), 3, None)], "q long, s string")
+    rank = lambda: retrieval.bm25(docs, asked, "id", "t", "q", "s", 3)
+    whole = {tuple(r) for r in rank().collect()}
+    assert len(whole) == 21
+    for part, queries in ((40, 2), (7, 512)):
+        monkeypatch.setattr(retrieval, "PART", part)
+        monkeypatch.setattr(retrieval, "QUERIES", queries)
+        assert {tuple(r) for r in rank().collect()} == whole
+    plan = rank()._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
