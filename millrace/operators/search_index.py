@@ -13,7 +13,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from millrace.errors import InvalidInput
 from millrace.operators.search import DEFAULT_LIMIT, MAX_LIMIT, query_words
@@ -47,13 +50,40 @@ def _next(spark: SparkSession, path: str, suffix: str = "") -> str:
     return f"{path}/{max(taken, default=0) + 1:08d}{suffix}"
 
 
-def _write(places: DataFrame, entries: DataFrame, target: str) -> None:
-    """`places`: term, key, n. Postings first: the entries make the generation count."""
-    block = F.floor(F.col("key") / BLOCK)
-    lists = places.groupBy("term", block.cast("long").alias("block")).agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("p"))
-    places_ = F.transform("p", lambda x: (x["key"] - F.col("block") * BLOCK).cast("int"))
-    coded = lists.select("term", "block", places_.alias("places"), F.col("p.n").cast("array<int>").alias("counts"))
-    coded.repartitionByRange(partitions_for(places), "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{target}/postings")
+def _listed(words: DataFrame) -> DataFrame:
+    """term, block, places, counts of `words` (key, words), a list for each batch of objects."""
+    schema = T.StructType.fromDDL("term string, block long, places array<int>, counts array<int>")
+
+    def run(batches):
+        for batch in batches:
+            keys, lists = np.asarray(batch.column(0)), batch.column(1)
+            said = lists.flatten().dictionary_encode()
+            terms = len(said.dictionary)
+            pairs, n = np.unique(np.asarray(pc.list_parent_indices(lists)).astype(np.int64) * max(terms, 1) + np.asarray(said.indices), return_counts=True)
+            key, term = keys[pairs // max(terms, 1)], pairs % max(terms, 1)
+            block = key // BLOCK
+            order = np.lexsort((key, block, term))
+            key, term, block, n = key[order], term[order], block[order], n[order]
+            starts = np.flatnonzero(np.concatenate([[len(key) > 0], (np.diff(term) != 0) | (np.diff(block) != 0)])) if len(key) else np.zeros(0, dtype=np.int64)
+            bounds = pa.array(np.append(starts, len(key)), pa.int32())
+            yield pa.RecordBatch.from_arrays([said.dictionary.take(pa.array(term[starts])), pa.array(block[starts]), pa.ListArray.from_arrays(bounds, pa.array((key - block * BLOCK).astype(np.int32))),
+                                              pa.ListArray.from_arrays(bounds, pa.array(n.astype(np.int32)))], names=schema.names)
+
+    return words.mapInArrow(run, schema)
+
+
+def _pairs() -> Column:
+    return F.arrays_zip(F.col("places").alias("place"), F.col("counts").alias("n"))
+
+
+def _write(lists: DataFrame, entries: DataFrame, target: str) -> None:
+    """`lists`: term, block, places, counts, any number for a term and block. They are dealt by range once and put together
+    there. Postings first: the entries make the generation count."""
+    lists = checkpointed(lists)
+    dealt = lists.select("term", "block", _pairs().alias("p")).repartitionByRange(partitions_for(lists, 64 << 20), "term", "block")
+    whole = dealt.groupBy("term", "block").agg(F.sort_array(F.flatten(F.collect_list("p"))).alias("p"))
+    coded = whole.select("term", "block", F.col("p.place").alias("places"), F.col("p.n").alias("counts"))
+    coded.sortWithinPartitions("term", "block").write.parquet(f"{target}/postings")
     entries.write.parquet(f"{target}/entries")
 
 
@@ -64,12 +94,12 @@ def write(refs: DataFrame, path: str, text: list[str], key: str, columns: list[s
     spark = refs.sparkSession
     own = refs.select(F.col(key).cast("long").alias("key"), F.struct(*columns).alias("kept"), F.lower(F.concat_ws(" ", *text)).alias("body"))
     own = own.withColumn("key", F.when(F.col("key").isNull(), F.raise_error(F.lit("an object without a key"))).otherwise(F.col("key")))
-    terms = own.select("key", F.explode(F.regexp_extract_all("body", F.lit(WORD), F.lit(0))).alias("term"))
+    words = own.select("key", F.regexp_extract_all("body", F.lit(WORD), F.lit(0)).alias("words"))
     entries = own.select("key", "kept", F.lit(True).alias("live"))
     if removed is not None:
         gone = removed.select(F.col(key).cast("long").alias("key")).distinct().join(own.select("key"), "key", "left_anti")
         entries = entries.unionByName(gone.select("key", F.lit(None).cast(entries.schema["kept"].dataType).alias("kept"), F.lit(False).alias("live")))
-    _write(terms.groupBy("term", "key").agg(F.count("*").alias("n")), entries, _next(spark, path))
+    _write(_listed(words), entries, _next(spark, path))
 
 
 def _read(spark: SparkSession, path: str, what: str) -> DataFrame:
@@ -88,16 +118,25 @@ def _current(spark: SparkSession, path: str) -> DataFrame:
 
 def _places(postings: DataFrame) -> DataFrame:
     """term, key, n, generation of coded postings."""
-    each = F.arrays_zip(F.col("places").alias("place"), F.col("counts").alias("n"))
-    return postings.select("term", "generation", "block", F.explode(each).alias("x")).select(
+    return postings.select("term", "generation", "block", F.explode(_pairs()).alias("x")).select(
         "term", "generation", (F.col("block") * BLOCK + F.col("x.place")).alias("key"), F.col("x.n").cast("long").alias("n"))
 
 
 def merge(spark: SparkSession, path: str) -> None:
-    """Replace all generations by one, without the postings of replaced and removed objects."""
+    """Replace all generations by one, without the postings of replaced and removed objects. The places that a generation
+    has lost are bits, 64 in a number and BLOCK in a row, so lists are thinned out where they are and never taken apart."""
     current = checkpointed(_current(spark, path))
-    live = _places(_read(spark, path, "postings")).join(current.select("key", "generation"), ["key", "generation"], "left_semi")
-    _write(live.select("term", "key", "n"), current.select("key", "kept", F.lit(True).alias("live")), _next(spark, path, "-merged"))
+    lost = _read(spark, path, "entries").filter("live").join(current, ["key", "generation"], "left_anti")
+    block = F.floor(F.col("key") / BLOCK).cast("long")
+    place = (F.col("key") - block * BLOCK).cast("int")
+    word = lost.select("generation", block.alias("block"), (place / 64).cast("int").alias("at"), (place % 64).alias("bit"))
+    words = word.groupBy("generation", "block", "at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    found = words.groupBy("generation", "block").agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
+    dead = checkpointed(found.select("generation", "block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK // 64 - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("bigint"))).alias("dead")))
+    stays = lambda x: F.getbit(F.get("dead", (x["place"] / 64).cast("int")), x["place"] % 64) == 0
+    kept = F.when(F.col("dead").isNull(), _pairs()).otherwise(F.filter(_pairs(), stays))
+    live = _read(spark, path, "postings").join(dead, ["generation", "block"], "left").select("term", "block", kept.alias("p")).filter("size(p) > 0")
+    _write(live.select("term", "block", F.col("p.place").alias("places"), F.col("p.n").alias("counts")), current.select("key", "kept", F.lit(True).alias("live")), _next(spark, path, "-merged"))
 
 
 def postings_of(spark: SparkSession, path: str, words: list[str]) -> DataFrame:

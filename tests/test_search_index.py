@@ -74,3 +74,16 @@ def test_bad_input(spark, tmp_path):
     assert search_index.search(spark, path, "the", "id").count() == 0 and search_index.search(spark, path, "", "id").count() == 0
     with pytest.raises(InvalidInput):
         search_index.search(spark, path, "the", "id", limit=51)
+
+
+def test_words_are_listed_where_they_are(spark):
+    """An object's words are counted in its row; lists of a batch need no shuffle."""
+    words = spark.createDataFrame([(1, ["the", "a", "the"]), (70000, ["the"]), (-3, ["a"]), (5, []), (6, None), (1, ["a"])], "key long, words array<string>").coalesce(1)
+    out = search_index._listed(words)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.term, r.block * search_index.BLOCK + p): 0 for r in out.collect() for p in r.places}
+    for r in out.collect():
+        for p, n in zip(r.places, r.counts):
+            got[r.term, r.block * search_index.BLOCK + p] += n
+    assert got == {("the", 1): 2, ("a", 1): 2, ("the", 70000): 1, ("a", -3): 1}
+    assert search_index._listed(words.limit(0)).count() == 0 == search_index._listed(words.filter("key = 5")).count()
