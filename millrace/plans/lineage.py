@@ -91,22 +91,25 @@ def levels(recipes: DataFrame, deps: DataFrame) -> DataFrame:
 def _ranked(recipes: DataFrame, deps: DataFrame) -> DataFrame:
     """(recipe, level, marked): `marked` also where anything the recipe needs, over any number of steps, is.
 
-    Round r keeps the dependencies that end a chain of r, each with the mark of the chain's first recipe, so
-    what a round reads shrinks with the level. Without a cycle each round loses some dependencies, so a
-    round that loses none has found one.
+    A recipe is placed in the round after the last of its needs. So each dependency is met once, in the round after
+    what it needs was placed, and each recipe is kept once. A round that places none before all are has found a cycle.
     """
-    nodes = checkpointed(recipes)
-    below = nodes.withColumnRenamed("recipe", "needs")
-    chains, left = stored(deps.join(nodes, "recipe", "left_semi").join(below, "needs").select("recipe", "needs", "marked"))
-    out, level = nodes.withColumn("level", F.lit(0)), 0
-    while left:
-        before, level = left, level + 1
-        reached = chains.groupBy("recipe").agg(F.bool_or("marked").alias("marked"))
-        out = out.unionByName(reached.withColumn("level", F.lit(level)))
-        chains, left = stored(chains.drop("marked").join(reached.withColumnRenamed("recipe", "needs"), "needs"))
-        if left == before:
+    nodes, total = stored(recipes)
+    inner = checkpointed(deps.join(nodes.withColumnRenamed("marked", "own"), "recipe").join(nodes.select(F.col("recipe").alias("needs")), "needs", "left_semi").select("recipe", "needs", "own"))
+    edges = checkpointed(inner.join(inner.groupBy("recipe").agg(F.count("*").alias("degree")), "recipe"))
+    placed, found = stored(nodes.join(inner.select("recipe").distinct(), "recipe", "left_anti").select("recipe", "marked"))
+    out, waiting, level = placed.withColumn("level", F.lit(0)), None, 0
+    while found < total:
+        hits = edges.join(placed.withColumnRenamed("recipe", "needs"), "needs").select("recipe", "degree", F.lit(1).cast("bigint").alias("met"), (F.col("own") | F.col("marked")).alias("marked"))
+        if waiting is not None:
+            hits = hits.unionByName(waiting)
+        judged = checkpointed(hits.groupBy("recipe").agg(F.max("degree").alias("degree"), F.sum("met").alias("met"), F.bool_or("marked").alias("marked")))
+        placed, waiting, level = judged.filter("met = degree").select("recipe", "marked"), judged.filter("met < degree"), level + 1
+        more = placed.count()
+        if not more:
             raise InvalidInput("the recipes form a cycle")
-    return out.groupBy("recipe").agg(F.max("level").alias("level"), F.bool_or("marked").alias("marked"))
+        out, found = out.unionByName(placed.withColumn("level", F.lit(level))), found + more
+    return out
 
 
 def rebuild_steps(targets: DataFrame, deps: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:

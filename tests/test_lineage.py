@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.errors import InvalidInput
 from millrace.operators import combine, group, join, labels, prepare
@@ -93,3 +94,12 @@ def test_column_labels(spark):
         with pytest.raises(InvalidInput):
             labels.label_columns(df, bad)
     assert labels.blocking_labels("bsn", "bbn3") == ["bbn3", "bsn"] and labels.blocking_labels("none", None) == []
+
+
+def test_levels_keep_each_recipe_once(spark):
+    """A deep chain beside a wide one: the result holds a row per recipe as it is, with nothing grouped again."""
+    nodes = spark.range(40).select(F.col("id").alias("recipe"))
+    needs = nodes.filter("recipe > 0").select("recipe", F.explode(F.array(F.col("recipe") - 1, F.expr("recipe div 2"))).alias("needs"))
+    out = lineage.levels(nodes, needs)
+    assert sorted((r.recipe, r.level) for r in out.collect()) == [(i, i) for i in range(40)]
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
