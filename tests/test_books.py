@@ -252,7 +252,7 @@ def test_days_of_a_month_settle_side_by_side(spark, monkeypatch):
     """The days let through fewer calls than the month, so no day waits for the ones before it."""
     calls = [(d * 20 + n, dt.datetime(2024, 1, 1 + d, n), 1, 10) for d in range(28) for n in range(20)]
     df = spark.createDataFrame(calls, "id long, ts timestamp_ntz, project_id long, cost_micros long")
-    limits = spark.createDataFrame([("project", "1", "day", 1000, 2, "block"), ("project", "1", "month", 590, 58, "block")],
+    limits = spark.createDataFrame([("project", "1", "day", 20, 2, "block"), ("project", "1", "month", 590, 58, "block")],
                                    "scope_type string, scope_id string, period string, limit_cost_micros long, limit_calls long, action string")
     written = []
     monkeypatch.setattr(budgets, "stored", lambda df: written.append(1) or stored(df))
