@@ -57,8 +57,8 @@ class Sequence:
                 self._zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
             before = self._zeros
         word = np.searchsorted(before, k.astype(before.dtype), side="right") - 1
-        left = np.minimum((k - before[word].astype(np.int64)).astype(np.uint64), np.uint64(63))
-        bits = self.high[word] if bit else ~self.high[word]
+        left = np.minimum((k - before.take(word).astype(np.int64)).astype(np.uint64), np.uint64(63))
+        bits = self.high.take(word) if bit else ~self.high.take(word)
         # Ones of each byte and those before it, then the byte, then the place in it.
         ones = bits - (bits >> np.uint64(1) & _M1)
         ones = (ones & _M2) + (ones >> np.uint64(2) & _M2)
@@ -71,7 +71,7 @@ class Sequence:
     def _next(self, bit: int, place: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Place of the k-th one or zero, where that before it is at `place`."""
         word, within = place >> 6, (place & 63).astype(np.uint64)
-        bits = self.high[word] if bit else ~self.high[word]
+        bits = self.high.take(word) if bit else ~self.high.take(word)
         bits = bits >> within >> np.uint64(1) << np.uint64(1) << within
         out = (word << 6) + np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1))
         far = np.flatnonzero(bits == 0)
@@ -84,8 +84,9 @@ class Sequence:
             return np.zeros(len(i), dtype=np.uint64)
         bit = i * self.width
         word, shift = bit >> 6, (bit & 63).astype(np.uint64)
-        up = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-        return ((self.low[word] >> shift) | up) & np.uint64((1 << self.width) - 1)
+        # In two steps, since a shift by 64 is none.
+        up = self.low.take(word + 1) << np.uint64(1) << (np.uint64(63) - shift)
+        return (self.low.take(word) >> shift | up) & np.uint64((1 << self.width) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(1, i) - i).astype(np.uint64) << np.uint64(self.width)) | self._lows(i)
@@ -97,7 +98,7 @@ class Sequence:
         return value(place, i), value(self._next(1, place, i + 1), i + 1)
 
     def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """Place of each value, within [begin, end) if given; -1 where it isn't there. The first value not below
+        """Place of each value, within [begin, end) if given; -1 where it isn't there. The last value not above
         it is looked for among those with the same high bits."""
         out = np.full(len(x), -1, dtype=np.int64)
         if not self.n or not len(x):
@@ -110,16 +111,18 @@ class Sequence:
         if begin is not None:
             at, stop = np.maximum(at, begin), np.minimum(stop, end)
         low = x & np.uint64((1 << self.width) - 1)
-        last = stop.copy()
-        # Values of the same high bits stand in the order of their low bits; dense runs make them many.
-        todo = np.flatnonzero(at < stop)
+        # Values of the same high bits stand in the order of their low bits; dense runs make them many. One that is
+        # alone is only compared.
+        todo = np.flatnonzero(stop - at > 1)
+        here, upto, wanted = at[todo], stop[todo], low[todo]
         while len(todo):
-            middle = (at[todo] + stop[todo]) >> 1
-            less = self._lows(middle) < low[todo]
-            at[todo[less]] = middle[less] + 1
-            stop[todo[~less]] = middle[~less]
-            todo = todo[at[todo] < stop[todo]]
-        some = np.flatnonzero(at < last)
+            middle = (here + upto) >> 1
+            above = self._lows(middle) > wanted
+            here, upto = np.where(above, here, middle), np.where(above, middle, upto)
+            at[todo] = here
+            left = np.flatnonzero(upto - here > 1)
+            todo, here, upto, wanted = todo[left], here[left], upto[left], wanted[left]
+        some = np.flatnonzero(at < stop)
         same = some[self._lows(at[some]) == low[some]]
         out[same] = at[same]
         return out
@@ -168,4 +171,5 @@ def load(path: str) -> dict[str, np.ndarray]:
         held = np.memmap(copy, dtype=np.uint8, mode="r")
     size = int.from_bytes(held[:8].tobytes(), "little")
     head, at = json.loads(held[8 : 8 + size].tobytes()), 8 + size
+    held = held.view(np.ndarray)  # which still maps, and costs less to index
     return {k: held[at + o : at + o + n * np.dtype(d).itemsize].view(d) for k, (d, n, o) in head.items()}

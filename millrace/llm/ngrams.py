@@ -55,13 +55,17 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(keys) else n
 
 
+def _dealt(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes in the order of their shards, and where each shard begins. Small numbers are sorted by digits."""
+    order = np.argsort(shard.astype(np.uint16 if shards <= 1 << 16 else np.int64), kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+
+
 def _counted(docs: DataFrame, text: str, shards: int, find, shard_of) -> DataFrame:
     """shard, keys, counts: the distinct keys that `find(words)` gives, and how often, in parts by task and shard."""
 
     def parts(k, c):
-        shard = shard_of(k, shards)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(shards + 1))
+        order, cut = _dealt(shard_of(k, shards), shards)
         for s in range(shards):
             mine = order[cut[s] : cut[s + 1]]
             if len(mine):
@@ -111,6 +115,10 @@ def unquantise(q: np.ndarray) -> np.ndarray:
     return q.astype(np.float64) * (-RANGE / 65535)
 
 
+# What each quantised log10 stands for.
+_POWERS = 10 ** unquantise(np.arange(65536))
+
+
 class Level1:
     """Words: number and count of each hash."""
 
@@ -229,9 +237,7 @@ class Grams:
     def _found(self, keys: np.ndarray):
         """Per shard: (shard, indexes of keys whose context it holds, the contexts' places, which n-grams it holds, their places)."""
         context, word = (keys >> self.shift).astype(np.int64), (keys & np.uint64((1 << int(self.shift)) - 1)).astype(np.int64)
-        shard = self.route(keys, self.shards)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        order, cut = _dealt(self.route(keys, self.shards), self.shards)
         for s in range(self.shards):
             mine = order[cut[s] : cut[s + 1]]
             if not len(mine) or self.base[s] == self.base[s + 1]:
@@ -254,17 +260,17 @@ class Grams:
         return out
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number or -1, discounted probability or 0, log10 back-off weight of the context) of distinct keys in order."""
-        number, p, b = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys)), np.zeros(len(keys))
+        """(number or -1, discounted probability or 0, back-off weight of the context) of distinct keys in order."""
+        number, p, b = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys)), np.ones(len(keys))
         for s, mine, k, held, at in self._found(keys):
             probability, backoff = self._values(s)
             number[mine[held]] = at + self.base[s]
-            p[mine[held]] = 10 ** unquantise(probability[at])
-            b[mine] = unquantise(backoff[k])
+            p[mine[held]] = _POWERS[probability[at]]
+            b[mine] = _POWERS[backoff[k]]
         context = (keys >> self.shift).astype(np.int64)
         hot = self.route.is_hot(context)
         if hot.any():
-            b[hot] = self.hot_backoff[np.searchsorted(self.route.hot, context[hot])]
+            b[hot] = 10 ** self.hot_backoff[np.searchsorted(self.route.hot, context[hot])]
         return number, p, b
 
 
@@ -279,8 +285,8 @@ class Model:
         number, p, b = self.grams[0].look_up(keys)
         out, some = np.full(len(keys), np.nan), number >= 0
         word = (keys[some] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        out[some] = np.log10(p[some] + 10 ** (b[some] + self.level.log10(self.level.counts(word))))
-        return out, b
+        out[some] = np.log10(p[some] + b[some] * 10 ** self.level.log10(self.level.counts(word)))
+        return out, np.log10(b)
 
     def _shifted(self, t: _Tokens, number: np.ndarray) -> np.ndarray:
         """Number of the n-gram that ends before each token; none before the first of a text."""
@@ -311,7 +317,7 @@ class Model:
             some = np.flatnonzero(before >= 0)
             keys, inverse = np.unique(level.key(before[some], t.number[some]), return_inverse=True)
             found, own, weight = level.look_up(keys)
-            p[some] = own[inverse] + 10 ** weight[inverse] * p[some]
+            p[some] = own[inverse] + weight[inverse] * p[some]
             number = np.full(len(before), -1, dtype=np.int64)
             number[some] = found[inverse]
             before = self._shifted(t, number)

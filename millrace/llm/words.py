@@ -29,7 +29,10 @@ ALNUM = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 
 _BYTE_KEYS = np.random.default_rng(20240).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so its powers never vanish
+_STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so its powers never vanish and have inverses
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+# Words hashed at a time, so that their bytes' terms stay in the processor's cache.
+_PART = 1 << 14
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,8 +44,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _STEP, dtype=np.uint64)
+def powers(n: int, step: np.uint64 = _STEP) -> np.ndarray:
+    out = np.full(max(n, 1), step, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -76,14 +79,17 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            if not len(self):
-                self._hash = np.zeros(0, dtype=np.uint64)
-            else:
-                size = self.stop - self.start
-                at = np.cumsum(size) - size
-                inside = np.arange(int(size.sum())) - np.repeat(at, size)
-                terms = _BYTE_KEYS[self.data[self._word]] * powers(int(size.max()))[inside]
-                self._hash = mix(np.add.reduceat(terms, at) + size.astype(np.uint64))
+            self._hash = np.empty(len(self), dtype=np.uint64)
+            cut = [*range(0, len(self), _PART), len(self)]
+            spans = [slice(int(self.start[a]), int(self.stop[b - 1])) for a, b in zip(cut, cut[1:])]
+            most = max((s.stop - s.start for s in spans), default=0)
+            up, back = powers(most), powers(most, _BACK)
+            for a, b, span in zip(cut, cut[1:], spans):
+                # Sums over all bytes, a power of the place each; a word's own is then brought back to its start.
+                start, last = self.start[a:b] - span.start, self.stop[a:b] - (span.start + 1)
+                terms = _BYTE_KEYS[self.data[span]] * up[: span.stop - span.start]
+                total = np.cumsum(terms)
+                self._hash[a:b] = mix((total[last] - total[start] + terms[start]) * back[start] + (last - start + 1).astype(np.uint64))
         return self._hash
 
     def bytes(self, i: int) -> bytes:

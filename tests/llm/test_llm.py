@@ -316,6 +316,29 @@ def test_elias_fano(tmp_path):
         assert (held.find(other) == -1).all()
 
 
+def test_elias_fano_reads_lone_values_once(tmp_path, monkeypatch):
+    """Where no other value has the same high bits, a value is compared and not searched for."""
+    read, lows = [], eliasfano.Sequence._lows
+    monkeypatch.setattr(eliasfano.Sequence, "_lows", lambda self, i: read.append(len(i)) or lows(self, i))
+    eliasfano.save(f"{tmp_path}/s", eliasfano.encode(np.arange(1000) << 10, 1000 << 10))
+    held = eliasfano.Sequence(eliasfano.load(f"{tmp_path}/s"))
+    assert held.find(np.arange(1000) << 10).tolist() == list(range(1000)) and sum(read) == 1000
+
+
+def test_word_hashes_in_parts(monkeypatch):
+    """A hash comes from the word's bytes alone, wherever the word stands and parts end."""
+    from millrace.llm import words as w
+
+    texts = ["abc  \u00e9t\u00e9 a", "", None, " abc", "a" * 50 + "\tabc a\n"]
+    of = lambda: w.Words(*w.text_arrays(pa.array(texts)), w.NOT_SPACE)
+    step = lambda b: int(w.mix(np.array([(sum(int(w._BYTE_KEYS[c]) * pow(int(w._STEP), i, 1 << 64) for i, c in enumerate(b)) + len(b)) % (1 << 64)], dtype=np.uint64))[0])
+    for part in (1, 2, 3, 1 << 14):
+        monkeypatch.setattr(w, "_PART", part)
+        found = of()
+        assert found.hash.tolist() == [step(found.bytes(i)) for i in range(7)] and len(found) == 7
+    assert len(w.Words(*w.text_arrays(pa.array([" ", None])), w.NOT_SPACE).hash) == 0
+
+
 def test_ngram_scores(docs, rows, none):
     import math
 
