@@ -6,8 +6,8 @@ windows it begins, which a ROLLUP over the leading words of the counted windows
 to the words of a language. No text is read again and no n-grams of other lengths are made.
 
 A task counts the windows of FLUSH words at a time before they travel, dealt by all words but the last. So windows with
-the same beginning meet in one task, where they and their beginnings are summed without another shuffle; the ROLLUP takes
-the prefixes shorter than that. However common a beginning is, it has a row per flush, not one per place.
+the same beginning meet in one task. There the beginnings are summed, and then the windows of those that reach the least
+count; the ROLLUP takes the prefixes shorter than that. However common a beginning is, it has a row per flush, not one per place.
 Phrases under the least count can't be candidates or parts of one, so all that follows the counts is small and is read
 from a written table.
 """
@@ -81,7 +81,8 @@ def count_windows(words: pa.Array, piece: np.ndarray, group: np.ndarray, max_wor
 
 def windows(docs: DataFrame, text: str, lang: str, max_words: int, flush: int = FLUSH) -> DataFrame:
     """lang, begin, tail: the windows of `max_words` words, counted by tasks and dealt by their beginning (`count_windows`)."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("lang", "begin", "tail")])
+    # Without nulls, or a join would filter them below the shuffle and have one of its own.
+    schema = T.StructType([T.StructField(c, T.StringType(), False) for c in ("lang", "begin", "tail")])
 
     def run(batches):
         names: dict[str, int] = {}
@@ -128,29 +129,36 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_w
     empty phrase with `words` 0 and the number of all words."""
     # All three read every column of the dealt windows, so their plans agree up to the shuffle and it is made once.
     dealt = windows(docs, text, lang, max_words)
-    line = lambda k: F.split("tail", "\n")[k]
-    each = dealt.select("lang", "begin", F.explode(F.arrays_zip(F.split(line(0), " ").alias("last"), F.split(line(1), " ").alias("n"))).alias("x"))
-    number = F.coalesce(F.nullif("x.n", F.lit("")).cast("long"), F.lit(1))
-    full = each.groupBy("lang", "begin", F.col("x.last").alias("last")).agg(F.sum(number).alias("n"))
-    # One condition on key and count together: on the key alone it would be moved below the shuffle.
-    full = full.filter(F.when(F.col("last") != "", F.col("n")).otherwise(0) >= least)
-    full = full.select("lang", F.concat_ws(" ", "begin", "last").alias("phrase"), F.lit(max_words).alias("words"), "n")
-
-    summed = dealt.select("lang", "begin", line(2).cast("long").alias("n"))
+    summed = dealt.select("lang", "begin", F.substring_index("tail", "\n", -1).cast("long").alias("n"))
     begins = summed.groupBy("lang", "begin").agg(F.sum("n").alias("n"))
-    begins = begins.filter(F.when(_length("begin") == max_words - 1, F.col("n")).otherwise(0) >= least)
-    begins = begins.select("lang", F.col("begin").alias("phrase"), F.lit(max_words - 1).alias("words"), "n")
+    # One condition on key and count together: on the key alone it would be moved below the shuffle.
+    frequent = begins.filter(F.when(F.col("n") >= least, _length("begin")).otherwise(0) == max_words - 1).select("lang", "begin")
+
+    # No window is more frequent than its beginning, so only those of frequent beginnings are taken apart, each with a part
+    # that has no last word and stands for the beginning. Both sides are dealt alike, and of the windows a task reads at
+    # least `least` make one beginning in the hashed side.
+    held = dealt.join(frequent.hint("shuffle_hash"), ["lang", "begin"]).select("lang", "begin", F.split("tail", "\n").alias("line"))
+    line = lambda k: F.split(F.col("line")[k], " ")
+    parts = F.concat(F.arrays_zip(line(0).alias("last"), line(1).alias("n")), F.array(F.struct(F.lit(None).cast("string").alias("last"), F.col("line")[2].alias("n"))))
+    each = held.select("lang", "begin", F.explode(parts).alias("x"))
+    number = F.coalesce(F.nullif("x.n", F.lit("")).cast("long"), F.lit(1))
+    longer = each.groupBy("lang", "begin", F.col("x.last").alias("last")).agg(F.sum(number).alias("n"))
+    longer = longer.filter(F.when(F.col("last") == "", 0).otherwise(F.col("n")) >= least)
+    words = F.when(F.col("last").isNull(), max_words - 1).otherwise(max_words)
+    longer = longer.select("lang", F.concat_ws(" ", "begin", "last").alias("phrase"), words.alias("words"), "n")
 
     first = [f"w{k}" for k in range(1, max_words - 1)]
-    # A window of fewer words has no prefix of k words; its rows count for the shorter prefixes only.
-    prefixes = summed.select("lang", "n", *(F.when(_length("begin") >= k, F.substring_index("begin", " ", k)).alias(c) for k, c in enumerate(first, 1)))
-    rolled = prefixes.rollup("lang", *first).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
+    # A window of fewer words has no prefix of k words; its rows count for the shorter prefixes only. Every window has a first word.
+    prefix = lambda k: F.substring_index("begin", " ", k)
+    prefixes = summed.select("lang", "n", *((prefix(k) if k == 1 else F.when(_length("begin") >= k, prefix(k))).alias(c) for k, c in enumerate(first, 1)))
+    # Summed before the ROLLUP, which makes a row per level of each of its rows.
+    rolled = prefixes.groupBy("lang", *first).agg(F.sum("n").alias("n")).rollup("lang", *first).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
     # left_out has a bit per column that was summed over; the one row over all languages gets -1 words.
     words = F.lit(len(first)) - F.bit_count("left_out")
     shorter = rolled.select("lang", F.coalesce(*reversed(first), F.lit("")).alias("phrase"), words.alias("words"), "n")
     # Left are the rows whose prefix is as long as their level says.
     shorter = shorter.filter((F.col("words") == F.when(F.col("phrase") == "", 0).otherwise(_length("phrase"))) & ((F.col("n") >= least) | (F.col("words") == 0)) & F.col("lang").isNotNull())
-    return full.unionByName(begins).unionByName(shorter)
+    return longer.unionByName(shorter)
 
 
 def _cut(phrase: str, k: int) -> tuple[Column, Column]:

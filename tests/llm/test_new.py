@@ -59,6 +59,20 @@ def test_phrases_counted_in_parts(spark, texts):
     assert total(100) == total(10**6)
 
 
+def test_windows_of_rare_beginnings_stay_whole(spark, texts):
+    counts = collocations.phrase_counts(spark.createDataFrame(texts, "text string, lang string"))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    apart, summed = plan[plan.index("Generate explode"):], plan[plan.index("Expand"):]
+    # Windows meet the frequent beginnings before they are taken apart, and prefixes are summed before ROLLUP copies them.
+    assert "Join Inner" in apart[: apart.index("MapInArrow")]
+    assert "Aggregate" in summed[: summed.index("MapInArrow")]
+    # The text is read and dealt once for all three.
+    run = counts._jdf.queryExecution().executedPlan()
+    counts.collect()
+    final = run.toString().split("== Initial Plan ==")[0]
+    assert final.count("MapInArrow") == 1 and "ShuffledHashJoin" in final
+
+
 def test_scores_past_64_bits(spark):
     counts = spark.createDataFrame([("en", "", 0, 10**13), ("en", "a", 1, 4 * 10**12), ("en", "b", 1, 3 * 10**12 + 1), ("en", "a b", 2, 3 * 10**12)], "lang string, phrase string, words int, n long")
     row = collocations._scored(counts, 3).first()
