@@ -99,6 +99,7 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", order: str
     Sources by code point, null last, take `weights` in turn. Null and empty texts have no words; they stand in
     no block. Repeated rows are packed each; ties in `order` are broken by size and text, so reruns agree. A
     table of one row per source and chunk is all that the driver or one task sees at once of a hot source.
+    `docs` is read twice, once for its number of rows alone; its kept columns are shuffled and stored once.
     Kept columns named like one of the mix's own (`OWN`) get underscores behind their names.
     """
     kept = [c for c in (docs.columns if keep is None else keep)]
@@ -113,29 +114,28 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", order: str
     docs = docs.withColumnsRenamed(renamed)
     kept = [renamed.get(c, c) for c in kept]
     text, source, order = (renamed.get(c, c) for c in (text, source, order))
-    names = {n: fresh(docs, n) for n in ("size", "chunk", "upto", "source_no", "offset", "before", "mark")}
+    names = {n: fresh(docs, n) for n in ("size", "chunk", "upto", "mark")}
+    size, chunk = F.col(names["size"]), names["chunk"]
+    # A hot source has as many chunks as a chunk has rows of it, so neither window outgrows the root of the rows.
+    chunks = max(1, math.isqrt(docs.count()))
     sized = docs.select(*dict.fromkeys([*kept, source, order]), n_words(F.col(text)).alias(names["size"]),
-                        F.xxhash64(F.col(order), F.col(text)).alias(names["mark"]))
-    sized = checkpointed(sized)
-    size = F.col(names["size"])
-    per_source = sized.groupBy(F.col(source).alias("name")).agg(F.sum(size).alias("size"), F.count("*").alias("docs")).collect()
+                        F.xxhash64(F.col(order), F.col(text)).alias(names["mark"])).withColumn(chunk, F.pmod(names["mark"], F.lit(chunks)))
+    inside = F.sum(size).over(W.partitionBy(source, chunk).orderBy(names["mark"], order, names["size"]).rowsBetween(W.unboundedPreceding, W.currentRow)) - size
+    # The one table with the kept columns: rows already stand in their places inside a chunk. What a chunk begins at is joined when the table is read.
+    placed = checkpointed(sized.withColumn(names["upto"], inside))
+    totals = placed.groupBy(F.col(source).alias("name"), F.col(chunk).alias("chunk")).agg(F.sum(size).alias("n"))
+    per_source = totals.groupBy("name").agg(F.sum("n").alias("size")).collect()
     rows = sorted(per_source, key=lambda r: (r["name"] is None, str(r["name"] or "").encode()))
     sizes = [int(r["size"] or 0) for r in rows]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, most)
     spark = docs.sparkSession
-    numbers = spark.createDataFrame([(i, r["name"]) for i, r in enumerate(rows)], T.StructType([T.StructField("no", T.IntegerType()), T.StructField("name", docs.schema[source].dataType)]))
-    # A hot source has as many chunks as a chunk has rows of it, so neither window outgrows the root of the rows.
-    chunks = max(1, math.isqrt(sum(r["docs"] for r in rows)))
-    placed = sized.join(F.broadcast(numbers) if len(rows) < 10_000 else numbers, sized[source].eqNullSafe(numbers["name"])).drop("name") \
-        .withColumnRenamed("no", names["source_no"]).withColumn(names["chunk"], F.pmod(names["mark"], F.lit(chunks)))
-    keys = [names["source_no"], names["chunk"]]
-    totals = placed.groupBy(*keys).agg(F.sum(size).alias("n")).withColumn(
-        names["before"], F.sum("n").over(W.partitionBy(keys[0]).orderBy(keys[1]).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).drop("n")
-    inside = F.sum(size).over(W.partitionBy(*keys).orderBy(names["mark"], order, names["size"]).rowsBetween(W.unboundedPreceding, W.currentRow)) - size
-    at = placed.withColumn(names["upto"], inside).join(totals, keys) \
-        .withColumn(names["offset"], F.col(names["upto"]) + F.col(names["before"]))
-    packed = at.select(*kept, F.col(names["source_no"]).alias("_source_no"), F.col(names["offset"]).alias("_offset"), size.alias("_size"))
-    return Mix(checkpointed(packed), [r["name"] for r in rows], sizes, goal, seed, renamed)
+    numbers = spark.createDataFrame([(i, r["name"]) for i, r in enumerate(rows)], T.StructType([T.StructField("no", T.IntegerType()), T.StructField("of", docs.schema[source].dataType)]))
+    before = F.sum("n").over(W.partitionBy("no").orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    begins = checkpointed(totals.join(F.broadcast(numbers) if len(rows) < 10_000 else numbers, totals["name"].eqNullSafe(numbers["of"]))
+                          .select("name", "chunk", "no", before.alias("before")))
+    at = placed.join(begins, placed[source].eqNullSafe(begins["name"]) & (placed[chunk] == begins["chunk"]))
+    packed = at.select(*(placed[c] for c in kept), begins["no"].alias("_source_no"), (placed[names["upto"]] + begins["before"]).alias("_offset"), placed[names["size"]].alias("_size"))
+    return Mix(packed, [r["name"] for r in rows], sizes, goal, seed, renamed)
 
 
 def slots(mix: Mix, spark, shard: int = SHARD) -> DataFrame:

@@ -226,6 +226,13 @@ def clashing(spark):
     return plain, plain.select("*", *((F.col("doc_id") * (k + 3) % 4).alias(c) for k, c in enumerate(CLASHES)))
 
 
+def test_texts_of_a_mix_are_stored_once(clashing, monkeypatch):
+    stored, write = [], mixing.checkpointed
+    monkeypatch.setattr(mixing, "checkpointed", lambda df: stored.append(df.columns) or write(df))
+    mixing.mixed(mixing.plan(clashing[0], keep=["doc_id", "text"]), "text").collect()
+    assert sum("text" in columns for columns in stored) == 1
+
+
 def test_clashing_names_change_no_mix(clashing):
     plain, wide = clashing
     key = lambda df: sorted(map(tuple, df.collect()))
