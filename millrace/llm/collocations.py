@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from millrace.errors import InvalidInput
 from millrace.llm.words import Words, byte_table, slices, text_arrays
-from millrace.session import checkpointed
+from millrace.session import arrow_batches, checkpointed
 
 # The bytes that end a piece, and those that part its words.
 PIECE_END, BLANK = b".,;:!?\x0A\x0B\x0C\x0D", b" \t"
@@ -31,6 +31,8 @@ INSIDE_PERCENT = 50
 UNKNOWN = "und"
 # Words whose windows a task counts at once.
 FLUSH = 1_000_000
+# Rows of windows whose strings a task makes at once, and bytes of texts that Spark hands to it at once.
+ROWS, BATCH_BYTES = 1 << 16, 4 << 20
 
 _IN_WORD = byte_table(lambda b: b not in PIECE_END + BLANK)
 _ENDS = byte_table(lambda b: b in PIECE_END)
@@ -48,35 +50,61 @@ def words_and_pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray
     return words, (ends[w.start] if len(w) else np.zeros(0, dtype=np.int64)) + w.doc, w.doc
 
 
-def count_windows(words: pa.Array, piece: np.ndarray, group: np.ndarray, max_words: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """(group, begin, tail) of the distinct windows that start at the words, a row per group and beginning. begin: all
-    words of a window but the last, joined by spaces. tail: three lines. The first has the words that follow, an empty one
-    where the piece ends; the second how often each does, or nothing where each does once; the third the sum."""
+def count_windows(words: pa.Array, piece: np.ndarray, group: np.ndarray, max_words: int, rows: int = ROWS):
+    """Yields (group, begin, tail), `rows` rows at a time, of the distinct windows that start at the words, a row per group and
+    beginning. begin: all words of a window but the last, joined by spaces. tail: three lines. The first has the words that follow,
+    an empty one where the piece ends; the second how often each does, or nothing where each does once; the third the sum."""
     dictionary, code = words.dictionary, np.asarray(words.indices)
     wide = np.int64(len(dictionary) + 1)
 
     def lead(k: int) -> np.ndarray:
-        word = np.zeros(len(code), dtype=np.int64)  # 0: no word of this piece stands there
+        word = np.zeros(len(code), dtype=np.int32)  # 0: no word of this piece stands there
         if k < len(code):
-            np.copyto(word[: len(code) - k], code[k:] + np.int64(1), where=piece[k:] == piece[: len(code) - k])
+            np.add(code[k:], 1, out=word[: len(code) - k], where=piece[k:] == piece[: len(code) - k])
         return word
 
-    # Number the beginnings of 0, 1, 2 ... words: places have one number where they agree so far.
-    number = np.unique(group, return_inverse=True)[1]
+    def longer(number: np.ndarray, k: int) -> np.ndarray:
+        key = np.multiply(number, wide, dtype=np.int64)
+        key += lead(k)
+        return key
+
+    def firsts(key: np.ndarray) -> np.ndarray:
+        """Where a sorted key is new."""
+        new = np.ones(len(key), dtype=bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        return new
+
+    # Number the beginnings of 0, 1, 2 ... words: places have one number where they agree so far. Groups number those of 0.
+    number, at = group, np.zeros(0, dtype=np.int64)
     for k in range(max_words - 1):
-        _, at, number = np.unique(number * wide + lead(k), return_index=True, return_inverse=True)
-    key, count = np.unique(number * wide + lead(max_words - 1), return_counts=True)
+        key = longer(number, k)
+        order = np.argsort(key)
+        new = firsts(key[order])
+        number, at = np.empty(len(key), dtype=np.int32), order[new]
+        number[order] = np.cumsum(new, dtype=np.int32) - 1
+        del key, order, new
+    key = longer(number, max_words - 1)
+    del number
+    key.sort()
+    place = np.flatnonzero(firsts(key))
+    key, count = key[place], np.diff(place, append=len(key))
     leads = [lead(k)[at] for k in range(max_words - 1)]
-    said = lambda codes: dictionary.take(pa.array(codes - 1, mask=codes == 0))
-    begin = pc.binary_join_element_wise(*(said(c) for c in leads), pa.scalar(" ", pa.large_string()), null_handling="skip")
     own = np.searchsorted(key // wide, np.arange(len(at) + 1))
-    offsets = pa.array(own, pa.int64())
-    joined = lambda values: pc.binary_join(pa.LargeListArray.from_arrays(offsets, values), pa.scalar(" ", pa.large_string()))
-    lasts = joined(pc.fill_null(said(key % wide), ""))
-    total = np.add.reduceat(count, own[:-1]) if len(count) else count
-    counts = pc.if_else(pa.array(total == np.diff(own)), pa.scalar("", pa.large_string()), joined(pa.array(count).cast(pa.large_string())))
-    tail = pc.binary_join_element_wise(lasts, counts, pa.array(total).cast(pa.large_string()), pa.scalar("\n", pa.large_string()))
-    return group[at], begin, tail
+
+    said = lambda codes: dictionary.take(pa.array(codes - 1, mask=codes == 0))
+    space, line, nothing = (pa.scalar(x, pa.large_string()) for x in (" ", "\n", ""))
+    # Strings are made for some rows at a time.
+    for first in range(0, len(at), rows):
+        some = slice(first, first + rows)
+        ends = own[first : first + rows + 1]
+        held = slice(ends[0], ends[-1])
+        offsets, times = pa.array(ends - ends[0], pa.int64()), count[held]
+        joined = lambda values: pc.binary_join(pa.LargeListArray.from_arrays(offsets, values), space)
+        begin = pc.binary_join_element_wise(*(said(c[some]) for c in leads), space, null_handling="skip")
+        total = np.add.reduceat(times, ends[:-1] - ends[0])
+        lasts = joined(pc.fill_null(said(key[held] % wide), ""))
+        counts = pc.if_else(pa.array(total == np.diff(ends)), nothing, joined(pa.array(times).cast(pa.large_string())))
+        yield group[at[some]], begin, pc.binary_join_element_wise(lasts, counts, pa.array(total).cast(pa.large_string()), line)
 
 
 def windows(docs: DataFrame, text: str, lang: str, max_words: int, flush: int = FLUSH) -> DataFrame:
@@ -97,17 +125,16 @@ def windows(docs: DataFrame, text: str, lang: str, max_words: int, flush: int =
             piece = np.concatenate([p + s for (_, p, _), s in zip(held, starts)])
             group = np.concatenate([g for _, _, g in held])
             held.clear()
-            group, *columns = count_windows(words, piece, group, max_words)
-            columns.insert(0, pa.array(list(names), pa.string()).take(pa.array(group)))
-            for at in range(0, len(group), 1 << 16):
-                yield pa.RecordBatch.from_arrays([c[at : at + (1 << 16)].cast(pa.string()) for c in columns], names=schema.names)
+            known = pa.array(list(names), pa.string())
+            for of, *columns in count_windows(words, piece, group, max_words):
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(of)), *(c.cast(pa.string()) for c in columns)], names=schema.names)
 
         for batch in batches:
             for part in slices(batch, 1):
                 words, piece, doc = words_and_pieces(part.column(1))
                 if not len(words):
                     continue
-                of_text = np.array([names.setdefault(x, len(names)) for x in part.column(0).to_pylist()])
+                of_text = np.array([names.setdefault(x, len(names)) for x in part.column(0).to_pylist()], dtype=np.int32)
                 held.append((words, piece, of_text[doc]))
                 size += len(words)
                 if size >= flush:
@@ -203,7 +230,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", max_wo
     """
     if max_words < 2 or least < 1:
         raise InvalidInput("phrases have two words or more and occur at least once")
-    counts = checkpointed(phrase_counts(docs, text, lang, max_words, least))
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        counts = checkpointed(phrase_counts(docs, text, lang, max_words, least))
     candidates = _scored(counts, max_words).join(_inside(counts, max_words), ["lang", "phrase"], "left")
     kept = candidates.filter(F.col("longer").isNull() | (100 * F.col("longer") < inside_percent * F.col("a")))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -69,6 +70,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return stored(df)[0]
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: int):
+    """What runs inside hands rows to Python in Arrow batches that end at about `size` bytes, unless the session names a size itself.
+
+    Spark's own 64 MB are held several times over by each task, in the executor's direct memory and in Python.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def _scratch_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
 

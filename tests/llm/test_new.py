@@ -6,10 +6,14 @@ import hashlib
 import heapq
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import session
 from millrace.errors import InvalidInput
 from millrace.llm import collocations, conversations, licenses, mixing, quality, substrings, tokencount
 
@@ -73,6 +77,60 @@ def test_windows_of_rare_beginnings_stay_whole(spark, texts):
     assert final.count("MapInArrow") == 1 and "ShuffledHashJoin" in final
 
 
+def test_windows_are_counted_in_little_memory():
+    r = np.random.default_rng(5)
+    code, n = r.zipf(1.3, 200_000) % 5000, 200_000
+    piece, group = np.cumsum(r.random(n) < 0.1), np.sort(r.integers(0, 3, n)).astype(np.int32)
+    piece += group  # a piece has one group
+    words = pa.array([f"w{c}" for c in range(5000)], pa.large_string()).take(pa.array(code)).dictionary_encode()
+    tracemalloc.start()
+    held = pa.total_allocated_bytes()
+    most = max(b.nbytes + t.nbytes for _, b, t in collocations.count_windows(words, piece, group, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * n and most < 100 * collocations.ROWS and pa.total_allocated_bytes() <= held + most
+
+    expected, text = collections.Counter(), [f"w{c}" for c in code]
+    for i in range(n):
+        w = [text[j] for j in range(i, min(i + 3, n)) if piece[j] == piece[i]]
+        expected[group[i], " ".join(w[:2]), w[2] if len(w) == 3 else ""] += 1
+    for rows in (999, 10**6):
+        got = collections.Counter()
+        for of, begin, tail in collocations.count_windows(words, piece, group, 3, rows):
+            assert len(of) == len(begin) == len(tail) <= rows
+            for g, b, t in zip(of, begin.to_pylist(), tail.to_pylist()):
+                lasts, counts, total = (x.split(" ") for x in t.split("\n"))
+                counts = [1] * len(lasts) if counts == [""] else list(map(int, counts))
+                assert sum(counts) == int(total[0])
+                got.update({(g, b, x): c for x, c in zip(lasts, counts, strict=True)})
+        assert got == expected
+
+
+def test_texts_reach_tasks_in_small_batches(spark, texts, monkeypatch):
+    key, met = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    docs = spark.createDataFrame(texts, "text string, lang string")
+    monkeypatch.setattr(collocations, "checkpointed", lambda df: (met.append(spark.conf.get(key)), df)[1])
+    collocations.collocations(docs)
+    spark.conf.set(key, "1m")
+    try:
+        collocations.collocations(docs)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+    assert met == [str(collocations.BATCH_BYTES), "1m"] and spark.conf.get(key, None) is None
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    long = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 18).alias("text"))
+    with session.arrow_batches(spark, 1 << 20):
+        assert max(r.n for r in long.mapInArrow(sizes, "n long").collect()) < 3 << 19
+    with pytest.raises(ZeroDivisionError), session.arrow_batches(spark, 1 << 20):
+        1 / 0
+    assert spark.conf.get(key, None) is None
+
+
 def test_scores_past_64_bits(spark):
     counts = spark.createDataFrame([("en", "", 0, 10**13), ("en", "a", 1, 4 * 10**12), ("en", "b", 1, 3 * 10**12 + 1), ("en", "a b", 2, 3 * 10**12)], "lang string, phrase string, words int, n long")
     row = collocations._scored(counts, 3).first()
