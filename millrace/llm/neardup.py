@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.llm.components import components
 from millrace.llm.words import NOT_SPACE, Words, fresh, mix, per_text, slices, text_arrays
+from millrace.operators.components import components
 from millrace.session import checkpointed, stored
 
 SHINGLE, THRESHOLD = 5, 0.8

@@ -260,3 +260,57 @@ def test_days_of_a_month_settle_side_by_side(spark, monkeypatch):
     assert {r.id for r in rows if r.admitted} == {d * 20 + n for d in range(28) for n in range(2)} and len(rows) == len(calls)
     assert {r.refused_by for r in rows if not r.admitted} == {"project:1:day"}
     assert len(written) <= 5
+
+
+LIMITS = "scope_type string, scope_id string, period string, limit_cost_micros long, limit_calls long, action string"
+
+
+@pytest.mark.parametrize("hot", [10**6, 20])
+def test_calls_that_fit_by_turns_are_not_a_pass_each(spark, monkeypatch, hot):
+    """Every other call just does not fit, which only the exact sum before it tells."""
+    calls = [(i, DAY + dt.timedelta(minutes=i), 1, 1 if i % 2 else 1001 - i // 2) for i in range(1, 61)]
+    df = spark.createDataFrame(calls, "id long, ts timestamp_ntz, project_id long, cost_micros long")
+    written = []
+    for name in ("stored", "checkpointed"):
+        monkeypatch.setattr(budgets, name, lambda df, real=getattr(budgets, name): written.append(1) or real(df))
+    rows = budgets.replay_together(df, spark.createDataFrame([("project", "1", "month", 1000, None, "block")], LIMITS), hot_rows=hot).collect()
+    assert {r.id for r in rows if r.admitted} == {i for i in range(1, 61) if i % 2} and len(rows) == 60
+    assert len(written) <= (3 if hot == 10**6 else 20)
+
+
+@pytest.mark.parametrize("hot", [10**6, 7])
+def test_replay_together_in_another_order(spark, hot):
+    """Windows come by turns, two projects share a user, month budgets run on where a part is cut, and a user of one call is free."""
+    r = random.Random(5)
+    ats = r.sample(range(6 * 24 * 60), 60)
+    calls = [(i, dt.datetime(2024, 1, 29) + dt.timedelta(minutes=ats[i]), 1 + i % 2, 5 if i % 7 else 6, r.choice([None, 1, 20, 70])) for i in range(60)] + [(60, DAY, None, 9, 4)]
+    quotas = [("project", "1", "day", 90, None, "block"), ("project", "2", "month", 300, 12, "block"), ("user", "5", "month", 300, None, "warn"), ("user", "5", "day", 150, 5, "block"),
+              ("user", "9", "day", 4, 1, "block")]
+    df = spark.createDataFrame([(*c, "mine") for c in calls], "id int, ts timestamp_ntz, project_id int, user_id int, cost_micros long, _part string")
+    out = budgets.replay_together(df, spark.createDataFrame(quotas, LIMITS), order=(), hot_rows=hot)
+    assert out.columns == [*df.columns, "admitted", "refused_by", "warnings"]
+    held, expected = [], {}
+    for c in calls:  # in the order of their ids
+        sums = {}
+        for scope, who, period, *_ in quotas:
+            place = 2 if scope == "project" else 3
+            if str(c[place]) == who:
+                same = [h for h in held if h[place] == c[place] and (h[1].date() == c[1].date() if period == "day" else h[1].month == c[1].month)]
+                sums[f"{scope}:{who}:{period}"] = (sum(h[4] or 0 for h in same) + (c[4] or 0), len(same) + 1)
+        over = [(q[5], n) for q in quotas if (n := ":".join(q[:3])) in sums and (sums[n][0] > q[3] or (q[4] is not None and sums[n][1] > q[4]))]
+        refused = next((n for action, n in sorted(over, key=lambda o: (not o[1].startswith("project"), o[1])) if action == "block"), None)
+        expected[c[0]] = (refused is None, refused, [n for action, n in over if action == "warn"] if refused is None else [])
+        if refused is None:
+            held.append(c)
+    assert {x.id: (x.admitted, x.refused_by, x.warnings) for x in out.collect()} == expected
+    assert {refused for _, refused, _ in expected.values()} >= {None, "project:1:day", "project:2:month", "user:5:day"} and any(w for *_, w in expected.values())
+
+
+def test_replay_together_takes_each_row_as_a_call(spark):
+    """Rows that come twice hold twice; calls without a time share a window; sums may pass 64 bits."""
+    most = 2**63 - 1
+    df = spark.createDataFrame([(1, DAY, 1, 60), (1, DAY, 1, 60), (2, None, 1, 50), (3, None, 1, 60), (None, DAY, 1, 40), (4, DAY, 2, most), (5, DAY, 2, most), (6, DAY, 3, most), (7, DAY, 3, most)],
+                               "id long, ts timestamp_ntz, user_id long, cost_micros long")
+    limits = spark.createDataFrame([("user", "1", "day", 100, None, "block"), ("user", "2", "day", most, None, "block"), ("user", "3", "day", None, 2, "block")], LIMITS)
+    rows = budgets.replay_together(df, limits).collect()
+    assert sorted((r.id or 0, r.admitted) for r in rows) == [(0, True), (1, False), (1, True), (2, True), (3, False), (4, True), (5, False), (6, True), (7, True)]
